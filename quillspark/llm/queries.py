@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, secrets
+from . import linededup, minhash, secrets
 from .common import table
 
 
@@ -27,6 +27,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.repeated_spans(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").withColumnRenamed("first_id", "first_doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_line_dedup)}
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document with its set size and component."""
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_line_dedup, op7_near_duplicates)}
 
 ORACLES: dict[str, str] = {}
