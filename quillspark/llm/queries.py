@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, minhash, secrets
+from . import exactdedup, linededup, minhash, secrets, warc
 from .common import table
 
 
@@ -33,6 +33,32 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_line_dedup, op7_near_duplicates)}
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document with the row that stays for its text."""
+    found = exactdedup.exact_groups(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
-ORACLES: dict[str, str] = {}
+
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per page: its record as read back from the archives."""
+    records = warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    digest = F.when(F.col("record_type") == "response", F.sha1("payload")).otherwise(F.col("header_digest"))
+    return records.select(F.col("id").alias("page_id"), "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_line_dedup, op5_exact_dedup, op6_warc_round_trip, op7_near_duplicates)}
+
+ORACLES = {
+    "op5_exact_dedup": r"""
+        WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id IS NOT DISTINCT FROM min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+        FROM n WINDOW w AS (PARTITION BY t)""",
+    "op6_warc_round_trip": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+             g AS (SELECT page_id, h, strlen(h) AS n, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+        SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to
+        FROM g""",
+}
