@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdedup, linededup, minhash, secrets, warc
+from . import exactdedup, linededup, minhash, quality, secrets, warc
 from .common import table
 
 
@@ -46,7 +46,13 @@ def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("id").alias("page_id"), "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_line_dedup, op5_exact_dedup, op6_warc_round_trip, op7_near_duplicates)}
+def op8_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: counts, base verdict, distance and final verdict."""
+    found = quality.verdicts(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), *quality.COUNTS, "base_failed", "kept", "distance")
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_line_dedup, op5_exact_dedup, op6_warc_round_trip, op7_near_duplicates, op8_quality_outliers)}
 
 ORACLES = {
     "op5_exact_dedup": r"""
