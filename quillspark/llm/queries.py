@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdedup, linededup, minhash, quality, secrets, warc
+from . import exactdedup, htmlblocks, linededup, minhash, quality, secrets, warc
 from .common import table
 
 
@@ -52,7 +52,13 @@ def op8_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *quality.COUNTS, "base_failed", "kept", "distance")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_line_dedup, op5_exact_dedup, op6_warc_round_trip, op7_near_duplicates, op8_quality_outliers)}
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per page with its main text."""
+    found = htmlblocks.main_text(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_line_dedup, op5_exact_dedup, op6_warc_round_trip, op7_near_duplicates, op8_quality_outliers, op9_html_main_text)}
 
 ORACLES = {
     "op5_exact_dedup": r"""
