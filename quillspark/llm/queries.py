@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdedup, htmlblocks, linededup, minhash, quality, secrets, warc
+from . import exactdedup, htmlblocks, linededup, minhash, mixing, packing, quality, secrets, warc
 from .common import table
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public tokenizer files are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: counts of base kinds, digest of base spans, all spans."""
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
@@ -58,7 +65,22 @@ def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_line_dedup, op5_exact_dedup, op6_warc_round_trip, op7_near_duplicates, op8_quality_outliers, op9_html_main_text)}
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and pass in which it is seen."""
+    found = mixing.mixed(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "source", "mix_pass", "mix_block", "mix_tokens", *(F.col("mix_order")[i].alias(f"mix_order_{i}") for i in range(3)))
+
+
+def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per piece of a document in a sequence."""
+    found = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return found.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_secret_scan, op3_line_dedup, op4_mix_sources, op5_exact_dedup, op6_warc_round_trip, op7_near_duplicates, op8_quality_outliers, op9_html_main_text, op10_pack_sequences)
+}
 
 ORACLES = {
     "op5_exact_dedup": r"""
