@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdedup, htmlblocks, linededup, minhash, mixing, packing, quality, secrets, warc
+from . import ctw, exactdedup, htmlblocks, linededup, minhash, mixing, packing, quality, secrets, warc
 from .common import table
 
 
@@ -29,6 +29,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document with its base and model scores."""
+    return ctw.scored(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per removed span of a repeated passage."""
     return linededup.repeated_spans(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").withColumnRenamed("first_id", "first_doc_id")
@@ -79,7 +84,7 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op3_line_dedup, op4_mix_sources, op5_exact_dedup, op6_warc_round_trip, op7_near_duplicates, op8_quality_outliers, op9_html_main_text, op10_pack_sequences)
+    for f in (op1_secret_scan, op2_ctw_scores, op3_line_dedup, op4_mix_sources, op5_exact_dedup, op6_warc_round_trip, op7_near_duplicates, op8_quality_outliers, op9_html_main_text, op10_pack_sequences)
 }
 
 ORACLES = {
