@@ -9,9 +9,14 @@ How the work stays in proportion:
 
 * documents with equal sets form a class at once (grouping by the set's digest, pre-aggregated before the shuffle), and
   everything below works on one representative a class;
-* in a band bucket, every member is first compared with the bucket's least member only. Confirmed links give components;
-* then the members of one bucket that are still in different components are compared. A bucket of a thousand copies is one
-  component by then and yields nothing, and no link is lost: two members of one component need no link of their own.
+* in a band bucket, every member is first compared with one only: the head, the most central member (the one whose
+  buckets hold the most). Confirmed links give components;
+* members x and y of a bucket that are then still in different components can link in two ways only. Let k be what a set
+  shares with the head's set. If x and y share nothing outside the head's set, their intersection is at most the lesser k,
+  so that a link needs ``percent * (n_x + n_y) <= (percent + 100) * min(k_x, k_y)``; for an x that did not link to the head
+  this leaves the few y that are smaller than the head. Else they share a shingle outside the head's set, and an index of
+  those shingles finds them. Both kinds of candidates are confirmed like others, so no link is lost, and a bucket of
+  thousands of near copies yields rows in proportion to its members, not to their pairs.
 
 Defined cases: ASCII letters are lower-cased; a text with fewer words than a shingle gives its whole word sequence as one
 shingle; null and empty texts have an empty set and link with nothing; rows with one id are one document
@@ -28,8 +33,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import BIN, LONG, quoted, schema, spread, written
+from .common import BIN, BOOL, LONG, quoted, schema, spread, written
 from .components import components
 
 MANTISSA = 10
@@ -120,24 +126,12 @@ def near_duplicates(
     own = classes.groupBy("rep").agg(F.min("digest").alias("own_digest"))
     reps = full.join(own, (F.col("id") == F.col("rep")) & (F.col("digest") == F.col("own_digest"))).select("id", "n", "regs")
     reps = written(reps, "reps")
-    keys = band_keys(reps, bands, rows)
-    heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head < last").select("key", "head")
-    keys = written(keys.join(heads, "key"), "buckets")  # those with two members or more
-    stars = keys.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    buckets = written(headed(band_keys(reps, bands, rows)), "buckets")
+    stars = buckets.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     links = written(confirmed(stars, reps, texts, shingle, percent, margin), "links")
     labels = written(components(reps.select("id"), links), "labels")
-
-    # members of a bucket in different components: those outside the bucket's largest component against all others
-    left = keys.join(labels, "id").select("key", "id", "n", "component")
-    counts = left.groupBy("key", "component").agg(F.count("*").alias("members"))
-    main = counts.groupBy("key").agg(F.max(F.struct("members", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-    left = written(left.join(main.select("key", F.col("top.component").alias("main")), "key"), "mixed")
-    x, y = left.filter("component <> main").alias("x"), left.alias("y")
-    apart = F.expr(f"x.component <> y.component and (y.component = y.main or x.id < y.id) and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & apart)
-    cross = cross.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    more = written(confirmed(cross, reps, texts, shingle, percent, margin), "more")
-    found = components(reps.select("id"), links.unionByName(more)).withColumnRenamed("id", "node")
+    more = confirmed(across(buckets, labels, texts, shingle, percent), reps, texts, shingle, percent, margin)
+    found = components(reps.select("id"), links.unionByName(written(more, "more"))).withColumnRenamed("id", "node")
     out = full.select("id", "n", "digest").join(classes, "digest", "left").join(found, F.col("rep") == F.col("node"), "left")
     linked = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component"))
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce(linked, F.col("id")).alias("component_id"))
@@ -156,6 +150,66 @@ def band_keys(reps: DataFrame, bands: int, rows: int) -> DataFrame:
     return reps.select("id", "n", "regs").mapInArrow(cut, schema(key=LONG, id=LONG, n=LONG))
 
 
+def headed(keys: DataFrame) -> DataFrame:
+    """key, id, n, head of the buckets with two members or more."""
+    sizes = keys.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    shared = written(keys.join(sizes, "key"), "shared")
+    central = shared.groupBy("id").agg(F.sum("members").alias("central"))
+    heads = shared.join(central, "id").groupBy("key").agg(F.max(F.struct("central", "id")).alias("top")).select("key", F.col("top.id").alias("head"))
+    return shared.join(heads, "key").select("key", "id", "n", "head")
+
+
+def shingle_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """id, own (digests of the set) of the wanted ids, written."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for i in range(0, big.num_rows, 500):
+                batch = big.slice(i, 500)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), size).tobytes() for t in batch.column(1)], pa.binary())], names=["id", "own"])
+
+    return written(texts.join(wanted.distinct(), "id", "left_semi").mapInArrow(make, schema(id=LONG, own=BIN)), "sets")
+
+
+def across(buckets: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components that may link, by the two ways described above."""
+    left = buckets.join(labels, "id")
+    counts = left.groupBy("key", "component").agg(F.count("*").alias("members"))
+    main = counts.groupBy("key").agg(F.max(F.struct("members", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
+    left = written(left.join(main.select("key", F.col("top.component").alias("main")), "key").filter("id <> head"), "mixed")
+    # an id is outside under a head if it is outside the largest component of any of the head's buckets that it is in
+    around = left.groupBy("head", "id", "component").agg(F.max(F.col("component") != F.col("main")).alias("outside"))
+    several = around.groupBy("head").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("outside").alias("any")).filter("x < y and any").select("head")
+    around = written(around.join(several, "head"), "around")
+    own = shingle_sets(texts, around.select("id").unionByName(several.select(F.col("head").alias("id"))), size)
+    both = around.join(own, "id").join(own.select(F.col("id").alias("head"), F.col("own").alias("heads")), "head")
+    kind = schema(head=LONG, id=LONG, component=LONG, outside=BOOL, n=LONG, k=LONG).add("rest", T.ArrayType(LONG))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, k, rest = [], [], []
+            for x, h in zip(batch.column(4), batch.column(5)):
+                x, h = (np.frombuffer(v.as_py(), np.uint64) for v in (x, h))
+                r = np.setdiff1d(x, h, assume_unique=True)
+                n.append(len(x))
+                k.append(len(x) - len(r))
+                rest.append(r.view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], names=kind.names)
+
+    known = written(both.select("head", "id", "component", "outside", "own", "heads").mapInArrow(compare, kind), "known")
+    pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
+    # within the head's set: sizes and shares decide
+    x, y = known.filter("outside").drop("rest").alias("x"), known.drop("rest").alias("y")
+    inside = x.join(y, F.expr(f"x.head = y.head and x.component <> y.component and (not y.outside or x.id < y.id) and {percent} * (x.n + y.n) <= {percent + 100} * least(x.k, y.k) and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")).select(*pair)
+    # outside it: an index of the shingles that different components have
+    index = known.select("head", "id", "component", "outside", F.explode("rest").alias("shingle"))
+    mixed = index.groupBy("head", "shingle").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.max("outside").alias("any")).filter("p < q and any").select("head", "shingle")
+    index = written(index.join(mixed, ["head", "shingle"]), "index")
+    x, y = index.filter("outside").alias("x"), index.alias("y")
+    shared = x.join(y, F.expr("x.head = y.head and x.shingle = y.shingle and x.component <> y.component and (not y.outside or x.id < y.id)")).select(*pair)
+    return inside.unionByName(shared).distinct()
+
+
 def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int, margin: float) -> DataFrame:
     """Pairs (a, b) whose estimate is near the threshold or over, confirmed on the full sets."""
     side = lambda at: reps.select(F.col("id").alias(at), F.col("n").alias(f"n_{at}"), F.col("regs").alias(f"regs_{at}"))
@@ -169,12 +223,6 @@ def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, pe
                 good = estimate(a, b, batch.column(2).to_numpy(), batch.column(3).to_numpy()) >= percent / 100 - margin
                 yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for i in range(0, big.num_rows, 500):
-                batch = big.slice(i, 500)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), size).tobytes() for t in batch.column(1)], pa.binary())], names=["id", "own"])
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -185,8 +233,6 @@ def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, pe
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     near = written(near.mapInArrow(thin, PAIR), "near")
-    wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
-    own = texts.join(wanted, "id", "left_semi").mapInArrow(make, schema(id=LONG, own=BIN))
-    own = written(own, "sets")
+    own = shingle_sets(texts, near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))), size)
     wide = near.join(own.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a").join(own.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b")
     return wide.select("a", "b", "own_a", "own_b").mapInArrow(verify, PAIR).distinct()
