@@ -11,12 +11,9 @@ How the work stays in proportion:
   everything below works on one representative a class;
 * in a band bucket, every member is first compared with one only: the head, the most central member (the one whose
   buckets hold the most). Confirmed links give components;
-* members x and y of a bucket that are then still in different components can link in two ways only. Let k be what a set
-  shares with the head's set. If x and y share nothing outside the head's set, their intersection is at most the lesser k,
-  so that a link needs ``percent * (n_x + n_y) <= (percent + 100) * min(k_x, k_y)``; for an x that did not link to the head
-  this leaves the few y that are smaller than the head. Else they share a shingle outside the head's set, and an index of
-  those shingles finds them. Both kinds of candidates are confirmed like others, so no link is lost, and a bucket of
-  thousands of near copies yields rows in proportion to its members, not to their pairs.
+* members of all buckets with one head may then still be in several components. Those outside the largest are a query
+  set: it is laid against all members of the other components in blocks of ``BLOCK``, whose full sets a task compares
+  through an inverted index of one block; only confirmed links leave it. No pair is a row, and no link is lost.
 
 Defined cases: ASCII letters are lower-cased; a text with fewer words than a shingle gives its whole word sequence as one
 shingle; null and empty texts have an empty set and link with nothing; rows with one id are one document
@@ -35,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BIN, BOOL, LONG, quoted, schema, spread, written
+from .common import BIN, LONG, quoted, schema, spread, written
 from .components import components
 
 MANTISSA = 10
 PAIR = schema(a=LONG, b=LONG)
+BLOCK = 256
 
 
 def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,8 +128,8 @@ def near_duplicates(
     stars = buckets.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     links = written(confirmed(stars, reps, texts, shingle, percent, margin), "links")
     labels = written(components(reps.select("id"), links), "labels")
-    more = confirmed(across(buckets, labels, texts, shingle, percent), reps, texts, shingle, percent, margin)
-    found = components(reps.select("id"), links.unionByName(written(more, "more"))).withColumnRenamed("id", "node")
+    more = across(buckets, links, labels, texts, shingle, percent)
+    found = components(reps.select("id"), more).withColumnRenamed("id", "node")
     out = full.select("id", "n", "digest").join(classes, "digest", "left").join(found, F.col("rep") == F.col("node"), "left")
     linked = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component"))
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce(linked, F.col("id")).alias("component_id"))
@@ -160,54 +158,73 @@ def headed(keys: DataFrame) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """id, own (digests of the set) of the wanted ids, written."""
+    """id, own (digests of the set, sorted as unsigned) of the wanted ids, written."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for i in range(0, big.num_rows, 500):
                 batch = big.slice(i, 500)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), size).tobytes() for t in batch.column(1)], pa.binary())], names=["id", "own"])
-
-    return written(texts.join(wanted.distinct(), "id", "left_semi").mapInArrow(make, schema(id=LONG, own=BIN)), "sets")
-
-
-def across(buckets: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components that may link, by the two ways described above."""
-    left = buckets.join(labels, "id")
-    counts = left.groupBy("key", "component").agg(F.count("*").alias("members"))
-    main = counts.groupBy("key").agg(F.max(F.struct("members", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-    left = written(left.join(main.select("key", F.col("top.component").alias("main")), "key").filter("id <> head"), "mixed")
-    # an id is outside under a head if it is outside the largest component of any of the head's buckets that it is in
-    around = left.groupBy("head", "id", "component").agg(F.max(F.col("component") != F.col("main")).alias("outside"))
-    several = around.groupBy("head").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("outside").alias("any")).filter("x < y and any").select("head")
-    around = written(around.join(several, "head"), "around")
-    own = shingle_sets(texts, around.select("id").unionByName(several.select(F.col("head").alias("id"))), size)
-    both = around.join(own, "id").join(own.select(F.col("id").alias("head"), F.col("own").alias("heads")), "head")
-    kind = schema(head=LONG, id=LONG, component=LONG, outside=BOOL, n=LONG, k=LONG).add("rest", T.ArrayType(LONG))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), size).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], names=["id", "own"])
+
+    return written(texts.join(wanted.distinct(), "id", "left_semi").mapInArrow(make, schema(id=LONG).add("own", T.ArrayType(LONG))), "sets")
+
+
+def outside_main(around: DataFrame) -> DataFrame:
+    """Rows (head, id, component) of heads with several components, marked where they are not in the largest one."""
+    counts = around.groupBy("head", "component").agg(F.count("*").alias("members"))
+    main = counts.groupBy("head").agg(F.max(F.struct("members", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
+    return around.join(main.select("head", F.col("top.component").alias("main")), "head").withColumn("outside", F.col("component") != F.col("main")).drop("main")
+
+
+def across(buckets: DataFrame, links: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """``links`` with those between members of one bucket that the comparison with heads left in different components."""
+    around = buckets.filter("id <> head").select("head", "id").distinct()
+    around = written(outside_main(around.join(labels, "id")), "around")
+    own = shingle_sets(texts, around.select("id"), size)
+    blocks = around.groupBy("head").agg(F.ceil(F.count_if("outside") / BLOCK).alias("nx"), F.ceil(F.count("*") / BLOCK).alias("ny"))
+    dealt = around.join(blocks, "head").join(own, "id")
+    h = F.xxhash64("id")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    common = ["id", "component", "own"]
+    x = dealt.filter("outside").select("head", F.pmod(h, "nx").alias("xb"), every("ny").alias("yb"), F.lit(0).alias("side"), *common)
+    y = dealt.select("head", every("nx").alias("xb"), F.pmod(h, "ny").alias("yb"), F.lit(1).alias("side"), *common)
+    key = ["head", "xb", "yb"]
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = x.unionByName(y).repartition(parts, *key).sortWithinPartitions(*key, "side")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, kinds, sizes, flat, owner = None, [], [], [], None, None
         for batch in batches:
-            n, k, rest = [], [], []
-            for x, h in zip(batch.column(4), batch.column(5)):
-                x, h = (np.frombuffer(v.as_py(), np.uint64) for v in (x, h))
-                r = np.setdiff1d(x, h, assume_unique=True)
-                n.append(len(x))
-                k.append(len(x) - len(r))
-                rest.append(r.view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], names=kind.names)
-
-    known = written(both.select("head", "id", "component", "outside", "own", "heads").mapInArrow(compare, kind), "known")
-    pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
-    # within the head's set: sizes and shares decide
-    x, y = known.filter("outside").drop("rest").alias("x"), known.drop("rest").alias("y")
-    inside = x.join(y, F.expr(f"x.head = y.head and x.component <> y.component and (not y.outside or x.id < y.id) and {percent} * (x.n + y.n) <= {percent + 100} * least(x.k, y.k) and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")).select(*pair)
-    # outside it: an index of the shingles that different components have
-    index = known.select("head", "id", "component", "outside", F.explode("rest").alias("shingle"))
-    mixed = index.groupBy("head", "shingle").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.max("outside").alias("any")).filter("p < q and any").select("head", "shingle")
-    index = written(index.join(mixed, ["head", "shingle"]), "index")
-    x, y = index.filter("outside").alias("x"), index.alias("y")
-    shared = x.join(y, F.expr("x.head = y.head and x.shingle = y.shingle and x.component <> y.component and (not y.outside or x.id < y.id)")).select(*pair)
-    return inside.unionByName(shared).distinct()
+            out: tuple[list, list] = ([], [])
+            places = zip(*(batch.column(i).to_pylist() for i in range(4)))
+            for (*block, side), id_, component, own_ in zip(places, batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(6)):
+                v = own_.values.to_numpy()
+                if block != now:
+                    now, ids, kinds, sizes, flat, owner = block, [], [], [], [], None
+                if side == 0:
+                    ids.append(id_)
+                    kinds.append(component)
+                    sizes.append(len(v))
+                    flat.append(v)
+                    continue
+                if not ids:
+                    continue
+                if owner is None:  # the first of the other side: the index of this block is complete
+                    flat = np.concatenate(flat)
+                    order = np.argsort(flat, kind="stable")
+                    owner, flat = np.repeat(np.arange(len(ids)), sizes)[order], flat[order]
+                    kinds, sizes = np.array(kinds), np.array(sizes)
+                lo, hi = np.searchsorted(flat, v, "left"), np.searchsorted(flat, v, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(ids))
+                good = (kinds != component) & (100 * both >= percent * (sizes + len(v) - both))
+                for k in np.flatnonzero(good):
+                    out[0].append(min(ids[k], id_))
+                    out[1].append(max(ids[k], id_))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=PAIR.names)
+
+    return written(links.unionByName(sorted_.select(*key, "side", *common).mapInArrow(compare, PAIR)).distinct(), "links")
 
 
 def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int, margin: float) -> DataFrame:
@@ -227,7 +244,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, pe
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                x, y = (v.values.to_numpy() for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
