@@ -23,6 +23,8 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +35,19 @@ from pyspark.sql import functions as F
 from .common import BIN, INT, LONG, STR, quoted, schema, spread, written
 
 PIECE = schema(id=LONG, start=LONG, length=LONG, ids_crc32=LONG, doc_tokens=LONG, sequence_id=LONG, offset=LONG, queue=STR)
-MOST_CACHED, LONGEST_CACHED = 300_000, 64
+#: Runs a worker remembers (some 300 MB), and the longest of them in bytes.
+MOST_CACHED, LONGEST_CACHED = 1_500_000, 64
+STOPS = b".,;:!?"
+ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 class Encoder:
-    """Ids of whole texts as unsigned 16-bit bytes. The tokenizer drops white space, so ids of a text are those of its
-    runs between ASCII white space; runs seen before come from a bounded cache."""
+    """Ids of whole texts as unsigned 16-bit bytes.
+
+    The tokenizer drops white space, lower-cases, and parts letters from punctuation; so ids of a text are those of its
+    runs between ASCII white space, ids of a run those of its ASCII lower-case form (unless a special token may be spelt in
+    it), and ids of letters with stops behind them those of both parts. Runs seen before come from a bounded cache.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,22 +58,42 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
 
+    def fresh(self, runs: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of runs that are not in the cache."""
+        parts = {}
+        for w in runs:
+            core = w.rstrip(STOPS)
+            parts[w] = (core, w[len(core) :]) if len(core) < len(w) and core and core[-1] in ALNUM and b"<|" not in w else (w,)
+        need = list({p for x in parts.values() for p in x if p not in self.cache})
+        ids = {}
+        for i in range(0, len(need), 4096):
+            part = need[i : i + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+                ids[w] = np.array(e.ids, "<u2").tobytes()
+        return {w: b"".join([ids[p] if p in ids else self.cache[p] for p in x]) for w, x in parts.items()}
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        runs = [t.encode().split() for t in texts]
-        new = list({w for r in runs for w in r if w not in self.cache})
-        extra: dict[bytes, bytes] = {}
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                (self.cache if len(w) <= LONGEST_CACHED and len(self.cache) < MOST_CACHED else extra)[w] = np.array(e.ids, "<u2").tobytes()
-        if extra:
-            found = [b"".join([self.cache.get(w) or extra.get(w, b"") for w in r]) for r in runs]
-            if len(self.cache) >= MOST_CACHED:
-                self.cache.clear()
-            return found
+        runs = []
+        for t in texts:
+            data = t.encode()
+            runs.append((data if b"<|" in data else data.lower()).split())
+        found = self.fresh(list({w for r in runs for w in r if w not in self.cache}))
+        if len(self.cache) + len(found) > MOST_CACHED:
+            found |= {w: self.cache[w] for r in runs for w in r if w in self.cache}
+            self.cache.clear()
+        short = {w: x for w, x in found.items() if len(w) <= LONGEST_CACHED}
+        self.cache |= dict(islice(short.items(), MOST_CACHED))
+        if len(self.cache) >= MOST_CACHED or len(short) < len(found):
+            return [b"".join([found[w] if w in found else self.cache[w] for w in r]) for r in runs]
         return [b"".join(map(self.cache.__getitem__, r)) for r in runs]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One of a worker process, which lives longer than a task."""
+    return Encoder(path)
+
+
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, source_col: str, max_queues: int) -> DataFrame:
     """id, queue, partition, place (tokens of the queue before it in its partition), n, ids."""
     source = F.coalesce(F.concat(F.lit("="), quoted(source_col).cast("string")), F.lit("null"))
@@ -74,11 +103,11 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_co
     end = np.array([end_id], "<u2").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sent, part = Encoder(tokenizer), {}, TaskContext.get().partitionId()
+        codes, sent, part = encoder(tokenizer), {}, TaskContext.get().partitionId()
         for big in batches:
             for i in range(0, big.num_rows, 500):
                 batch = big.slice(i, 500)
-                ids = [x + end for x in encoder.encode(batch.column(2).to_pylist())]
+                ids = [x + end for x in codes.encode(batch.column(2).to_pylist())]
                 places = []
                 for q, x in zip(batch.column(1).to_pylist(), ids):
                     places.append(sent.get(q, 0))
