@@ -77,7 +77,7 @@ def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     ranked = pairs.join(ranks(x), [*by, x]).join(ranks(y), [*by, y])
     a, b = F.col(f"rank_{x}"), F.col(f"rank_{y}")
     varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b)) & (F.count("*") >= 3)
-    return ranked.groupBy(*by).agg(F.when(varies, F.bround(F.corr(a, b), 3)).alias("rho"), F.count("*").alias("n"))
+    return ranked.groupBy(*by).agg(F.when(varies, F.bround(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), 3)).alias("rho"), F.count("*").alias("n"))
 
 
 CRITERIA = ("c1", "c2", "c3", "c4")
