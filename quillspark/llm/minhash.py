@@ -38,6 +38,8 @@ from .components import components
 MANTISSA = 10
 PAIR = schema(a=LONG, b=LONG)
 BLOCK = 256
+#: Of the bitmap that says which texts' sets are wanted: two megabytes.
+FILTER_WORDS = 1 << 18
 
 
 def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,16 +159,31 @@ def headed(keys: DataFrame) -> DataFrame:
     return shared.join(heads, "key").select("key", "id", "n", "head")
 
 
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_WORDS 64-bit words with the hashes of the ids: its size does not depend on how many there are."""
+    words = ids.select(F.xxhash64("id").alias("h")).select(F.pmod(F.shiftright("h", 6), F.lit(FILTER_WORDS)).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    set_ = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(FILTER_WORDS, np.int64)
+    out[set_.column("word").to_numpy()] = set_.column("bits").to_numpy()
+    return out
+
+
 def shingle_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """id, own (digests of the set, sorted as unsigned) of the wanted ids, written."""
+    """id, own (digests of the set, sorted as unsigned), written: of all wanted ids, and of the few more that the filter
+    lets through. Texts are not shuffled for it; should the filter fill up, sets of all texts are made."""
+    bits = texts.sparkSession.sparkContext.broadcast(id_filter(wanted))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for i in range(0, big.num_rows, 500):
-                batch = big.slice(i, 500)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), size).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], names=["id", "own"])
-
-    return written(texts.join(wanted.distinct(), "id", "left_semi").mapInArrow(make, schema(id=LONG).add("own", T.ArrayType(LONG))), "sets")
+        for batch in batches:
+            h = batch.column(1).to_numpy()
+            may = (bits.value[(h >> 6) % FILTER_WORDS] >> (h & 63)) & 1
+            batch = batch.filter(pa.array(may == 1))
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), size).view(np.int64) for t in part.column(2)], pa.list_(pa.int64()))], names=["id", "own"])
+
+    hashed = spread(texts.filter("id is not null").select("id", F.xxhash64("id").alias("h"), "text"))
+    return written(hashed.mapInArrow(make, schema(id=LONG).add("own", T.ArrayType(LONG))), "sets")
 
 
 def outside_main(around: DataFrame) -> DataFrame:
