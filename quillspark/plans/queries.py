@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import records
 from ..functions.place import column_of, line_around, line_of, only_place
 from ..functions.ratio import ratio
 from ..operators import baseline, holdout, metrics, overlap, parses, plain, rules, scanner, study, vocabulary
@@ -414,3 +415,36 @@ def loose_semicolons(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {sql.SPANS}, {sql.UNITS} SELECT lang, round(count(*) FILTER (emitted)::DOUBLE / count(*), 9) AS share FROM units GROUP BY lang""")
 def emitted_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled_units(spark, sf_dir).groupBy("lang").agg(F.round(ratio(F.count_if("emitted"), F.count("*")), 9).alias("share"))
+
+
+@query("""SELECT doc_id, CASE WHEN position(substr(text, 3, 8) IN text) > 0 AND n2 > 0 THEN (p1 - 1)::BIGINT END AS first_start, CASE WHEN n2 > 0 THEN (p1 + 7 + n2 - 1)::BIGINT END AS second_start
+    FROM (SELECT doc_id, text, position(substr(text, 3, 8) IN text) AS p1, position(substr(text, 40, 8) IN substr(text, position(substr(text, 3, 8) IN text) + 8)) AS n2 FROM documents WHERE length(text) >= 60)""")
+def ordered_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where two fragments of a text lie, each looked for behind the one before."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("length(text) >= 60")
+    at = records.ordered_places(F.col("text"), F.array(F.substring("text", 3, 8), F.substring("text", 40, 8)))
+    return docs.select("doc_id", at[0].cast("long").alias("first_start"), at[1].cast("long").alias("second_start"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_shipdate::DATE::VARCHAR AS day, true AS valid, false AS broken_valid FROM lineitem""")
+def iso_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days as text, and with a month that is none."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("day", F.date_format("l_shipdate", "yyyy-MM-dd"))
+    broken = F.concat(F.substring("day", 1, 5), F.lit("13"), F.substring("day", 8, 3))
+    return rows.select("l_orderkey", "l_linenumber", "day", records.is_iso_date(F.col("day")).alias("valid"), records.is_iso_date(broken).alias("broken_valid"))
+
+
+@query("""WITH f AS (SELECT conv_id, turn, role, text, CASE turn % 4 WHEN 0 THEN substr(text, 2, 20) WHEN 1 THEN substr(text, 2, 20) || '#' WHEN 2 THEN '  ' ELSE substr(text, 5, 9) END AS x FROM conversations)
+    SELECT conv_id, turn, CASE WHEN role NOT IN ('user', 'assistant') THEN 'category' WHEN trim(regexp_replace(x, '\\s+', ' ', 'g')) = '' THEN 'empty_excerpt' WHEN NOT contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), trim(regexp_replace(x, '\\s+', ' ', 'g'))) THEN 'not_verbatim' END AS reason FROM f""".replace("\\\\s", f"[{sql.SPACE_RE2}]"))
+def excerpt_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Excerpts held against the text they were taken from (turns of conversations, some of them spoilt)."""
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    k, cut = F.col("turn") % 4, F.substring("text", 2, 20)
+    x = F.when(k == 0, cut).when(k == 1, F.concat(cut, F.lit("#"))).when(k == 2, "  ").otherwise(F.substring("text", 5, 9))
+    found = t.select(F.concat_ws("/", "conv_id", "turn").alias("case"), "conv_id", "turn", "text", F.col("role").alias("category"), F.lit("minor").alias("severity"), x.alias("excerpt"), F.col("turn").alias("seq"))
+    return records.verified(found, ["user", "assistant"], ["minor"]).select("conv_id", "turn", "reason")
+
+
+@query(r"""SELECT page_id AS doc_id, CASE WHEN regexp_matches(replace(html, chr(13) || chr(10), ''), '\r') THEN 'lone_cr' WHEN regexp_matches(html, '[\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]') THEN 'separator' END AS fault FROM pages""")
+def newline_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_documents(spark, sf_dir, "pages", "page_id", "html").select(key(), records.newline_fault(F.col("text")).alias("fault"))
