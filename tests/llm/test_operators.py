@@ -418,7 +418,7 @@ def test_scores(spark, docs, none, rows):
 def test_context_tree_is_a_distribution_and_matches_brute_force(spark):
     """Depth as it is: probabilities of all next bytes add up to 1, and equal a direct recursion over the tree."""
     train = Counter({b"abra": 5, b"cadabra": 3, b"abc": 1, ctw.END_TOKEN: 4})
-    ask = Counter({bytes([x]): 0 for x in range(256) if x not in (0x20, 0xFF, *b"\t\n\x0b\x0c\r")}) | Counter({b"abz": 0})
+    ask = {bytes([x]): 0 for x in range(256) if x not in (0x20, 0xFF, *b"\t\n\x0b\x0c\r")} | {b"abz": 0}
     vocab = spark.createDataFrame([(bytearray(t), n) for t, n in {**ask, **train}.items()], "token binary, n long")
     p = {(r.context, r.next): r.p for r in ctw.model(vocab).collect()}
     counts = [Counter() for _ in range(ctw.DEPTH + 1)]
