@@ -24,7 +24,6 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import BIN, INT, LONG, STR, quoted, schema, spread, written
 
 PIECE = schema(id=LONG, start=LONG, length=LONG, ids_crc32=LONG, doc_tokens=LONG, sequence_id=LONG, offset=LONG, queue=STR)
-#: Runs a worker remembers (some 300 MB), and the longest of them in bytes.
-MOST_CACHED, LONGEST_CACHED = 1_500_000, 64
+#: Runs a worker remembers (some 100 MB), the longest of them in bytes, and slots that say which runs it met before.
+MOST_CACHED, LONGEST_CACHED, SEEN_SLOTS = 500_000, 64, 1 << 22
 STOPS = b".,;:!?"
 ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
@@ -46,7 +45,8 @@ class Encoder:
 
     The tokenizer drops white space, lower-cases, and parts letters from punctuation; so ids of a text are those of its
     runs between ASCII white space, ids of a run those of its ASCII lower-case form (unless a special token may be spelt in
-    it), and ids of letters with stops behind them those of both parts. Runs seen before come from a bounded cache.
+    it), and ids of letters with stops behind them those of both parts. Runs come from a bounded cache from the third time
+    on; those met once, most of a vocabulary, take no room in it.
     """
 
     def __init__(self, path: str):
@@ -55,6 +55,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
+        self.seen = bytearray(SEEN_SLOTS)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
 
@@ -81,11 +82,15 @@ class Encoder:
         if len(self.cache) + len(found) > MOST_CACHED:
             found |= {w: self.cache[w] for r in runs for w in r if w in self.cache}
             self.cache.clear()
-        short = {w: x for w, x in found.items() if len(w) <= LONGEST_CACHED}
-        self.cache |= dict(islice(short.items(), MOST_CACHED))
-        if len(self.cache) >= MOST_CACHED or len(short) < len(found):
-            return [b"".join([found[w] if w in found else self.cache[w] for w in r]) for r in runs]
-        return [b"".join(map(self.cache.__getitem__, r)) for r in runs]
+            self.seen = bytearray(SEEN_SLOTS)
+        self.cache |= found
+        out = [b"".join(map(self.cache.__getitem__, r)) for r in runs]
+        for w in found:
+            slot = hash(w) % SEEN_SLOTS
+            if len(w) > LONGEST_CACHED or not self.seen[slot]:
+                self.seen[slot] = 1
+                del self.cache[w]
+        return out
 
 
 @lru_cache(maxsize=1)
