@@ -1,21 +1,22 @@
 """Language-model scores by context-tree weighting over bytes.
 
-Bytes are decomposed into eight binary decisions; a context's estimate of a byte is the product of the Krichevsky-Trofimov
-estimates at the decisions. Contexts are the last 0 to ``DEPTH`` bytes of the token so far, a token being preceded by
-spaces, so that a context does not reach into the token before and a token's probability is its own. A context's weighted
-probability is half its estimate and half the product of its children's weighted probabilities; the posterior shares of the
-two halves say how depths are mixed. What is scored does not change the model. A context that training never saw ends the
-path, and the one above it stands for it.
+A text is its words, each followed by one space, and an end symbol; contexts are the last 0 to ``DEPTH`` bytes before a
+byte, across word limits (six spaces stand before a text). A byte is eight binary decisions, and each decision has a context
+tree of its own: a node's weighted probability is half its Krichevsky-Trofimov estimate and half the product of its
+children's, so depths are mixed decision by decision. What is scored does not change the model. A context that training
+never saw at a decision ends its path there, and the one above it stands for it.
 
 Training and scoring are tables, not loops over text:
 
-* tokens are counted in tasks, then over the corpus (a row per token and task is shuffled, however common the token);
-* byte contexts come from the vocabulary, weighted by token counts; a level of the tree is a grouping of the level below;
-* weights go up the levels by one join each, mixtures come down by one join each;
-* a block of tokens, then a block of documents, asks for the distinct keys it has and is joined with the answers. Nothing
-  that grows with the corpus is broadcast or collected.
+* a block of documents gives its distinct (context, next byte) pairs, with their counts in training texts formed before the
+  shuffle; pairs of scored texts stand there with count 0;
+* the pairs are dealt by the two nearest bytes of the context, so that all nodes of two or more bytes lie in one bucket; the
+  two levels above need sums for each (byte, decision), at most 65,280 rows whatever the corpus;
+* a block of documents is joined with the answers for its distinct pairs and tokens. Nothing else is broadcast or collected.
 
-Defined cases: a null or empty text is its end token; a null id is training text; repeated rows count as often as they
+``model`` is the older model of single words (contexts within a word, depths mixed once a byte); scores do not use it.
+
+Defined cases: a null or empty text is its end symbol only; a null id is training text; repeated rows count as often as they
 stand; without training text the base score is 0 and every byte has probability 1/256; an empty table gives an empty
 result; columns of other names are ignored.
 """
@@ -28,18 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BIN, BOOL, DBL, INT, LONG, quoted, schema, spread, written
+from .common import BIN, BOOL, DBL, INT, LONG, quoted, schema, scratch_path, spread, written
 
 DEPTH = 6
 SPACE, END = 0x20, 0xFF  # neither is part of a word in UTF-8; END is the symbol of a text's end
 END_TOKEN = bytes([END])
 GRAM = schema(context=LONG, next=INT, n=LONG)
-#: Tokens of a vocabulary block, and bytes of a block of documents.
-BLOCK_TOKENS, BLOCK_BYTES = 50_000, 8 << 20
+#: Bytes of texts: of a block of documents, of what is cut at once, and for each bucket of their pairs.
+BLOCK_BYTES, CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 2 << 20, 4 << 20
 
 
 def held_out(id_: F.Column) -> F.Column:
@@ -196,27 +198,181 @@ def model(vocab: DataFrame) -> DataFrame:
     return state.select("context", "next", (F.col("mix") + F.col("rest") * F.col("k")).alias("p"))
 
 
-def token_scores(vocab: DataFrame, bytes_: DataFrame) -> DataFrame:
-    """token, n, log10_p. Blocks of tokens ask for their distinct byte contexts."""
-    parts = int(vocab.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(parts, vocab.count() // BLOCK_TOKENS + 1)
-    placed = vocab.withColumn("block", F.pmod(F.xxhash64("token"), F.lit(blocks)))
+def text_codes(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(code, text index) of each byte of the texts, given as words; a code is the context's DEPTH bytes and the byte."""
+    parts = [b" " * DEPTH + b"".join([w + b" " for w in words]) + END_TOKEN for words in texts]
+    data = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
+    length = np.array([len(p) for p in parts], np.int64)
+    code = data.copy()
+    for k in range(1, DEPTH + 1):
+        code[k:] |= data[: len(data) - k] << (8 * k)
+    own = np.ones(len(data), bool)
+    start = np.cumsum(length) - length
+    own[(start[:, None] + np.arange(DEPTH)).ravel()] = False
+    return code[own], np.repeat(np.arange(len(parts)), length - DEPTH)
+
+
+def chunks(texts: list[bytes]) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """(index of the first, words of each) of some texts at a time."""
+    at, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= CHUNK_BYTES or i == len(texts) - 1:
+            yield at, [t.split() for t in texts[at : i + 1]]
+            at, size = i + 1, 0
+
+
+def added_up(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and the sum of n of each."""
+    if not len(code):
+        return code, n
+    order = np.argsort(code)
+    code = code[order]
+    start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    return code[start], np.add.reduceat(n[order], start)
+
+
+def pairs_of(texts: list[bytes], held: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes of the texts, and how often each stands in those that are not held out."""
+    found = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for at, words in chunks(texts):
+        code, text = text_codes(words)
+        counted = (~np.array(held[at : at + len(words)], bool)).astype(np.int64)[text]
+        found = added_up(*(np.concatenate(x) for x in zip(found, added_up(code, counted))))
+    return found
 
-    def ask(group: pa.Table) -> pa.Table:
-        code = np.unique(gram_codes(group.column("token").to_pylist())[0])
-        return pa.table({"block": np.full(len(code), group.column("block")[0].as_py()), "context": code >> 8, "next": (code & 255).astype(np.int32)})
 
-    asked = placed.select("block", "token").groupBy("block").applyInArrow(ask, schema(block=LONG, context=LONG, next=INT))
-    answers = asked.join(bytes_, ["context", "next"]).select("block", "context", "next", "p")
+#: ln of the gamma function at k + 1/2 and at k + 1.
+SMALL = 1 << 16
+LOG_GAMMA = {x: log_gamma(np.arange(SMALL) + x) for x in (0.5, 1.0)}
 
-    def answer(tokens: pa.Table, known: pa.Table) -> pa.Table:
-        code, at = gram_codes(tokens.column("token").to_pylist())
-        keys = (known.column("context").to_numpy() << 8) | known.column("next").to_numpy()
-        order = np.argsort(keys)
-        p = known.column("p").to_numpy()[order][np.searchsorted(keys[order], code)]
-        return pa.table({"token": tokens.column("token"), "n": tokens.column("n"), "log10_p": np.bincount(at, weights=np.log10(p), minlength=tokens.num_rows)})
 
-    return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, schema(token=BIN, n=LONG, log10_p=DBL))
+def log_gamma_at(k: np.ndarray, more: float) -> np.ndarray:
+    out = LOG_GAMMA[more][np.minimum(k, SMALL - 1)]
+    big = k >= SMALL
+    if big.any():
+        out[big] = log_gamma(k[big] + more)
+    return out
+
+
+def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return log_gamma_at(zeros, 0.5) + log_gamma_at(ones, 0.5) - log_gamma_at(zeros + ones, 1.0) - math.log(math.pi)
+
+
+TOP = 2  # levels above those that a bucket holds whole
+
+
+def subtrees(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """Of the pairs of whole subtrees under contexts of TOP bytes: what each subtree gives the pair's eight decisions (not a
+    number where training never saw the context), and (context byte and decision, zeros, ones, ln of the children's product)
+    of the contexts of one byte, as far as these subtrees go."""
+    byte, context, reverse = code & 255, code >> 8, np.zeros(len(code), np.int64)
+    for k in range(DEPTH):
+        reverse |= ((context >> (8 * k)) & 255) << (8 * (DEPTH - 1 - k))
+    given, above = np.empty((len(code), 8)), []
+    for level in range(8):
+        key = ((byte >> (8 - level)) << (8 * DEPTH)) | reverse  # a node of any depth is a run of rows
+        order = np.argsort(key)
+        key, m, bit = key[order], n[order], (byte[order] >> (7 - level)) & 1
+        q = log_w = row = None
+
+        def runs(depth: int) -> tuple[np.ndarray, np.ndarray]:
+            own = key >> (8 * (DEPTH - depth))
+            first = np.concatenate([[True], own[1:] != own[:-1]])
+            return np.flatnonzero(first), np.cumsum(first) - 1
+
+        for depth in range(DEPTH, TOP - 1, -1):
+            start, here = runs(depth)
+            both, ones = np.add.reduceat(m, start), np.add.reduceat(m * bit, start)
+            zeros = both - ones
+            own = log_kt(zeros, ones)
+            k = (np.where(bit == 1, ones[here], zeros[here]) + 0.5) / (both[here] + 1)
+            if q is None:
+                log_w, q = own, k
+            else:
+                either = np.logaddexp(own, np.add.reduceat(log_w, row[start]))
+                share = np.exp(own - either)[here]
+                log_w, q = either - math.log(2), np.where(np.isnan(q), k, share * k + (1 - share) * q)
+            q = np.where(both[here] > 0, q, np.nan)
+            row = here
+        given[order, level] = q
+        start, _ = runs(1)
+        both, ones = np.add.reduceat(m, start), np.add.reduceat(m * bit, start)
+        top = key[start]
+        above.append(((((top >> (8 * (DEPTH - 1))) & 255) << 8) | (1 << level) | (top >> (8 * DEPTH)), both - ones, ones, np.add.reduceat(log_w, row[start])))
+    return given, tuple(np.concatenate(x) for x in zip(*above))
+
+
+class Roots:
+    """The contexts of no byte and of one byte: shares and estimates of each decision."""
+
+    def __init__(self, at: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray):
+        self.k1, self.share1, log_w = self.mixed(at, zeros, ones, below, 1 << 16)
+        node = at & 255
+        add = lambda x: np.bincount(node, weights=x, minlength=256)
+        zeros, ones, below = add(zeros).astype(np.int64), add(ones).astype(np.int64), add(log_w[at])
+        self.k0, self.share0, _ = self.mixed(np.arange(256), zeros, ones, below, 256)
+
+    def mixed(self, at: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+        k, share, log_w = np.full((size, 2), np.nan), np.ones(size), np.zeros(size)
+        own = log_kt(zeros, ones)
+        either = np.logaddexp(own, below)
+        seen = zeros + ones > 0
+        for bit, count in enumerate((zeros, ones)):
+            k[at, bit] = np.where(seen, (count + 0.5) / (zeros + ones + 1), np.nan)
+        share[at], log_w[at] = np.exp(own - either), either - math.log(2)
+        return k, share, log_w
+
+    def log10_p(self, code: np.ndarray, given: np.ndarray) -> np.ndarray:
+        """Of each pair, from what the subtrees give."""
+        byte, last, out = code & 255, (code >> 8) & 255, np.zeros(len(code))
+        for level in range(8):
+            node, bit = (1 << level) | (byte >> (8 - level)), (byte >> (7 - level)) & 1
+            at = (last << 8) | node
+            p = given[:, level]
+            for k, share in ((self.k1[at, bit], self.share1[at]), (self.k0[node, bit], self.share0[node])):
+                p = np.where(np.isnan(p), k, share * k + (1 - share) * p)
+            out += np.log10(np.where(np.isnan(p), 0.5, p))
+        return out
+
+
+GIVEN = [f"g{i}" for i in range(8)]
+SUBTREE = schema(code=LONG, **dict.fromkeys(GIVEN, T.FloatType()), zeros=LONG, ones=LONG, below=DBL).add("blocks", T.ArrayType(LONG))
+ANSWER = schema(block=LONG, code=LONG, log10_p=DBL)
+
+
+def pair_scores(asked: DataFrame, buckets: int) -> DataFrame:
+    """block, code, log10_p. asked: block, code, n (in training texts of the block), distinct by block and code."""
+    nearest = F.shiftright("code", 8).bitwiseAND(F.lit(mask(TOP)))
+
+    def grow(group: pa.Table) -> pa.Table:
+        code = group.column("code").to_numpy()
+        order = np.argsort(code)
+        code, block = code[order], group.column("block").to_numpy()[order]
+        start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        n, code = np.add.reduceat(group.column("n").to_numpy()[order], start), code[start]
+        given, (at, zeros, ones, below) = subtrees(code, n)
+        blocks = pa.ListArray.from_arrays(pa.array(np.append(start, len(block)).astype(np.int32)), pa.array(block))
+        empty = lambda k, kind: pa.nulls(k, kind)
+        deep = [pa.array(code), *(pa.array(g.astype(np.float32), from_pandas=False) for g in given.T), *(empty(len(code), t) for t in (pa.int64(), pa.int64(), pa.float64())), blocks]
+        top = [pa.array(at), *(empty(len(at), pa.float32()) for _ in GIVEN), pa.array(zeros), pa.array(ones), pa.array(below), empty(len(at), blocks.type)]
+        return pa.concat_tables([pa.table(x, names=SUBTREE.names) for x in (deep, top)])
+
+    dealt = asked.withColumn("bucket", F.pmod(F.xxhash64(nearest), F.lit(buckets)))
+    path = scratch_path(asked.sparkSession, "subtrees")
+    dealt.groupBy("bucket").applyInArrow(grow, SUBTREE).write.option("compression", "zstd").parquet(path)
+    grown = asked.sparkSession.read.schema(SUBTREE).parquet(path)
+    rows = grown.filter("blocks is null").groupBy("code").agg(F.sum("zeros").alias("z"), F.sum("ones").alias("o"), F.sum("below").alias("b")).collect()  # at most 256 x 255
+    roots = Roots(*(np.array([r[c] for r in rows], t) for c, t in (("code", np.int64), ("z", np.int64), ("o", np.int64), ("b", float))))
+
+    def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, blocks = batch.column(0).to_numpy(), batch.column(9)
+            p = roots.log10_p(code, np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 9)], axis=1).astype(float))
+            of = np.repeat(np.arange(len(code)), blocks.value_lengths().to_numpy())
+            yield pa.RecordBatch.from_arrays([blocks.flatten(), pa.array(code[of]), pa.array(p[of])], names=ANSWER.names)
+
+    return grown.filter("blocks is not null").select("code", *GIVEN, "blocks").mapInArrow(end, ANSWER)
 
 
 SCORE = schema(id=LONG, held_out=BOOL, n_tokens=LONG, n_known=LONG, train_tokens=LONG, base_score=DBL, score=DBL, bits_per_byte=DBL)
@@ -229,11 +385,17 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     vocab = written(vocabulary(spread(rows)), "vocabulary")
     sums = vocab.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     n, v = int(sums["n"] or 0), int(sums["v"] or 0)
-    tokens = written(token_scores(vocab, model(vocab)), "tokens")
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(max(parts, size // BLOCK_BYTES + 1))))
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(max(docs.sparkSession.sparkContext.defaultParallelism, size // BLOCK_BYTES + 1))))
+
+    def ask_pairs(group: pa.Table) -> pa.Table:
+        code, n = pairs_of([t.encode().lower() for t in group.column("text").to_pylist()], group.column("held_out").to_pylist())
+        return pa.table({"block": np.full(len(code), group.column("block")[0].as_py(), np.int64), "code": code, "n": n})
+
+    asked_pairs = placed.select("block", "text", "held_out").groupBy("block").applyInArrow(ask_pairs, schema(block=LONG, code=LONG, n=LONG))
+    known_pairs = pair_scores(asked_pairs, max(parts, size // BUCKET_BYTES + 1))
 
     def ask(group: pa.Table) -> pa.Table:
         own = {END_TOKEN}
@@ -241,21 +403,30 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             own.update(text.as_py().encode().lower().split())
         return pa.table({"block": pa.array([group.column("block")[0].as_py()] * len(own), pa.int64()), "token": pa.array(list(own), pa.binary())})
 
-    asked = placed.groupBy("block").applyInArrow(ask, schema(block=LONG, token=BIN))
-    answers = asked.join(tokens, "token").select("block", "token", "n", "log10_p")
+    asked = placed.select("block", "text").groupBy("block").applyInArrow(ask, schema(block=LONG, token=BIN))
+    known_tokens = asked.join(vocab, "token").select("block", "token", "n")
+    answers = known_tokens.unionByName(known_pairs, allowMissingColumns=True)
     floor = math.log10(n + 0.5 * (v + 1))
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
-        index = {t: i for i, t in enumerate(known.column("token").to_pylist())}
-        count, model_p = known.column("n").to_numpy(), known.column("log10_p").to_numpy()
+        pairs = known.filter(pc.is_valid(known.column("code"))).select(["code", "log10_p"])
+        words = known.filter(pc.is_valid(known.column("token"))).select(["token", "n"])
+        code, model_p = pairs.column("code").to_numpy(), pairs.column("log10_p").to_numpy()
+        order = np.argsort(code)
+        code, model_p = code[order], model_p[order]
+        index = {t: i for i, t in enumerate(words.column("token").to_pylist())}
+        count = words.column("n").to_numpy()
         base_p = np.log10(count + 0.5) - floor
+        data = [t.encode().lower() for t in texts.column("text").to_pylist()]
         out: tuple[list, ...] = ([], [], [], [], [])
-        for text in texts.column("text"):
-            data = text.as_py().encode().lower()
-            at = np.fromiter(map(index.__getitem__, [*data.split(), END_TOKEN]), np.int64)
-            p = float(model_p[at].sum())
-            for to, x in zip(out, (len(at), int((count[at] > 0).sum()), float(base_p[at].sum()), p, -p / math.log10(2) / (len(data) + 1))):
-                to.append(x)
+        for first, some in chunks(data):
+            own, text = text_codes(some)
+            order = np.argsort(own)
+            p = np.bincount(text[order], weights=model_p[np.searchsorted(code, own[order])], minlength=len(some))
+            for k, tokens in enumerate(some):
+                at = np.fromiter(map(index.__getitem__, [*tokens, END_TOKEN]), np.int64)
+                for to, x in zip(out, (len(at), int((count[at] > 0).sum()), float(base_p[at].sum()), float(p[k]), -float(p[k]) / math.log10(2) / (len(data[first + k]) + 1))):
+                    to.append(x)
         return pa.table([texts.column("id"), texts.column("held_out"), out[0], out[1], [n] * len(out[0]), *map(pa.array, out[2:])], schema=pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())]))
 
     return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORE)

@@ -415,6 +415,52 @@ def test_scores(spark, docs, none, rows):
     assert ctw.scored(none).count() == 0
 
 
+def test_contexts_reach_across_words_and_match_brute_force(spark):
+    """Scores of whole texts against a direct recursion over the tree of each decision."""
+    held = lambda k: zlib.crc32(str(k).encode()) % 5 == 1
+    trains, scores = ([k for k in range(400) if held(k) == h] for h in (False, True))
+    texts = {k: "red ox\n  blue cat red ox" if k % 3 else "blue cat  Red ox" for k in trains[:9]}
+    texts |= {scores[0]: "red ox blue cat", scores[1]: "red cat blue ox", scores[2]: "", scores[3]: "zebra \u00e9"}
+    got = {r.id: r for r in ctw.scored(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+
+    def cut(text):
+        data = b" " * ctw.DEPTH + b"".join(w + b" " for w in text.encode().lower().split()) + b"\xff"
+        return [(data[i - ctw.DEPTH : i], data[i]) for i in range(ctw.DEPTH, len(data))]
+
+    nodes = {}  # (context, bits before) to counts of the next bit
+    for k in trains[:9]:
+        for c, x in cut(texts[k]):
+            for d in range(ctw.DEPTH + 1):
+                for level in range(8):
+                    nodes.setdefault((c[ctw.DEPTH - d :], (1 << level) | (x >> (8 - level))), [0, 0])[x >> (7 - level) & 1] += 1
+    children = {}
+    for c, node in nodes:
+        if c:
+            children.setdefault((c[1:], node), []).append((c, node))
+
+    def kt(at):
+        a, b = nodes[at]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def weighted(at):
+        return kt(at) if len(at[0]) == ctw.DEPTH else np.logaddexp(kt(at), sum(map(weighted, children[at]))) - math.log(2)
+
+    def predict(c, node, bit, d=0):
+        at = (c[ctw.DEPTH - d :], node)
+        if at not in nodes:
+            return None
+        k = (nodes[at][bit] + 0.5) / (sum(nodes[at]) + 1)
+        deeper = predict(c, node, bit, d + 1) if d < ctw.DEPTH else None
+        share = 1.0 if deeper is None else math.exp(kt(at) - math.log(2) - weighted(at))
+        return share * k + (1 - share) * (deeper or 0)
+
+    for k, t in texts.items():
+        want = sum(math.log10(predict(c, (1 << level) | (x >> (8 - level)), x >> (7 - level) & 1) or 0.5) for c, x in cut(t) for level in range(8))
+        assert math.isclose(got[k].score, want, rel_tol=1e-5), k
+    a, b = got[scores[0]], got[scores[1]]  # the same words in another order
+    assert math.isclose(a.base_score, b.base_score) and a.score > b.score + 1
+
+
 def test_context_tree_is_a_distribution_and_matches_brute_force(spark):
     """Depth as it is: probabilities of all next bytes add up to 1, and equal a direct recursion over the tree."""
     train = Counter({b"abra": 5, b"cadabra": 3, b"abc": 1, ctw.END_TOKEN: 4})
