@@ -7,7 +7,8 @@ over whole columns of block features. Short paragraphs inside an article are mai
 the table has both.
 
 Defined cases: null and empty pages give an empty text; unclosed elements end where their parent does, and ``li``, ``p``
-and table cells where the next begins; an unclosed comment, script or style runs to the end; text without any element is
+and table cells where the next begins; a head ends at its end tag, at ``body``, or at the first element or word that may not
+stand in it; an unclosed comment, script or style runs to the end; text without any element is
 one block; null ids and repeated rows are kept; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -28,12 +29,15 @@ from .common import STR, quoted, schema, spread
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*(?=>|\Z)|[^>]*)(?:>|\Z)", re.S)
 NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 #: Elements whose content is no text of the page.
 SILENT = {"script", "style", "noscript", "template", "svg", "math", "object", "iframe", "head", "title", "canvas", "audio", "video", "map", "select", "textarea"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "nobr"}
+#: What may stand in a head; any other element ends it.
+IN_HEAD = {"base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 #: What ends an open element of the same or a listed kind without an end tag.
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
@@ -55,6 +59,20 @@ BY_NAME = (
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "heading", "article", "nav", "chrome", "aside", "notice", "advert", "form", "comment")
 
 
+def hidden(attributes: str) -> bool:
+    """Whether a tag's attributes keep its element from being shown. The first of attributes of one name counts."""
+    seen = set()
+    for m in ATTRIBUTE.finditer(attributes):
+        name = m[1].lower()
+        if name in seen:
+            continue
+        seen.add(name)
+        value = html.unescape((m[2] or "").strip("\"'"))
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and NO_DISPLAY.search(value)):
+            return True
+    return False
+
+
 def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     """(text, words, words in links, heading, surroundings) of each block with text, in page order."""
     out: list[tuple[str, int, int, int, int]] = []
@@ -79,6 +97,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     while at < ended:
         m = TAG.search(page, at)
         raw = page[at : m.start() if m else ended]
+        if stack and stack[-1][0] == "head" and raw.strip():
+            close(len(stack) - 1)
         if raw and not (stack and stack[-1][2]):
             parts.append((html.unescape(raw) if "&" in raw else raw, links > 0))
         if not m:
@@ -94,6 +114,10 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
                 close(k)
             heading = 0 if re.fullmatch("h[1-6]", name) else heading
             continue
+        if name not in IN_HEAD:  # an open head ends here, but not inside one of its own elements (a template, say)
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in INLINE), None)
+            if k is not None and stack[k][0] == "head":
+                close(k)
         if name == "br":
             parts.append((" ", links > 0))
             continue
@@ -116,7 +140,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
                 for bit, words in BY_NAME:
                     if words.search(v.strip("\"'")):
                         around |= bit
-            silent = silent or bool(HIDDEN.search(m[3]))
+            silent = silent or hidden(m[3])
         stack.append((name, around, silent or name in SILENT))
         links += name == "a"
         if name in RAW:  # no markup inside

@@ -299,6 +299,17 @@ def test_html(spark):
     assert htmlblocks.main_text(df.limit(0)).count() == 0
 
 
+def test_html_shows_what_only_looks_hidden():
+    text = lambda page: [b[0] for b in htmlblocks.blocks(page)]
+    for shown in ("class='overflow-hidden'", "style='overflow:hidden'", "aria-hidden=false", "href=/the-hidden-valley", "data-hidden=1", "class=hidden", "title='display: none'"):
+        assert text(f"<article {shown}><p>Here.</p></article>") == ["Here."], shown
+    for gone in ("hidden", "HIDDEN", "hidden=''", "class=x hidden", "aria-hidden='true'", "style='color:red; display : none'", "style=display:none"):
+        assert text(f"<article {gone}><p>Gone.</p></article><p>Here.</p>") == ["Here."], gone
+    head = "<html><head><meta charset=utf-8><title>T</title><style>p{}</style><template><p>no</p></template><noscript><p>no</p></noscript>"
+    for rest in ("<body><p>Here.</p>", "<p>Here.</p>", "<article><p>Here.</p></article>", "</head><body><p>Here.</p>", "<b>Here.</b>", "Here."):
+        assert text(head + rest) == ["Here."], rest
+
+
 def test_packing(spark, docs, none, rows):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
