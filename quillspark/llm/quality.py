@@ -4,10 +4,13 @@
 minimum covariance determinant: from coordinatewise medians, concentration steps refit to the rows that lie nearest until
 the steps end, each step one pass of sums formed before the shuffle. A little of the scale is added to the diagonal, for
 coordinates that hardly vary. A document is rejected by its Mahalanobis distance, scaled so that the median of a group has
-the chi-square median.
+the chi-square median, where that lies beyond the chi-square tail and beyond the group's own: a normal tail of its unsquared
+distances, from their median and upper quartile. No limit comes from given tables.
 
 The statistics are transformed to be near symmetric: log words, log mean word length, log symbols a word, roots of the
-shares of capitals and of punctuation. Scales have floors, since a source may write one length of word only.
+shares of capitals, of punctuation, of characters in duplicate lines and of words in repeated windows. Short texts scatter more than long
+ones, so their deviations are divided by what a mean over so few words scatters more. Scales have floors, since a source may
+write one length of word only.
 
 Defined cases: null and empty texts have no words and fail the base rules; rows that fail them take no part in estimates;
 null languages and sources are groups of their own; a group with under ``min_rows`` rows is pooled with its language, then
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -30,17 +34,30 @@ from .common import DBL, LONG, STR, free_name, quoted, schema, spread, written
 SYMBOLS, BLANKS, PUNCT = b"#*$%&|<>", b" \t\n\x0b\x0c\r", b".,;:!?"
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Least scale of each coordinate: log words, log mean length, log symbols, root capitals, root punctuation.
-FLOORS = (0.5, 0.05, 0.1, 0.02, 0.02)
-CHI2_MEDIAN = 4.351  # of five degrees of freedom
+#: Least scale of each coordinate: log words, log mean length, log symbols, root capitals, root punctuation, root duplicate
+#: lines, root repeated words.
+FLOORS = (0.5, 0.05, 0.1, 0.02, 0.02, 0.4, 0.4)
 
 
-def stats_of(text: str) -> tuple[int, int, int, int, int, int, int]:
-    """The five counts, then ASCII capitals and punctuation."""
+def chi2(share: float, k: int = len(FLOORS)) -> float:
+    """Quantile of chi-square with k degrees of freedom (Wilson and Hilferty)."""
+    return k * (1 - 2 / (9 * k) + NormalDist().inv_cdf(share) * (2 / (9 * k)) ** 0.5) ** 3
+
+
+CHI2_MEDIAN = chi2(0.5)
+
+
+def stats_of(text: str) -> tuple[int, ...]:
+    """The five counts, then ASCII capitals, punctuation, and characters in duplicate lines."""
     data = text.encode()
     words = data.split()
     without = lambda chars: len(data) - len(data.translate(None, chars))
     lines = [x for x in data.split(b"\n") if x.strip(BLANKS)]
+    seen, twice = set(), 0
+    for line in lines:
+        if line in seen:
+            twice += len(line.translate(None, BLANKS).decode())
+        seen.add(line)
     windows = list(zip(words, words[1:], words[2:]))
     repeated = 0
     if len(set(windows)) < len(windows):
@@ -49,14 +66,14 @@ def stats_of(text: str) -> tuple[int, int, int, int, int, int, int]:
             if times[w] > 1:
                 covered[i : i + 3] = b"\1\1\1"
         repeated = sum(covered)
-    return len(words), len(text) - without(BLANKS), without(SYMBOLS), len(lines) - len(set(lines)), repeated, without(CAPITALS), without(PUNCT)
+    return len(words), len(text) - without(BLANKS), without(SYMBOLS), len(lines) - len(seen), repeated, without(CAPITALS), without(PUNCT), twice
 
 
 def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """id, text_hash, lang, source, the five counts, base_failed and the coordinates f0 to f4: a row per document."""
+    """id, text_hash, lang, source, the five counts, base_failed and the coordinates f0 to f6: a row per document."""
     text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
     kept = spread(docs.select(quoted(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), quoted(lang_col).cast("string").alias("lang"), quoted(source_col).cast("string").alias("source"), text.alias("text")))
-    names = (*COUNTS, "n_capitals", "n_punct")
+    names = (*COUNTS, "n_capitals", "n_punct", "dup_chars")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,6 +90,8 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.log1p(10 * F.col("n_symbols") / words).alias("f2"),
         F.sqrt(F.col("n_capitals") / chars).alias("f3"),
         F.sqrt(F.col("n_punct") / chars).alias("f4"),
+        F.sqrt(F.col("dup_chars") / chars).alias("f5"),
+        F.sqrt(F.col("n_repeat_words") / words).alias("f6"),
     )
 
 
@@ -108,11 +127,18 @@ def distance() -> F.Column:
     return sum(((1 if i == j else 2) * F.col(f"p{i}{j}") * (F.col(f"z{i}") - F.col(f"m{i}")) * (F.col(f"z{j}") - F.col(f"m{j}")) for i, j in PAIRS), F.lit(0.0))
 
 
-def outliers(stats: DataFrame, keep_share: float = 0.75, steps: int = 8, ridge: float = 0.05, most: float = 250.0, min_rows: int = 100, least_rows: int = 20) -> DataFrame:
+def standing(i: int) -> F.Column:
+    """A coordinate from its group's centre. A mean or share of n words scatters with 1 / sqrt(n): what a text shorter than
+    the group's median has is brought to that length."""
+    short = F.least(F.exp((F.col("f0") - F.col("c0")) / 2), F.lit(1.0)) if i else F.lit(1.0)
+    return (F.col(f"f{i}") - F.col(f"c{i}")) * short
+
+
+def outliers(stats: DataFrame, keep_share: float = 0.75, steps: int = 8, ridge: float = 0.05, level: float = 1e-4, min_rows: int = 100, least_rows: int = 20) -> DataFrame:
     """``stats`` with group, distance (squared; null without an estimate) and rejected.
 
-    keep_share: rows of a group that concentration steps fit to. most: largest squared distance that is not rejected; it is
-    far above the chi-square tail because documents of fifty words scatter several times as much as long ones.
+    keep_share: rows of a group that concentration steps fit to. level: share of good documents that may lie beyond each
+    of the two tails.
     """
     good = stats.filter(~F.col("base_failed"))
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
@@ -128,9 +154,9 @@ def outliers(stats: DataFrame, keep_share: float = 0.75, steps: int = 8, ridge:
     fit_rows = grouped.filter(~F.col("base_failed"))
     middle = fit_rows.groupBy("group").agg(F.count("*").alias("rows"), *(F.percentile_approx(f"f{i}", 0.5).alias(f"c{i}") for i in range(P))).filter(F.col("rows") >= least_rows)
     middle = written(middle, "middle")
-    spreads = fit_rows.join(middle, "group").groupBy("group").agg(*(F.percentile_approx(F.abs(F.col(f"f{i}") - F.col(f"c{i}")), 0.5).alias(f"a{i}") for i in range(P)))
+    spreads = fit_rows.join(middle, "group").groupBy("group").agg(*(F.percentile_approx(F.abs(standing(i)), 0.5).alias(f"a{i}") for i in range(P)))
     scale = written(middle.join(spreads, "group").drop("rows"), "scale")
-    z = [((F.col(f"f{i}") - F.col(f"c{i}")) / F.greatest(F.lit(1.4826) * F.col(f"a{i}"), F.lit(FLOORS[i]))).alias(f"z{i}") for i in range(P)]
+    z = [(standing(i) / F.greatest(F.lit(1.4826) * F.col(f"a{i}"), F.lit(FLOORS[i]))).alias(f"z{i}") for i in range(P)]
     rows = written(fit_rows.join(scale, "group").select("group", *z), "standard")
 
     d = sum((F.col(f"z{i}") ** 2 for i in range(P)), F.lit(0.0))
@@ -142,13 +168,16 @@ def outliers(stats: DataFrame, keep_share: float = 0.75, steps: int = 8, ridge:
         moments = near.groupBy("group").agg(F.count("*").alias("n"), *(F.sum(f"z{i}").alias(f"s{i}") for i in range(P)), *(F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{i}{j}") for i, j in PAIRS))
         params = written(fitted(moments, ridge), "params")
     measured = rows.join(params, "group").withColumn("d", distance())
-    middle_d = measured.groupBy("group").agg(F.percentile_approx("d", 0.5).alias("half"))
-    fit = written(scale.join(params, "group").join(middle_d, "group"), "fit")
+    middle_d = measured.groupBy("group").agg(F.percentile_approx("d", [0.5, 0.75]).alias("q"))
+    middle_d = middle_d.select("group", F.col("q")[0].alias("half"), (F.sqrt(F.col("q")[1] / F.greatest(F.col("q")[0], F.lit(1e-9))) - 1).alias("upper"))
+    beyond = NormalDist().inv_cdf(1 - level) / NormalDist().inv_cdf(0.75)
+    limit = F.greatest(F.lit(chi2(1 - level)), F.lit(CHI2_MEDIAN) * F.pow(1 + F.lit(beyond) * F.col("upper"), F.lit(2.0)))
+    fit = written(scale.join(params, "group").join(middle_d.withColumn("limit", limit), "group"), "fit")
     out = grouped.join(fit, "group", "left")
     out = out.select(*grouped.columns, *z, *fit.columns[1:])
     squared = distance() / F.greatest(F.col("half") / CHI2_MEDIAN, F.lit(1e-9))
     out = out.withColumn("distance", F.when(~F.col("base_failed"), squared))
-    return out.select(*grouped.columns, "distance", F.coalesce(F.col("distance") > most, F.lit(False)).alias("rejected"))
+    return out.select(*grouped.columns, "distance", "limit", F.coalesce(F.col("distance") > F.col("limit"), F.lit(False)).alias("rejected"))
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:

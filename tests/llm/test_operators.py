@@ -283,6 +283,20 @@ def test_quality(spark, docs, none, rows, words):
     assert quality.verdicts(none).count() == 0 and quality.keep_good(none).columns == none.columns
 
 
+def test_quality_rejects_moderate_junk(spark, words):
+    """Repeated lines, words in capitals, words run together; clean texts of all lengths stay."""
+    clean = [(k, prose(words, 60 + 4 * k, k), "en", "s") for k in range(300)]
+    texts = [prose(words, 200, 5000 + k).split(" ") for k in range(12)]
+    line = "\n" + " ".join(words[:9])
+    junk = [" ".join(w[:110]) + line * 10 for w in texts[:4]]  # 45 % of the words
+    junk += [" ".join(x.upper() if i % 5 == 0 else x for i, x in enumerate(w)) for w in texts[4:8]]
+    junk += [" ".join(w) + " " + " ".join("!!!" for _ in range(20)) for w in texts[8:]]
+    df = spark.createDataFrame(clean + [(1000 + k, t, "en", "s") for k, t in enumerate(junk)], "doc_id long, text string, lang string, source string")
+    got = quality.verdicts(df).collect()
+    assert not any(r.base_failed for r in got)
+    assert {r.id for r in got if not r.kept} == set(range(1000, 1012))
+
+
 def test_html(spark):
     page = (
         "<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/>Home</a></ul></nav><div class='ad'>Buy this.</div>"
