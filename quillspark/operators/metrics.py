@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ratio import f1, ratio, wilson
+from ..functions.ratio import Z, f1, ratio, wilson
 
 LABELS = ("violation", "non_violation", "out_of_scope", "ambiguous")
 
@@ -69,12 +69,18 @@ def with_metrics(matrix: DataFrame, words: str | None = None, empty: float | Non
     return matrix.withColumns(out)
 
 
-def extra_hits_needed(matrix: DataFrame, goal: float = 0.95, most: int = 1000) -> DataFrame:
-    """Smallest number of further true positives that lifts the precision interval's low end to the goal (null: over most)."""
-    tried = matrix.withColumn("extra", F.explode(F.sequence(F.lit(0), F.lit(most))))
-    low, _ = wilson(F.col("tp") + F.col("extra"), F.col("tp") + F.col("fp") + F.col("extra"))
-    keys = [c for c in matrix.columns]
-    return tried.withColumn("reached", low >= goal).groupBy(*keys).agg(F.min(F.when(F.col("reached"), F.col("extra"))).alias("extra_tp"))
+def extra_hits_needed(matrix: DataFrame, goal: float = 0.95) -> DataFrame:
+    """Smallest number of further true positives that lifts the precision interval's low end to the goal (below 1).
+
+    The low end reaches g where k - g n >= z sqrt(n g (1 - g)): a quadratic in sqrt(n). Its root is exact but for rounding, so
+    its neighbours are tried on the interval itself.
+    """
+    tp, fp = F.col("tp"), F.col("fp")
+    spread = Z * Z * goal * (1 - goal)
+    root = (F.lit(spread**0.5) + F.sqrt(F.lit(spread) + 4 * (1 - goal) * fp)) / (2 * (1 - goal))
+    about = F.ceil(root * root - tp - fp).cast("long")
+    tried = [F.greatest(about + d, F.lit(0).cast("long")) for d in (-1, 0, 1)]
+    return matrix.withColumn("extra_tp", F.coalesce(*(F.when(wilson(tp + x, tp + fp + x)[0] >= goal, x) for x in tried)))
 
 
 def gate(metrics: DataFrame, limits: dict[str, float]) -> DataFrame:

@@ -30,6 +30,15 @@ def test_published_matrix(spark):
     assert wilson(148 + need, 152 + need)[0] >= 0.95 > wilson(147 + need, 151 + need)[0]
 
 
+def test_extra_hits_have_no_cap(spark):
+    rows = [(tp, fp) for tp in (0, 1, 100, 5000) for fp in (0, 1, 50, 1000, 1050, 40_000)]
+    m = spark.createDataFrame(rows, "tp long, fp long")
+    for goal in (0.5, 0.95):
+        for r in metrics.extra_hits_needed(m, goal).collect():
+            low = lambda x: wilson(r.tp + x, r.tp + r.fp + x)[0] if r.tp + r.fp + x else 0.0
+            assert low(r.extra_tp) >= goal and (r.extra_tp == 0 or low(r.extra_tp - 1) < goal), (r, goal)
+
+
 def test_conventions_differ(spark):
     rows = [("d", label, hit) for label in metrics.LABELS for hit in (True, False)]
     units = spark.createDataFrame(rows, "domain string, label string, emitted boolean")
