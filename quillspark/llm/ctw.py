@@ -6,15 +6,18 @@ tree of its own: a node's weighted probability is half its Krichevsky-Trofimov e
 children's, so depths are mixed decision by decision. What is scored does not change the model. A context that training
 never saw at a decision ends its path there, and the one above it stands for it.
 
-Training and scoring are tables, not loops over text:
+Training and scoring are tables, not loops over text, and pairs of context and next byte travel in bulk:
 
-* a block of documents gives its distinct (context, next byte) pairs, with their counts in training texts formed before the
-  shuffle; pairs of scored texts stand there with count 0;
-* the pairs are dealt by the two nearest bytes of the context, so that all nodes of two or more bytes lie in one bucket; the
-  two levels above need sums for each (byte, decision), at most 65,280 rows whatever the corpus;
-* a block of documents is joined with the answers for its distinct pairs and tokens. Nothing else is broadcast or collected.
+* a task cuts its documents into blocks of ``BLOCK_BYTES``. A block gives its distinct pairs and tokens, with their counts in
+  its training texts, as one packed list for each bucket, and the compressed documents themselves. This is one written table;
+* pairs are dealt to buckets by the two nearest bytes of the context, so that all nodes of two or more bytes lie in one
+  bucket; tokens by hash. A bucket adds up its lists and estimates its subtrees, once for all blocks;
+* the two levels above need sums for each (byte, decision): at most 65,280 rows whatever the corpus, the one thing that is
+  collected and sent to tasks. With them a bucket answers each list in the list's own order, and a block scores its
+  documents from its answers. Texts are shuffled once, compressed.
 
-``model`` is the older model of single words (contexts within a word, depths mixed once a byte); scores do not use it.
+Everything grows with the distinct pairs of a block, not with pairs of documents. The largest bucket is the subtree of the
+commonest two bytes.
 
 Defined cases: a null or empty text is its end symbol only; a null id is training text; repeated rows count as often as they
 stand; without training text the base score is 0 and every byte has probability 1/256; an empty table gives an empty
@@ -24,22 +27,24 @@ result; columns of other names are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BIN, BOOL, DBL, INT, LONG, quoted, schema, scratch_path, spread, written
+from .common import BIN, BOOL, DBL, INT, LONG, quoted, schema, spread, written
 
 DEPTH = 6
-SPACE, END = 0x20, 0xFF  # neither is part of a word in UTF-8; END is the symbol of a text's end
-END_TOKEN = bytes([END])
-GRAM = schema(context=LONG, next=INT, n=LONG)
+END_TOKEN = b"\xff"  # the symbol of a text's end: no byte of a word in UTF-8
+TOP = 2  # levels above those that a bucket holds whole
 #: Bytes of texts: of a block of documents, of what is cut at once, and for each bucket of their pairs.
 BLOCK_BYTES, CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 2 << 20, 4 << 20
 
@@ -48,172 +53,43 @@ def held_out(id_: F.Column) -> F.Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def vocabulary(docs: DataFrame) -> DataFrame:
-    """token, n (in training texts; 0 for tokens of other texts), the end token included. docs: id, text."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Counter()
-
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["token", "n"])
-            seen.clear()
-            return batch
-
-        for batch in batches:
-            for text, held in zip(batch.column(0), batch.column(1)):
-                words = text.as_py().encode().lower().split()
-                if held.as_py():
-                    for w in words:
-                        seen.setdefault(w, 0)
-                    seen.setdefault(END_TOKEN, 0)
-                else:
-                    seen.update(words)
-                    seen[END_TOKEN] += 1
-                if len(seen) > 500_000:
-                    yield out()
-        yield out()
-
-    counted = docs.select("text", "held_out").mapInArrow(count, schema(token=BIN, n=LONG))
-    return counted.groupBy("token").agg(F.sum("n").alias("n"))
-
-
-def gram_codes(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(code, token index) of each byte that the tokens' probabilities are made of; a code is the context's DEPTH bytes
-    and the byte."""
-    parts = [b" " * DEPTH + t + (b"" if t == END_TOKEN else b" ") for t in tokens]
-    data = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
-    length = np.array([len(p) for p in parts])
-    code = np.zeros(len(data), np.int64)
-    for k in range(DEPTH + 1):
-        code[k:] |= data[: len(data) - k] << (8 * k)
-    start = np.cumsum(length) - length
-    own = np.arange(len(data)) - np.repeat(start, length) >= DEPTH
-    return code[own], np.repeat(np.arange(len(tokens)), length)[own]
-
-
-def grams(vocab: DataFrame) -> DataFrame:
-    """Deepest contexts with the byte that follows, and how often in training."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                code, at = gram_codes(batch.column(0).to_pylist())
-                n = batch.column(1).to_numpy()[at]
-                code, inverse = np.unique(code, return_inverse=True)
-                total = np.zeros(len(code), np.int64)
-                np.add.at(total, inverse, n)
-                yield pa.RecordBatch.from_arrays([pa.array(code >> 8), pa.array((code & 255).astype(np.int32)), pa.array(total)], names=GRAM.names)
-
-    return vocab.mapInArrow(cut, GRAM).groupBy("context", "next").agg(F.sum("n").alias("n"))
-
+def packed(x: np.ndarray) -> bytes:
+    """The array's bytes, those of one place value side by side, compressed."""
+    x = np.ascontiguousarray(x)
+    return zstandard.ZstdCompressor(level=3).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b"")
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """ln of the gamma function for x >= 0.5, by Stirling's series after eight steps up."""
-    y = x + 8
-    up = np.zeros_like(x)
-    for k in range(8):
-        up += np.log(x + k)
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - up
 
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
-def estimates(row: np.ndarray, byte: np.ndarray, n: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """For contexts given as (row, next byte, count): ln of the KT probability of all that each context saw, and of each
-    listed next byte."""
-    whole, each = np.zeros(rows), np.zeros(len(byte))
-    for level in range(8):
-        node, inverse = np.unique(row * 256 + ((1 << level) | (byte >> (8 - level))), return_inverse=True)
-        bit = (byte >> (7 - level)) & 1
-        ones = np.bincount(inverse, weights=n * bit, minlength=len(node))
-        both = np.bincount(inverse, weights=n, minlength=len(node))
-        zeros = both - ones
-        whole += np.bincount(node >> 8, weights=log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(both + 1) - math.log(math.pi), minlength=rows)
-        each += np.log((np.where(bit == 1, ones[inverse], zeros[inverse]) + 0.5) / (both[inverse] + 1))
-    return whole, each
 
+def rising(data: bytes) -> np.ndarray:
+    """A rising list that was packed as its steps."""
+    return np.cumsum(unpacked(data, np.int64))
 
-LEVEL = schema(context=LONG, total=LONG, log_kt=DBL).add("nexts", T.ArrayType(INT)).add("log_next", T.ArrayType(DBL))
 
+def steps(x: np.ndarray) -> bytes:
+    return packed(np.diff(x, prepend=0))
 
-def level_estimates(level: DataFrame) -> DataFrame:
-    """A row per context, from its at most 256 next bytes."""
-    lists = level.groupBy("context").agg(F.collect_list(F.struct("next", "n")).alias("x"), F.sum("n").alias("total"))
-    lists = lists.select("context", "total", F.transform("x", lambda v: v["next"]).alias("nexts"), F.transform("x", lambda v: v["n"]).alias("ns"))
 
-    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nexts, ns = batch.column(2), batch.column(3)
-            sizes = np.diff(nexts.offsets.to_numpy())
-            row = np.repeat(np.arange(batch.num_rows), sizes)
-            whole, each = estimates(row, nexts.flatten().to_numpy().astype(np.int64), ns.flatten().to_numpy().astype(float), batch.num_rows)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole), pa.ListArray.from_arrays(offsets, nexts.flatten()), pa.ListArray.from_arrays(offsets, pa.array(each))], names=LEVEL.names)
-
-    return lists.mapInArrow(estimate, LEVEL)
-
-
-def mask(depth: int) -> int:
-    return (1 << (8 * depth)) - 1
-
-
-def model(vocab: DataFrame) -> DataFrame:
-    """context, next, p: probability of the byte after the deepest context, for every pair that the vocabulary needs."""
-    levels = {DEPTH: written(grams(vocab), "grams")}
-    for d in range(DEPTH - 1, -1, -1):
-        up = levels[d + 1].groupBy(F.col("context").bitwiseAND(F.lit(mask(d))).alias("context"), "next").agg(F.sum("n").alias("n"))
-        levels[d] = written(up, "grams")
-    tables = {d: written(level_estimates(levels[d]), "level") for d in levels}
-
-    shares: dict[int, DataFrame] = {}  # context, total, share of the half that stops here
-    weighted = None
-    for d in range(DEPTH, -1, -1):
-        own = tables[d].select("context", "total", "log_kt")
-        if weighted is None:
-            own = own.withColumn("log_w", F.col("log_kt")).withColumn("share", F.lit(1.0))
-        else:
-            below = weighted.groupBy(F.col("context").bitwiseAND(F.lit(mask(d))).alias("context")).agg(F.sum("log_w").alias("below"))
-            more = F.greatest("log_kt", "below") + F.log1p(F.exp(-F.abs(F.col("log_kt") - F.col("below"))))
-            own = own.join(below, "context").withColumn("log_w", more - math.log(2)).withColumn("share", F.exp(F.col("log_kt") - more))
-        weighted = written(own.select("context", "total", "log_w", "share"), "weighted")
-        shares[d] = weighted.select("context", "total", "share")
-
-    def next_rows(d: int) -> DataFrame:
-        pairs = tables[d].join(shares[d].select("context", "share"), "context")
-        return pairs.select("context", "total", "share", F.inline(F.arrays_zip("nexts", "log_next"))).select("context", F.col("nexts").alias("next"), F.exp("log_next").alias("k"), "share", "total")
-
-    # mix: what shallower contexts give; rest: the share that is left for this one and deeper ones
-    state = next_rows(0).select("context", "next", F.lit(0.0).alias("mix"), F.lit(1.0).alias("rest"), "k", "share")
-    for d in range(1, DEPTH + 1):
-        upper = state.select(F.col("context").alias("upper"), "next", "mix", "rest", F.col("k").alias("k_up"), F.col("share").alias("share_up"))
-        deep = next_rows(d).withColumn("upper", F.col("context").bitwiseAND(F.lit(mask(d - 1)))).join(upper, ["upper", "next"])
-        seen = F.col("total") > 0
-        state = deep.select(
-            "context",
-            "next",
-            (F.col("mix") + F.when(seen, F.col("rest") * F.col("share_up") * F.col("k_up")).otherwise(0.0)).alias("mix"),
-            (F.col("rest") * F.when(seen, 1 - F.col("share_up")).otherwise(1.0)).alias("rest"),
-            F.when(seen, F.col("k")).otherwise(F.col("k_up")).alias("k"),
-            F.when(seen, F.col("share")).otherwise(F.lit(1.0)).alias("share"),
-        )
-        state = written(state, "state")
-    return state.select("context", "next", (F.col("mix") + F.col("rest") * F.col("k")).alias("p"))
-
-
-def text_codes(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """(code, text index) of each byte of the texts, given as words; a code is the context's DEPTH bytes and the byte."""
+def text_keys(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, text index) of each byte of the texts, given as words. A key is the DEPTH bytes before, the nearest first, and the
+    byte: contexts with the same nearest bytes are neighbours in order."""
     parts = [b" " * DEPTH + b"".join([w + b" " for w in words]) + END_TOKEN for words in texts]
     data = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
     length = np.array([len(p) for p in parts], np.int64)
-    code = data.copy()
+    key = data.copy()
     for k in range(1, DEPTH + 1):
-        code[k:] |= data[: len(data) - k] << (8 * k)
+        key[k:] |= data[: len(data) - k] << (8 * (DEPTH + 1 - k))
     own = np.ones(len(data), bool)
     start = np.cumsum(length) - length
     own[(start[:, None] + np.arange(DEPTH)).ravel()] = False
-    return code[own], np.repeat(np.arange(len(parts)), length - DEPTH)
+    return key[own], np.repeat(np.arange(len(parts)), length - DEPTH)
 
 
 def chunks(texts: list[bytes]) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """(index of the first, words of each) of some texts at a time."""
+    """(index of the first, words of each) of some lower-cased texts at a time."""
     at, size = 0, 0
     for i, text in enumerate(texts):
         size += len(text)
@@ -222,24 +98,103 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, list[list[bytes]]]]:
             at, size = i + 1, 0
 
 
-def added_up(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes in order, and the sum of n of each."""
-    if not len(code):
-        return code, n
-    order = np.argsort(code)
-    code = code[order]
-    start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-    return code[start], np.add.reduceat(n[order], start)
-
-
 def pairs_of(texts: list[bytes], held: list[bool]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes of the texts, and how often each stands in those that are not held out."""
-    found = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    """Distinct keys of the texts in order, and how often each stands in those that are not held out."""
+    marks, found = np.array(held, np.int64), []
     for at, words in chunks(texts):
-        code, text = text_codes(words)
-        counted = (~np.array(held[at : at + len(words)], bool)).astype(np.int64)[text]
-        found = added_up(*(np.concatenate(x) for x in zip(found, added_up(code, counted))))
-    return found
+        key, text = text_keys(words)
+        key <<= 1
+        key |= marks[at + text]
+        found.append(key)
+    every = np.concatenate(found) if found else np.zeros(0, np.int64)
+    found.clear()
+    every.sort()
+    start = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+    n, runs = np.diff(np.append(start, len(every))), every[start]
+    key, n = runs >> 1, np.where(runs & 1, 0, n)
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else start
+    return key[start], np.add.reduceat(n, start) if len(start) else n
+
+
+def dealt(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, bounds): keys by bucket, rising in each; bucket b is order[bounds[b]:bounds[b + 1]]."""
+    spread_ = ((key >> (8 * (DEPTH + 1 - TOP))) * 40503 & 0xFFFF) * buckets >> 16
+    order = np.argsort(spread_.astype(np.uint16), kind="stable")
+    return order, np.searchsorted(spread_[order], np.arange(buckets + 1))
+
+
+def dealt_tokens(tokens: dict[bytes, int], buckets: int) -> list[list[bytes]]:
+    out: list[list[bytes]] = [[] for _ in range(buckets)]
+    for t in sorted(tokens):
+        out[zlib.crc32(t) % buckets].append(t)
+    return out
+
+
+def tokens_of(texts: list[bytes], held: list[bool]) -> dict[bytes, int]:
+    """Tokens of the texts, the end token included, with their counts in those that are not held out."""
+    seen: Counter[bytes] = Counter()
+    for text, out in zip(texts, held):
+        if out:
+            for w in {*text.split(), END_TOKEN}:
+                seen.setdefault(w, 0)
+        else:
+            seen.update(text.split())
+            seen[END_TOKEN] += 1
+    return seen
+
+
+#: Buckets 0 to n - 1 hold pairs, n to 2 n - 1 tokens; -1 is a block's documents.
+ASKED = schema(block=LONG, bucket=INT, keys=BIN, counts=BIN, docs=BIN)
+DOCS = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string())])
+
+
+def asked(rows: DataFrame, buckets: int) -> DataFrame:
+    """The blocks of documents (id, held_out, text), and what each asks of every bucket."""
+
+    def finished(block: int, held_rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        own = pa.Table.from_batches(held_rows, DOCS)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, DOCS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(own.combine_chunks())
+        texts, held = [t.encode().lower() for t in own.column("text").to_pylist()], own.column("held_out").to_pylist()
+        made = [(-1, None, None, sink.getvalue().to_pybytes())]
+        key, n = pairs_of(texts, held)
+        order, bounds = dealt(key, buckets)
+        for b in np.flatnonzero(np.diff(bounds)):
+            at = order[bounds[b] : bounds[b + 1]]
+            made.append((int(b), steps(key[at]), packed(n[at]), None))
+        tokens = tokens_of(texts, held)
+        for b, some in enumerate(dealt_tokens(tokens, buckets)):
+            if some:
+                made.append((buckets + b, zstandard.ZstdCompressor(level=3).compress(b"\n".join(some)), packed(np.array([tokens[t] for t in some], np.int64)), None))
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([block] * len(made), pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*made), kinds))], names=ASKED.names)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, waiting, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            batch = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, DOCS)], schema=DOCS)
+            lengths, at = pc.binary_length(batch.column(2)).to_numpy(), 0
+            for i, n in enumerate(lengths):
+                size += int(n)
+                if size >= BLOCK_BYTES:
+                    yield finished(block, [*waiting, batch.slice(at, i + 1 - at)])
+                    block, waiting, size, at = block + 1, [], 0, i + 1
+            if at < batch.num_rows:
+                waiting.append(batch.slice(at))
+        if waiting:
+            yield finished(block, waiting)
+
+    return rows.select("id", "held_out", "text").mapInArrow(cut, ASKED)
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """ln of the gamma function for x >= 0.5, by Stirling's series after eight steps up."""
+    y = x + 8
+    up = np.zeros_like(x)
+    for k in range(8):
+        up += np.log(x + k)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - up
 
 
 #: ln of the gamma function at k + 1/2 and at k + 1.
@@ -259,47 +214,66 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma_at(zeros, 0.5) + log_gamma_at(ones, 0.5) - log_gamma_at(zeros + ones, 1.0) - math.log(math.pi)
 
 
-TOP = 2  # levels above those that a bucket holds whole
+def starts(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+
 
+class Level:
+    """The distinct (context of ``depth`` bytes, next byte) of a bucket in order, their counts, and where each lies above."""
 
-def subtrees(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    def __init__(self, depth: int, key: np.ndarray, n: np.ndarray):
+        self.depth, self.key, self.n, self.byte, self.up = depth, key, n, key & 255, None
+
+    def above(self) -> Level:
+        short = ((self.key >> 16) << 8) | self.byte
+        order = np.argsort(short)
+        ranked = short[order]
+        start = starts(ranked)
+        self.up = np.empty(len(short), np.int64)
+        self.up[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(short))))
+        return Level(self.depth - 1, ranked[start], np.add.reduceat(self.n[order], start))
+
+
+def subtrees(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
     """Of the pairs of whole subtrees under contexts of TOP bytes: what each subtree gives the pair's eight decisions (not a
     number where training never saw the context), and (context byte and decision, zeros, ones, ln of the children's product)
     of the contexts of one byte, as far as these subtrees go."""
-    byte, context, reverse = code & 255, code >> 8, np.zeros(len(code), np.int64)
-    for k in range(DEPTH):
-        reverse |= ((context >> (8 * k)) & 255) << (8 * (DEPTH - 1 - k))
-    given, above = np.empty((len(code), 8)), []
+    levels = [Level(DEPTH, key, n)]
+    while levels[-1].depth > TOP:
+        levels.append(levels[-1].above())
+    given, above = np.empty((len(key), 8), np.float32), []
     for level in range(8):
-        key = ((byte >> (8 - level)) << (8 * DEPTH)) | reverse  # a node of any depth is a run of rows
-        order = np.argsort(key)
-        key, m, bit = key[order], n[order], (byte[order] >> (7 - level)) & 1
-        q = log_w = row = None
-
-        def runs(depth: int) -> tuple[np.ndarray, np.ndarray]:
-            own = key >> (8 * (DEPTH - depth))
-            first = np.concatenate([[True], own[1:] != own[:-1]])
-            return np.flatnonzero(first), np.cumsum(first) - 1
-
-        for depth in range(DEPTH, TOP - 1, -1):
-            start, here = runs(depth)
-            both, ones = np.add.reduceat(m, start), np.add.reduceat(m * bit, start)
+        estimates, log_w, below, child = [], None, None, None
+        for x in levels:  # upwards: estimates, weighted probabilities
+            start = starts(((x.key >> 8) << 8) | (x.byte >> (8 - level)))
+            here = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(x.key))))
+            bit = (x.byte >> (7 - level)) & 1
+            both, ones = np.add.reduceat(x.n, start), np.add.reduceat(x.n * bit, start)
             zeros = both - ones
             own = log_kt(zeros, ones)
-            k = (np.where(bit == 1, ones[here], zeros[here]) + 0.5) / (both[here] + 1)
-            if q is None:
-                log_w, q = own, k
+            if log_w is None:
+                share, log_w = None, own
             else:
-                either = np.logaddexp(own, np.add.reduceat(log_w, row[start]))
-                share = np.exp(own - either)[here]
-                log_w, q = either - math.log(2), np.where(np.isnan(q), k, share * k + (1 - share) * q)
-            q = np.where(both[here] > 0, q, np.nan)
-            row = here
-        given[order, level] = q
-        start, _ = runs(1)
-        both, ones = np.add.reduceat(m, start), np.add.reduceat(m * bit, start)
-        top = key[start]
-        above.append(((((top >> (8 * (DEPTH - 1))) & 255) << 8) | (1 << level) | (top >> (8 * DEPTH)), both - ones, ones, np.add.reduceat(log_w, row[start])))
+                below = np.bincount(here[child.up[child_start]], weights=log_w, minlength=len(start))
+                either = np.logaddexp(own, below)
+                share, log_w = np.exp(own - either)[here], either - math.log(2)
+            k = (np.where(bit == 1, ones[here], zeros[here]) + 0.5) / (both[here] + 1)
+            estimates.append((k, share, both[here] > 0))
+            child, child_start = x, start
+        mix, rest, last = np.zeros(len(child.key)), np.ones(len(child.key)), np.full(len(child.key), np.nan)
+        for x, (k, share, seen) in zip(reversed(levels), reversed(estimates)):  # downwards: the mixture along each path
+            if x is not child:
+                mix, rest, last = mix[x.up], rest[x.up], last[x.up]
+            if share is not None:
+                mix = np.where(seen, mix + rest * share * k, mix)
+                rest = np.where(seen, rest * (1 - share), rest)
+            last = np.where(seen, k, last)
+        given[:, level] = mix + rest * last
+        top = child.key[child_start] >> 16  # nearest byte
+        at = (top << 8) | (1 << level) | (child.byte[child_start] >> (8 - level))
+        kinds, inverse = np.unique(at, return_inverse=True)
+        add = lambda v: np.bincount(inverse, weights=v, minlength=len(kinds))
+        above.append((kinds, add(zeros).astype(np.int64), add(ones).astype(np.int64), add(log_w)))
     return given, tuple(np.concatenate(x) for x in zip(*above))
 
 
@@ -323,110 +297,122 @@ class Roots:
         share[at], log_w[at] = np.exp(own - either), either - math.log(2)
         return k, share, log_w
 
-    def log10_p(self, code: np.ndarray, given: np.ndarray) -> np.ndarray:
-        """Of each pair, from what the subtrees give."""
-        byte, last, out = code & 255, (code >> 8) & 255, np.zeros(len(code))
+    def log10_p(self, last: np.ndarray, byte: np.ndarray, given: np.ndarray) -> np.ndarray:
+        """Of each pair (byte before, byte), from what the subtrees give."""
+        out = np.zeros(len(byte))
         for level in range(8):
             node, bit = (1 << level) | (byte >> (8 - level)), (byte >> (7 - level)) & 1
             at = (last << 8) | node
-            p = given[:, level]
+            p = given[:, level].astype(float)
             for k, share in ((self.k1[at, bit], self.share1[at]), (self.k0[node, bit], self.share0[node])):
                 p = np.where(np.isnan(p), k, share * k + (1 - share) * p)
             out += np.log10(np.where(np.isnan(p), 0.5, p))
         return out
 
 
-GIVEN = [f"g{i}" for i in range(8)]
-SUBTREE = schema(code=LONG, **dict.fromkeys(GIVEN, T.FloatType()), zeros=LONG, ones=LONG, below=DBL).add("blocks", T.ArrayType(LONG))
-ANSWER = schema(block=LONG, code=LONG, log10_p=DBL)
+#: A row of a bucket with lists has the blocks that asked and, for each, the places of its pairs (or the counts of its
+#: tokens), what the subtrees give, and the last two bytes of the pairs; other rows are sums for the levels above (at is the
+#: context byte and decision) or, where at is -1, of tokens (zeros: their number in training texts, ones: distinct ones).
+GROWN = schema(bucket=INT, given=BIN, ends=BIN, at=LONG, zeros=LONG, ones=LONG, below=DBL).add("blocks", T.ArrayType(LONG)).add("lists", T.ArrayType(BIN))
+ANSWER = schema(block=LONG, bucket=INT, answer=BIN)
+
 
+def grown(asks: DataFrame, buckets: int) -> DataFrame:
+    """Every bucket's lists added up, and its subtrees estimated."""
 
-def pair_scores(asked: DataFrame, buckets: int) -> DataFrame:
-    """block, code, log10_p. asked: block, code, n (in training texts of the block), distinct by block and code."""
-    nearest = F.shiftright("code", 8).bitwiseAND(F.lit(mask(TOP)))
+    def result(bucket: int, blocks: list[int], lists: list[bytes], given: bytes | None, ends: bytes | None, sums: tuple) -> pa.Table:
+        at, zeros, ones, below = sums
+        n = len(at)
+        columns = [
+            pa.array([bucket] * (n + 1), pa.int32()), pa.array([given] + [None] * n, pa.binary()), pa.array([ends] + [None] * n, pa.binary()),
+            *(pa.array([None, *x], k) for x, k in ((at, pa.int64()), (zeros, pa.int64()), (ones, pa.int64()), (below, pa.float64()))),
+            pa.array([blocks] + [None] * n, pa.list_(pa.int64())), pa.array([lists] + [None] * n, pa.list_(pa.binary())),
+        ]
+        return pa.table(columns, names=GROWN.names)
 
     def grow(group: pa.Table) -> pa.Table:
-        code = group.column("code").to_numpy()
-        order = np.argsort(code)
-        code, block = code[order], group.column("block").to_numpy()[order]
-        start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        n, code = np.add.reduceat(group.column("n").to_numpy()[order], start), code[start]
-        given, (at, zeros, ones, below) = subtrees(code, n)
-        blocks = pa.ListArray.from_arrays(pa.array(np.append(start, len(block)).astype(np.int32)), pa.array(block))
-        empty = lambda k, kind: pa.nulls(k, kind)
-        deep = [pa.array(code), *(pa.array(g.astype(np.float32), from_pandas=False) for g in given.T), *(empty(len(code), t) for t in (pa.int64(), pa.int64(), pa.float64())), blocks]
-        top = [pa.array(at), *(empty(len(at), pa.float32()) for _ in GIVEN), pa.array(zeros), pa.array(ones), pa.array(below), empty(len(at), blocks.type)]
-        return pa.concat_tables([pa.table(x, names=SUBTREE.names) for x in (deep, top)])
-
-    dealt = asked.withColumn("bucket", F.pmod(F.xxhash64(nearest), F.lit(buckets)))
-    path = scratch_path(asked.sparkSession, "subtrees")
-    dealt.groupBy("bucket").applyInArrow(grow, SUBTREE).write.option("compression", "zstd").parquet(path)
-    grown = asked.sparkSession.read.schema(SUBTREE).parquet(path)
-    rows = grown.filter("blocks is null").groupBy("code").agg(F.sum("zeros").alias("z"), F.sum("ones").alias("o"), F.sum("below").alias("b")).collect()  # at most 256 x 255
-    roots = Roots(*(np.array([r[c] for r in rows], t) for c, t in (("code", np.int64), ("z", np.int64), ("o", np.int64), ("b", float))))
-
-    def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, blocks = group.column("bucket")[0].as_py(), group.column("block").to_pylist()
+        keys, counts = group.column("keys").to_pylist(), [unpacked(c, np.int64) for c in group.column("counts").to_pylist()]
+        if bucket >= buckets:
+            tokens = [zstandard.ZstdDecompressor().decompress(k).split(b"\n") for k in keys]
+            total: Counter[bytes] = Counter()
+            for some, n in zip(tokens, counts):
+                for t, k in zip(some, n.tolist()):
+                    total[t] += k
+            lists = [packed(np.array([total[t] for t in some], np.int64)) for some in tokens]
+            return result(bucket, blocks, lists, None, None, ([-1], [sum(total.values())], [sum(k > 0 for k in total.values())], [0.0]))
+        keys = [rising(k) for k in keys]
+        every, n = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(every)
+        every = every[order]
+        start = starts(every)
+        key, n = every[start], np.add.reduceat(n[order], start)
+        given, sums = subtrees(key, n)
+        lists = [steps(np.searchsorted(key, k)) for k in keys]
+        return result(bucket, blocks, lists, packed(given.ravel()), packed((((key >> (8 * DEPTH)) << 8) | (key & 255)).astype(np.uint16)), tuple(x.tolist() for x in sums))
+
+    return asks.filter("bucket >= 0").select("block", "bucket", "keys", "counts").groupBy("bucket").applyInArrow(grow, GROWN)
+
+
+def answered(table: DataFrame, roots: Roots) -> DataFrame:
+    """block, bucket, answer: log10 probabilities of a list's pairs (single floats), or training counts of its tokens."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            code, blocks = batch.column(0).to_numpy(), batch.column(9)
-            p = roots.log10_p(code, np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 9)], axis=1).astype(float))
-            of = np.repeat(np.arange(len(code)), blocks.value_lengths().to_numpy())
-            yield pa.RecordBatch.from_arrays([blocks.flatten(), pa.array(code[of]), pa.array(p[of])], names=ANSWER.names)
+            for bucket, given, ends, blocks, lists in zip(*(batch.column(i) for i in range(5))):
+                lists, p = lists.as_py(), None
+                if given.is_valid:
+                    end = unpacked(ends.as_py(), np.uint16).astype(np.int64)
+                    p = roots.log10_p(end >> 8, end & 255, unpacked(given.as_py(), np.float32).reshape(-1, 8)).astype(np.float32)
+                    lists = [packed(p[rising(x)]) for x in lists]
+                yield pa.RecordBatch.from_arrays([blocks.values, pa.array([bucket.as_py()] * len(lists), pa.int32()), pa.array(lists, pa.binary())], names=ANSWER.names)
 
-    return grown.filter("blocks is not null").select("code", *GIVEN, "blocks").mapInArrow(end, ANSWER)
+    return table.filter("blocks is not null").select("bucket", "given", "ends", "blocks", "lists").mapInArrow(answer, ANSWER)
 
 
 SCORE = schema(id=LONG, held_out=BOOL, n_tokens=LONG, n_known=LONG, train_tokens=LONG, base_score=DBL, score=DBL, bits_per_byte=DBL)
+SCORE_ARROW = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), *((c, pa.int64()) for c in SCORE.names[2:5]), *((c, pa.float64()) for c in SCORE.names[5:])])
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: counts, base score by token frequencies, and the model's score, both log10 probabilities."""
-    id_ = quoted(id_col).cast("long")
-    rows = docs.select(id_.alias("id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"), held_out(id_).alias("held_out"))
-    vocab = written(vocabulary(spread(rows)), "vocabulary")
-    sums = vocab.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-    n, v = int(sums["n"] or 0), int(sums["v"] or 0)
-
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(max(docs.sparkSession.sparkContext.defaultParallelism, size // BLOCK_BYTES + 1))))
-
-    def ask_pairs(group: pa.Table) -> pa.Table:
-        code, n = pairs_of([t.encode().lower() for t in group.column("text").to_pylist()], group.column("held_out").to_pylist())
-        return pa.table({"block": np.full(len(code), group.column("block")[0].as_py(), np.int64), "code": code, "n": n})
-
-    asked_pairs = placed.select("block", "text", "held_out").groupBy("block").applyInArrow(ask_pairs, schema(block=LONG, code=LONG, n=LONG))
-    known_pairs = pair_scores(asked_pairs, max(parts, size // BUCKET_BYTES + 1))
-
-    def ask(group: pa.Table) -> pa.Table:
-        own = {END_TOKEN}
-        for text in group.column("text"):
-            own.update(text.as_py().encode().lower().split())
-        return pa.table({"block": pa.array([group.column("block")[0].as_py()] * len(own), pa.int64()), "token": pa.array(list(own), pa.binary())})
-
-    asked = placed.select("block", "text").groupBy("block").applyInArrow(ask, schema(block=LONG, token=BIN))
-    known_tokens = asked.join(vocab, "token").select("block", "token", "n")
-    answers = known_tokens.unionByName(known_pairs, allowMissingColumns=True)
+    id_, text = quoted(id_col).cast("long"), F.coalesce(quoted(text_col).cast("string"), F.lit(""))
+    rows = spread(docs.select(id_.alias("id"), held_out(id_).alias("held_out"), text.alias("text")))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = min(max(docs.sparkSession.sparkContext.defaultParallelism, size // BUCKET_BYTES + 1), 1 << 8 * TOP)
+    asks = written(asked(rows, buckets), "asked")
+    table = written(grown(asks, buckets), "grown")
+    sums = table.filter("at is not null").groupBy("at").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).collect()  # at most 256 x 255 + 1
+    n, v = next(((r["zeros"], r["ones"]) for r in sums if r["at"] < 0), (0, 0))
+    roots = Roots(*(np.array([r[c] for r in sums if r["at"] >= 0], t) for c, t in (("at", np.int64), ("zeros", np.int64), ("ones", np.int64), ("below", float))))
     floor = math.log10(n + 0.5 * (v + 1))
 
-    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
-        pairs = known.filter(pc.is_valid(known.column("code"))).select(["code", "log10_p"])
-        words = known.filter(pc.is_valid(known.column("token"))).select(["token", "n"])
-        code, model_p = pairs.column("code").to_numpy(), pairs.column("log10_p").to_numpy()
-        order = np.argsort(code)
-        code, model_p = code[order], model_p[order]
-        index = {t: i for i, t in enumerate(words.column("token").to_pylist())}
-        count = words.column("n").to_numpy()
-        base_p = np.log10(count + 0.5) - floor
-        data = [t.encode().lower() for t in texts.column("text").to_pylist()]
+    def score(group: pa.Table) -> pa.Table:
+        at = {b: k for k, b in enumerate(group.column("bucket").to_pylist())}
+        read = lambda name, b: group.column(name)[at[b]].as_py()
+        own = pa.ipc.open_stream(read("docs", -1)).read_all()
+        texts, held = [t.encode().lower() for t in own.column("text").to_pylist()], own.column("held_out").to_pylist()
+        key, _ = pairs_of(texts, held)
+        order, bounds = dealt(key, buckets)
+        p = np.empty(len(key), np.float32)
+        for b in np.flatnonzero(np.diff(bounds)):
+            p[order[bounds[b] : bounds[b + 1]]] = unpacked(read("answer", int(b)), np.float32)
+        count: dict[bytes, int] = {}
+        for b, some in enumerate(dealt_tokens(tokens_of(texts, held), buckets)):
+            if some:
+                count |= zip(some, unpacked(read("answer", buckets + b), np.int64).tolist())
         out: tuple[list, ...] = ([], [], [], [], [])
-        for first, some in chunks(data):
-            own, text = text_codes(some)
-            order = np.argsort(own)
-            p = np.bincount(text[order], weights=model_p[np.searchsorted(code, own[order])], minlength=len(some))
+        for first, some in chunks(texts):
+            pair, of = text_keys(some)
+            order = np.argsort(pair)
+            total = np.bincount(of[order], weights=p[np.searchsorted(key, pair[order])], minlength=len(some))
             for k, tokens in enumerate(some):
-                at = np.fromiter(map(index.__getitem__, [*tokens, END_TOKEN]), np.int64)
-                for to, x in zip(out, (len(at), int((count[at] > 0).sum()), float(base_p[at].sum()), float(p[k]), -float(p[k]) / math.log10(2) / (len(data[first + k]) + 1))):
+                c = np.fromiter(map(count.__getitem__, [*tokens, END_TOKEN]), np.int64, len(tokens) + 1)
+                base = float((np.log10(c + 0.5) - floor).sum())
+                bits = -float(total[k]) / math.log10(2) / (len(texts[first + k]) + 1)
+                for to, x in zip(out, (len(c), int((c > 0).sum()), base, float(total[k]), bits)):
                     to.append(x)
-        return pa.table([texts.column("id"), texts.column("held_out"), out[0], out[1], [n] * len(out[0]), *map(pa.array, out[2:])], schema=pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())]))
+        return pa.table([own.column("id"), own.column("held_out"), out[0], out[1], [n] * len(out[0]), *map(pa.array, out[2:])], schema=SCORE_ARROW)
 
-    return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORE)
+    blocks = asks.filter("bucket = -1").select("block", "bucket", "docs")
+    return blocks.unionByName(answered(table, roots), allowMissingColumns=True).groupBy("block").applyInArrow(score, SCORE)

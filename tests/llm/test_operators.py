@@ -486,59 +486,50 @@ def test_contexts_reach_across_words_and_match_brute_force(spark):
     assert math.isclose(a.base_score, b.base_score) and a.score > b.score + 1
 
 
-def test_context_tree_is_a_distribution_and_matches_brute_force(spark):
-    """Depth as it is: probabilities of all next bytes add up to 1, and equal a direct recursion over the tree."""
-    train = Counter({b"abra": 5, b"cadabra": 3, b"abc": 1, ctw.END_TOKEN: 4})
-    ask = {bytes([x]): 0 for x in range(256) if x not in (0x20, 0xFF, *b"\t\n\x0b\x0c\r")} | {b"abz": 0}
-    vocab = spark.createDataFrame([(bytearray(t), n) for t, n in {**ask, **train}.items()], "token binary, n long")
-    p = {(r.context, r.next): r.p for r in ctw.model(vocab).collect()}
-    counts = [Counter() for _ in range(ctw.DEPTH + 1)]
-    for t, n in train.items():
-        data = b" " * ctw.DEPTH + t + (b"" if t == ctw.END_TOKEN else b" ")
-        for i in range(ctw.DEPTH, len(data)):
-            for d in range(ctw.DEPTH + 1):
-                counts[d][data[i - d : i], data[i]] += n
-
-    def seen(c):
-        return {x: n for (ctx, x), n in counts[len(c)].items() if ctx == c}
-
-    def kt(c, x=None):
-        total, own = 0.0, 1.0
-        for level in range(8):
-            nodes = {}
-            for b, n in seen(c).items():
-                z = nodes.setdefault(b >> (8 - level), [0, 0])
-                z[b >> (7 - level) & 1] += n
-            for a, b in nodes.values():
-                total += math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
-            if x is not None:
-                z = nodes.get(x >> (8 - level), [0, 0])
-                own *= (z[x >> (7 - level) & 1] + 0.5) / (sum(z) + 1)
-        return own if x is not None else total
-
-    def weighted(c):
-        if len(c) == ctw.DEPTH:
-            return kt(c)
-        below = sum(weighted(k) for k in {ctx for ctx, _ in counts[len(c) + 1] if ctx[1:] == c})
-        return np.logaddexp(kt(c), below) - math.log(2)
-
-    def predict(c, x):
-        mix, rest = 0.0, 1.0
-        for d in range(ctw.DEPTH + 1):
-            s = c[ctw.DEPTH - d :]
-            deeper = d < ctw.DEPTH and seen(c[ctw.DEPTH - d - 1 :])
-            share = math.exp(kt(s) - math.log(2) - weighted(s)) if deeper else 1.0
-            mix += rest * share * kt(s, x)
-            rest *= 1 - share
-            if not deeper:
-                return mix
-
-    for token in (b"abra", b"abz", b"c"):
-        data = b" " * ctw.DEPTH + token + b" "
-        for i in range(ctw.DEPTH, len(data)):
-            c, x = data[i - ctw.DEPTH : i], data[i]
-            assert math.isclose(p[int.from_bytes(c, "big"), x], predict(c, x), rel_tol=1e-6), (c, x)
-    start = b" " * ctw.DEPTH
-    assert math.isclose(sum(predict(start, x) for x in range(256)), 1.0, rel_tol=1e-9)
+def test_probabilities_of_the_next_byte_add_up(spark):
+    """For any text, the probabilities of all bytes that may follow it are a distribution."""
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.choice([0x61, 0x62, 0x63], int(rng.integers(1, 12))).tolist()) for _ in range(60)]
+    rows = ctw.pairs_of([b" ".join(texts[:30]), b" ".join(texts[30:])], [False, True])
+    assert (rows[1] > 0).any() and (rows[1] == 0).any()
+    for before in (b"abcabc", b"   abc", b"zzzzzz", b"  a b "):
+        lead = sum(x << (8 * (k + 1)) for k, x in enumerate(before))
+        ask = lead | np.arange(256)
+        key = np.union1d(rows[0], ask)
+        n = np.zeros(len(key), np.int64)
+        n[np.searchsorted(key, rows[0])] = rows[1]
+        tops = key >> 40
+        found, sums = {}, []
+        for t in np.unique(tops):
+            own = tops == t
+            given, above = ctw.subtrees(key[own], n[own])
+            found[t] = key[own], given
+            sums.append(above)
+        at, zeros, ones, below = (np.concatenate(x) for x in zip(*sums))
+        kinds, inverse = np.unique(at, return_inverse=True)
+        add = lambda v: np.bincount(inverse, weights=v)  # noqa: E731, B023
+        roots = ctw.Roots(kinds, add(zeros).astype(np.int64), add(ones).astype(np.int64), add(below))
+        keys, given = found[ask[0] >> 40]
+        p = 10 ** roots.log10_p(keys >> 48, keys & 255, given)[np.isin(keys, ask)]
+        assert len(p) == 256 and math.isclose(p.sum(), 1, rel_tol=1e-5)
     x = np.array([0.5, 1, 1.5, 3.25, 40, 1e6])
     assert np.allclose(ctw.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-10)
+
+
+def test_packed_arrays_come_back():
+    for x in (np.array([], np.int64), np.array([5, 5, 9, 1 << 56]), np.arange(1000) * 7):
+        assert (ctw.rising(ctw.steps(x)) == x).all() and (ctw.unpacked(ctw.packed(x), np.int64) == x).all()
+
+
+def test_scores_do_not_depend_on_blocks(spark, docs):
+    """Blocks of a text or two, and one block for all."""
+    key = lambda r: (r.id is None, r.id or 0, r.n_tokens)
+    whole = sorted(ctw.scored(docs).collect(), key=key)
+    before = ctw.BLOCK_BYTES
+    try:
+        ctw.BLOCK_BYTES = 500
+        small = sorted(ctw.scored(docs.repartition(3)).collect(), key=key)
+    finally:
+        ctw.BLOCK_BYTES = before
+    for a, b in zip(whole, small, strict=True):
+        assert a[:5] == b[:5] and all(math.isclose(x, y, rel_tol=1e-5) for x, y in zip(a[5:], b[5:]))
