@@ -30,6 +30,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +41,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BIN, BOOL, DBL, INT, LONG, quoted, schema, spread, written
+from .common import BIN, BOOL, DBL, INT, LONG, give_back, quoted, schema, settings, spread, written
 
 DEPTH = 6
 END_TOKEN = b"\xff"  # the symbol of a text's end: no byte of a word in UTF-8
 TOP = 2  # levels above those that a bucket holds whole
 #: Bytes of texts: of a block of documents, of what is cut at once, and for each bucket of their pairs.
-BLOCK_BYTES, CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 2 << 20, 4 << 20
+BLOCK_BYTES, CHUNK_BYTES, BUCKET_BYTES = 12 << 20, 1 << 20, 4 << 20
 
 
 def held_out(id_: F.Column) -> F.Column:
@@ -64,6 +65,11 @@ def unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def shortened(x: np.ndarray) -> np.ndarray:
+    """Single floats rounded to 16 bits of fraction, which take a byte less when packed."""
+    return ((x.view(np.uint32) + 0x80) & 0xFFFFFF00).view(np.float32)
+
+
 def rising(data: bytes) -> np.ndarray:
     """A rising list that was packed as its steps."""
     return np.cumsum(unpacked(data, np.int64))
@@ -88,32 +94,55 @@ def text_keys(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return key[own], np.repeat(np.arange(len(parts)), length - DEPTH)
 
 
-def chunks(texts: list[bytes]) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """(index of the first, words of each) of some lower-cased texts at a time."""
-    at, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= CHUNK_BYTES or i == len(texts) - 1:
-            yield at, [t.split() for t in texts[at : i + 1]]
-            at, size = i + 1, 0
+def chunks(texts: pa.ChunkedArray) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """(index of the first, words in ASCII lower case) of some texts at a time."""
+    size = np.cumsum(pc.binary_length(texts).to_numpy())
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK_BYTES)))
+        yield at, [t.lower().split() for t in texts.slice(at, end - at).cast(pa.binary()).to_pylist()]
+        at = end
+
+
+def starts(key: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+
+
+def lengths(start: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return np.diff(np.append(start, len(whole)))
+
 
+def added_up(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of n of each."""
+    order = np.argsort(key)
+    key = key[order]
+    start = starts(key)
+    return key[start], np.add.reduceat(n[order].astype(np.int64), start) if len(start) else n.astype(np.int64)
 
-def pairs_of(texts: list[bytes], held: list[bool]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of the texts in order, and how often each stands in those that are not held out."""
-    marks, found = np.array(held, np.int64), []
-    for at, words in chunks(texts):
-        key, text = text_keys(words)
+
+def contents(texts: pa.ChunkedArray, held: list[bool]) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
+    """Distinct keys of the texts in order, how often each stands in those that are not held out, and the same of tokens, the
+    end token included."""
+    marks, found, tokens = np.array(held, np.int64), [(np.zeros(0, np.int64), np.zeros(0, np.int32))], Counter()
+    for at, some in chunks(texts):
+        key, of = text_keys(some)
         key <<= 1
-        key |= marks[at + text]
-        found.append(key)
-    every = np.concatenate(found) if found else np.zeros(0, np.int64)
+        key |= marks[at + of]
+        key.sort()
+        start = starts(key)
+        runs = key[start]
+        found.append((runs >> 1, np.where(runs & 1, 0, lengths(start, key)).astype(np.int32)))
+        for words, out in zip(some, held[at:]):
+            if out:
+                for w in {*words, END_TOKEN}:
+                    tokens.setdefault(w, 0)
+            else:
+                tokens.update(words)
+                tokens[END_TOKEN] += 1
+    key, n = (np.concatenate(x) for x in zip(*found))
     found.clear()
-    every.sort()
-    start = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
-    n, runs = np.diff(np.append(start, len(every))), every[start]
-    key, n = runs >> 1, np.where(runs & 1, 0, n)
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else start
-    return key[start], np.add.reduceat(n, start) if len(start) else n
+    return *added_up(key, n), tokens
 
 
 def dealt(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +152,14 @@ def dealt(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(spread_[order], np.arange(buckets + 1))
 
 
+def joined(tokens: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(b"\n".join(tokens))
+
+
+def parted(data: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(data).split(b"\n")
+
+
 def dealt_tokens(tokens: dict[bytes, int], buckets: int) -> list[list[bytes]]:
     out: list[list[bytes]] = [[] for _ in range(buckets)]
     for t in sorted(tokens):
@@ -130,21 +167,9 @@ def dealt_tokens(tokens: dict[bytes, int], buckets: int) -> list[list[bytes]]:
     return out
 
 
-def tokens_of(texts: list[bytes], held: list[bool]) -> dict[bytes, int]:
-    """Tokens of the texts, the end token included, with their counts in those that are not held out."""
-    seen: Counter[bytes] = Counter()
-    for text, out in zip(texts, held):
-        if out:
-            for w in {*text.split(), END_TOKEN}:
-                seen.setdefault(w, 0)
-        else:
-            seen.update(text.split())
-            seen[END_TOKEN] += 1
-    return seen
-
-
-#: Buckets 0 to n - 1 hold pairs, n to 2 n - 1 tokens; -1 is a block's documents.
-ASKED = schema(block=LONG, bucket=INT, keys=BIN, counts=BIN, docs=BIN)
+#: Buckets 0 to n - 1 hold pairs, n to 2 n - 1 tokens; -1 is a block's documents, with its pairs and its tokens in the
+#: order of buckets.
+ASKED = schema(block=LONG, bucket=INT, keys=BIN, counts=BIN, docs=BIN, tokens=BIN)
 DOCS = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string())])
 
 
@@ -156,21 +181,23 @@ def asked(rows: DataFrame, buckets: int) -> DataFrame:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, DOCS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(own.combine_chunks())
-        texts, held = [t.encode().lower() for t in own.column("text").to_pylist()], own.column("held_out").to_pylist()
-        made = [(-1, None, None, sink.getvalue().to_pybytes())]
-        key, n = pairs_of(texts, held)
+        key, n, tokens = contents(own.column("text"), own.column("held_out").to_pylist())
+        lists = dealt_tokens(tokens, buckets)
+        made = [(-1, steps(key), None, sink.getvalue().to_pybytes(), joined([t for some in lists for t in some]))]
         order, bounds = dealt(key, buckets)
         for b in np.flatnonzero(np.diff(bounds)):
             at = order[bounds[b] : bounds[b + 1]]
-            made.append((int(b), steps(key[at]), packed(n[at]), None))
-        tokens = tokens_of(texts, held)
-        for b, some in enumerate(dealt_tokens(tokens, buckets)):
+            made.append((int(b), steps(key[at]), packed(n[at]), None, None))
+        for b, some in enumerate(lists):
             if some:
-                made.append((buckets + b, zstandard.ZstdCompressor(level=3).compress(b"\n".join(some)), packed(np.array([tokens[t] for t in some], np.int64)), None))
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                made.append((buckets + b, joined(some), packed(np.array([tokens[t] for t in some], np.int64)), None, None))
+        kinds = (pa.int32(), *[pa.binary()] * 4)
+        del own, key, n, tokens, lists, order
+        give_back()
         return pa.RecordBatch.from_arrays([pa.array([block] * len(made), pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*made), kinds))], names=ASKED.names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
         block, waiting, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             batch = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, DOCS)], schema=DOCS)
@@ -214,10 +241,6 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma_at(zeros, 0.5) + log_gamma_at(ones, 0.5) - log_gamma_at(zeros + ones, 1.0) - math.log(math.pi)
 
 
-def starts(key: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-
-
 class Level:
     """The distinct (context of ``depth`` bytes, next byte) of a bucket in order, their counts, and where each lies above."""
 
@@ -230,7 +253,7 @@ class Level:
         ranked = short[order]
         start = starts(ranked)
         self.up = np.empty(len(short), np.int64)
-        self.up[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(short))))
+        self.up[order] = np.repeat(np.arange(len(start)), lengths(start, short))
         return Level(self.depth - 1, ranked[start], np.add.reduceat(self.n[order], start))
 
 
@@ -246,7 +269,7 @@ def subtrees(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarr
         estimates, log_w, below, child = [], None, None, None
         for x in levels:  # upwards: estimates, weighted probabilities
             start = starts(((x.key >> 8) << 8) | (x.byte >> (8 - level)))
-            here = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(x.key))))
+            here = np.repeat(np.arange(len(start)), lengths(start, x.key))
             bit = (x.byte >> (7 - level)) & 1
             both, ones = np.add.reduceat(x.n, start), np.add.reduceat(x.n * bit, start)
             zeros = both - ones
@@ -331,10 +354,11 @@ def grown(asks: DataFrame, buckets: int) -> DataFrame:
         return pa.table(columns, names=GROWN.names)
 
     def grow(group: pa.Table) -> pa.Table:
+        give_back()
         bucket, blocks = group.column("bucket")[0].as_py(), group.column("block").to_pylist()
         keys, counts = group.column("keys").to_pylist(), [unpacked(c, np.int64) for c in group.column("counts").to_pylist()]
         if bucket >= buckets:
-            tokens = [zstandard.ZstdDecompressor().decompress(k).split(b"\n") for k in keys]
+            tokens = [parted(k) for k in keys]
             total: Counter[bytes] = Counter()
             for some, n in zip(tokens, counts):
                 for t, k in zip(some, n.tolist()):
@@ -342,11 +366,7 @@ def grown(asks: DataFrame, buckets: int) -> DataFrame:
             lists = [packed(np.array([total[t] for t in some], np.int64)) for some in tokens]
             return result(bucket, blocks, lists, None, None, ([-1], [sum(total.values())], [sum(k > 0 for k in total.values())], [0.0]))
         keys = [rising(k) for k in keys]
-        every, n = np.concatenate(keys), np.concatenate(counts)
-        order = np.argsort(every)
-        every = every[order]
-        start = starts(every)
-        key, n = every[start], np.add.reduceat(n[order], start)
+        key, n = added_up(np.concatenate(keys), np.concatenate(counts))
         given, sums = subtrees(key, n)
         lists = [steps(np.searchsorted(key, k)) for k in keys]
         return result(bucket, blocks, lists, packed(given.ravel()), packed((((key >> (8 * DEPTH)) << 8) | (key & 255)).astype(np.uint16)), tuple(x.tolist() for x in sums))
@@ -364,7 +384,7 @@ def answered(table: DataFrame, roots: Roots) -> DataFrame:
                 if given.is_valid:
                     end = unpacked(ends.as_py(), np.uint16).astype(np.int64)
                     p = roots.log10_p(end >> 8, end & 255, unpacked(given.as_py(), np.float32).reshape(-1, 8)).astype(np.float32)
-                    lists = [packed(p[rising(x)]) for x in lists]
+                    lists = [packed(shortened(p[rising(x)])) for x in lists]
                 yield pa.RecordBatch.from_arrays([blocks.values, pa.array([bucket.as_py()] * len(lists), pa.int32()), pa.array(lists, pa.binary())], names=ANSWER.names)
 
     return table.filter("blocks is not null").select("bucket", "given", "ends", "blocks", "lists").mapInArrow(answer, ANSWER)
@@ -380,7 +400,8 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = spread(docs.select(id_.alias("id"), held_out(id_).alias("held_out"), text.alias("text")))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = min(max(docs.sparkSession.sparkContext.defaultParallelism, size // BUCKET_BYTES + 1), 1 << 8 * TOP)
-    asks = written(asked(rows, buckets), "asked")
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="1000"):
+        asks = written(asked(rows, buckets), "asked")
     table = written(grown(asks, buckets), "grown")
     sums = table.filter("at is not null").groupBy("at").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).collect()  # at most 256 x 255 + 1
     n, v = next(((r["zeros"], r["ones"]) for r in sums if r["at"] < 0), (0, 0))
@@ -388,31 +409,34 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     floor = math.log10(n + 0.5 * (v + 1))
 
     def score(group: pa.Table) -> pa.Table:
+        give_back()
         at = {b: k for k, b in enumerate(group.column("bucket").to_pylist())}
         read = lambda name, b: group.column(name)[at[b]].as_py()
         own = pa.ipc.open_stream(read("docs", -1)).read_all()
-        texts, held = [t.encode().lower() for t in own.column("text").to_pylist()], own.column("held_out").to_pylist()
-        key, _ = pairs_of(texts, held)
+        texts, key = own.column("text"), rising(read("keys", -1))
         order, bounds = dealt(key, buckets)
         p = np.empty(len(key), np.float32)
         for b in np.flatnonzero(np.diff(bounds)):
             p[order[bounds[b] : bounds[b + 1]]] = unpacked(read("answer", int(b)), np.float32)
-        count: dict[bytes, int] = {}
-        for b, some in enumerate(dealt_tokens(tokens_of(texts, held), buckets)):
-            if some:
-                count |= zip(some, unpacked(read("answer", buckets + b), np.int64).tolist())
-        out: tuple[list, ...] = ([], [], [], [], [])
-        for first, some in chunks(texts):
+        counts = np.concatenate([unpacked(read("answer", b), np.int64) for b in sorted(at) if b >= buckets])
+        count = dict(zip(parted(read("tokens", -1)), counts.tolist()))
+        out: list[tuple[np.ndarray, ...]] = []
+        for _, some in chunks(texts):
             pair, of = text_keys(some)
             order = np.argsort(pair)
-            total = np.bincount(of[order], weights=p[np.searchsorted(key, pair[order])], minlength=len(some))
-            for k, tokens in enumerate(some):
-                c = np.fromiter(map(count.__getitem__, [*tokens, END_TOKEN]), np.int64, len(tokens) + 1)
-                base = float((np.log10(c + 0.5) - floor).sum())
-                bits = -float(total[k]) / math.log10(2) / (len(texts[first + k]) + 1)
-                for to, x in zip(out, (len(c), int((c > 0).sum()), base, float(total[k]), bits)):
-                    to.append(x)
-        return pa.table([own.column("id"), own.column("held_out"), out[0], out[1], [n] * len(out[0]), *map(pa.array, out[2:])], schema=SCORE_ARROW)
-
-    blocks = asks.filter("bucket = -1").select("block", "bucket", "docs")
+            pair = pair[order]
+            start = starts(pair)
+            logs = np.repeat(p[np.searchsorted(key, pair[start])], lengths(start, pair))
+            for words in some:
+                words.append(END_TOKEN)
+            size = np.array([len(words) for words in some])
+            first = np.cumsum(size) - size
+            c = np.fromiter(map(count.__getitem__, chain.from_iterable(some)), np.int64, size.sum())
+            base = np.add.reduceat(np.log10(c + 0.5), first) - floor * size
+            out.append((size, np.add.reduceat((c > 0).astype(np.int64), first), base, np.bincount(of[order], weights=logs, minlength=len(some))))
+        size, known, base, total = (np.concatenate(x) for x in zip(*out))
+        bits = -total / math.log10(2) / (pc.binary_length(texts).to_numpy() + 1)
+        return pa.table([own.column("id"), own.column("held_out"), size, known, np.full(len(size), n), base, total, bits], schema=SCORE_ARROW)
+
+    blocks = asks.filter("bucket = -1").select("block", "bucket", "keys", "docs", "tokens")
     return blocks.unionByName(answered(table, roots), allowMissingColumns=True).groupBy("block").applyInArrow(score, SCORE)

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -490,7 +491,7 @@ def test_probabilities_of_the_next_byte_add_up(spark):
     """For any text, the probabilities of all bytes that may follow it are a distribution."""
     rng = np.random.default_rng(2)
     texts = [bytes(rng.choice([0x61, 0x62, 0x63], int(rng.integers(1, 12))).tolist()) for _ in range(60)]
-    rows = ctw.pairs_of([b" ".join(texts[:30]), b" ".join(texts[30:])], [False, True])
+    rows = ctw.contents(pa.chunked_array([[b" ".join(texts[:30]).decode(), b" ".join(texts[30:]).decode()]]), [False, True])
     assert (rows[1] > 0).any() and (rows[1] == 0).any()
     for before in (b"abcabc", b"   abc", b"zzzzzz", b"  a b "):
         lead = sum(x << (8 * (k + 1)) for k, x in enumerate(before))
