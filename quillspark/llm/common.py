@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,6 +78,22 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def bitmap(keys: DataFrame, most_words: int = 1 << 20) -> np.ndarray:
+    """A set of hashes (column ``h``, long) as 64-bit words: some 16 bits a key, 8 MB at most whatever their number. Those not
+    in the set pass ``in_bitmap`` the more often the fuller it is, so it only saves work."""
+    n = keys.count()
+    words = min(1 << max(12, (n // 4).bit_length()), most_words)
+    bits = keys.select(F.shiftright("h", 6).bitwiseAND(F.lit(words - 1)).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    found = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(words, np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return ((bits[(h >> 6) & (len(bits) - 1)] >> (h & 63)) & 1).astype(bool)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deals the rows to all cores if the scan has fewer partitions than there are cores (one small file, say)."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -1,14 +1,19 @@
-"""Substring dedup by hashing of units below the line.
+"""Substring dedup by hashing of lines and of the units inside them.
 
-A text is cut into units at line ends and after punctuation followed by white space, so that a passage pasted into the
-middle of a line still falls into the same units. A unit is normalised (words only, ASCII lower case, single spaces) and
-hashed to 128 bits. Digests are grouped over the whole corpus; the earliest occurrence by (id, position) stays and each
-other one is removed. Neighbouring removed units merge into a span with its offsets in the original text. Units of under
-``min_unit_words`` words decide nothing: one between two removed units goes with them. A span is removed if it holds at
-least ``min_span_words`` words, so common short phrases stay.
+Lines with a word are hashed whole, whatever their length. A line is also cut into units after punctuation followed by white
+space, so that a passage pasted into the middle of a line still falls into the same units. A unit is normalised (words only,
+ASCII lower case, single spaces) and hashed to 128 bits; one of under ``min_unit_words`` words is hashed together with the
+unit before it and with the one behind it, since alone it says too little. Digests are grouped over the whole corpus; the
+earliest occurrence by (id, position) stays.
 
-Only digests of units that occur twice or more take part in the join back, and the counts are formed before the shuffle,
-so that a line found in a third of all documents is one row a task.
+Later occurrences of whole lines are removed. Later occurrences of units are removed where they stand in an unbroken run
+with others or with such lines and the run has ``min_span_words`` words or more, so that a short phrase inside a line stays.
+Nothing else goes: a run ends at any unit that is not a later occurrence. Removed neighbours are one span, with its offsets
+in the original text.
+
+Counts are formed before the shuffle, and only digests that occur twice or more are written. The second pass over the texts
+lets through, by a bitmap of bounded size, little more than their occurrences; a line found in a third of all documents is a
+skewed key of that join alone, which is split because both sides are shuffled as they are.
 
 Defined cases: null and empty texts have no units; rows with the same id are told apart by nothing, so an equal unit at an
 equal place in both counts as one occurrence and stays in both; a null id ranks first; an empty table gives no spans;
@@ -20,13 +25,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import BIN, INT, LONG, quoted, schema, spread
+from .common import BOOL, INT, LONG, bitmap, give_back, in_bitmap, quoted, schema, spread, written
 
 #: Where a unit ends: punctuation before white space, or a line end.
 BOUNDARY = re.compile(r"[.,;:!?](?=[\x20\x09-\x0D])|\n")
@@ -35,71 +40,118 @@ SPACES = re.compile(r"[\x20\x09-\x0D]+")
 WHITE_CHARS, EDGE = " \t\n\x0b\x0c\r", ".,;:!?"
 
 
-def units(text: str) -> list[tuple[int, int, int, str]]:
-    """(start, end, words, normalised text) of each unit with a word; offsets are code points and leave outer white space out."""
+def units(text: str) -> list[tuple[int, int, int, str, int]]:
+    """(start, end, words, normalised text, line) of each unit with a word; offsets are code points and leave outer white space
+    out."""
     low = text.encode().lower().decode()  # ASCII letters only, so offsets stay
-    odd, out, at = ODD_SPACE.search(low) is not None, [], 0
+    odd, out, at, line = ODD_SPACE.search(low) is not None, [], 0, 0
     for end in [*(m.end() for m in BOUNDARY.finditer(low)), len(low)]:
         piece = low[at:end]
         body = piece.strip(WHITE_CHARS)
         norm = (SPACES.sub(" ", body) if odd else body).strip(" .,;:!?")
         if norm:
             a = at + piece.index(body[0])
-            out.append((a, a + len(body), norm.count(" ") + 1, norm))
+            out.append((a, a + len(body), norm.count(" ") + 1, norm, line))
+        line += piece.endswith("\n")
         at = end
     return out
 
 
-def unit_rows(docs: DataFrame, id_col: str, text_col: str, min_unit_words: int) -> DataFrame:
-    """A row per unit that decides: id, ordinal in the text, start, end, words, digest."""
+def marks(text: str, min_unit_words: int) -> Iterator[tuple[int, int, int, int, int, bool, str]]:
+    """(first unit, last unit, start, end, words, whether a whole line, what is hashed) of all that is compared in a text."""
+    found = units(text)
+    k = 0
+    while k < len(found):
+        j = k + 1
+        while j < len(found) and found[j][4] == found[k][4]:
+            j += 1
+        own = found[k:j]
+        yield k, j - 1, own[0][0], own[-1][1], sum(u[2] for u in own), True, own[0][3] if j - k == 1 else "\n".join(u[3] for u in own)
+        for i in range(k, j) if j - k > 1 else ():
+            a, b, n, norm, _ = found[i]
+            if n >= min_unit_words:
+                yield i, i, a, b, n, False, norm
+            else:
+                if i:
+                    yield i, i, a, b, n, False, f"<{found[i - 1][3]}\n{norm}"
+                if i + 1 < len(found):
+                    yield i, i, a, b, n, False, f">{norm}\n{found[i + 1][3]}"
+        k = j
+
+
+MARK = schema(id=LONG, first=INT, last=INT, start=INT, end=INT, words=INT, whole=BOOL, hi=LONG, lo=LONG)
+MARK_ARROW = [pa.int64(), *[pa.int32()] * 5, pa.bool_(), pa.int64(), pa.int64()]
+
+
+def marked(docs: DataFrame, id_col: str, text_col: str, min_unit_words: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """A row per mark of a text, or of those whose digest is in the bitmap ``wanted``."""
     kept = spread(docs.select(quoted(id_col).cast("long").alias("id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text")))
+    bits = None if wanted is None else docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def made(rows: list[tuple], digests: list[bytes]) -> pa.RecordBatch:
+        digest = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, MARK_ARROW)] + [pa.array(digest[:, 0]), pa.array(digest[:, 1])]
+        batch = pa.RecordBatch.from_arrays(columns, names=MARK.names)
+        return batch if bits is None else batch.filter(pa.array(in_bitmap(bits.value, digest[:, 0])))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            rows: tuple[list, ...] = ([], [], [], [], [], [])
-            for i, doc in enumerate(ids):
-                for k, (a, b, n, norm) in enumerate(units(texts[i].as_py())):
-                    if n >= min_unit_words:
-                        for to, x in zip(rows, (doc, k, a, b, n, xxhash.xxh3_128_digest(norm))):
-                            to.append(x)
-                if len(rows[0]) >= 50_000:
-                    yield made(rows)
-                    rows = ([], [], [], [], [], [])
-            yield made(rows)
-
-    def made(rows: tuple[list, ...]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], names=["id", "ordinal", "start", "end", "words", "digest"])
-
-    return kept.mapInArrow(cut, schema(id=LONG, ordinal=INT, start=INT, end=INT, words=INT, digest=BIN))
+            rows, digests = [], []
+            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for *mark, said in marks(text.as_py(), min_unit_words):
+                    rows.append((id_, *mark))
+                    digests.append(xxhash.xxh3_128_digest(said))
+                if len(rows) >= 20_000:
+                    yield made(rows, digests)
+                    rows, digests = [], []
+            yield made(rows, digests)
+            give_back()
+
+    return kept.mapInArrow(cut, MARK)
+
+
+def spans_of(found: list[dict], min_span_words: int) -> Iterator[dict]:
+    """The removed spans of one text, from its later occurrences in the order of first unit, then longest."""
+    run: dict | None = None
+    lines: list[dict] = []
+
+    def ended() -> list[dict]:
+        return [] if run is None else [run] if run["words"] >= min_span_words else lines
+
+    for m in found:
+        if run and m["last"] <= run["last"]:  # inside a line that is gone already, or a short unit's second mark
+            continue
+        new = {"start": m["start"], "end": m["end"], "words": m["words"], "units": m["last"] - m["first"] + 1, "first_id": m["first_id"], "last": m["last"]}
+        if run and m["first"] == run["last"] + 1:
+            run |= {"end": m["end"], "words": run["words"] + new["words"], "units": run["units"] + new["units"], "last": m["last"]}
+        else:
+            yield from ended()
+            run, lines = dict(new), []
+        if m["whole"]:
+            if lines and m["first"] == lines[-1]["last"] + 1:
+                lines[-1] |= {"end": m["end"], "words": lines[-1]["words"] + new["words"], "units": lines[-1]["units"] + new["units"], "last": m["last"]}
+            else:
+                lines.append(new)
+    yield from ended()
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_unit_words: int = 3, min_span_words: int = 20) -> DataFrame:
     """A row per removed span: id, start, end (code points, end exclusive), words, units, first_id (where its first unit stays)."""
-    rows = unit_rows(docs, id_col, text_col, min_unit_words)
-    first = F.struct(F.col("id"), F.col("ordinal"))
-    groups = rows.groupBy("digest").agg(F.min(first).alias("first"), F.max(first).alias("last")).filter("first < last or (first is null) != (last is null)")
-    hits = rows.join(groups, "digest").filter(~F.struct("id", "ordinal").eqNullSafe(F.col("first")))
-    hits = hits.select("id", F.struct("ordinal", "start", "end", "words", F.col("first.id").alias("first_id")).alias("unit"))
-    spans = hits.groupBy("id").agg(F.sort_array(F.collect_list("unit")).alias("found"))
+    place = F.struct(F.col("id"), F.col("first"))
+    groups = marked(docs, id_col, text_col, min_unit_words).groupBy("hi", "lo").agg(F.min(place).alias("stays"), F.count("*").alias("n")).filter("n > 1")
+    groups = written(groups.select("hi", "lo", "stays"), "repeated")
+    rows = marked(docs, id_col, text_col, min_unit_words, bitmap(groups.select(F.col("hi").alias("h"))))
+    hits = rows.join(groups, ["hi", "lo"]).filter(~place.eqNullSafe(F.col("stays")))
+    mark = F.struct("first", (-F.col("last")).alias("order"), ~F.col("whole"), "last", "start", "end", "words", "whole", F.col("stays.id").alias("first_id"))
+    found = hits.select("id", mark.alias("mark")).groupBy("id").agg(F.sort_array(F.collect_list("mark")).alias("found"))
+    cols = {"id": pa.int64(), "start": pa.int32(), "end": pa.int32(), "words": pa.int32(), "units": pa.int32(), "first_id": pa.int64()}
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[dict] = []
-            for doc, found in zip(batch.column(0).to_pylist(), batch.column(1)):
-                run: dict | None = None
-                for u in [*found.as_py(), None]:
-                    if run and u and u["ordinal"] <= run["at"] + 2:  # at most one undecided unit between
-                        run |= {"end": u["end"], "words": run["words"] + u["words"], "units": run["units"] + 1, "at": u["ordinal"]}
-                        continue
-                    if run and run["words"] >= min_span_words:
-                        out.append(run)
-                    run = u and {"id": doc, "start": u["start"], "end": u["end"], "words": u["words"], "units": 1, "first_id": u["first_id"], "at": u["ordinal"]}
-            cols = {"id": pa.int64(), "start": pa.int32(), "end": pa.int32(), "words": pa.int32(), "units": pa.int32(), "first_id": pa.int64()}
+            out = [r | {"id": id_} for id_, own in zip(batch.column(0).to_pylist(), batch.column(1)) for r in spans_of(own.as_py(), min_span_words)]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in cols.items()], names=list(cols))
 
-    return spans.mapInArrow(merged, schema(id=LONG, start=INT, end=INT, words=INT, units=INT, first_id=LONG))
+    return found.mapInArrow(merged, schema(id=LONG, start=INT, end=INT, words=INT, units=INT, first_id=LONG))
 
 
 def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -93,37 +93,94 @@ def test_secrets(spark, none):
     assert secrets.marginal_bytes("load_settings_v2", around) < secrets.marginal_bytes("q8Zr0Lw2Xc9Vb4Nm", around)
 
 
+def brute_spans(table, least=20, short=3):
+    """Removed spans (id, start, end, words) by loops over all texts."""
+    marks, first = [], {}
+    for id_, text in sorted(table, key=lambda r: r[0]):
+        found, line = [], 0
+        for part in re.split(r"(?<=\n)", text or ""):
+            at = len("".join(re.split(r"(?<=\n)", text or "")[:line]))
+            for m in re.finditer(r"[^\n]+?(?:[.,;:!?](?=[\x20\x09-\x0D])|(?=\n)|$)", part, re.S):
+                norm = " ".join(split(lower(m[0]))).strip(" .,;:!?")
+                if norm:
+                    body = m[0].strip(" \t\n\x0b\x0c\r")
+                    a = at + m.start() + m[0].index(body)
+                    found.append((a, a + len(body), norm, line))
+            line += 1
+        for k, (a, b, norm, own) in enumerate(found):
+            group = [u for u in found if u[3] == own]
+            n = norm.count(" ") + 1
+            if len(group) > 1:
+                keys = [norm] if n >= short else [("<", u[2], norm) for u in found[:k][-1:]] + [(">", norm, u[2]) for u in found[k + 1 : k + 2]]
+                marks.append((id_, k, k, a, b, n, False, keys))
+            if group[0][0] == a:
+                whole = norm if len(group) == 1 else tuple(u[2] for u in group)
+                marks.append((id_, k, k + len(group) - 1, a, group[-1][1], sum(u[2].count(" ") + 1 for u in group), True, [whole]))
+    for id_, k, *_, keys in marks:
+        for key in keys:
+            first[key] = min(first.get(key, (id_, k)), (id_, k))
+    out = set()
+    for id_ in {m[0] for m in marks}:
+        gone, words, line_of = {}, {}, set()
+        for _, k, j, a, b, n, whole, keys in (m for m in marks if m[0] == id_):
+            if any(first[key] != (id_, k) for key in keys):
+                for u in range(k, j + 1):
+                    gone.setdefault(u, whole)
+                    gone[u] |= whole
+        place = {u[1]: (u[3], u[4], u[5]) for u in marks if u[0] == id_ and u[1] == u[2]}
+        runs = []
+        for u in sorted(gone):
+            if runs and runs[-1][-1] == u - 1:
+                runs[-1].append(u)
+            else:
+                runs.append([u])
+        for run in runs:
+            pieces = [run] if sum(place[u][2] for u in run) >= least else []
+            if not pieces:
+                for u in (u for u in run if gone[u]):
+                    if pieces and pieces[-1][-1] == u - 1:
+                        pieces[-1].append(u)
+                    else:
+                        pieces.append([u])
+            out |= {(id_, place[p[0]][0], place[p[-1]][1], sum(place[u][2] for u in p)) for p in pieces}
+    return out
+
+
 def test_line_dedup(spark, words, none):
-    passage = prose(words, 70, 999)
+    passage, items = prose(words, 70, 999).replace("\n", " "), ", ".join(words[k] if k % 2 else f"{words[k]} {words[k + 1]}" for k in range(60))
     a, b, c = (prose(words, 90, s) for s in (1, 2, 3))
-    table = [(1, a + " " + passage + " tail words"), (2, b + " glue " + passage + " " + c), (3, c), (4, None), (5, ""), (6, prose(words, 200, 7))]
+    unique = "a sentence of its own that stands between two passages and must never be lost."
+    table = [
+        (1, a + " " + passage + " tail words"), (2, b + " glue " + passage + " " + c), (3, c), (4, None), (5, ""), (6, prose(words, 200, 7)),
+        (7, "All rights reserved.\nSome text here\n\n  All   rights reserved! \nmore"), (8, "ALL RIGHTS RESERVED\nother text, as it goes"),
+        (9, "x y z. " + items + ". tail of nine"), (10, "head of ten. " + items + ", and on"),
+        (11, passage + " " + unique + " " + c), (12, "a, b, a, b, a, b"), (13, "short one, all rights reserved, and so on it goes"), (14, passage + "\n" + passage),
+    ]
     df = spark.createDataFrame(table, "doc_id long, text string")
     got = linededup.repeated_spans(df).collect()
-    assert {r.id for r in got} == {2, 3}
     text = dict(table)
-    for r in got:
-        piece = text[r.id][r.start : r.end]
-        assert piece and piece == piece.strip() and r.words >= 20
-    second = next(r for r in got if r.id == 2 and r.first_id == 1)
-    assert len(text[2][second.start : second.end].split()) >= 50
-    # brute force: a unit of three words or more stays only in its first place
-    first = {}
-    for k, t in table:
-        for i, u in enumerate(linededup.units(t or "")):
-            if u[2] >= 3:
-                first.setdefault(u[3], (k, i))
-    for r in got:
-        for i, u in enumerate(linededup.units(text[r.id])):
-            if u[2] >= 3 and r.start <= u[0] < r.end:
-                assert first[u[3]] != (r.id, i)
+    assert {(r.id, r.start, r.end, r.words) for r in got} == brute_spans(table)
+    by = {k: sorted((r.start, r.end) for r in got if r.id == k) for k in text}
+    gone = {k: [text[k][x:y] for x, y in v] for k, v in by.items()}
+    assert not gone[1] and not gone[6] and not gone[9] and not gone[13]
+    assert any(passage.split(".", 1)[1].strip()[:40] in t for t in gone[2]) and gone[3]
+    assert gone[7] == ["All   rights reserved!"] and gone[8] == ["ALL RIGHTS RESERVED"]
+    assert len(gone[10]) == 1 and len(gone[10][0].split()) > 80  # a list of short items
     cut = {r.doc_id: r.text for r in linededup.without_spans(df, linededup.repeated_spans(df)).collect()}
+    assert unique in cut[11] and passage[5:60] not in cut[11]
     assert cut[1] == text[1] and cut[6] == text[6] and cut[4] is None
-    want = text[2]
-    for r in sorted((r for r in got if r.id == 2), key=lambda r: -r.start):
-        want = want[: r.start] + want[r.end :]
-    assert cut[2] == want
+    for k, t in text.items():
+        for x, y in reversed(by[k]):
+            t = t[:x] + t[y:]
+        assert cut[k] == t
+    for seed in range(4):  # many shared lines and clauses
+        rng = random.Random(seed)
+        pool = [prose(words, rng.randint(1, 12), 50 + k) for k in range(25)]
+        table = [(k, "".join(rng.choice(pool) + rng.choice([", ", ". ", "\n", " "]) for _ in range(rng.randint(0, 14)))) for k in range(40)]
+        got = linededup.repeated_spans(spark.createDataFrame(table, "doc_id long, text string")).collect()
+        assert {(r.id, r.start, r.end, r.words) for r in got} == brute_spans(table)
     assert linededup.repeated_spans(none).count() == 0
-    assert linededup.units(" Hello there, my  friend.\n\nA b c . d") == [(1, 13, 2, "hello there"), (14, 25, 2, "my friend"), (27, 34, 3, "a b c"), (35, 36, 1, "d")]
+    assert [u[:4] for u in linededup.units(" Hello there, my  friend.\n\nA b c . d")] == [(1, 13, 2, "hello there"), (14, 25, 2, "my friend"), (27, 34, 3, "a b c"), (35, 36, 1, "d")]
 
 
 @pytest.mark.parametrize("bits", [256, 4])
