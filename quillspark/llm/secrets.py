@@ -3,10 +3,15 @@
 ``scan_secrets`` reads whole texts, a batch at a time, and returns a row per document with its spans. A span has a kind,
 code-point offsets (end exclusive) and, for the kind ``novel``, the marginal compressed bytes that reported it.
 
-The method: a candidate is a long run of key characters shortly after a sensitive word. A zstandard dictionary is primed
-with common identifiers and with the code or prose around the candidate; the candidate is then compressed against it.
-What the surroundings explain (a repeated name, an identifier, a word) costs next to nothing; a secret costs about its own
-entropy. A candidate whose marginal bytes a character reach ``min_ratio`` is reported. Base patterns always stay.
+The method: a candidate is a long unbroken run of key characters that lies, in part at least, within ``reach`` code points of
+a sensitive word, before or behind it. It is compressed against two primed zstandard dictionaries: common identifiers with
+the code or prose around the candidate, and the common long words of the whole corpus. What these explain (an identifier, a
+name used nearby, a word) costs next to nothing; a secret costs about its own length. Copies of the candidate that stand in
+a sensitive context themselves are left out of the surroundings, so a secret used twice does not explain itself. A candidate
+whose marginal bytes a character reach ``min_ratio`` is reported, whatever characters it is made of. Base patterns always
+stay; a candidate that overlaps one is not measured.
+
+A text takes time in proportion to its length: each run is measured once, and novel spans never overlap.
 
 Defined cases: a null or empty text has no spans; null ids are kept; repeated rows give repeated results; an empty table
 gives an empty result; other columns of the input are ignored.
@@ -15,6 +20,8 @@ gives an empty result; other columns of the input are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,13 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import DBL, INT, STR, quoted, schema, spread
+from .common import DBL, INT, LONG, STR, quoted, schema, spread
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # greedy runs: the same as all runs of which the short ones are dropped
 SENSITIVE = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|auth|bearer|credential|private[_-]?key|signature|access[_-]?key)", re.IGNORECASE | re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{12,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~](?:[A-Za-z0-9+/_=.~-]*[A-Za-z0-9+/_=~])?")
+LONG_WORD = re.compile(r"[A-Za-z]{12,}")
 #: Prefilters of whole columns: documents without a match have no span of that kind.
 MAY_ASSIGN, MAY_HEX, MAY_SENSE = r"(?i)(password|passwd|secret|token|api_?key)", r"[0-9a-f]{32}", r"(?i)(pass|pwd|secret|token|api[_-]?key|auth|bearer|credential|private|signature|access)"
 KINDS = ("assign", "access", "hex", "novel")
@@ -47,13 +55,17 @@ SPAN = T.StructType([T.StructField("kind", STR), T.StructField("start", INT), T.
 
 @dataclass(frozen=True)
 class Novelty:
-    """reach: code points after a sensitive word in which a candidate begins. around: context on either side that primes
-    the dictionary. min_ratio: marginal compressed bytes a character. min_bytes: marginal bytes in all."""
+    """reach: code points between a sensitive word and a candidate. around: context on either side that primes the dictionary.
+    min_length: of a candidate. min_ratio: marginal compressed bytes a character. min_bytes: marginal bytes in all.
+    common_words: how many words of the corpus prime the other dictionary, from those of min_documents documents or more."""
 
     reach: int = 48
     around: int = 1024
+    min_length: int = 12
     min_ratio: float = 0.6
     min_bytes: int = 10
+    common_words: int = 4096
+    min_documents: int = 3
 
 
 def base_spans(text: str, assign: bool = True, access: bool = True, hexes: bool = True) -> list[tuple[int, int, int]]:
@@ -68,37 +80,91 @@ def base_spans(text: str, assign: bool = True, access: bool = True, hexes: bool
     return out
 
 
-def marginal_bytes(candidate: str, around: str) -> int:
-    """What the candidate adds to a frame whose dictionary is the identifiers and the text around."""
-    primed = zstandard.ZstdCompressionDict((IDENTIFIERS + "\n" + around).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    packer = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
-    return len(packer.compress(candidate.encode())) - len(packer.compress(b""))
+def packer(primer: str) -> zstandard.ZstdCompressor:
+    primed = zstandard.ZstdCompressionDict(primer.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
+def marginal_bytes(candidate: str, around: str, common: zstandard.ZstdCompressor | None = None) -> int:
+    """What the candidate adds to a frame whose dictionary is the identifiers and the text around, or the common words."""
+    cost = lambda p: len(p.compress(candidate.encode())) - len(p.compress(b""))
+    own = cost(packer(IDENTIFIERS + "\n" + around))
+    return own if common is None else min(own, cost(common))
+
+
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans without overlaps that cover the same places."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def overlapping(spans: list[tuple[int, int]], others: list[tuple[int, int]]) -> list[bool]:
+    """For each of the sorted disjoint spans, whether one of the sorted disjoint others overlaps it: one walk over both."""
+    out, k = [], 0
+    for a, b in spans:
+        while k < len(others) and others[k][1] <= a:
+            k += 1
+        out.append(k < len(others) and others[k][0] < b)
+    return out
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, int]], how: Novelty) -> list[tuple[int, int, int, float]]:
+def novel_spans(text: str, taken: list[tuple[int, int, int]], how: Novelty, common: zstandard.ZstdCompressor | None = None) -> list[tuple[int, int, int, float]]:
     """Candidates that no base span overlaps and that their surroundings don't explain."""
-    out, last = [], -1
-    for m in SENSITIVE.finditer(text):
-        for c in CANDIDATE.finditer(text, m.end(), min(len(text), m.end() + how.reach + 256)):
-            a, b = c.span()
-            if a > m.end() + how.reach:
+    zones = united([(m.start() - how.reach, m.end() + how.reach) for m in SENSITIVE.finditer(text)])
+    runs = [m.span() for m in CANDIDATE.finditer(text) if m.end() - m.start() >= how.min_length]
+    runs = [x for x, near in zip(runs, overlapping(runs, zones)) if near]
+    free = overlapping(runs, united([(a, b) for a, _, b in taken]))
+    copies: dict[str, list[int]] = {}
+    for a, b in runs:
+        copies.setdefault(text[a:b], []).append(a)
+    out = []
+    for (a, b), hit in zip(runs, free):
+        if hit:
+            continue
+        s, lo, hi = text[a:b], max(0, a - how.around), b + how.around
+        pieces, at = [], lo
+        own = copies[s]
+        for c in own[bisect_left(own, lo) :]:
+            if c >= hi:
                 break
-            s = c[0]
-            if a <= last or not re.search(r"\d", s) or not re.search(r"[A-Za-z]", s) or any(x < b and a < y for x, _, y in taken):
-                continue
-            b = CANDIDATE.match(text, a).end()  # the run may go on behind the searched part
-            s, last = text[a:b], a
-            cost = marginal_bytes(s, text[max(0, a - how.around) : a] + text[b : b + how.around])
-            if cost >= how.min_bytes and cost >= how.min_ratio * len(s):
-                out.append((a, 3, b, float(cost)))
+            pieces.append(text[at:c])
+            at = c + len(s)
+        cost = marginal_bytes(s, " ".join([*pieces, text[at:hi]]), common)
+        if cost >= how.min_bytes and cost >= how.min_ratio * len(s):
+            out.append((a, 3, b, float(cost)))
     return out
 
 
+def common_words(texts: DataFrame, how: Novelty) -> list[str]:
+    """Long words of the corpus by the number of texts that hold them: at most ``common_words`` of them, read over all texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                seen.update(set(LONG_WORD.findall(text.as_py())))
+            if len(seen) > 200_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+                seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+    counted = texts.select("text").mapInArrow(count, schema(word=STR, n=LONG)).groupBy("word").agg(F.sum("n").alias("n"))
+    return [r["word"] for r in counted.filter(F.col("n") >= how.min_documents).orderBy(F.desc("n"), "word").limit(how.common_words).collect()]
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Novelty = Novelty()) -> DataFrame:
     """(id, spans): spans by start, then kind in the order of KINDS."""
     kept = spread(docs.select(quoted(id_col).alias("id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text")))
 
+    words = "\n".join(common_words(kept, how))
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = packer(words) if len(words) >= 8 else None
         for batch in batches:
             texts = batch.column(1)
             may = [pc.match_substring_regex(texts, MAY_ASSIGN), pc.match_substring(texts, "AKIA"), pc.match_substring_regex(texts, MAY_HEX), pc.match_substring_regex(texts, MAY_SENSE)]
@@ -111,7 +177,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     continue
                 text = texts[i].as_py()
                 base = base_spans(text, may[0][i], may[1][i], may[2][i])
-                found = [(*x, None) for x in base] + (novel_spans(text, base, how) if may[3][i] else [])
+                found = [(*x, None) for x in base] + (novel_spans(text, base, how, common) if may[3][i] else [])
                 spans.append([{"kind": KINDS[k], "start": a, "end": b, "cost": cost} for a, k, b, cost in sorted(found, key=lambda x: x[:3])])
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("cost", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=["id", "spans"])

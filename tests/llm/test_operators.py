@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -77,7 +78,10 @@ def test_secrets(spark, none):
         5: "",
         6: "é password=ſecretvalue paſſword=12345678",
         7: "the client secret is  q8Zr0Lw2Xc9Vb4Nm7Kp1 and the word is anticonstitutionally",
-    }
+        8: "anticonstitutionally", 9: "anticonstitutionally, again", 10: "so anticonstitutionally",  # common words prime the dictionary
+        11: "qWmZrTkLpXvBnHsD is the bearer", 12: "x" * 3000 + "token Ab12Cd34Ef56Gh78 and passwd Ab12Cd34Ef56Gh78 in use", 13: "secret 839201746650219384",
+        14: "token" + "".join(f"A{k % 7}b{k % 11}secret" for k in range(30)) + ".", 15: "the secret load_settings_v2 of load_settings_v2, load_settings_v2" + " " * 60 + "load_settings_v2",
+    }
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.scan_secrets(df).collect()}
     for k, t in texts.items():
@@ -88,6 +92,13 @@ def test_secrets(spark, none):
         base = [x for x in got[k] if x[0] != "novel"]
         assert base == sorted(want, key=lambda x: (x[1], secrets.KINDS.index(x[0]))), k
     assert [x[0] for x in got[7]] == ["novel"] and texts[7][got[7][0][1] : got[7][0][2]] == "q8Zr0Lw2Xc9Vb4Nm7Kp1"
+    novel = {k: [texts[k][a:b] for kind, a, b in v if kind == "novel"] for k, v in got.items()}
+    assert novel[11] == ["qWmZrTkLpXvBnHsD"] and novel[12] == ["Ab12Cd34Ef56Gh78"] * 2 and novel[13] == ["839201746650219384"] and len(novel[14]) <= 1 and novel[15] == []
+    long = "token " + "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=1_000_000))
+    began = time.perf_counter()
+    assert [x[:3] for x in secrets.novel_spans(long, [], secrets.Novelty())] == [(6, 3, len(long))] and time.perf_counter() - began < 2
+    repeated = df.unionByName(df).withColumn("spans", F.lit(1)).withColumn("ID", F.lit("x"))  # repeated rows, clashing names
+    assert sorted((r.id, len(r.spans)) for r in secrets.scan_secrets(repeated).collect()) == sorted((k, len(v)) for k, v in got.items() for _ in range(2))
     assert secrets.scan_secrets(none).count() == 0
     around = "def load_settings_v2(path): return open(path) " * 3
     assert secrets.marginal_bytes("load_settings_v2", around) < secrets.marginal_bytes("q8Zr0Lw2Xc9Vb4Nm", around)
