@@ -3,8 +3,12 @@
 A page is cut at block elements into flat blocks. Each has its word count and link density, those of its neighbours, and
 what it stands in (article, navigation, form, comment and so on, told by elements and by names in class, id and role). A
 decision tree, trained by Spark on the small labelled table below, says which blocks are main text; the tree is then walked
-over whole columns of block features. Short paragraphs inside an article are main text and short ones outside are not, so
-the table has both.
+over whole columns of block features. What a block stands in does not decide alone: lists of links inside an article are no
+text, and on pages without an article paragraphs are told by length, density and neighbours.
+
+Names are words of a class, id or role. Those of ``html``, ``body``, ``main`` and ``article`` are not read (they describe the
+page), nor are those that say what a page has or lacks (has-sidebar); ``main`` forgets what it stands in, and ``article``
+forgets outer names except those of comments.
 
 Defined cases: null and empty pages give an empty text; unclosed elements end where their parent does, and ``li``, ``p``
 and table cells where the next begins; a head ends at its end tag, at ``body``, or at the first element or word that may not
@@ -15,8 +19,10 @@ one block; null ids and repeated rows are kept; an empty table gives an empty re
 from __future__ import annotations
 
 import html
+import random
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +34,6 @@ from pyspark.sql import functions as F
 from .common import STR, quoted, schema, spread
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*(?=>|\Z)|[^>]*)(?:>|\Z)", re.S)
-NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 #: Elements whose content is no text of the page.
@@ -37,48 +42,71 @@ RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "nobr"}
 #: What may stand in a head; any other element ends it.
+HEADING = re.compile("h[1-6]")
 IN_HEAD = {"base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 #: What ends an open element of the same or a listed kind without an end tag.
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 WHITE_RUN = re.compile(r"\s+")
+END_OF_RAW = {name: re.compile(f"</{name}", re.I) for name in RAW}
 
 #: Kinds of surroundings, each a bit of a block's features: by element, and by words in class, id or role.
 ARTICLE, NAV, CHROME, ASIDE, NOTICE, ADVERT, FORM, COMMENT = (1 << i for i in range(8))
 BY_ELEMENT = {"article": ARTICLE, "main": ARTICLE, "nav": NAV, "menu": NAV, "footer": CHROME, "header": CHROME, "aside": ASIDE, "form": FORM, "button": FORM, "fieldset": FORM, "dialog": NOTICE}
-BY_NAME = (
-    (ARTICLE, re.compile(r"(?:^|[\s_-])(?:article|post-?(?:body|content)|entry-?content|main-?(?:content|text)?|story)(?:$|[\s_-])", re.I)),
-    (NAV, re.compile(r"(?:^|[\s_-])(?:nav\w*|menu\w*|breadcrumbs?|pagination|pager|toc|tabs)(?:$|[\s_-])", re.I)),
-    (CHROME, re.compile(r"(?:^|[\s_-])(?:footer|header|masthead|site-?(?:info|title)|copyright|banner|contentinfo|skip)(?:$|[\s_-])", re.I)),
-    (ASIDE, re.compile(r"(?:^|[\s_-])(?:sidebar|side|aside|widgets?|related|recommend\w*|share|social|tags?|complementary|byline|promoted)(?:$|[\s_-])", re.I)),
-    (NOTICE, re.compile(r"(?:^|[\s_-])(?:cookies?|consent|notice|alert|gdpr|banner|popup|modal|overlay|newsletter|subscribe|paywall)(?:$|[\s_-])", re.I)),
-    (ADVERT, re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor\w*|promo\w*|dfp|banner-ad)(?:$|[\s_-])", re.I)),
-    (FORM, re.compile(r"(?:^|[\s_-])(?:form|search|login|signup|search-?box)(?:$|[\s_-])", re.I)),
-    (COMMENT, re.compile(r"(?:^|[\s_-])(?:comments?|replies|reply|disqus|discussion|respond|user-comments?)(?:$|[\s_-])", re.I)),
-)
+BY_NAME = {
+    ARTICLE: "story entrycontent postbody postcontent maincontent maintext articlebody articlecontent",
+    NAV: "nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager toc tabs",
+    CHROME: "footer header masthead siteinfo sitetitle copyright contentinfo skip topbar",
+    ASIDE: "sidebar aside widget widgets related recommended recommendations share sharing social tags complementary byline promoted teaser teasers",
+    NOTICE: "cookie cookies consent notice alert gdpr banner popup modal overlay newsletter subscribe paywall",
+    ADVERT: "ad ads advert adverts advertisement sponsor sponsored promo promotion dfp",
+    FORM: "form search login signup searchbox",
+    COMMENT: "comment comments reply replies disqus discussion respond",
+}
+NAME_BITS = {word: bit for bit, words in BY_NAME.items() for word in words.split()}
+SAYS_OF_PAGE = {"has", "with", "without", "no", "not", "is", "js"}
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "heading", "article", "nav", "chrome", "aside", "notice", "advert", "form", "comment")
 
 
-def hidden(attributes: str) -> bool:
-    """Whether a tag's attributes keep its element from being shown. The first of attributes of one name counts."""
-    seen = set()
-    for m in ATTRIBUTE.finditer(attributes):
-        name = m[1].lower()
-        if name in seen:
-            continue
-        seen.add(name)
-        value = html.unescape((m[2] or "").strip("\"'"))
-        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and NO_DISPLAY.search(value)):
-            return True
-    return False
+def attributes_of(written: str) -> dict[str, str]:
+    """A tag's attributes; the first of one name counts."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(written):
+        out.setdefault(m[1].lower(), html.unescape((m[2] or "").strip("\"'")))
+    return out
+
+
+def hidden(attributes: dict[str, str]) -> bool:
+    """Whether a tag's attributes keep its element from being shown."""
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or NO_DISPLAY.search(attributes.get("style", "")) is not None
+
+
+def named(attributes: dict[str, str]) -> int:
+    """What the words of class, id and role tell: single ones, and neighbours joined (entry-content)."""
+    bits = 0
+    for name in ("class", "id", "role"):
+        for token in attributes.get(name, "").lower().split():
+            words = [w for w in re.split(r"[_-]+", token) if w]
+            if words and words[0] not in SAYS_OF_PAGE:
+                for w in (*words, *(a + b for a, b in zip(words, words[1:]))):
+                    bits |= NAME_BITS.get(w, 0)
+    return bits
+
+
+def closes_itself(written: str) -> bool:
+    """Whether a slash before the end of a tag is more than the last character of an unquoted value."""
+    return written.endswith("/") and written[-2:-1] in ("", " ", "\t", "\n", "\r", "\f", "'", '"')
 
 
 def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
-    """(text, words, words in links, heading, surroundings) of each block with text, in page order."""
+    """(text, words, words in links, heading, surroundings) of each block with text, in page order. Time is in proportion to
+    the page: open elements are counted by name, and those that are no inline elements are kept by place."""
     out: list[tuple[str, int, int, int, int]] = []
-    stack: list[tuple[str, int, bool]] = []  # element, surroundings with those of its parents, silent
+    stack: list[tuple[str, int, int, bool]] = []  # element; surroundings by element and by name, with its parents'; silent
     parts: list[tuple[str, bool]] = []
-    links, heading, at, ended = 0, 0, 0, len(page)
+    open_: Counter[str] = Counter()
+    solid: list[int] = []  # places in the stack of all but inline elements
+    heading, at, ended = 0, 0, len(page)
 
     def flush() -> None:
         nonlocal heading
@@ -86,21 +114,30 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             text = WHITE_RUN.sub(" ", "".join(p for p, _ in parts)).strip()
             if text:
                 linked = sum(len(p.split()) for p, in_link in parts if in_link)
-                out.append((text, text.count(" ") + 1, linked, heading, stack[-1][1] if stack else 0))
+                out.append((text, text.count(" ") + 1, linked, heading, stack[-1][1] | stack[-1][2] if stack else 0))
             parts.clear()
 
     def close(to: int) -> None:
-        nonlocal links
         while len(stack) > to:
-            links -= stack.pop()[0] == "a"
+            open_[stack.pop()[0]] -= 1
+        while solid and solid[-1] >= to:
+            solid.pop()
+
+    def opened(name: str) -> int | None:
+        """The place that an end tag closes. Inline ones reach no further than the element around them."""
+        if open_[name]:
+            for k in range(len(stack) - 1, solid[-1] if name in INLINE and solid else -1, -1):
+                if stack[k][0] == name:
+                    return k
+        return None
 
     while at < ended:
         m = TAG.search(page, at)
         raw = page[at : m.start() if m else ended]
         if stack and stack[-1][0] == "head" and raw.strip():
             close(len(stack) - 1)
-        if raw and not (stack and stack[-1][2]):
-            parts.append((html.unescape(raw) if "&" in raw else raw, links > 0))
+        if raw and not (stack and stack[-1][3]):
+            parts.append((html.unescape(raw) if "&" in raw else raw, open_["a"] > 0))
         if not m:
             break
         at, name = m.end(), (m[2] or "").lower()
@@ -109,42 +146,38 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         if m[1]:
             if name not in INLINE:
                 flush()
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if k is not None and (name not in INLINE or all(x[0] in INLINE for x in stack[k:])):
+            k = opened(name)
+            if k is not None:
                 close(k)
-            heading = 0 if re.fullmatch("h[1-6]", name) else heading
+            heading = 0 if HEADING.fullmatch(name) else heading
             continue
-        if name not in IN_HEAD:  # an open head ends here, but not inside one of its own elements (a template, say)
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in INLINE), None)
-            if k is not None and stack[k][0] == "head":
-                close(k)
+        if name not in IN_HEAD and solid and stack[solid[-1]][0] == "head":  # an open head ends here, but not inside a template, say
+            close(solid[-1])
         if name == "br":
-            parts.append((" ", links > 0))
+            parts.append((" ", open_["a"] > 0))
             continue
         if name not in INLINE:
             flush()
-            heading = int(bool(re.fullmatch("h[1-6]", name)))
+            heading = int(bool(HEADING.fullmatch(name)))
             ends = CLOSES.get(name, set()) | ({"p"} if name in ENDS_P else set())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
-                    close(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        if name in VOID or m[3].endswith("/"):
+            while solid and stack[solid[-1]][0] in ends:
+                close(solid[-1])
+        attributes = attributes_of(m[3]) if m[3] else {}
+        if name in VOID or closes_itself(m[3]):
             continue
-        around, silent = (stack[-1][1], stack[-1][2]) if stack else (0, False)
-        around |= BY_ELEMENT.get(name, 0)
-        if m[3]:
-            for v in NAMED.findall(m[3]):
-                for bit, words in BY_NAME:
-                    if words.search(v.strip("\"'")):
-                        around |= bit
-            silent = silent or hidden(m[3])
-        stack.append((name, around, silent or name in SILENT))
-        links += name == "a"
+        by_element, by_name, silent = stack[-1][1:] if stack else (0, 0, False)
+        if name == "main":
+            by_element = by_name = 0
+        elif name == "article":
+            by_name &= COMMENT
+        elif name not in ("html", "body"):
+            by_name |= named(attributes) if attributes else 0
+        if name not in INLINE:
+            solid.append(len(stack))
+        stack.append((name, by_element | BY_ELEMENT.get(name, 0), by_name, silent or name in SILENT or hidden(attributes)))
+        open_[name] += 1
         if name in RAW:  # no markup inside
-            end = re.compile(f"</{name}", re.I).search(page, at)
+            end = END_OF_RAW[name].search(page, at)
             at = end.start() if end else ended
     flush()
     return out
@@ -181,10 +214,52 @@ LABELLED = (
 )
 
 
-def labelled_rows() -> list[tuple[float, ...]]:
-    """(label, features...) of every block of the labelled pages."""
+WORDS = "the of and to in a is that for it as was with be by on not but at are this have from or had an they which one you were all there would their we him been has when who will more no if out so said what up its about into than them can only other".split()
+
+
+def said(n: int, start: int = 0) -> str:
+    """n words."""
+    return " ".join(WORDS[(start + 7 * k) % len(WORDS)] for k in range(n))
+
+
+def link(n: int, start: int = 0) -> str:
+    return f"<a href=/x>{said(n, start)}</a>"
+
+
+def layouts(seed: int = 1, rounds: int = 24) -> list[str]:
+    """Labelled pages of six kinds, with lengths drawn anew in every round: a page in plain paragraphs with menus and a last
+    line around it; an article with lists of links in it; an article of short blocks; teasers that lead elsewhere; lines that
+    belong to no text; blocks of all lengths that are told by what they stand in, beside text."""
+    out, draw = [], random.Random(seed)
+    n = draw.randint
+    row = lambda: "<p>" + " ".join(link(n(1, 3), n(0, 50)) for _ in range(n(2, 7))) + "</p>"
+    links = lambda: "<ul>" + "".join(f"<li>{link(n(1, 6), i)}</li>" for i in range(n(2, 8))) + "</ul>"
+    menu = lambda: draw.choice((row, links))()
+    plain = lambda a, b: f"<p>{said(n(a, b), n(0, 50))}</p>"
+    text = lambda a, b: f"<p>[[{said(n(a, b), n(0, 50))}]]</p>"
+    long, any_ = lambda: text(26, 150), lambda: text(1, 150)
+    mixed = lambda: f"<p>[[{said(n(20, 90))} {link(n(1, 8))} {said(n(5, 30))}]]</p>"
+    for k in range(rounds):
+        out.append(f"{menu()}{long()}{mixed()}{text(1, 24)}{long()}{text(1, 24)}{long()}{menu()}{plain(10, 40)}{menu()}")
+        out.append(f"{links()}{plain(1, 20)}{links()}{long()}{long()}{mixed()}{menu()}{plain(1, 20)}")
+        out.append(f"{menu()}<article><h1>[[{said(n(1, 30))}]]</h1>{any_()}{mixed()}{links()}{any_()}<p>[[{said(n(2, 6))} {link(n(1, 4))} {said(n(3, 9))}]]</p>{any_()}</article>{menu()}")
+        out.append(f"<article>{any_()}<p>[[{link(n(1, 12))}]]</p>{any_()}{any_()}<p>[[{link(n(1, 12))}]]</p>{mixed()}</article>")
+        out.append(f"<article>{any_()}<ul><li>[[{said(n(1, 30))}]]</li><li>[[{said(n(1, 30))}]]</li></ul>{any_()}{row()}{links()}{row()}</article>")
+        out.append(f"{links()}<article><h1>[[{said(n(1, 12))}]]</h1>" + "".join(text(1, 12) for _ in range(n(2, 9))) + f"</article><footer>{plain(1, 30)}</footer>")
+        out.append("".join(f"<h3>{link(n(2, 9))}</h3>{plain(8, 24)}" for _ in range(n(2, 5))) + menu())
+        out.append(f"{plain(1, 12)}{plain(1, 8)}<article>{any_()}</article>{plain(1, 8)}{plain(1, 12)}")
+        for kind in ("div class=ad", "aside", "footer", "header", "div class=cookie-notice", "div class=comments", "form"):
+            extra = lambda kind=kind: f"<{kind}>{plain(1, 90)}</{kind.split()[0]}>"
+            out.append(f"{links()}{extra()}<article><h1>[[{said(n(1, 30))}]]</h1>{any_()}{extra()}{any_()}{any_()}</article>{extra()}")
+            if k % 3 == 0:
+                out.append(f"{menu()}{extra()}{long()}{extra()}{long()}{text(1, 24)}{long()}{extra()}{menu()}")
+    return out
+
+
+def labelled_rows(pages: Iterable[str]) -> list[tuple[float, ...]]:
+    """(label, features...) of every block of labelled pages."""
     rows = []
-    for page in LABELLED:
+    for page in pages:
         found = blocks(page)
         rows += [(float("[[" in b[0]), *map(float, f)) for b, f in zip(found, features([(b[0].strip("[]"), *b[1:]) for b in found]))]
     return rows
@@ -204,11 +279,11 @@ class Tree:
         return self.label[at] > 0.5
 
 
-def train(spark: SparkSession, max_depth: int = 10) -> Tree:
-    """Fits the tree to the labelled table; its size is the table's, some fifty rows."""
-    data = spark.createDataFrame(labelled_rows(), ["label", *FEATURES])
+def train(spark: SparkSession, max_depth: int = 12) -> Tree:
+    """Fits the tree to the labelled table; its size is the table's, some thousands of rows."""
+    data = spark.createDataFrame(labelled_rows([*LABELLED, *layouts()]), ["label", *FEATURES])
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(data).select("label", "features").coalesce(1)
-    model = DecisionTreeClassifier(maxDepth=max_depth, minInstancesPerNode=1, seed=1).fit(data)
+    model = DecisionTreeClassifier(maxDepth=max_depth, maxBins=128, minInstancesPerNode=1, seed=1).fit(data)
     nodes: tuple[list, ...] = ([], [], [], [], [])
 
     def add(node) -> int:

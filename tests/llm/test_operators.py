@@ -377,11 +377,41 @@ def test_html(spark):
     got = {r.id: r.text for r in htmlblocks.main_text(df).collect()}
     assert got[1] == "A & B\n\nFirst bold text é <x>. more\n\nShort."
     assert got[2] == "" and got[3] == "" and got[4] == "Only this." and got[7] == "" and got[6] == "cut off in a tag"
-    rows = np.array(htmlblocks.labelled_rows())
-    assert (htmlblocks.train(spark).predict(rows[:, 1:]) == (rows[:, 0] > 0.5)).all()
     assert htmlblocks.main_text(df.limit(0)).count() == 0
 
 
+def test_html_tree(spark):
+    """The tree knows the pages judged by hand, nearly all drawn ones, and pages that it never saw; it asks for density and
+    neighbours."""
+    tree = htmlblocks.train(spark)
+    right = lambda pages: (lambda rows: tree.predict(rows[:, 1:]) == (rows[:, 0] > 0.5))(np.array(htmlblocks.labelled_rows(pages)))
+    assert right(htmlblocks.LABELLED).all() and right([*htmlblocks.LABELLED, *htmlblocks.layouts()]).mean() > 0.995
+    assert right(htmlblocks.layouts(seed=99)).mean() > 0.97
+    asked = {htmlblocks.FEATURES[f] for f, left in zip(tree.feature, tree.left) if left >= 0}
+    assert {"density", "density_before", "density_after", "words_before", "words_after"} <= asked and tree.feature[0] == htmlblocks.FEATURES.index("density")
+
+
+def test_html_names_do_not_silence_the_page(spark):
+    long = " ".join(["word"] * 40)
+    cases = {
+        1: f"<body class='home has-sidebar'><article class='post tag-news'><p>Short one.</p><p>{long}</p></article>",
+        2: f"<div class='sidebar-left with-ads'><main><p>Short one.</p><p>{long}</p></main></div>",
+        3: f"<article><p>Short one.</p><p><a href=/foo/>a link of seven whole words here</a></p><p>{long}</p></article>",
+        4: f"<article><p>Short one.</p><p>{long}</p><section id=comments><article><p>{long}</p></article></section></article>",
+        5: f"<body><p><a href=/a>Start</a> <a href=/b>Shop</a> <a href=/c>Contact</a></p><p>{long}</p><p>Short one.</p><p>{long}</p><p><a href=/a>Start</a> <a href=/b>Shop</a></p><p>Copyright of a site, all rights are with the owners of the site and with nobody else at all in this world.</p><p><a href=/d>Imprint</a></p>",
+        6: f"<article><p>Short one.</p><p>{long}</p><ul><li><a href=/1>One more text</a><li><a href=/2>And another one of them</a><li><a href=/3>The last of them</a></ul></article>",
+    }
+    df = spark.createDataFrame([(k, "u", v, "x") for k, v in cases.items()] * 2, "page_id long, url string, html string, text string")  # repeated rows, a clashing name
+    got = [(r.id, r.text) for r in htmlblocks.main_text(df).collect()]
+    want = {k: f"Short one.\n\n{long}" for k in (1, 2, 4, 6)} | {3: f"Short one.\n\na link of seven whole words here\n\n{long}", 5: f"{long}\n\nShort one.\n\n{long}"}
+    assert sorted(got) == sorted([*want.items()] * 2)
+    assert [b[2] for b in htmlblocks.blocks("<p><a href=/foo/>two words</a> more <a name='x'/>words <br/>here")] == [2]
+    for page in ("<div>" * 30_000 + "</p>" * 30_000, "<b>" * 30_000 + "<i>x" * 30_000, "<b>" + "<div>" * 30_000 + "</b>" * 30_000, "<div>" * 30_000 + "x</div>" * 30_000):
+        began = time.perf_counter()
+        htmlblocks.blocks(page)
+        assert time.perf_counter() - began < 3
+
+
 def test_html_shows_what_only_looks_hidden():
     text = lambda page: [b[0] for b in htmlblocks.blocks(page)]
     for shown in ("class='overflow-hidden'", "style='overflow:hidden'", "aria-hidden=false", "href=/the-hidden-valley", "data-hidden=1", "class=hidden", "title='display: none'"):
