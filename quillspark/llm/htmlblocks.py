@@ -237,13 +237,16 @@ def layouts(seed: int = 1, rounds: int = 24) -> list[str]:
     menu = lambda: draw.choice((row, links))()
     plain = lambda a, b: f"<p>{said(n(a, b), n(0, 50))}</p>"
     text = lambda a, b: f"<p>[[{said(n(a, b), n(0, 50))}]]</p>"
-    long, any_ = lambda: text(26, 150), lambda: text(1, 150)
+    long, any_ = lambda: text(28, 150), lambda: text(1, 150)
     mixed = lambda: f"<p>[[{said(n(20, 90))} {link(n(1, 8))} {said(n(5, 30))}]]</p>"
     for k in range(rounds):
-        out.append(f"{menu()}{long()}{mixed()}{text(1, 24)}{long()}{text(1, 24)}{long()}{menu()}{plain(10, 40)}{menu()}")
+        for _ in range(8):  # a short paragraph stands between long ones
+            body = "".join(draw.choice((long, long, mixed))() + draw.choice((text(1, 24), text(1, 8), "")) for _ in range(n(2, 6)))
+            out.append(f"{menu()}{body}{long()}{menu()}{plain(10, 25)}{menu()}")
         out.append(f"{links()}{plain(1, 20)}{links()}{long()}{long()}{mixed()}{menu()}{plain(1, 20)}")
         out.append(f"{menu()}<article><h1>[[{said(n(1, 30))}]]</h1>{any_()}{mixed()}{links()}{any_()}<p>[[{said(n(2, 6))} {link(n(1, 4))} {said(n(3, 9))}]]</p>{any_()}</article>{menu()}")
         out.append(f"<article>{any_()}<p>[[{link(n(1, 12))}]]</p>{any_()}{any_()}<p>[[{link(n(1, 12))}]]</p>{mixed()}</article>")
+        out += [f"<article>{text(1, 40)}</article>", f"<article>{any_()}{text(1, 20)}</article>", f"<article>{any_()}<aside>{plain(1, 20)}</aside></article>"]
         out.append(f"<article>{any_()}<ul><li>[[{said(n(1, 30))}]]</li><li>[[{said(n(1, 30))}]]</li></ul>{any_()}{row()}{links()}{row()}</article>")
         out.append(f"{links()}<article><h1>[[{said(n(1, 12))}]]</h1>" + "".join(text(1, 12) for _ in range(n(2, 9))) + f"</article><footer>{plain(1, 30)}</footer>")
         out.append("".join(f"<h3>{link(n(2, 9))}</h3>{plain(8, 24)}" for _ in range(n(2, 5))) + menu())
@@ -279,9 +282,9 @@ class Tree:
         return self.label[at] > 0.5
 
 
-def train(spark: SparkSession, max_depth: int = 12) -> Tree:
-    """Fits the tree to the labelled table; its size is the table's, some thousands of rows."""
-    data = spark.createDataFrame(labelled_rows([*LABELLED, *layouts()]), ["label", *FEATURES])
+def train(spark: SparkSession, max_depth: int = 14) -> Tree:
+    """Fits the tree to the labelled table, pages judged by hand eightfold; its size is the table's, some thousands of rows."""
+    data = spark.createDataFrame(labelled_rows([*LABELLED * 8, *layouts()]), ["label", *FEATURES])
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(data).select("label", "features").coalesce(1)
     model = DecisionTreeClassifier(maxDepth=max_depth, maxBins=128, minInstancesPerNode=1, seed=1).fit(data)
     nodes: tuple[list, ...] = ([], [], [], [], [])
