@@ -1,12 +1,13 @@
 """Exact dedup as a stateful stream.
 
 Documents arrive as digests of their normalised texts; a streaming aggregation keyed by digest keeps, in RocksDB on disk
-and without expiry, the least stable identifier, the number of arrivals and a content locator of the document that stays.
-State and arrivals live in a folder, so a later call with the same folder goes on where the last one ended. Counts and
-minima are formed before the shuffle: a text that makes up a third of all rows sends one row a task to its state.
+and without expiry, the least stable identifier, the number of arrivals and a content locator of the document that stays:
+the file that holds its text, and its identifier. State and arrivals live in a folder, so a later call with the same folder
+goes on where the last one ended; such a folder also stores the normalised texts, which are what locators point to. Counts
+and minima are formed before the shuffle: a text that makes up a third of all rows sends one row a task to its state.
 
-A digest that was hit more than once is then checked on full bytes: the normalised texts of hit digests are grouped as
-they are. Should two texts share a digest, its documents are grouped by text instead.
+A digest that was hit more than once is then checked on full bytes, those of earlier calls too: the normalised texts of hit
+digests are grouped as they are. Should two texts share a digest, its documents are grouped by text instead.
 
 Defined cases: a null text counts as empty, and empty texts are equal to each other; of rows with one id and one text all
 count in the size and ``keep_first`` leaves one; null ids never stay before others; an empty table gives an empty result;
@@ -15,6 +16,8 @@ other columns of the input are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +42,8 @@ def normalised(text: F.Column) -> F.Column:
 
 
 def digested(docs: DataFrame, id_col: str, text_col: str, digest_bits: int) -> DataFrame:
-    kept = spread(docs.select(quoted(id_col).cast("long").alias("id"), normalised(quoted(text_col)).alias("norm")))
+    """id, norm, file (where the row was read, empty if it was not), sha, digest."""
+    kept = spread(docs.select(quoted(id_col).cast("long").alias("id"), normalised(quoted(text_col)).alias("norm"), F.input_file_name().alias("file")))
     return kept.withColumn("sha", F.sha2("norm", 256)).withColumn("digest", F.substring("sha", 1, digest_bits // 4))
 
 
@@ -63,11 +67,11 @@ def streamed(spark: SparkSession, folder: str, files_per_batch: int) -> DataFram
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     rows = spark.read.schema("digest string, keep_id long, arrived long, locator string").parquet(f"{folder}/state-rows/batch=*")
     # a digest has a row for each batch that changed it; identifiers only fall and counts only grow
-    return rows.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.max("arrived").alias("group_size"))
+    return rows.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.max("arrived").alias("group_size"), F.max_by("locator", "arrived").alias("keep_locator"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, files_per_batch: int = 4096, digest_bits: int = 256) -> DataFrame:
-    """(id, keep_id, group_size, text_sha256): a row per document of ``docs``.
+    """(id, keep_id, group_size, text_sha256, keep_locator): a row per document of ``docs``.
 
     folder: a shared folder whose state goes on; by default a fresh one. files_per_batch bounds a micro-batch.
     """
@@ -75,25 +79,33 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lasting = folder is not None
     folder = folder or scratch_path(spark, "exact")
     texts = digested(docs, id_col, text_col, digest_bits)
-    arrived = texts.select("id", "sha", "digest", F.concat_ws("#", F.input_file_name(), F.col("id").cast("string")).alias("locator"))
-    now = arrived if not lasting else written(arrived, "arrived")
+    contents = texts
+    if lasting:
+        own = f"{folder}/contents/call={uuid.uuid4().hex}"
+        texts.drop("file").write.parquet(own)
+        stored = spark.read.schema("id long, norm string, sha string, digest string")
+        texts = stored.parquet(own).withColumn("file", F.input_file_name())
+        contents = stored.parquet(f"{folder}/contents/call=*")
+    arrived = texts.select("id", "sha", "digest", F.concat_ws("#", "file", F.col("id").cast("string")).alias("locator"))
+    now = written(arrived, "arrived") if lasting else arrived
     now.write.mode("append").parquet(f"{folder}/arrivals")
-    own = now if lasting else spark.read.schema(arrived.schema).parquet(f"{folder}/arrivals")
+    own_rows = now if lasting else spark.read.schema(arrived.schema).parquet(f"{folder}/arrivals")
     groups = written(streamed(spark, folder, files_per_batch), "groups")
 
     # full bytes of the hits
     hits = groups.filter("group_size > 1").select("digest")
-    variants = texts.select("id", "digest", "norm", "sha").join(hits, "digest", "left_semi").groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
+    if lasting:
+        hits = hits.join(now.select("digest"), "digest", "left_semi")
+    variants = contents.select("id", "digest", "norm").join(hits, "digest", "left_semi").groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
     clashing = written(variants.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").select("digest"), "clashing")
-    plain = own.select("id", "sha", "digest")
-    if not clashing.isEmpty():
-        split = texts.join(clashing, "digest", "left_semi").select("id", "sha", "norm")
-        split = split.join(split.groupBy("norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size")), "norm")
-        plain = plain.join(clashing, "digest", "left_anti")
-        whole = plain.join(groups, "digest").select("id", "keep_id", "group_size", "sha").unionByName(split.select("id", "keep_id", "group_size", "sha"))
-    else:
-        whole = plain.join(groups, "digest")
-    return whole.select("id", "keep_id", "group_size", F.col("sha").alias("text_sha256"))
+    columns = ["id", "keep_id", "group_size", F.col("sha").alias("text_sha256"), "keep_locator"]
+    if clashing.isEmpty():
+        return own_rows.select("id", "sha", "digest").join(groups, "digest").select(*columns)
+    whole = own_rows.select("id", "sha", "digest").join(clashing, "digest", "left_anti").join(groups, "digest")
+    split = texts.join(clashing, "digest", "left_semi").select("id", "sha", "norm", "file")
+    by_text = contents.join(clashing, "digest", "left_semi").groupBy("norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
+    split = split.join(by_text, "norm").withColumn("keep_locator", F.when(F.col("id").eqNullSafe(F.col("keep_id")), F.concat_ws("#", "file", F.col("id").cast("string"))))
+    return whole.select(*columns).unionByName(split.select(*columns))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

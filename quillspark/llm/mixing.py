@@ -147,3 +147,11 @@ def mixed(docs: DataFrame, entropy_share: float | None = None, most_repeats: flo
     seen = joined.withColumn("_copies", copies).filter("_copies > 0").withColumn(at, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
     place = F.array(order(F.col(at), b1), order(F.col(at), b1, b2), order(F.col(at), h))
     return seen.select(*(quoted(c) for c in docs.columns), F.col(at), b1.alias(free_name(docs, "mix_block")), place.alias(free_name(docs, "mix_order")), words(text).alias(free_name(docs, "mix_tokens")))
+
+
+def in_order(seen: DataFrame) -> DataFrame:
+    """Rows of ``mixed`` as their sources' streams: by pass, block, smaller block and document. The keys are spread evenly whatever
+    the source, so a source with a third of all rows lies in many ranges."""
+    n = max(int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions")), seen.sparkSession.sparkContext.defaultParallelism)
+    keys = [quoted("mix_pass"), *(quoted("mix_order")[i] for i in range(3))]
+    return seen.repartitionByRange(n, *keys).sortWithinPartitions(*keys)

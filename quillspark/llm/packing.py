@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import BIN, INT, LONG, STR, quoted, schema, spread, written
 
-PIECE = schema(id=LONG, start=LONG, length=LONG, ids_crc32=LONG, doc_tokens=LONG, sequence_id=LONG, offset=LONG, queue=STR)
+PIECE = schema(id=LONG, start=LONG, length=LONG, ids_crc32=LONG, doc_tokens=LONG, sequence_id=LONG, offset=LONG, queue=STR, queue_offset=LONG)
+TOKENS = schema(id=LONG, queue=STR, file=STR, block=LONG, part=INT, place=LONG, n=LONG, ids=BIN)
 #: Runs a worker remembers (some 100 MB), the longest of them in bytes, and slots that say which runs it met before.
 MOST_CACHED, LONGEST_CACHED, SEEN_SLOTS = 500_000, 64, 1 << 22
 STOPS = b".,;:!?"
@@ -99,12 +100,19 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, source_col: str, max_queues: int) -> DataFrame:
-    """id, queue, partition, place (tokens of the queue before it in its partition), n, ids."""
-    source = F.coalesce(F.concat(F.lit("="), quoted(source_col).cast("string")), F.lit("null"))
+def queue_name(source: F.Column, max_queues: int, shared: bool) -> F.Column:
+    """A source's own queue, or the one that it shares with others."""
+    name = F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
+    return F.concat(F.lit("#"), F.pmod(F.xxhash64(name), F.lit(max_queues)).cast("string")) if shared else name
+
+
+def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, source_col: str, max_queues: int, file_order: bool) -> DataFrame:
+    """id, queue, where it was read (file, block, partition), place (tokens of the queue before it there), n, ids."""
+    source = quoted(source_col).cast("string")
     names = docs.select(source.alias("s")).distinct().limit(max_queues + 1).count()
-    queue = source if names <= max_queues else F.concat(F.lit("#"), F.pmod(F.xxhash64(source), F.lit(max_queues)).cast("string"))
-    rows = spread(docs.select(quoted(id_col).cast("long").alias("id"), queue.alias("queue"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text")))
+    read = (F.input_file_name(), F.input_file_block_start()) if file_order else (F.lit(""), F.lit(0).cast("long"))
+    rows = docs.select(quoted(id_col).cast("long").alias("id"), queue_name(source, max_queues, names > max_queues).alias("queue"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"), read[0].alias("file"), read[1].alias("block"))
+    rows = rows if file_order else spread(rows)
     end = np.array([end_id], "<u2").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,13 +122,13 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_co
                 batch = big.slice(i, 500)
                 ids = [x + end for x in codes.encode(batch.column(2).to_pylist())]
                 places = []
-                for q, x in zip(batch.column(1).to_pylist(), ids):
-                    places.append(sent.get(q, 0))
-                    sent[q] = places[-1] + len(x) // 2
+                for *q, x in zip(*(batch.column(c).to_pylist() for c in (1, 3, 4)), ids):
+                    places.append(sent.get(tuple(q), 0))
+                    sent[tuple(q)] = places[-1] + len(x) // 2
                 n = pa.array([len(x) // 2 for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([part] * len(ids), pa.int32()), pa.array(places, pa.int64()), n, pa.array(ids, pa.binary())], names=["id", "queue", "part", "place", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array([part] * len(ids), pa.int32()), pa.array(places, pa.int64()), n, pa.array(ids, pa.binary())], names=TOKENS.names)
 
-    return rows.mapInArrow(encode, schema(id=LONG, queue=STR, part=INT, place=LONG, n=LONG, ids=BIN))
+    return rows.mapInArrow(encode, TOKENS)
 
 
 def phases(totals: list[int], weights: list[float] | None, window: int) -> list[list[int]]:
@@ -212,20 +220,28 @@ def tail_parts(rest: int) -> list[tuple[int, int]]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_queues: int = 256) -> DataFrame:
-    """A row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue.
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_queues: int = 256, file_order: bool = False) -> DataFrame:
+    """A row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue, queue_offset (of its document's first
+    token among the tokens of the queue, which tells repeated rows apart).
 
-    weights: target token proportions by source; by default those of the table, so that every window mixes alike.
+    weights: target token proportions by source; by default those of the table, so that every window mixes alike. Sources that
+    share a queue add up theirs. file_order: queues follow the names of the table's files and the order in them; else tasks.
     """
     if window < 4 * max_queues:
         raise ValueError("a window must hold four tokens a queue")
-    table = written(tokenised(docs, tokenizer, end_id, id_col, text_col, source_col, max_queues), "tokens")
-    sums = table.groupBy("queue", "part").agg(F.sum("n").alias("tokens"))
-    before = F.sum("tokens").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    bases = written(sums.select("queue", "part", "tokens", F.coalesce(before, F.lit(0)).alias("base")), "bases")
+    table = written(tokenised(docs, tokenizer, end_id, id_col, text_col, source_col, max_queues, file_order), "tokens")
+    where = ["queue", "file", "block", "part"]
+    sums = table.groupBy(*where).agg(F.sum("n").alias("tokens"))
+    before = F.sum("tokens").over(Window.partitionBy("queue").orderBy(*where[1:]).rowsBetween(Window.unboundedPreceding, -1))
+    bases = written(sums.select(*where, "tokens", F.coalesce(before, F.lit(0)).alias("base")), "bases")
     totals = {r["queue"]: r["t"] for r in bases.groupBy("queue").agg(F.sum("tokens").alias("t")).collect()}  # at most max_queues + 1
     names = sorted(totals)
-    by_queue = weights and [weights.get(None if x == "null" else x[1:], 0.0) for x in names]
+    by_queue = None
+    if weights:
+        shared = any(x.startswith("#") for x in names)
+        told = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "source string, weight double")
+        summed = {r["queue"]: r["w"] for r in told.groupBy(queue_name(F.col("source"), max_queues, shared).alias("queue")).agg(F.sum("weight").alias("w")).collect()}
+        by_queue = [summed.get(x, 0.0) for x in names]
     sent = phases([totals[x] for x in names], by_queue, window)
     starts = np.cumsum([[0] * len(names), *sent], axis=0).tolist()
     first = np.cumsum([0, *(-(-sum(s) // window) for s in sent)]).tolist()
@@ -237,7 +253,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, w
         tail = tail_parts(rounds[-1].total % window) if rounds else []
         for big in batches:
             for i in range(0, big.num_rows, 2000):
-                rows: tuple[list, ...] = tuple([] for _ in range(8))
+                rows: tuple[list, ...] = tuple([] for _ in range(9))
                 for id_, queue, at, n, ids in zip(*(c.to_pylist() for c in big.slice(i, 2000).columns)):
                     q, wide = index[queue], np.frombuffer(ids, "<u2").astype("<u4").tobytes()
                     for p, r in enumerate(rounds):
@@ -251,10 +267,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, w
                             else:  # the rest of the last phase
                                 placed = [(max(x, x + s - offset), min(y, x + s + size - offset), first[p] + w + t, max(0, offset - s)) for t, (s, size) in enumerate(tail) if s < offset + y - x and offset < s + size]
                             for u, v, sequence, o in placed:
-                                for to, value in zip(rows, (id_, u, v - u, zlib.crc32(wide[4 * u : 4 * v]), n, sequence, o, queue)):
+                                for to, value in zip(rows, (id_, u, v - u, zlib.crc32(wide[4 * u : 4 * v]), n, sequence, o, queue, at)):
                                     to.append(value)
-                kinds = [pa.int64()] * 7 + [pa.string()]
+                kinds = [pa.int64()] * 7 + [pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=PIECE.names)
 
-    placed = table.join(bases.select("queue", "part", "base"), ["queue", "part"]).select("id", "queue", (F.col("base") + F.col("place")).alias("at"), "n", "ids")
+    placed = table.join(bases.select(*where, "base"), where).select("id", "queue", (F.col("base") + F.col("place")).alias("at"), "n", "ids")
     return placed.mapInArrow(cut, PIECE)

@@ -13,15 +13,15 @@ ones, so their deviations are divided by what a mean over so few words scatters
 write one length of word only.
 
 Defined cases: null and empty texts have no words and fail the base rules; rows that fail them take no part in estimates;
-null languages and sources are groups of their own; a group with under ``min_rows`` rows is pooled with its language, then
-with all; where even that is small, nothing is rejected; repeated rows get equal results; an empty table gives an empty
+null languages and sources are groups of their own; a group with under ``min_rows`` rows is measured by the estimate of its
+whole language, and where that is small, of all rows; where even those are few, nothing is rejected; repeated rows get equal results; an empty table gives an empty
 result; columns of other names are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -47,6 +47,25 @@ def chi2(share: float, k: int = len(FLOORS)) -> float:
 CHI2_MEDIAN = chi2(0.5)
 
 
+def in_repeated_windows(words: list[bytes]) -> int:
+    """How many words lie in a window of three that stands twice or more. Windows are numbers: no objects for each place."""
+    if len(words) < 4:
+        return 0
+    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    if len(number) == len(words):
+        return 0
+    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    pair = ids[:-1] * len(number) + ids[1:]
+    if len(number) > 1 << 20:  # else three numbers fit one
+        pair = np.unique(pair, return_inverse=True)[1]
+    window = pair[:-1] * len(number) + ids[2:]
+    _, which, times = np.unique(window, return_inverse=True, return_counts=True)
+    hit, covered = times[which] > 1, np.zeros(len(words), bool)
+    for k in range(3):
+        covered[k : len(hit) + k] |= hit
+    return int(covered.sum())
+
+
 def stats_of(text: str) -> tuple[int, ...]:
     """The five counts, then ASCII capitals, punctuation, and characters in duplicate lines."""
     data = text.encode()
@@ -58,14 +77,7 @@ def stats_of(text: str) -> tuple[int, ...]:
         if line in seen:
             twice += len(line.translate(None, BLANKS).decode())
         seen.add(line)
-    windows = list(zip(words, words[1:], words[2:]))
-    repeated = 0
-    if len(set(windows)) < len(windows):
-        times, covered = Counter(windows), bytearray(len(words))
-        for i, w in enumerate(windows):
-            if times[w] > 1:
-                covered[i : i + 3] = b"\1\1\1"
-        repeated = sum(covered)
+    repeated = in_repeated_windows(words)
     return len(words), len(text) - without(BLANKS), without(SYMBOLS), len(lines) - len(seen), repeated, without(CAPITALS), without(PUNCT), twice
 
 
@@ -144,36 +156,45 @@ def outliers(stats: DataFrame, keep_share: float = 0.75, steps: int = 8, ridge:
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
     both, one = F.concat_ws("\x1f", named("lang"), named("source")), named("lang")
     sizes = good.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    small = sizes.filter(F.col("n") < min_rows).groupBy("lang").agg(F.sum("n").alias("m"))
-    sizes = sizes.join(small.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left")
-    sizes = sizes.select(F.col("lang").alias("l"), F.col("source").alias("s"), F.when(F.col("n") >= min_rows, both).when(F.col("m") >= min_rows, one).otherwise("all").alias("group"))
+    whole = sizes.groupBy(F.col("lang").alias("l")).agg(F.sum("n").alias("m"))
+    small, few = F.col("n") < min_rows, F.col("m") < min_rows
+    sizes = sizes.join(whole, F.col("lang").eqNullSafe(F.col("l"))).drop("l")
+    sizes = sizes.select(F.col("lang").alias("l"), F.col("source").alias("s"), F.when(~small, both).when(~few, one).otherwise("all").alias("group"), "n", "m")
     sizes = written(sizes, "groups")
-    grouped = stats.join(sizes, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left").drop("l", "s")
+    asked = sizes.agg(F.count("*").alias("groups"), F.coalesce(F.bool_or(few), F.lit(False)).alias("all")).first()
+    #: Tables with a row a group go to all tasks while groups are few (some 400 bytes each); beyond, they are joined by group.
+    beside = F.broadcast if asked["groups"] <= 20_000 else (lambda df: df)
+    grouped = stats.join(beside(sizes.select("l", "s", "group")), F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left").drop("l", "s")
     grouped = written(grouped, "grouped")
 
+    # a row takes part in the estimate of its own group and, where small groups ask for them, in those of its language and of all
     fit_rows = grouped.filter(~F.col("base_failed"))
+    languages = sizes.filter(small & ~few).select(F.col("l").alias("asks")).distinct()
+    in_language = fit_rows.filter(F.col("group") != one).join(beside(languages), F.col("lang").eqNullSafe(F.col("asks")), "left_semi").withColumn("group", one)
+    parts = [fit_rows, in_language, *([fit_rows.filter(F.col("group") != "all").withColumn("group", F.lit("all"))] if asked["all"] else [])]
+    fit_rows = reduce(DataFrame.unionByName, parts)
     middle = fit_rows.groupBy("group").agg(F.count("*").alias("rows"), *(F.percentile_approx(f"f{i}", 0.5).alias(f"c{i}") for i in range(P))).filter(F.col("rows") >= least_rows)
     middle = written(middle, "middle")
-    spreads = fit_rows.join(middle, "group").groupBy("group").agg(*(F.percentile_approx(F.abs(standing(i)), 0.5).alias(f"a{i}") for i in range(P)))
+    spreads = fit_rows.join(beside(middle), "group").groupBy("group").agg(*(F.percentile_approx(F.abs(standing(i)), 0.5).alias(f"a{i}") for i in range(P)))
     scale = written(middle.join(spreads, "group").drop("rows"), "scale")
     z = [(standing(i) / F.greatest(F.lit(1.4826) * F.col(f"a{i}"), F.lit(FLOORS[i]))).alias(f"z{i}") for i in range(P)]
-    rows = written(fit_rows.join(scale, "group").select("group", *z), "standard")
+    rows = written(fit_rows.join(beside(scale), "group").select("group", *z), "standard")
 
     d = sum((F.col(f"z{i}") ** 2 for i in range(P)), F.lit(0.0))
     params = None
     for _ in range(steps):
-        measured = rows.withColumn("d", d) if params is None else rows.join(params, "group").withColumn("d", distance())
+        measured = rows.withColumn("d", d) if params is None else rows.join(beside(params), "group").withColumn("d", distance())
         cut = measured.groupBy("group").agg(F.percentile_approx("d", keep_share).alias("cut"))
-        near = measured.join(cut, "group").filter("d <= cut")
+        near = measured.join(beside(cut), "group").filter("d <= cut")
         moments = near.groupBy("group").agg(F.count("*").alias("n"), *(F.sum(f"z{i}").alias(f"s{i}") for i in range(P)), *(F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{i}{j}") for i, j in PAIRS))
         params = written(fitted(moments, ridge), "params")
-    measured = rows.join(params, "group").withColumn("d", distance())
+    measured = rows.join(beside(params), "group").withColumn("d", distance())
     middle_d = measured.groupBy("group").agg(F.percentile_approx("d", [0.5, 0.75]).alias("q"))
     middle_d = middle_d.select("group", F.col("q")[0].alias("half"), (F.sqrt(F.col("q")[1] / F.greatest(F.col("q")[0], F.lit(1e-9))) - 1).alias("upper"))
     beyond = NormalDist().inv_cdf(1 - level) / NormalDist().inv_cdf(0.75)
     limit = F.greatest(F.lit(chi2(1 - level)), F.lit(CHI2_MEDIAN) * F.pow(1 + F.lit(beyond) * F.col("upper"), F.lit(2.0)))
     fit = written(scale.join(params, "group").join(middle_d.withColumn("limit", limit), "group"), "fit")
-    out = grouped.join(fit, "group", "left")
+    out = grouped.join(beside(fit), "group", "left")
     out = out.select(*grouped.columns, *z, *fit.columns[1:])
     squared = distance() / F.greatest(F.col("half") / CHI2_MEDIAN, F.lit(1e-9))
     out = out.withColumn("distance", F.when(~F.col("base_failed"), squared))

@@ -222,6 +222,28 @@ def test_exact_dedup_goes_on(spark, tmp_path):
     assert {(r.id, r.keep_id, r.group_size) for r in again.collect()} == {(7, 5, 2), (3, 3, 2)}
 
 
+def test_exact_dedup_checks_bytes_of_earlier_calls(spark, tmp_path):
+    """Four bits of digest: texts of both calls share digests, and full bytes part them; locators point to stored texts."""
+    make = lambda x: spark.createDataFrame(x, "doc_id long, text string")
+    folder = str(tmp_path / "state")
+    first, second = [(100 + k, f"text {k % 30}") for k in range(40)], [(k, f"text  {k % 45}") for k in range(60)]
+    exactdedup.exact_groups(make(first), folder=folder, digest_bits=4).count()
+    got = exactdedup.exact_groups(make(second), folder=folder, digest_bits=4).collect()
+    every = [(i, re.sub(" +", " ", t)) for i, t in first + second]
+    for r in got:
+        own = [i for i, t in every if t == f"text {r.id % 45}"]
+        assert (r.keep_id, r.group_size) == (min(own), len(own)), r
+    plain = str(tmp_path / "plain")
+    for part in (first, second):
+        got = exactdedup.exact_groups(make(part), folder=plain).collect()
+    for r in got:
+        file, _, id_ = r.keep_locator.rpartition("#")
+        assert spark.read.parquet(file).filter(f"id = {id_}").first().sha == r.text_sha256
+    table = str(tmp_path / "t.parquet")
+    make(second).write.parquet(table)
+    assert all(".parquet#" in r.keep_locator for r in exactdedup.exact_groups(spark.read.parquet(table)).collect())
+
+
 def test_warc(spark, none):
     body = "<p>" + "é%d " * 400 % tuple(range(400)) + "</p>"
     noise = "".join(chr(32 + (k * 7919) % 90) for k in range(5000))
@@ -366,6 +388,47 @@ def test_quality_rejects_moderate_junk(spark, words):
     assert {r.id for r in got if not r.kept} == set(range(1000, 1012))
 
 
+def test_quality_measures_small_sources_by_their_language(spark, words):
+    clean = [(k, prose(words, 100 + k, k), "en", "large") for k in range(300)] + [(1000 + k, prose(words, 100 + k, 900 + k), "en", "small") for k in range(15)]
+    clean += [(3000 + k, prose(words, 100 + k, 1900 + k), "de", "few") for k in range(5)]
+    junk = [(2000, " ".join(w + "$$$" for w in prose(words, 80, 7).split()), "en", "small"), (2001, prose(words, 90, 8).upper().replace(" ", "!! "), "de", "few")]
+    got = quality.verdicts(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")).collect()
+    assert {r.id for r in got if not r.kept} == {2000, 2001} and all(r.distance is not None for r in got)
+
+
+def test_quality_distances_match_brute_force(spark):
+    """Medians, concentration steps, the determinant's estimate and the distances of one group in numpy."""
+    rng = np.random.default_rng(5)
+    n, p = 150, quality.P
+    f = rng.normal(size=(n, p)) @ np.diag([1, 0.3, 0.5, 0.1, 0.1, 0.6, 0.7]) + np.arange(p)
+    f[:10] += 5
+    names = [f"f{i}" for i in range(p)]
+    stats = spark.createDataFrame([(k, "en", "s", False, *map(float, x)) for k, x in enumerate(f)], "id long, lang string, source string, base_failed boolean, " + ", ".join(f"{c} double" for c in names))
+    got = {r.id: r for r in quality.outliers(stats).collect()}
+    quantile = lambda x, q: np.sort(x, axis=0)[max(0, math.ceil(q * len(x)) - 1)]
+    centre = quantile(f, 0.5)
+    apart = f - centre
+    apart[:, 1:] *= np.minimum(np.exp(apart[:, :1] / 2), 1)
+    z = apart / np.maximum(1.4826 * quantile(np.abs(apart), 0.5), quality.FLOORS)
+    d = (z**2).sum(axis=1)
+    for _ in range(8):
+        near = z[d <= quantile(d, 0.75)]
+        mean = near.mean(axis=0)
+        inverse = np.linalg.inv(np.cov(near.T, bias=True) + 0.05 * np.eye(p))
+        d = np.einsum("ki,ij,kj->k", z - mean, inverse, z - mean)
+    scaled = d / (quantile(d, 0.5) / quality.CHI2_MEDIAN)
+    assert np.allclose([got[k].distance for k in range(n)], scaled, rtol=1e-6)
+    assert all(got[k].rejected == (scaled[k] > got[k].limit) for k in range(n)) and all(got[k].rejected for k in range(10))
+
+
+def test_repeated_windows():
+    rng = random.Random(3)
+    for k in range(200):
+        w = [rng.choice("abc").encode() * rng.randint(1, 1 + k % 3) for _ in range(rng.randint(0, 30))]
+        times = Counter(zip(w, w[1:], w[2:]))
+        assert quality.in_repeated_windows(w) == len({i + d for i in range(len(w) - 2) if times[tuple(w[i : i + 3])] > 1 for d in range(3)})
+
+
 def test_html(spark):
     page = (
         "<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/>Home</a></ul></nav><div class='ad'>Buy this.</div>"
