@@ -1,4 +1,8 @@
-"""From raw documents to packed sequences: five stages, each written and read again before the next."""
+"""From raw documents to packed sequences: five stages, each written and read again before the next.
+
+Nulls, empty and very long texts, ties and repeated rows, empty tables and further columns are each operator's defined cases; a
+stage passes on whole rows with all their columns.
+"""
 
 from __future__ import annotations
 
@@ -32,13 +36,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture asks for: no source is cut, and none is repeated more than twice."""
-    return mixing.mixed(docs, most_repeats=2.0).select(*docs.columns)
+    """Documents as often as the mixture asks for: no source is cut, and none is repeated more than twice. Rows are written in the
+    order of the mixture, pass by pass, so a document's copies lie far apart."""
+    return mixing.in_order(mixing.mixed(docs, most_repeats=2.0)).select(*docs.columns)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens."""
-    return packing.pack(docs, tokenizer_path()).select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    """Pieces of documents in sequences of 2048 tokens, queues in the order in which the mixture was written. queue_offset tells the
+    copies of a document apart."""
+    found = packing.pack(docs, tokenizer_path(), file_order=True)
+    return found.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue", "queue_offset")
 
 
 STAGES: list[tuple[str, Stage]] = [
