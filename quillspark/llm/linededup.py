@@ -23,7 +23,8 @@ other columns of the input are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -110,26 +111,30 @@ def marked(docs: DataFrame, id_col: str, text_col: str, min_unit_words: int, wan
     return kept.mapInArrow(cut, MARK)
 
 
-def spans_of(found: list[dict], min_span_words: int) -> Iterator[dict]:
-    """The removed spans of one text, from its later occurrences in the order of first unit, then longest."""
-    run: dict | None = None
-    lines: list[dict] = []
+def spans_of(found: Iterable[tuple], min_span_words: int) -> Iterator[list]:
+    """The removed spans [start, end, words, units, first_id, last unit] of one text, from its later occurrences (first unit, last
+    unit, start, end, words, whole line, first_id) in the order of first unit, then longest."""
+    run: list | None = None
+    lines: list[list] = []
 
-    def ended() -> list[dict]:
-        return [] if run is None else [run] if run["words"] >= min_span_words else lines
+    def ended() -> list[list]:
+        return [] if run is None else [run] if run[2] >= min_span_words else lines
 
-    for m in found:
-        if run and m["last"] <= run["last"]:  # inside a line that is gone already, or a short unit's second mark
+    def longer(to: list, by: list) -> None:
+        to[1], to[2], to[3], to[5] = by[1], to[2] + by[2], to[3] + by[3], by[5]
+
+    for first, last, start, end, words, whole, first_id in found:
+        if run and last <= run[5]:  # inside a line that is gone already, or a short unit's second mark
             continue
-        new = {"start": m["start"], "end": m["end"], "words": m["words"], "units": m["last"] - m["first"] + 1, "first_id": m["first_id"], "last": m["last"]}
-        if run and m["first"] == run["last"] + 1:
-            run |= {"end": m["end"], "words": run["words"] + new["words"], "units": run["units"] + new["units"], "last": m["last"]}
+        new = [start, end, words, last - first + 1, first_id, last]
+        if run and first == run[5] + 1:
+            longer(run, new)
         else:
             yield from ended()
-            run, lines = dict(new), []
-        if m["whole"]:
-            if lines and m["first"] == lines[-1]["last"] + 1:
-                lines[-1] |= {"end": m["end"], "words": lines[-1]["words"] + new["words"], "units": lines[-1]["units"] + new["units"], "last": m["last"]}
+            run, lines = list(new), []
+        if whole:
+            if lines and first == lines[-1][5] + 1:
+                longer(lines[-1], new)
             else:
                 lines.append(new)
     yield from ended()
@@ -144,12 +149,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hits = rows.join(groups, ["hi", "lo"]).filter(~place.eqNullSafe(F.col("stays")))
     mark = F.struct("first", (-F.col("last")).alias("order"), ~F.col("whole"), "last", "start", "end", "words", "whole", F.col("stays.id").alias("first_id"))
     found = hits.select("id", mark.alias("mark")).groupBy("id").agg(F.sort_array(F.collect_list("mark")).alias("found"))
-    cols = {"id": pa.int64(), "start": pa.int32(), "end": pa.int32(), "words": pa.int32(), "units": pa.int32(), "first_id": pa.int64()}
+    kinds = (pa.int64(), *[pa.int32()] * 4, pa.int64())
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [r | {"id": id_} for id_, own in zip(batch.column(0).to_pylist(), batch.column(1)) for r in spans_of(own.as_py(), min_span_words)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in cols.items()], names=list(cols))
+            out: list[tuple] = []
+            flat = batch.column(1).flatten()
+            rows = zip(*(flat.field(c).to_pylist() for c in ("first", "last", "start", "end", "words", "whole", "first_id")))
+            for id_, n in zip(batch.column(0).to_pylist(), batch.column(1).value_lengths().to_pylist()):
+                out += [(id_, *r[:5]) for r in spans_of(islice(rows, n), min_span_words)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)], names=["id", "start", "end", "words", "units", "first_id"])
 
     return found.mapInArrow(merged, schema(id=LONG, start=INT, end=INT, words=INT, units=INT, first_id=LONG))
 

@@ -35,10 +35,10 @@ from .common import BIN, INT, LONG, STR, quoted, schema, spread, written
 
 PIECE = schema(id=LONG, start=LONG, length=LONG, ids_crc32=LONG, doc_tokens=LONG, sequence_id=LONG, offset=LONG, queue=STR, queue_offset=LONG)
 TOKENS = schema(id=LONG, queue=STR, file=STR, block=LONG, part=INT, place=LONG, n=LONG, ids=BIN)
-#: Runs a worker remembers (some 100 MB), the longest of them in bytes, and slots that say which runs it met before.
-MOST_CACHED, LONGEST_CACHED, SEEN_SLOTS = 500_000, 64, 1 << 22
+#: Runs that a worker remembers (some 200 bytes each), and the longest of them in bytes.
+MOST_CACHED, LONGEST_CACHED = 800_000, 64
 STOPS = b".,;:!?"
-ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+LAST = frozenset(bytes([c]) for c in b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 class Encoder:
@@ -46,58 +46,83 @@ class Encoder:
 
     The tokenizer drops white space, lower-cases, and parts letters from punctuation; so ids of a text are those of its
     runs between ASCII white space, ids of a run those of its ASCII lower-case form (unless a special token may be spelt in
-    it), and ids of letters with stops behind them those of both parts. Runs come from a bounded cache from the third time
-    on; those met once, most of a vocabulary, take no room in it.
+    it), and ids of letters with stops behind them those of both parts. Runs come from a cache of two generations: when the
+    younger is full it becomes the older one, from which runs that are met again come back, and the older one goes.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MOST_CACHED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Ids that end a word. Letters only are one word, so ids of many such runs at once fall apart at these.
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>") and i < 1 << 16]] = True
+        self.most = most
         self.cache: dict[bytes, bytes] = {}
-        self.seen = bytearray(SEEN_SLOTS)
+        self.older: dict[bytes, bytes] = {}
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
 
+    def together(self, words: list[str]) -> list[bytes]:
+        """Ids of runs of letters, encoded as one text; none if they do not fall apart into as many words."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u2")
+        cut = np.flatnonzero(self.ends[ids]) + 1
+        if len(cut) != len(words) or cut[-1] != len(ids):
+            return []
+        data, cut = ids.tobytes(), (2 * cut).tolist()
+        return [data[a:b] for a, b in zip([0, *cut], cut)]
+
     def fresh(self, runs: list[bytes]) -> dict[bytes, bytes]:
         """Ids of runs that are not in the cache."""
-        parts = {}
-        for w in runs:
+        ids: dict[bytes, bytes] = {}
+        known = self.cache
+        stopped = [w for w in runs if w[-1] in STOPS and w.rstrip(STOPS)[-1:] in LAST and b"<|" not in w]
+        need = dict.fromkeys(runs)
+        for w in stopped:
+            del need[w]
+        for w in stopped:
             core = w.rstrip(STOPS)
-            parts[w] = (core, w[len(core) :]) if len(core) < len(w) and core and core[-1] in ALNUM and b"<|" not in w else (w,)
-        need = list({p for x in parts.values() for p in x if p not in self.cache})
-        ids = {}
-        for i in range(0, len(need), 4096):
-            part = need[i : i + 4096]
+            for part in (core, w[len(core) :]):
+                if part not in known:
+                    need[part] = None
+        letters = [(w, t) for w, t in zip(need, b"\n".join(need).decode().split("\n")) if t.isalpha()]
+        for i in range(0, len(letters), 1024):
+            part = letters[i : i + 1024]
+            ids |= zip([w for w, _ in part], self.together([t for _, t in part]))
+        rest = [w for w in need if w not in ids]
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
                 ids[w] = np.array(e.ids, "<u2").tobytes()
-        return {w: b"".join([ids[p] if p in ids else self.cache[p] for p in x]) for w, x in parts.items()}
+        for w in stopped:
+            core = w.rstrip(STOPS)
+            tail = w[len(core) :]
+            ids[w] = (ids[core] if core in ids else known[core]) + (ids[tail] if tail in ids else known[tail])
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         runs = []
         for t in texts:
             data = t.encode()
             runs.append((data if b"<|" in data else data.lower()).split())
-        found = self.fresh(list({w for r in runs for w in r if w not in self.cache}))
-        if len(self.cache) + len(found) > MOST_CACHED:
-            found |= {w: self.cache[w] for r in runs for w in r if w in self.cache}
-            self.cache.clear()
-            self.seen = bytearray(SEEN_SLOTS)
-        self.cache |= found
-        out = [b"".join(map(self.cache.__getitem__, r)) for r in runs]
-        for w in found:
-            slot = hash(w) % SEEN_SLOTS
-            if len(w) > LONGEST_CACHED or not self.seen[slot]:
-                self.seen[slot] = 1
-                del self.cache[w]
+        words = set().union(*runs)
+        ids = {w: self.cache[w] for w in words if w in self.cache}
+        words -= ids.keys()
+        new = {w: self.older[w] for w in words if w in self.older}
+        new |= self.fresh(list(words - new.keys()))
+        ids |= new
+        out = [b"".join(map(ids.__getitem__, r)) for r in runs]
+        self.cache |= {w: x for w, x in new.items() if len(w) <= LONGEST_CACHED}
+        if len(self.cache) > self.most // 2:
+            self.older, self.cache = self.cache, {}
         return out
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int) -> Encoder:
     """One of a worker process, which lives longer than a task."""
-    return Encoder(path)
+    return Encoder(path, most)
 
 
 def queue_name(source: F.Column, max_queues: int, shared: bool) -> F.Column:
@@ -106,7 +131,7 @@ def queue_name(source: F.Column, max_queues: int, shared: bool) -> F.Column:
     return F.concat(F.lit("#"), F.pmod(F.xxhash64(name), F.lit(max_queues)).cast("string")) if shared else name
 
 
-def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, source_col: str, max_queues: int, file_order: bool) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, source_col: str, max_queues: int, file_order: bool, most_cached: int) -> DataFrame:
     """id, queue, where it was read (file, block, partition), place (tokens of the queue before it there), n, ids."""
     source = quoted(source_col).cast("string")
     names = docs.select(source.alias("s")).distinct().limit(max_queues + 1).count()
@@ -116,7 +141,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_co
     end = np.array([end_id], "<u2").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, sent, part = encoder(tokenizer), {}, TaskContext.get().partitionId()
+        codes, sent, part = encoder(tokenizer, most_cached), {}, TaskContext.get().partitionId()
         for big in batches:
             for i in range(0, big.num_rows, 500):
                 batch = big.slice(i, 500)
@@ -220,16 +245,17 @@ def tail_parts(rest: int) -> list[tuple[int, int]]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_queues: int = 256, file_order: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_queues: int = 256, file_order: bool = False, most_cached: int = MOST_CACHED) -> DataFrame:
     """A row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue, queue_offset (of its document's first
     token among the tokens of the queue, which tells repeated rows apart).
 
     weights: target token proportions by source; by default those of the table, so that every window mixes alike. Sources that
-    share a queue add up theirs. file_order: queues follow the names of the table's files and the order in them; else tasks.
+    share a queue add up theirs. file_order: queues follow the names of the table's files and the order in them; else tasks. most_cached: runs whose ids a worker remembers; it bounds memory and
+    does not change results.
     """
     if window < 4 * max_queues:
         raise ValueError("a window must hold four tokens a queue")
-    table = written(tokenised(docs, tokenizer, end_id, id_col, text_col, source_col, max_queues, file_order), "tokens")
+    table = written(tokenised(docs, tokenizer, end_id, id_col, text_col, source_col, max_queues, file_order, most_cached), "tokens")
     where = ["queue", "file", "block", "part"]
     sums = table.groupBy(*where).agg(F.sum("n").alias("tokens"))
     before = F.sum("tokens").over(Window.partitionBy("queue").orderBy(*where[1:]).rowsBetween(Window.unboundedPreceding, -1))
