@@ -44,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens, queues in the order in which the mixture was written. queue_offset tells the
     copies of a document apart."""
-    found = packing.pack(docs, tokenizer_path(), file_order=True)
+    found = packing.pack(docs, tokenizer_path(), file_order=True, most_cached=300_000)
     return found.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue", "queue_offset")
 
 
