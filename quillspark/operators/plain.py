@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.chars import SENTENCE, SPACE, TOKEN, has_letter, leading, strip
+from ..functions.chars import SENTENCE, SPACE, TOKEN, WORD_CHAR, leading, strip
 
 MOST_CHARS = 1_000_000  # of a document that is parsed
 
 
 def parseable(docs: DataFrame) -> DataFrame:
-    """Documents within the size bound; a null text is empty. docs: uri, text."""
-    return docs.withColumn("text", F.coalesce("text", F.lit(""))).filter(F.length("text") <= MOST_CHARS)
+    """Documents with a null text as an empty one. One beyond the size bound fails the job: ``oversized`` finds those first.
+    docs: uri, text."""
+    text = F.coalesce("text", F.lit(""))
+    too_long = F.raise_error(F.concat(F.lit(f"over {MOST_CHARS} code points: "), F.coalesce("uri", F.lit("null")))).cast("string")
+    return docs.withColumn("text", F.when(F.length(text) <= MOST_CHARS, text).otherwise(too_long))
+
+
+def oversized(docs: DataFrame) -> DataFrame:
+    """uri, chars of the documents that are too long to be parsed."""
+    return docs.select("uri", F.length("text").alias("chars")).filter(F.col("chars") > MOST_CHARS)
 
 
 def regions(text: Column) -> Column:
@@ -32,12 +44,49 @@ def tokens(docs: DataFrame) -> DataFrame:
     return offsets(cut, "ordinal", F.length("token")).select("uri", "ordinal", "start", "end", F.col("token").alias("text"))
 
 
+SENTENCES = "uri string, ordinal int, start int, end int, text string, complete boolean, line int, column int, end_line int, end_column int"
+ENDED = re.compile(SENTENCE)
+
+
 def sentences(docs: DataFrame) -> DataFrame:
-    """uri, ordinal, start, end, text, complete. Only . ! ? end a sentence: line ends do not, and the rest is incomplete."""
-    cut = parseable(docs).select("uri", F.posexplode(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))).alias("ordinal", "piece"))
-    placed = offsets(cut, "ordinal", F.length("piece")).withColumn("text", strip(F.col("piece"))).filter(F.length("text") > 0)
-    start = F.col("start") + leading(F.col("piece"))
-    return placed.select("uri", "ordinal", start.alias("start"), (start + F.length("text")).alias("end"), "text", F.rlike("text", F.lit(r"[.!?]$")).alias("complete"))
+    """uri, ordinal, start, end, text, complete, and line and column of both ends. Only . ! ? end a sentence: line ends do not,
+    and the rest is incomplete. A document is walked once where it lies: nothing is shuffled."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for uri, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows += ((uri, *s) for s in placed_sentences(text.as_py()))
+                if len(rows) > 20_000:
+                    yield made(rows)
+                    rows = []
+            yield made(rows)
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        names = ["uri", "ordinal", "start", "end", "text", "complete", "line", "column", "end_line", "end_column"]
+        kinds = [pa.string(), *[pa.int32()] * 3, pa.string(), pa.bool_(), *[pa.int32()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names)
+
+    return parseable(docs).select("uri", "text").mapInArrow(cut, SENTENCES)
+
+
+def placed_sentences(text: str) -> Iterator[tuple]:
+    """(ordinal, start, end, text, complete, line, column, end line, end column) of each sentence. str.strip() knows the same white
+    space as the expressions do."""
+    line, begin, seen = 1, 0, 0  # of the place up to which line ends are counted
+
+    def place(at: int) -> tuple[int, int]:
+        nonlocal line, begin, seen
+        if n := text.count("\n", seen, at):
+            line, begin = line + n, text.rindex("\n", seen, at) + 1
+        seen = at
+        return line, at - begin + 1
+
+    for ordinal, m in enumerate(ENDED.finditer(text)):
+        if body := m[0].strip():
+            start = m.start() + len(m[0]) - len(m[0].lstrip())
+            end = start + len(body)
+            yield ordinal, start, end, body, body[-1] in ".!?", *place(start), *place(end)
 
 
 def simple_words(sentence: Column) -> Column:
@@ -49,9 +98,13 @@ def letter_runs(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\p{L}+"))
 
 
+#: A token of word characters that holds a letter: what stands before its first letter has none.
+WORD_WITH_LETTER = rf"(?:[\p{{N}}_]+(?:[-'][\p{{N}}_]+)*[-']?)?\p{{L}}{WORD_CHAR}*(?:[-']{WORD_CHAR}+)*"
+
+
 def lintable_words(text: Column) -> Column:
     """Tokens with a letter."""
-    return F.size(F.filter(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), has_letter))
+    return F.regexp_count(text, F.lit(WORD_WITH_LETTER))
 
 
 PARAGRAPH_END = r"\r?\n[ \t]*\r?\n+"

@@ -14,12 +14,20 @@ LIMITS = {"procedural": 20, "descriptive": 25}
 PARAGRAPH_LIMIT = 6
 
 
+def of_format(docs: DataFrame, wanted: str) -> DataFrame:
+    """Documents of one format, by the suffix of their uri in any case. A document of no known format fails the job."""
+    low = F.lower("uri")
+    unknown = F.raise_error(F.concat(F.lit("unsupported suffix: "), F.coalesce("uri", F.lit("null")))).cast("string")
+    told = F.when(low.endswith(".txt"), "plain").when(low.endswith(".md") | low.endswith(".markdown"), "markdown").otherwise(unknown)
+    return docs.filter(told == wanted)
+
+
 def is_plain(docs: DataFrame) -> DataFrame:
-    return docs.filter(F.lower("uri").endswith(".txt"))
+    return of_format(docs, "plain")
 
 
 def is_markdown(docs: DataFrame) -> DataFrame:
-    return docs.filter(F.lower("uri").endswith(".md") | F.lower("uri").endswith(".markdown"))
+    return of_format(docs, "markdown")
 
 
 def none(docs: DataFrame) -> DataFrame:
@@ -114,19 +122,19 @@ def list_lead_ins(docs: DataFrame, context: Context) -> DataFrame:
 
 
 def children(parses: DataFrame) -> DataFrame:
-    """Tokens with the dependencies and the tags of their children. parses: uri, sentence, i, head, pos, tag, dep, start, end, text."""
-    c = parses.filter("head <> i").groupBy("uri", "sentence", F.col("head").alias("i")).agg(F.collect_set("dep").alias("deps"))
-    return parses.join(c, ["uri", "sentence", "i"], "left").withColumn("deps", F.coalesce("deps", F.array().cast("array<string>")))
+    """Tokens with the dependencies of their children, and whether a modal auxiliary is among them. parses: uri, sentence, i, head, pos, tag, dep, start, end, text."""
+    c = parses.filter("head <> i").groupBy("uri", "sentence", F.col("head").alias("i")).agg(F.collect_set("dep").alias("deps"), F.bool_or((F.col("dep") == "aux") & (F.col("tag") == "MD")).alias("modal"))
+    return parses.join(c, ["uri", "sentence", "i"], "left").withColumn("deps", F.coalesce("deps", F.array().cast("array<string>"))).withColumn("modal", F.coalesce("modal", F.lit(False)))
 
 
 def passives(docs: DataFrame, context: Context) -> DataFrame:
-    """Passive verbs with an agent, or in procedures with an auxiliary, from the supplied parses."""
+    """Passive verbs with an agent, or in procedures with a modal auxiliary, from the supplied parses."""
     if "parses" not in context.tables:
         return none(docs)
     t = children(context.tables["parses"])
     has = lambda dep: F.array_contains("deps", dep)
     procedure = F.lit(context.options.get("text_type") == "procedural")
-    hit = (F.col("pos") == "VERB") & (F.col("tag") == "VBN") & has("auxpass") & (has("agent") | (procedure & has("aux")))
+    hit = (F.col("pos") == "VERB") & (F.col("tag") == "VBN") & has("auxpass") & (has("agent") | (procedure & F.col("modal")))
     return t.filter(hit).join(docs.select("uri"), "uri", "left_semi").select("uri", "start", "end", F.col("text").alias("evidence"))
 
 

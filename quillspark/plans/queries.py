@@ -46,8 +46,8 @@ def place(start: str = "start") -> list[F.Column]:
 
 def long_ones(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
     docs = spread_documents(spark, sf_dir)
-    found = plain.sentences(docs).filter("complete").withColumn("words", plain.simple_words(F.col("text"))).filter(F.col("words") > limit).drop("text")
-    return found.join(docs.select("uri", "text"), "uri").select(key(), F.col("start").cast("long"), F.col("end").cast("long"), F.col("words").cast("long"), *place())
+    found = plain.sentences(docs).filter("complete").withColumn("words", plain.simple_words(F.col("text"))).filter(F.col("words") > limit)
+    return found.select(key(), *(F.col(c).cast("long") for c in ("start", "end", "words", "line", "column")))
 
 
 @query(sql.long_sentences(20))
@@ -125,9 +125,8 @@ def occurrence_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {sql.SENTENCES} SELECT doc_id, "start", {sql.place("text", '"end"')} FROM sentences WHERE complete""")
 def line_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread_documents(spark, sf_dir)
-    found = plain.sentences(docs).filter("complete").drop("text").join(docs.select("uri", "text"), "uri")
-    return found.select(key(), F.col("start").cast("long"), *place("end"))
+    found = plain.sentences(spread_documents(spark, sf_dir)).filter("complete")
+    return found.select(key(), F.col("start").cast("long"), F.col("end_line").cast("long").alias("line"), F.col("end_column").cast("long").alias("column"))
 
 
 @query(f"""WITH {sql.SPANS} SELECT doc_id, "start", md5(split_part(left(text, "start"::INT), chr(10), -1) || s || split_part(substr(text, "end"::INT + 1), chr(10), 1)) AS context_md5 FROM spans""")
@@ -236,15 +235,10 @@ def overlap_exact_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def overlap_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark text whole. The benchmark is a fixed test set, whose size is checked before it is
-    sent to all tasks; a larger one is joined on lines instead."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("wanted"))
-    n, size = items.agg(F.count("*"), F.sum(F.octet_length("wanted"))).first()
-    if n > 100_000 or (size or 0) > 64 << 20:
-        found = overlap.contained(docs.withColumnRenamed("doc_id", "doc"), items.select(F.col("item_id").alias("passage"), F.col("wanted").alias("text")))
-        return found.select(F.col("doc").alias("doc_id"), F.col("passage").alias("item_id"))
-    return docs.join(F.broadcast(items), F.contains("text", "wanted")).select("doc_id", "item_id")
+    """Documents that hold a benchmark text whole."""
+    docs = spread_documents(spark, sf_dir).select(key().alias("doc"), "text")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("passage"), "text")
+    return overlap.contained(docs, items).select(F.col("doc").alias("doc_id"), F.col("passage").alias("item_id"))
 
 
 @query(rf"""WITH p AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])[{sql.SPACE_RE2}]+', '\1' || chr(10), 'g'), chr(10) || '+'),
