@@ -106,14 +106,15 @@ class Encoder:
         for t in texts:
             data = t.encode()
             runs.append((data if b"<|" in data else data.lower()).split())
-        words = set().union(*runs)
-        ids = {w: self.cache[w] for w in words if w in self.cache}
-        words -= ids.keys()
-        new = {w: self.older[w] for w in words if w in self.older}
-        new |= self.fresh(list(words - new.keys()))
-        ids |= new
-        out = [b"".join(map(ids.__getitem__, r)) for r in runs]
-        self.cache |= {w: x for w, x in new.items() if len(w) <= LONGEST_CACHED}
+        new = {w for r in runs for w in r if w not in self.cache}
+        again = {w: self.older[w] for w in new if w in self.older}
+        self.cache |= again
+        found = self.fresh(list(new - again.keys()))
+        self.cache |= found
+        out = [b"".join(map(self.cache.__getitem__, r)) for r in runs]
+        for w in found:
+            if len(w) > LONGEST_CACHED:
+                del self.cache[w]
         if len(self.cache) > self.most // 2:
             self.older, self.cache = self.cache, {}
         return out
