@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, exactdedup, htmlblocks, linededup, minhash, mixing, packing, quality, secrets, warc
+from . import alignment, ctw, exactdedup, htmlblocks, linededup, minhash, mixing, packing, quality, search, secrets, toxicity, warc
 from .common import table
 
 
@@ -83,10 +83,32 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its tokens of both kinds, their groups, and how its links count in the corpus."""
+    found = alignment.aligned(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten rows per item: the documents that score highest."""
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document with its score of toxicity."""
+    found = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_ctw_scores, op3_line_dedup, op4_mix_sources, op5_exact_dedup, op6_warc_round_trip, op7_near_duplicates, op8_quality_outliers, op9_html_main_text, op10_pack_sequences)
-}
+    for f in (
+        op1_secret_scan, op2_ctw_scores, op3_line_dedup, op4_mix_sources, op5_exact_dedup, op6_warc_round_trip, op7_near_duplicates, op8_quality_outliers, op9_html_main_text,
+        op10_pack_sequences, op11_token_alignment, op12_lexical_search, op13_toxicity_scores,
+    )
+}
+
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 ORACLES = {
     "op5_exact_dedup": r"""
@@ -101,4 +123,16 @@ ORACLES = {
                CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to
         FROM g""",
+    "op12_lexical_search": f"""
+        WITH i AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({TERMS}) AS term FROM benchmark)),
+             d AS (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS terms FROM documents),
+             s AS (SELECT sum(CASE WHEN len(terms) > 0 THEN 1 ELSE 0 END)::BIGINT AS nn, sum(len(terms))::BIGINT AS ll FROM d),
+             p AS (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf
+                   FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY r, term),
+             w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY term, nn),
+             x AS (SELECT r, doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * nn) // ll)) AS f FROM p, s),
+             g AS (SELECT item_id, r, any_value(doc_id) AS doc_id, sum(w * f)::BIGINT AS score FROM i JOIN x USING (term) JOIN w USING (term) GROUP BY item_id, r)
+        SELECT item_id, rank, doc_id, score
+        FROM (SELECT item_id, doc_id, score, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank FROM g WHERE score > 0)
+        WHERE rank <= 10""",
 }
