@@ -1,6 +1,7 @@
 """Command line: ``python -m quillspark.cli lint PATH --enable SENT-001 --text-type procedural``.
 
-Exit codes: 0 nothing found (or a baseline written), 1 findings, 2 wrong use.
+Exit codes: 0 nothing found (or a baseline written), 1 findings, 2 wrong use or a document that could not be read. Documents
+that can't be read are told on standard error; the others are linted all the same.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from .operators import baseline as known
+from .operators import intake
 from .operators.catalog import Context, lint, read_config
 from .operators.rules import CATALOG
 from .sources.documents import read_documents
@@ -57,10 +59,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         options["text_type"] = args.text_type
     spark = spark or SparkSession.builder.appName("quillspark").getOrCreate()
     docs = read_documents(spark, args.path)
-    found = lint(docs, CATALOG, enabled, Context(options))
+    found = lint(docs, CATALOG, enabled, Context(options), with_context=bool(args.baseline or args.write_baseline))
+    errors = 0
+    for row in intake.problems(docs).orderBy("uri").toLocalIterator():
+        errors += 1
+        print(f"{row.uri}: {row.code} ({row.chars} characters)", file=sys.stderr)
     if args.write_baseline:
         known.to_json(known.baseline_of(known.fingerprints(found, docs))).write.mode("overwrite").text(args.write_baseline)
-        return 0
+        return intake.exit_code(0, errors)
     if args.baseline:
         base = known.from_json(spark.read.option("wholetext", "true").text(args.baseline).filter("value <> ''").withColumnRenamed("value", "json"))
         found = known.unknown(known.fingerprints(found, docs), base)
@@ -72,7 +78,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.format == "text":
         print(summary(len(enabled), n))
     found.unpersist()
-    return int(n > 0)
+    return intake.exit_code(n, errors)
 
 
 if __name__ == "__main__":

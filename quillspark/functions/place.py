@@ -41,3 +41,17 @@ def only_place(text: Column, excerpt: Column) -> Column:
     """Offset of an excerpt that occurs exactly once (occurrences do not overlap); otherwise null."""
     times = (F.length(text) - F.length(F.replace(text, excerpt, F.lit("")))) / F.length(excerpt)
     return F.when(times == 1, F.position(excerpt, text) - 1)
+
+
+def region_at(regions: Column, offset: Column) -> Column:
+    """Index from 0 of the region (start, end) that an offset lies in, or null. Regions ascend and do not overlap: a binary search
+    as a fold over as many steps as the number of regions has binary digits."""
+    steps = F.sequence(F.lit(1), F.greatest(F.length(F.bin(F.size(regions))), F.lit(1)))
+
+    def go(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        right = F.get(regions, mid)["start"] <= offset
+        return F.when(s["lo"] >= s["hi"], s).otherwise(F.when(right, F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi"))))
+
+    at = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(regions).alias("hi")), go, lambda s: s["lo"] - 1)
+    return F.when((at >= 0) & (F.get(regions, at)["end"] > offset), at)

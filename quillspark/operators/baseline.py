@@ -11,15 +11,17 @@ from ..functions.place import line_around
 
 def identity() -> Column:
     """Five lines that name a finding by content, so that it survives inserted lines."""
-    span = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
-    around = line_around(F.col("text"), F.col("start"), F.col("end"))
-    parts = (F.lit("algorithm=1"), F.concat(F.lit("rule_id="), "rule_id"), F.concat(F.lit("uri="), F.replace("uri", F.lit("\\"), F.lit("/"))), F.concat(F.lit("span="), collapse(span)), F.concat(F.lit("context="), collapse(around)))
+    parts = (F.lit("algorithm=1"), F.concat(F.lit("rule_id="), "rule_id"), F.concat(F.lit("uri="), F.replace("uri", F.lit("\\"), F.lit("/"))), F.concat(F.lit("span="), collapse(F.col("span"))), F.concat(F.lit("context="), collapse(F.col("context"))))
     return F.concat_ws("\n", *parts)
 
 
 def fingerprints(diagnostics: DataFrame, docs: DataFrame) -> DataFrame:
-    """Diagnostics with their fingerprint; the ordinal tells repeated content apart."""
-    known = diagnostics.join(docs.select("uri", "text"), "uri").withColumn("identity", identity()).drop("text")
+    """Diagnostics with their fingerprint; the ordinal tells repeated content apart. Diagnostics that have their span and context
+    (``lint`` with ``with_context``) need no texts, others join the documents."""
+    if not {"span", "context"} <= set(diagnostics.columns):
+        text, start, end = F.col("text"), F.col("start"), F.col("end")
+        diagnostics = diagnostics.join(docs.select("uri", "text"), "uri").withColumns({"span": F.substring(text, start + 1, end - start), "context": line_around(text, start, end)}).drop("text")
+    known = diagnostics.withColumn("identity", identity()).drop("span", "context")
     w = Window.partitionBy("identity").orderBy("uri", "start", "end", "rule_id")
     digest = F.sha2(F.concat("identity", F.lit("\nordinal="), (F.row_number().over(w) - 1).cast("string")), 256)
     return known.withColumn("fingerprint", F.concat(F.lit("sha256:"), digest)).drop("identity")

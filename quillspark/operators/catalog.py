@@ -96,27 +96,50 @@ def read_config(text: str) -> tuple[dict[str, list[str]], dict[str, str]]:
     return rules, options | ({"terms": "\n".join(terms)} if terms else {})
 
 
-def lint(docs: DataFrame, catalog: Catalog, enabled: Iterable[str], context: Context = Context()) -> DataFrame:
+PLACES = ("start_line", "start_column", "end_line", "end_column")
+
+
+def lint(docs: DataFrame, catalog: Catalog, enabled: Iterable[str], context: Context = Context(), with_context: bool = False) -> DataFrame:
     """Diagnostics of the enabled rules; rules that are off add no branch to the plan. A span outside its text fails the job.
+    Documents that can't be read are left out: ``intake.problems`` has a row for each.
 
-    The documents join each rule's spans once for lines and columns; sort with ``ordered`` where order matters.
+    Rules that find lines and columns themselves hand them on; the documents join the spans of the others, once. The same
+    holds for the text of a span and the lines around it (``span`` and ``context``), which ``with_context`` adds. Sort with
+    ``ordered`` where order matters.
     """
-    from ..functions.place import column_of, line_of
+    from .intake import admitted
 
-    spans = []
+    docs = admitted(docs)
+    wanted = (*PLACES, "span", "context") if with_context else PLACES
+    done, open_ = [], []
     for rule_id in enabled:
         rule = catalog.rules[rule_id]
-        found = rule.find(docs, context).select("uri", "start", "end", F.col("evidence").cast("string").alias("evidence"))
-        spans.append(found.withColumns({"rule_id": F.lit(rule_id), "severity": F.lit(rule.severity), "message": F.lit(rule.message)}))
-    if not spans:
-        return docs.sparkSession.createDataFrame([], "rule_id string, severity string, uri string, start int, end int, start_line int, start_column int, end_line int, end_column int, message string, evidence string")
-    all_ = reduce(DataFrame.unionByName, spans)
-    placed = all_.join(docs.select("uri", "text"), "uri")
+        found = rule.find(docs, context)
+        complete = set(wanted) <= set(found.columns)
+        found = found.select("uri", "start", "end", F.col("evidence").cast("string").alias("evidence"), *(wanted if complete else ()))
+        found = found.withColumns({"rule_id": F.lit(rule_id), "severity": F.lit(rule.severity), "message": F.lit(rule.message)})
+        (done if complete else open_).append(found)
+    columns = DIAGNOSTIC + wanted[4:]
+    if open_:
+        done.append(located(reduce(DataFrame.unionByName, open_), docs, with_context))
+    if not done:
+        kinds = {"start": "int", "end": "int"} | dict.fromkeys(PLACES, "int")
+        return docs.sparkSession.createDataFrame([], ", ".join(f"{c} {kinds.get(c, 'string')}" for c in columns))
+    return reduce(DataFrame.unionByName, (df.select(*columns) for df in done))
+
+
+def located(spans: DataFrame, docs: DataFrame, with_context: bool) -> DataFrame:
+    """Spans with places, and with their text and context, from the documents' texts."""
+    from ..functions.place import column_of, line_around, line_of
+
+    placed = spans.join(docs.select("uri", "text"), "uri")
     valid = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length("text"))
     start = F.when(valid, F.col("start")).otherwise(F.raise_error(F.concat(F.lit("invalid span from "), F.col("rule_id"))).cast("int"))
     placed = placed.withColumn("start", start.cast("int")).withColumn("end", F.col("end").cast("int"))
     places = {f"{side}_{what}": f(F.col("text"), F.col(side)) for side in ("start", "end") for what, f in (("line", line_of), ("column", column_of))}
-    return placed.withColumns(places).select(*DIAGNOSTIC)
+    if with_context:
+        places |= {"span": F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")), "context": line_around(F.col("text"), F.col("start"), F.col("end"))}
+    return placed.withColumns(places)
 
 
 def ordered(diagnostics: DataFrame) -> DataFrame:

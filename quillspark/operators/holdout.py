@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.place import byte_of, column_of, line_of, window_around
+from ..functions.place import window_around
+from .inventory import positioned
+from .plain import marks
 
 
 def occurrences(docs: DataFrame, needle: str = ";") -> DataFrame:
-    """Every occurrence of a character: uri, ordinal from 1, offset, byte offset, line, column."""
-    pieces = docs.select("uri", "text", F.posexplode(F.split("text", F.lit(f"\\Q{needle}\\E"), -1)).alias("k", "piece"))
-    w = Window.partitionBy("uri").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = pieces.withColumn("offset", F.sum(F.length("piece") + 1).over(w) - 1).filter(F.col("offset") < F.length("text"))
-    return found.select("uri", (F.col("k") + 1).alias("ordinal"), "offset", byte_of(F.col("text"), F.col("offset").cast("int")).alias("byte_offset"), line_of(F.col("text"), F.col("offset").cast("int")).alias("line"), column_of(F.col("text"), F.col("offset").cast("int")).alias("column"))
+    """Every occurrence of a character: uri, ordinal from 1, offset, byte offset, line, column. A null text has none."""
+    found = marks(docs.select("uri", F.coalesce("text", F.lit("")).alias("text")), needle)
+    return found.select("uri", "ordinal", F.col("start").alias("offset"), "byte_offset", F.col("start_line").alias("line"), F.col("start_column").alias("column"))
 
 
 def hash_sample(docs: DataFrame, key: F.Column, salt: str, k: int) -> DataFrame:
@@ -23,15 +23,10 @@ def hash_sample(docs: DataFrame, key: F.Column, salt: str, k: int) -> DataFrame:
 
 
 def numbered(units: DataFrame, order: list[str], prefix: str) -> DataFrame:
-    """Case ids prefix-0001... in a global order, without a window over all rows: positions within ranges that a sort deals
-    out, plus the rows of the ranges before."""
-    ranged = units.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    indexed = ranged.withColumn("_id", F.monotonically_increasing_id())
-    sizes = indexed.groupBy("_part").agg(F.count("*").alias("n"), F.min("_id").alias("first"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = indexed.join(before.select("_part", "first", "before"), "_part")
-    number = F.col("before") + F.col("_id") - F.col("first") + 1
-    return out.withColumn("case_id", F.concat(F.lit(f"{prefix}-"), F.lpad(number.cast("string"), 4, "0"))).drop("_part", "_id", "first", "before")
+    """Case ids prefix-0001... in a global order, without a window over all rows."""
+    out = positioned(units, order, "_number")
+    digits = F.col("_number").cast("string")
+    return out.withColumn("case_id", F.concat(F.lit(f"{prefix}-"), F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits))).drop("_number")
 
 
 def review_packet(units: DataFrame, docs: DataFrame, radius: int = 2) -> DataFrame:

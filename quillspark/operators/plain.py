@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,18 +16,13 @@ MOST_CHARS = 1_000_000  # of a document that is parsed
 
 
 def parseable(docs: DataFrame) -> DataFrame:
-    """Documents with a null text as an empty one. One beyond the size bound fails the job: ``oversized`` finds those first.
-    docs: uri, text."""
+    """Documents with a null text as an empty one. One beyond the size bound fails the job: ``intake.admitted`` leaves those out
+    and ``intake.problems`` tells of them. docs: uri, text."""
     text = F.coalesce("text", F.lit(""))
     too_long = F.raise_error(F.concat(F.lit(f"over {MOST_CHARS} code points: "), F.coalesce("uri", F.lit("null")))).cast("string")
     return docs.withColumn("text", F.when(F.length(text) <= MOST_CHARS, text).otherwise(too_long))
 
 
-def oversized(docs: DataFrame) -> DataFrame:
-    """uri, chars of the documents that are too long to be parsed."""
-    return docs.select("uri", F.length("text").alias("chars")).filter(F.col("chars") > MOST_CHARS)
-
-
 def regions(text: Column) -> Column:
     """The one lintable region of a plain text that is not empty."""
     return F.when(F.length(text) > 0, F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("end"), F.lit(True).alias("lintable"), F.lit("plain-text").alias("reason")))).otherwise(F.array())
@@ -44,35 +40,31 @@ def tokens(docs: DataFrame) -> DataFrame:
     return offsets(cut, "ordinal", F.length("token")).select("uri", "ordinal", "start", "end", F.col("token").alias("text"))
 
 
-SENTENCES = "uri string, ordinal int, start int, end int, text string, complete boolean, line int, column int, end_line int, end_column int"
-ENDED = re.compile(SENTENCE)
+def walked(docs: DataFrame, schema: str, each: Callable[[dict], Iterator[tuple]]) -> DataFrame:
+    """Rows that ``each`` yields of a document (a dict of its columns), behind its uri. Documents are walked where they lie, a
+    batch of whole texts at a time: nothing is shuffled. ``schema`` names string, int, long and boolean columns."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
+    fields = [("uri", pa.string()), *((c.split()[0], kinds[c.split()[1]]) for c in schema.split(", "))]
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows) if rows else [[]] * len(fields), fields)], names=[n for n, _ in fields])
 
-def sentences(docs: DataFrame) -> DataFrame:
-    """uri, ordinal, start, end, text, complete, and line and column of both ends. Only . ! ? end a sentence: line ends do not,
-    and the rest is incomplete. A document is walked once where it lies: nothing is shuffled."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for uri, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows += ((uri, *s) for s in placed_sentences(text.as_py()))
+            rows: list[tuple] = []
+            for k in range(batch.num_rows):
+                doc = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                rows += ((doc["uri"], *r) for r in each(doc))
                 if len(rows) > 20_000:
                     yield made(rows)
                     rows = []
             yield made(rows)
 
-    def made(rows: list[tuple]) -> pa.RecordBatch:
-        names = ["uri", "ordinal", "start", "end", "text", "complete", "line", "column", "end_line", "end_column"]
-        kinds = [pa.string(), *[pa.int32()] * 3, pa.string(), pa.bool_(), *[pa.int32()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names)
-
-    return parseable(docs).select("uri", "text").mapInArrow(cut, SENTENCES)
+    return docs.mapInArrow(run, f"uri string, {schema}")
 
 
-def placed_sentences(text: str) -> Iterator[tuple]:
-    """(ordinal, start, end, text, complete, line, column, end line, end column) of each sentence. str.strip() knows the same white
-    space as the expressions do."""
+def placer(text: str) -> Callable[[int], tuple[int, int]]:
+    """Line and column of offsets that do not descend from call to call."""
     line, begin, seen = 1, 0, 0  # of the place up to which line ends are counted
 
     def place(at: int) -> tuple[int, int]:
@@ -82,11 +74,73 @@ def placed_sentences(text: str) -> Iterator[tuple]:
         seen = at
         return line, at - begin + 1
 
+    return place
+
+
+SENTENCES = "ordinal int, start int, end int, text string, complete boolean, line int, column int, end_line int, end_column int"
+ENDED = re.compile(SENTENCE)
+APART = re.compile(rf"[{SPACE},.!?:;]+")
+
+
+def sentences(docs: DataFrame, context_over: int | None = None) -> DataFrame:
+    """uri, ordinal, start, end, text, complete, and line and column of both ends. Only . ! ? end a sentence: line ends do not,
+    and the rest is incomplete. With ``context_over``, sentences of more words than that also have the lines around them
+    (``context``, else null)."""
+
+    def each(doc: dict) -> Iterator[tuple]:
+        text = doc["text"]
+        for s in placed_sentences(text):
+            if context_over is None:
+                yield s
+            else:
+                _, start, end, body, *_ = s
+                long = len(body) > 2 * context_over and len(APART.split(body)) > context_over
+                yield *s, (context_of(text, start, end) if long else None)
+
+    return walked(parseable(docs).select("uri", "text"), SENTENCES + (", context string" if context_over is not None else ""), each)
+
+
+def context_of(text: str, start: int, end: int) -> str:
+    """The text between the line ends around a span."""
+    after = text.find("\n", end)
+    return text[text.rfind("\n", 0, start) + 1 : len(text) if after < 0 else after]
+
+
+def sentence_spans(text: str) -> Iterator[tuple[int, int, int, str, bool]]:
+    """(ordinal, start, end, text, complete) of each sentence. str.strip() knows the same white space as the expressions do."""
     for ordinal, m in enumerate(ENDED.finditer(text)):
         if body := m[0].strip():
             start = m.start() + len(m[0]) - len(m[0].lstrip())
-            end = start + len(body)
-            yield ordinal, start, end, body, body[-1] in ".!?", *place(start), *place(end)
+            yield ordinal, start, start + len(body), body, body[-1] in ".!?"
+
+
+def placed_sentences(text: str) -> Iterator[tuple]:
+    """Sentences with line and column of both ends."""
+    place = placer(text)
+    for s in sentence_spans(text):
+        yield *s, *place(s[1]), *place(s[2])
+
+
+MARKS = "ordinal int, start int, end int, byte_offset long, start_line int, start_column int, end_line int, end_column int"
+
+
+def marks(docs: DataFrame, needle: str, cover: Callable[[str], np.ndarray] | None = None) -> DataFrame:
+    """uri, ordinal (from 1), start, end, byte_offset and places of each occurrence of a character. Documents whose column
+    ``marked`` is set are left out where ``cover(text)`` is true."""
+
+    def each(doc: dict) -> Iterator[tuple]:
+        text = doc["text"]
+        at = text.find(needle)
+        hidden = cover(text) if at >= 0 and cover is not None and doc.get("marked") else None
+        place, ordinal, seen, before = placer(text), 0, 0, 0
+        while at >= 0:
+            before, seen = before + len(text[seen:at].encode()), at
+            if hidden is None or not hidden[at]:
+                ordinal += 1
+                yield ordinal, at, at + 1, before, *place(at), *place(at + 1)
+            at = text.find(needle, at + 1)
+
+    return walked(docs, MARKS, each)
 
 
 def simple_words(sentence: Column) -> Column:
@@ -119,6 +173,29 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return placed.select("uri", "ordinal", start.alias("start"), (start + F.length("body")).alias("end"))
 
 
+PARAGRAPH_CUT = re.compile(PARAGRAPH_END)
+
+
+def paragraph_sentences(text: str) -> Iterator[tuple[int, int, int, bool]]:
+    """(start, end, sentences, clear) of each paragraph that a sentence touches; clear if all these are whole and inside it."""
+    edges = [(m.start(), m.end()) for m in PARAGRAPH_CUT.finditer(text)]
+    begins, ends = [0, *(b for _, b in edges)], [*(a for a, _ in edges), len(text)]
+    spans = [(a, b, whole) for _, a, b, _, whole in sentence_spans(text)]
+    first = 0
+    for a, b in zip(begins, ends):
+        if body := text[a:b].strip():
+            start = a + len(text[a:b]) - len(text[a:b].lstrip())
+            end = start + len(body)
+            while first < len(spans) and spans[first][1] <= start:
+                first += 1
+            k, clear = first, True
+            while k < len(spans) and spans[k][0] < end:
+                clear &= spans[k][2] and spans[k][0] >= start and spans[k][1] <= end
+                k += 1
+            if k > first:
+                yield start, end, k - first, clear
+
+
 def partition_faults(pieces: DataFrame, docs: DataFrame) -> DataFrame:
     """Documents whose pieces (uri, start, end) leave a gap, overlap or miss the end."""
     w = Window.partitionBy("uri").orderBy("start")

@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chars import SPACE
+from ..functions.place import column_of, line_around, line_of
+from . import language
 from .catalog import Catalog, Context, Rule
-from .markdown import region_sentences, region_tokens, with_regions
-from .plain import paragraphs, parseable, sentences, simple_words
+from .markdown import mask, region_sentences, with_regions
+from .intake import told_format
+from .plain import marks, paragraph_sentences, paragraphs, parseable, placer, sentences, simple_words, walked
 
 LIMITS = {"procedural": 20, "descriptive": 25}
 PARAGRAPH_LIMIT = 6
 
 
-def of_format(docs: DataFrame, wanted: str) -> DataFrame:
-    """Documents of one format, by the suffix of their uri in any case. A document of no known format fails the job."""
-    low = F.lower("uri")
+def format_of() -> Column:
+    """The format that the suffix of a uri tells, in any case. A document of no known format fails the job."""
     unknown = F.raise_error(F.concat(F.lit("unsupported suffix: "), F.coalesce("uri", F.lit("null")))).cast("string")
-    told = F.when(low.endswith(".txt"), "plain").when(low.endswith(".md") | low.endswith(".markdown"), "markdown").otherwise(unknown)
-    return docs.filter(told == wanted)
+    return F.coalesce(told_format(), unknown)
+
+
+def of_format(docs: DataFrame, wanted: str) -> DataFrame:
+    return docs.filter(format_of() == wanted)
 
 
 def is_plain(docs: DataFrame) -> DataFrame:
@@ -34,53 +41,70 @@ def none(docs: DataFrame) -> DataFrame:
     return docs.select("uri", F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("evidence")).filter(F.lit(False))
 
 
-def whole_sentences(docs: DataFrame, full: bool = True) -> DataFrame:
-    """Complete sentences of one part (uri, start, end, text) of plain and Markdown documents."""
-    plain = sentences(is_plain(docs)).filter("complete").select("uri", "start", "end", "text")
-    marked = with_regions(is_markdown(docs), full)
-    found = region_sentences(marked).filter(F.col("complete") & (F.size("parts") == 1)).join(marked.select("uri", F.col("text").alias("doc")), "uri")
-    return plain.unionByName(found.select("uri", "start", "end", F.substring("doc", F.col("start") + 1, F.col("end") - F.col("start")).alias("text")))
+def is_full(context: Context) -> bool:
+    """Whether Markdown is read by the present profile; option ``markdown_profile = "older"`` asks for the one before it."""
+    return context.options.get("markdown_profile") != "older"
 
 
 def long_sentences(text_type: str):
-    """Sentences of more simple words than the text type allows; documents must be declared to be of that type."""
+    """Complete sentences of one part with more simple words than the text type allows; documents must be declared to be of that
+    type. Places and context come from the walk over the texts, and of Markdown from the sentences found only."""
 
     def find(docs: DataFrame, context: Context) -> DataFrame:
         if context.options.get("text_type") != text_type:
             return none(docs)
         limit = LIMITS[text_type]
-        counted = whole_sentences(docs).withColumn("words", simple_words(F.col("text"))).filter(F.col("words") > limit)
-        return counted.select("uri", "start", "end", F.format_string(f"word_count=%d; limit={limit}", "words").alias("evidence"))
+        over = lambda df: df.withColumn("words", simple_words(F.col("text"))).filter(F.col("words") > limit)
+        own = ("uri", "start", "end", "words", "start_line", "start_column", "end_line", "end_column", F.col("text").alias("span"), "context")
+        plain = over(sentences(is_plain(docs), limit).filter("complete")).withColumnsRenamed({"line": "start_line", "column": "start_column"}).select(*own)
+        marked = with_regions(is_markdown(docs), is_full(context))
+        found = region_sentences(marked).filter(F.col("complete") & (F.size("parts") == 1)).join(marked.select("uri", F.col("text").alias("doc")), "uri")
+        found = over(found.withColumn("text", F.substring("doc", F.col("start") + 1, F.col("end") - F.col("start"))))
+        places = {f"{side}_{what}": f(F.col("doc"), F.col(side).cast("int")) for side in ("start", "end") for what, f in (("line", line_of), ("column", column_of))}
+        found = found.withColumns(places | {"context": line_around(F.col("doc"), F.col("start").cast("int"), F.col("end").cast("int"))}).select(*own)
+        return plain.unionByName(found).withColumn("evidence", F.format_string(f"word_count=%d; limit={limit}", "words")).drop("words")
 
     return find
 
 
+def plain_paragraphs(docs: DataFrame) -> DataFrame:
+    """Long paragraphs of plain documents, with their places, from one walk over each text."""
+
+    def each(doc: dict) -> Iterator[tuple]:
+        place = placer(doc["text"])
+        for start, end, n, clear in paragraph_sentences(doc["text"]):
+            if clear and n > PARAGRAPH_LIMIT:
+                yield start, end, n, *place(start), *place(end)
+
+    return walked(parseable(is_plain(docs)).select("uri", "text"), "start int, end int, n int, start_line int, start_column int, end_line int, end_column int", each)
+
+
 def long_paragraphs(docs: DataFrame, context: Context) -> DataFrame:
     """Paragraphs of more than six whole sentences. A paragraph with markup, an unfinished sentence, or one that crosses its
-    edge is left alone. Sentences meet paragraphs by an interval join within a document."""
+    edge is left alone. In Markdown, sentences meet paragraphs by an interval join within a document."""
     if context.options.get("text_type") != "descriptive":
         return none(docs)
-    plain = sentences(is_plain(docs)).select("uri", "start", "end", F.col("complete").alias("whole"))
-    marked = with_regions(is_markdown(docs))
-    parts = region_sentences(marked).select("uri", "start", "end", (F.col("complete") & (F.size("parts") == 1)).alias("whole"))
-    p, s = paragraphs(docs).alias("p"), plain.unionByName(parts).alias("s")
+    plain = plain_paragraphs(docs)
+    docs = is_markdown(docs)
+    marked = with_regions(docs, is_full(context))
+    s = region_sentences(marked).select("uri", "start", "end", (F.col("complete") & (F.size("parts") == 1)).alias("whole")).alias("s")
+    p = paragraphs(docs).alias("p")
     meet = F.expr("p.uri = s.uri and s.start < p.end and s.end > p.start")
     good = F.expr("s.whole and s.start >= p.start and s.end <= p.end")
     counted = p.join(s, meet).groupBy("p.uri", "p.start", "p.end").agg(F.count("*").alias("n"), F.bool_and(good).alias("clear"))
     counted = counted.filter(F.col("clear") & (F.col("n") > PARAGRAPH_LIMIT))
     ignored = marked.select("uri", F.inline("regions")).filter("not lintable").alias("r")
-    touched = counted.alias("c").join(ignored, F.expr("c.uri = r.uri and r.start < c.end and r.end > c.start"), "left_anti")
-    return touched.select("uri", "start", "end", F.format_string(f"sentence_count=%d; limit={PARAGRAPH_LIMIT}", "n").alias("evidence"))
+    touched = counted.alias("c").join(ignored, F.expr("c.uri = r.uri and r.start < c.end and r.end > c.start"), "left_anti").select("uri", "start", "end", "n").join(docs.select("uri", "text"), "uri")
+    places = {f"{side}_{what}": f(F.col("text"), F.col(side).cast("int")) for side in ("start", "end") for what, f in (("line", line_of), ("column", column_of))}
+    found = plain.unionByName(touched.withColumns(places).select(*plain.columns))
+    return found.withColumn("evidence", F.format_string(f"sentence_count=%d; limit={PARAGRAPH_LIMIT}", "n")).drop("n")
 
 
 def semicolons(docs: DataFrame, context: Context) -> DataFrame:
-    """Semicolons in prose. In plain texts the offsets are running lengths of the pieces between them."""
-    pieces = parseable(is_plain(docs)).select("uri", F.posexplode(F.split("text", ";", -1)).alias("k", "piece"), F.length("text").alias("size"))
-    w = Window.partitionBy("uri").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    plain = pieces.withColumn("start", F.sum(F.length("piece") + 1).over(w) - 1).filter(F.col("start") < F.col("size"))
-    plain = plain.select("uri", "start", (F.col("start") + 1).alias("end"))
-    marked = region_tokens(with_regions(is_markdown(docs))).filter("lintable and text = ';'").select("uri", "start", "end")
-    return plain.unionByName(marked).withColumn("evidence", F.lit(";"))
+    """Semicolons in prose, with their places, from one walk over each text; in Markdown those that no markup covers."""
+    full = is_full(context)
+    told = parseable(docs).select("uri", "text", (format_of() == "markdown").alias("marked"))
+    return marks(told, ";", lambda text: mask(text, full)).drop("ordinal", "byte_offset").withColumn("evidence", F.lit(";"))
 
 
 LEAD_IN = r"(?i)(?<![\p{L}\p{N}_])these[ \t]+\p{L}+(?:-\p{L}+)*s\.$"
@@ -92,7 +116,7 @@ def list_lead_ins(docs: DataFrame, context: Context) -> DataFrame:
     Lines are rows; runs of items with equal indentation are islands of a window; the lead-in is the line before the run,
     or the one before that if that is blank. It must be prose throughout and end a complete sentence.
     """
-    marked = with_regions(is_markdown(docs))
+    marked = with_regions(is_markdown(docs), is_full(context))
     cut = marked.select("uri", "text", "regions", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\n]*\n|[^\n]+"), F.lit(0))).alias("k", "raw"))
     w = Window.partitionBy("uri").orderBy("k")
     lines = cut.withColumn("start", F.sum(F.length("raw")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length("raw"))
@@ -127,8 +151,19 @@ def children(parses: DataFrame) -> DataFrame:
     return parses.join(c, ["uri", "sentence", "i"], "left").withColumn("deps", F.coalesce("deps", F.array().cast("array<string>"))).withColumn("modal", F.coalesce("modal", F.lit(False)))
 
 
+def emitted(docs: DataFrame, context: Context, rule_id: str) -> DataFrame:
+    """What a language rule emits in the documents, with the words as evidence. A document's spans meet its text once."""
+    found = language.emitted(language.evaluated(context.tables["sentences"], context.tables["parses"]), rule_id)
+    listed = found.groupBy("uri").agg(F.collect_list(F.struct("start", "end")).alias("spans")).join(docs.select("uri", "text"), "uri")
+    word = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring("text", s["start"] + 1, s["end"] - s["start"]).alias("evidence"))
+    return listed.select("uri", F.inline(F.transform("spans", word)))
+
+
 def passives(docs: DataFrame, context: Context) -> DataFrame:
-    """Passive verbs with an agent, or in procedures with a modal auxiliary, from the supplied parses."""
+    """Passive verbs with an agent, or in procedures with a modal auxiliary, from the supplied parses. With sentences supplied as
+    well, decisions are three-valued (``language``), and only what they emit is reported."""
+    if {"parses", "sentences"} <= set(context.tables):
+        return emitted(docs, context, language.VOICE)
     if "parses" not in context.tables:
         return none(docs)
     t = children(context.tables["parses"])
@@ -139,7 +174,10 @@ def passives(docs: DataFrame, context: Context) -> DataFrame:
 
 
 def note_imperatives(docs: DataFrame, context: Context) -> DataFrame:
-    """Notes (sentences that begin with "Note:") whose only root is a base-form verb without a subject, from the parses."""
+    """Notes (sentences that begin with "Note:") whose only root is a base-form verb without a subject, from the parses, or by
+    three-valued decisions as in ``passives``."""
+    if {"parses", "sentences"} <= set(context.tables):
+        return emitted(docs, context, language.NOTE)
     if "parses" not in context.tables:
         return none(docs)
     t = children(context.tables["parses"])

@@ -6,28 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import records
-from ..functions.place import column_of, line_around, line_of, only_place
+from ..functions.place import only_place
 from ..functions.ratio import ratio
-from ..operators import baseline, holdout, metrics, overlap, parses, plain, rules, scanner, study, vocabulary
+from ..operators import baseline, holdout, metrics, overlap, plain, rules, scanner, study, vocabulary
 from ..operators.catalog import Context, lint
 from ..sources.documents import table_documents
 from ..sources.reports import json_reports, read_json_reports
 from . import sqlparts as sql
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(text: str | None = None):
-    """Registers a function under its name, with its SQL."""
-
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if text:
-            ORACLES[f.__name__] = text
-        return f
-
-    return keep
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 
 def spread_documents(spark: SparkSession, sf_dir: str, **how: str) -> DataFrame:
@@ -40,10 +26,6 @@ def key(name: str = "uri") -> F.Column:
     return F.substring_index(name, ".", 1).cast("long").alias("doc_id")
 
 
-def place(start: str = "start") -> list[F.Column]:
-    return [line_of(F.col("text"), F.col(start).cast("int")).cast("long").alias("line"), column_of(F.col("text"), F.col(start).cast("int")).cast("long").alias("column")]
-
-
 def long_ones(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
     docs = spread_documents(spark, sf_dir)
     found = plain.sentences(docs).filter("complete").withColumn("words", plain.simple_words(F.col("text"))).filter(F.col("words") > limit)
@@ -106,8 +88,8 @@ PAGE_SEMICOLONS = """WITH cut AS (SELECT page_id, html, unnest(l) AS piece, gene
 @query(f"""{PAGE_SEMICOLONS} SELECT page_id AS doc_id, off AS "start", {sql.place("html", "off")} FROM found WHERE k < n""")
 def semicolon_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table_documents(spark, sf_dir, "pages", "page_id", "html")
-    found = rules.semicolons(docs, Context()).join(docs.select("uri", "text"), "uri")
-    return found.select(key(), F.col("start").cast("long"), *place())
+    found = rules.semicolons(docs, Context())
+    return found.select(key(), *(F.col(c).cast("long").alias(n) for c, n in (("start", "start"), ("start_line", "line"), ("start_column", "column"))))
 
 
 @query()
@@ -131,14 +113,13 @@ def line_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {sql.SPANS} SELECT doc_id, "start", md5(split_part(left(text, "start"::INT), chr(10), -1) || s || split_part(substr(text, "end"::INT + 1), chr(10), 1)) AS context_md5 FROM spans""")
 def context_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread_documents(spark, sf_dir)
-    spans = rules.long_sentences("procedural")(docs, Context({"text_type": "procedural"})).join(docs.select("uri", "text"), "uri")
-    return spans.select(key(), F.col("start").cast("long"), F.md5(line_around(F.col("text"), F.col("start").cast("int"), F.col("end").cast("int"))).alias("context_md5"))
+    spans = rules.long_sentences("procedural")(spread_documents(spark, sf_dir), Context({"text_type": "procedural"}))
+    return spans.select(key(), F.col("start").cast("long"), F.md5("context").alias("context_md5"))
 
 
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread_documents(spark, sf_dir)
-    return baseline.fingerprints(lint(docs, rules.CATALOG, ["SENT-001"], Context({"text_type": "procedural"})), docs)
+    return baseline.fingerprints(lint(docs, rules.CATALOG, ["SENT-001"], Context({"text_type": "procedural"}), with_context=True), docs)
 
 
 @query(f"""WITH {sql.PRINTS} SELECT doc_id, "start", fingerprint FROM prints""")
@@ -357,36 +338,6 @@ def vocabulary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.look_up(words, entries, TECHNICAL).select("word", "n", "status")
 
 
-GOLD = "# sent_id = 1\n1\tThe\tthe\tDET\t_\tDefinite=Def|PronType=Art\t2\tdet\t_\t_\n2\tpump\tpump\tNOUN\t_\tNumber=Sing\t3\tnsubj\t_\t_\n3\truns\trun\tVERB\t_\tNumber=Sing|Tense=Pres\t0\troot\t_\tSpaceAfter=No\n4\t.\t.\tPUNCT\t_\t_\t3\tpunct\t_\t_"
-OTHER = GOLD.replace("runs\trun\tVERB\t_\tNumber=Sing|Tense=Pres", "runs\truns\tNOUN\t_\tNumber=Plur|Tense=Pres").replace("2\tdet", "3\tdet")
-
-
-def parsed(spark: SparkSession, block: str) -> DataFrame:
-    return parses.conllu_words(spark.createDataFrame([("1", block)], "sent string, block string"))
-
-
-@query("""SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 3::BIGINT, 'DET', 2::BIGINT), (2, 4, 8, 'NOUN', 3), (3, 9, 13, 'VERB', NULL), (4, 13, 14, 'PUNCT', 3)) t(i, "start", "end", upos, head)""")
-def conllu_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsed(spark, GOLD).select(*(F.col(c).cast("long").alias(c) for c in ("i", "start", "end", "head")), "upos")
-
-
-@query("SELECT 1.0::DOUBLE AS word_f1, 0.75::DOUBLE AS lemma_accuracy, 0.75::DOUBLE AS upos_accuracy, 0.8::DOUBLE AS feats_f1, 0.75::DOUBLE AS uas, 0.75::DOUBLE AS las")
-def feats_f1_uas_las(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of a parse with one wrong lemma, tag, feature and head, against the gold one."""
-    return parses.scores(parses.aligned(parsed(spark, GOLD), parsed(spark, OTHER)))
-
-
-LISTS = [("a.md", "Use these tools.\n\n- hammer\n- saw\n"), ("b.md", "Use these tools:\n- hammer\n- saw\n"), ("c.md", "Use these tools.\n\n\n- hammer\n- saw\n"), ("d.md", "First. Read these fine words.\n1. one\n2. two\n"), ("e.md", "Use these tools.\n- hammer\n")]
-
-
-@query("""SELECT * FROM (VALUES ('a.md', 15::BIGINT)) t(uri, "start")""")
-def list001(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.list_lead_ins(spark.createDataFrame(LISTS, "uri string, text string"), Context()).select("uri", F.col("start").cast("long"))
-
-
-UNITS_TEXT = "# Head\n\nOne sentence. Another one; with more\n\n- a item\n  - nested one\n  - nested two\n- b item\n\n```\ncode; here\n```\n\nLast words"
-
-
 @query()
 def scanner_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Review units of all pages, read as Markdown."""

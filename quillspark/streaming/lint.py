@@ -1,7 +1,7 @@
 """Linting documents as they arrive: the batch transform of plain sentences, without a window by document.
 
-An adaptation, since the rules themselves know no streams. A folder is watched; each file is one document, read whole. All
-sentences of a document are in its row, so offsets come from array functions and nothing is kept between batches.
+An adaptation, since the rules themselves know no streams. A folder is watched; each file is one document, read whole. A
+document is walked where it lies, so nothing is kept between batches.
 """
 
 from __future__ import annotations
@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.chars import SENTENCE, leading, strip
-from ..operators.plain import parseable, simple_words
+from ..operators.plain import sentences, simple_words
 from ..operators.rules import LIMITS
 
 
@@ -22,12 +21,5 @@ def arriving(spark: SparkSession, folder: str) -> DataFrame:
 
 def long_sentences(docs: DataFrame, text_type: str = "procedural") -> DataFrame:
     """uri, start, end, words of sentences over the limit; runs on streams and on tables alike."""
-    pieces = F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))
-    lengths = F.transform("pieces", F.length)
-    starts = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
-    rows = parseable(docs).withColumn("pieces", pieces).withColumn("starts", starts)
-    cut = rows.select("uri", F.explode(F.arrays_zip("pieces", F.slice("starts", 1, F.size("pieces")).alias("starts"))).alias("x")).select("uri", F.col("x.pieces").alias("piece"), F.col("x.starts").alias("at"))
-    body = strip(F.col("piece"))
-    found = cut.withColumn("body", body).withColumn("words", simple_words(F.col("body"))).filter(F.rlike("body", F.lit(r"[.!?]$")) & (F.col("words") > LIMITS[text_type]))
-    start = F.col("at") + leading(F.col("piece"))
-    return found.select("uri", start.alias("start"), (start + F.length("body")).alias("end"), "words")
+    counted = sentences(docs).filter("complete").withColumn("words", simple_words(F.col("text")))
+    return counted.filter(F.col("words") > LIMITS[text_type]).select("uri", "start", "end", "words")

@@ -7,7 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from quillspark.plans.queries import ORACLES, QUERIES
+from quillspark.plans import evidence, queries  # noqa: F401  (both register)
+from quillspark.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
