@@ -25,6 +25,7 @@ ignored; special tokens' names inside texts are plain text. Ids must be integers
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from array import array
@@ -40,8 +41,8 @@ from pyspark.sql import functions as F
 
 from .common import BIN, INT, LONG, STR, give_back, quoted, schema, spread, text_or_empty, written
 
-#: White space before a space, or nothing behind it: no cut there.
-GLUED = re.compile(r"(?:^|[\s▁])\x20|\x20\Z")
+#: White space before a space: no cut there.
+GLUED = re.compile(r"[\s▁]\x20")
 #: Units that a worker remembers, and the longest of them in characters.
 MOST_UNITS, LONGEST_UNIT = 400_000, 48
 #: Rows of the first table. ``stripe`` is -1 in rows of documents.
@@ -81,23 +82,52 @@ def byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Pieces that side A's pattern parts a text into before it merges bytes. Fixed value.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+JOINED = 100_000  # characters of units that are encoded as one text
+
+
+def ranks_of(tokenizer, of: dict[str, int]) -> dict[bytes, int] | None:
+    """Bytes and ids of a byte-level tokenizer whose ids rank its merges, so that another encoder gives the same ids; None of
+    any other."""
+    spec = json.loads(tokenizer.to_str())
+    model, before = spec["model"], spec["pre_tokenizer"] or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec["normalizer"]
+    if not plain or model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges"):
+        return None
+    made = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    special = {t["content"] for t in spec["added_tokens"]}
+    entries = {t: i for t, i in model["vocab"].items() if t not in special}
+    if made != sorted(set(made)) or len(entries) != 256 + len(made) or not all(c in of for t in entries for c in t):
+        return None
+    return {bytes(of[c] for c in t): i for t, i in entries.items()}
+
+
 class Pair:
     """Both tokenizers, and the units met so far as rows of flat arrays."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         of = byte_of()
-        self.bytes_a: dict[int, bytes] = {i: bytes(of[c] for c in t) if all(c in of for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        ranks = ranks_of(self.a, of)
+        self.quick = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+        entries = {i: bytes(of[c] for c in t) if all(c in of for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.n_a, self.n_b = max(entries) + 1, len(pieces)
+        self.bytes_a = [entries.get(i, b"") for i in range(self.n_a)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.n_a, self.n_b = max(self.bytes_a) + 1, len(pieces)
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.size_a, self.size_b = (np.array([len(x) for x in own]) for own in (self.bytes_a, self.bytes_b))
+        number = lambda n, end: np.array([f"{i}{end}" for i in range(n)], object)
+        self.shown_a, self.shown_b = ((number(self.n_a, ","), number(self.n_a, "|")), (number(self.n_b, ","), number(self.n_b, ";")))
+        self.digits = np.array([len(str(i)) + 1 for i in range(max(self.n_a, self.n_b))])
         self.forget()
 
     def forget(self) -> None:
@@ -112,11 +142,11 @@ class Pair:
         if not self.cuts:
             return [text]
         parts = text.split(" ")
-        if not GLUED.search(text):
+        if parts[0] and parts[-1] and not GLUED.search(text):
             return parts
         out: list[str] = []
         for p in parts:
-            if out and (not out[-1] or out[-1][-1].isspace() or out[-1][-1] == "▁"):
+            if out and (not out[-1] or ends_open(out[-1])):
                 out[-1] += " " + p
             else:
                 out.append(p)
@@ -125,38 +155,67 @@ class Pair:
         return out
 
     def learn(self, units: list[str]) -> None:
-        """Encodes units and notes their links and groups."""
-        for at in range(0, len(units), 4096):
-            some = units[at : at + 4096]
-            for u, in_a, ids_b in zip(some, self.a.encode_batch_fast([" " + u for u in some], add_special_tokens=False), self.b.encode(some, num_threads=1)):
-                self.known[u] = len(self.groups)
-                self.note(u, in_a.ids, ids_b)
-
-    def note(self, unit: str, ids_a: list[int], ids_b: list[int]) -> None:
-        of_a, of_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        want = (" " + unit).encode()
-        right = b"".join(of_a) == want and b"".join(of_b) == want
-        groups = []
-        if right:
-            i = j = from_a = from_b = at_a = at_b = 0
-            while i < len(ids_a) or j < len(ids_b):
-                if at_a <= at_b:
-                    at_a += len(of_a[i])
-                    i += 1
-                else:
-                    at_b += len(of_b[j])
-                    j += 1
-                if at_a == at_b:
-                    groups.append(f"{','.join(map(str, ids_a[from_a:i]))}|{','.join(map(str, ids_b[from_b:j]))}")
-                    self.links.append(ids_b[j - 1] << 32 | ids_a[i - 1])
-                    from_a, from_b = i, j
-        self.groups.append(";".join(groups))
-        self.sizes.extend((len(ids_a), len(ids_b), len(groups), right))
-        self.starts.append(len(self.links))
+        """Encodes units and notes their links and groups. Many units are encoded as one text, since neither side joins bytes
+        across the cuts; those that end in white space are encoded alone."""
+        some, chars = [], 0
+        for u in units:
+            if not self.cuts or not u or ends_open(u):
+                self.note([u])
+                continue
+            some.append(u)
+            chars += len(u) + 1
+            if chars > JOINED:
+                self.note(some)
+                some, chars = [], 0
+        if some:
+            self.note(some)
+
+    def note(self, units: list[str]) -> None:
+        """Rows of the units, from one text of them all. If that is not spelt by both sides, unit by unit."""
+        text = " ".join(units)
+        data = f" {text}".encode()
+        ids_a = self.quick.encode_to_numpy(f" {text}") if self.quick else np.array(self.a.encode(f" {text}", add_special_tokens=False).ids, np.int64)
+        ids_a, ids_b = ids_a.astype(np.int64), np.array(self.b.encode(text), np.int64)
+        ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
+        right = b"".join(map(self.bytes_a.__getitem__, ids_a.tolist())) == data and b"".join(map(self.bytes_b.__getitem__, ids_b.tolist())) == data
+        edges = np.cumsum([len(u.encode()) + 1 for u in units])
+        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        if right and len(units) > 1:
+            right = bool(np.isin(edges, both, assume_unique=True).all())
+        if not right and len(units) > 1:
+            for u in units:
+                self.note([u])
+            return
+        for u in units:
+            self.known[u] = len(self.groups)
+            self.groups.append("")
+        if not right:
+            self.sizes.extend((len(ids_a), len(ids_b), 0, 0))
+            self.starts.append(len(self.links))
+            return
+        last_a, last_b = np.searchsorted(ends_a, both), np.searchsorted(ends_b, both)
+        self.links.frombytes(((ids_b[last_b].astype(np.uint64) << np.uint64(32)) | ids_a[last_a].astype(np.uint64)).tobytes())
+        # tokens in the order in which groups show them: those of A, then those of B
+        own_a, own_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
+        place_a = np.arange(len(ids_a)) + np.concatenate([[0], last_b + 1])[own_a]
+        place_b = np.arange(len(ids_b)) + last_a[own_b] + 1
+        parts = np.empty(len(ids_a) + len(ids_b), object)
+        width = np.empty(len(parts), np.int64)
+        for ids, place, last, own, shown in ((ids_a, place_a, last_a, own_a, self.shown_a), (ids_b, place_b, last_b, own_b, self.shown_b)):
+            parts[place] = np.where(last[own] == np.arange(len(ids)), shown[1][ids], shown[0][ids])
+            width[place] = self.digits[ids]
+        whole = "".join(parts.tolist())
+        upto_a, upto_b, upto = (np.searchsorted(x, edges, "right") for x in (ends_a, ends_b, both))
+        at = np.concatenate([[0], np.cumsum(width)])[upto_a + upto_b].tolist()
+        first = len(self.groups) - len(units)
+        self.groups[first:] = [whole[i : j - 1] for i, j in zip([0, *at], at)]
+        counts = np.column_stack([*(np.diff(x, prepend=0) for x in (upto_a, upto_b, upto)), np.ones(len(units), np.int64)])
+        self.sizes.frombytes(counts.astype(np.int64).tobytes())
+        self.starts.frombytes((self.starts[-1] + upto).astype(np.int64).tobytes())
 
     def rows_of(self, texts: list[str]) -> list[list[int]]:
         """The units' rows of each text."""
-        if len(self.known) > MOST_UNITS:
+        if len(self.groups) > MOST_UNITS:
             self.forget()
         cut = [self.units(t) if t else [] for t in texts]
         new = {u for us in cut for u in us if u not in self.known}
@@ -168,6 +227,11 @@ class Pair:
         return rows
 
 
+def ends_open(unit: str) -> bool:
+    """Whether what follows a unit may be one with its end."""
+    return unit[-1].isspace() or unit[-1] == "▁"
+
+
 @lru_cache(maxsize=1)
 def pair(path_a: str, path_b: str) -> Pair:
     """One of a worker process, which lives longer than a task."""
@@ -195,6 +259,26 @@ def block_rows(p: Pair, texts: list[str]) -> tuple[dict[str, np.ndarray | list[s
     return {"n_a": n[:, 0], "n_b": n[:, 1], "n_groups": n[:, 2], "groups_sha256": digests}, whole, np.concatenate(docs) if docs else np.zeros(0, np.uint32)
 
 
+def by_stripe(links: np.ndarray, docs: np.ndarray, stripes: int, shape: tuple[int, int], n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links and their documents in order of stripe, B id, A id and document, and where each stripe begins. All four are packed
+    into one key, so that plain keys are sorted; keys that have no room for them are sorted by parts."""
+    low = np.uint64(0xFFFFFFFF)
+    b, a = (links >> np.uint64(32)).astype(np.int64), links & low
+    turned = (b % stripes) * (-(-shape[0] // stripes)) + b // stripes
+    bits_a, bits_doc = int(shape[1] - 1).bit_length(), int(n_docs - 1).bit_length()
+    if int(turned.max(initial=0)).bit_length() + bits_a + bits_doc <= 64:
+        keys = np.sort(((turned.astype(np.uint64) << np.uint64(bits_a)) | a) << np.uint64(bits_doc) | docs.astype(np.uint64))
+        docs = (keys & np.uint64((1 << bits_doc) - 1)).astype(np.uint32)
+        a = (keys >> np.uint64(bits_doc)) & np.uint64((1 << bits_a) - 1)
+        turned = (keys >> np.uint64(bits_a + bits_doc)).astype(np.int64)
+    else:
+        order = np.lexsort((docs, a, turned))
+        a, docs, turned = a[order], docs[order], turned[order]
+    rows = -(-shape[0] // stripes)
+    links = ((turned % rows * stripes + turned // rows).astype(np.uint64) << np.uint64(32)) | a
+    return links, docs, np.searchsorted(turned, np.arange(stripes + 1) * rows)
+
+
 def encoded(rows: DataFrame, path_a: str, path_b: str, stripes: int, block_chars: int) -> DataFrame:
     """Rows of ``BLOCK``. Those of documents have an Arrow table of them."""
 
@@ -216,10 +300,7 @@ def encoded(rows: DataFrame, path_a: str, path_b: str, stripes: int, block_chars
             with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_batch(table)
             made = [(number, -1, len(links), None, None, sink.getvalue().to_pybytes())]
-            b = (links >> np.uint64(32)).astype(np.int64)
-            order = np.lexsort((docs, links, b % stripes))
-            links, docs, b = links[order], docs[order], b[order]
-            cuts = np.searchsorted(b % stripes, np.arange(stripes + 1))
+            links, docs, cuts = by_stripe(links, docs, stripes, (p.n_b, p.n_a), batch.num_rows)
             for s in np.flatnonzero(np.diff(cuts)).tolist():
                 own = links[cuts[s] : cuts[s + 1]]
                 first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))

@@ -257,3 +257,25 @@ def test_logistic_finds_the_minimum():
         return np.logaddexp(0, np.where(y, -z, z)).mean() + 5e-3 * (w[:-1] @ w[:-1])
 
     assert all(loss(w) <= loss(w + d) + 1e-6 for d in 0.05 * rng.normal(size=(50, 21)))
+
+
+def test_encoders_and_sorts_agree(words):  # noqa: F811
+    """The quick encoder and the tokenizer itself, many units at once and one by one, packed keys and sorts by parts."""
+    pytest.importorskip("public_tokenizers")
+    p, q = (alignment.Pair(*map(queries.tokenizer_path, PATHS)) for _ in range(2))
+    assert p.quick is not None
+    texts = [prose(words, 80, k) for k in range(20)] + ODD
+    first = alignment.block_rows(p, texts)
+    q.quick, alignment.JOINED, before = None, 5, alignment.JOINED
+    try:
+        second = alignment.block_rows(q, texts)
+    finally:
+        alignment.JOINED = before
+    assert first[0]["groups_sha256"] == second[0]["groups_sha256"] and (first[1] == second[1]).all() and (first[2] == second[2]).all()
+    _, links, docs = first  # noqa: F811
+    packed = alignment.by_stripe(links, docs, 7, (p.n_b, p.n_a), len(texts))
+    parts = alignment.by_stripe(links, docs, 7, (p.n_b, 1 << 40), len(texts))
+    assert all((x == y).all() for x, y in zip(packed, parts))
+    assert Counter(zip(packed[0].tolist(), packed[1].tolist())) == Counter(zip(links.tolist(), docs.tolist()))
+    b = (packed[0] >> np.uint64(32)) % np.uint64(7)
+    assert all((b[packed[2][s] : packed[2][s + 1]] == s).all() for s in range(7)) and packed[2][-1] == len(links)
