@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.place import column_of, line_of
+from .plain import places, walked_units
 
 PENDING = "pending-review"
 CONTEXTS = ("visible_prose", "markup_or_code", "uncertain")
@@ -40,54 +41,58 @@ def case_id(prefix: str = "unit-") -> Column:
     return F.concat(F.lit(prefix), F.sha2(F.concat_ws("\0", *parts), 256))
 
 
-def by_document(units: DataFrame, docs: DataFrame, each) -> DataFrame:
-    """``each(unit, text)`` of all units as column ``r``: a document's units meet its text once, as one list, so that no text
-    is copied. Units of documents that are not there have a null text."""
-    names = [c for c in units.columns if c != "uri"]
-    listed = units.groupBy("uri").agg(F.collect_list(F.struct(*names)).alias("units"))
-    met = listed.join(docs.select("uri", F.coalesce("text", F.lit("")).alias("text")), "uri", "left")
-    return met.select("uri", F.explode(F.transform("units", lambda u: each(u, F.col("text")))).alias("r"))
-
-
-def slice_of(text: Column, u: Column) -> Column:
-    return F.substring(text, u["start"] + 1, u["end"] - u["start"])
-
-
 def records(units: DataFrame, docs: DataFrame) -> DataFrame:
     """Units (uri, source_id, text_type, rule_id, unit_kind, start, end, structural_context) as records: coordinates of both
-    ends, a digest of the slice, a case id from the content, and the state before review."""
-
-    def each(u: Column, text: Column) -> Column:
-        places = (f(text, u[side].cast("int")).alias(f"{side}_{what}") for side in ("start", "end") for what, f in (("line", line_of), ("column", column_of)))
-        return F.struct(*(u[c].alias(c) for c in units.columns if c != "uri"), *places, F.sha2(slice_of(text, u), 256).alias("slice_sha256"))
-
-    rows = by_document(units, docs, each).select("uri", "r.*")
+    ends, a digest of the slice, a case id from the content, and the state before review. Units of a document meet its text
+    once, which is walked once."""
+    names = ("source_id", "text_type", "rule_id", "unit_kind", "structural_context")
+
+    def each(text: str | None, own: list[dict]) -> Iterator[tuple]:
+        at = places(text or "", {u[k] for u in own for k in ("start", "end")})
+        for u in own:
+            cut = (text or "")[max(u["start"], 0) : u["end"]]
+            yield u["start"], u["end"], *(u[n] for n in names), *at.get(u["start"], (None, None)), *at.get(u["end"], (None, None)), hashlib.sha256(cut.encode()).hexdigest()
+
+    schema = "start int, end int, " + ", ".join(f"{n} string" for n in names) + ", start_line int, start_column int, end_line int, end_column int, slice_sha256 string"
+    rows = walked_units(units.select("uri", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), *names), docs, schema, each)
     return rows.withColumns({"case_id": case_id(), "truth": F.lit(PENDING), "review_status": F.lit(PENDING)}).select(*RECORD)
 
 
 def contract_faults(rows: DataFrame, docs: DataFrame, rules: Iterable[str], excluded: dict[str, list[str]] | None = None) -> DataFrame:
-    """Records that break their contract, with all codes: unknown_rule, context, state, document, span, slice, start_place,
-    end_place, case_id, excluded (a document that its rule leaves out) and duplicate (all records of a repeated unit or id)."""
+    """Records that break their contract (uri, case_id, start, end, faults), with all codes: unknown_rule, context, state, case_id,
+    excluded (a document that its rule leaves out), duplicate (all records of a repeated unit or id), document, span, slice,
+    start_place, end_place. The last five come from a walk over each text that has records."""
     left_out = F.lit(False)
     for rule, uris in (excluded or {}).items():
         left_out = left_out | ((F.col("rule_id") == rule) & F.col("uri").isin(*uris))
-    own = Window.partitionBy("rule_id", "source_id", "uri", "start", "end", "unit_kind")
-    checked = rows.withColumns({"right_id": F.col("case_id") == case_id(), "left_out": left_out, "twice": (F.count("*").over(own) > 1)})
-    checked = checked.withColumn("twice", F.col("twice") | (F.count("*").over(Window.partitionBy("case_id")) > 1))
-
-    def each(u: Column, text: Column) -> Column:
-        inside = F.coalesce((u["start"] >= 0) & (u["start"] < u["end"]) & (u["end"] <= F.length(text)), F.lit(False))
-        wrong = lambda ok: inside & ~F.coalesce(ok, F.lit(False))
-        place = lambda side: (line_of(text, u[side].cast("int")) == u[f"{side}_line"]) & (column_of(text, u[side].cast("int")) == u[f"{side}_column"])
-        codes = {
-            "unknown_rule": ~F.coalesce(u["rule_id"].isin(*rules), F.lit(False)), "context": ~F.coalesce(u["structural_context"].isin(*CONTEXTS), F.lit(False)),
-            "state": ~F.coalesce((u["truth"] == PENDING) & (u["review_status"] == PENDING), F.lit(False)), "document": text.isNull(), "span": text.isNotNull() & ~inside,
-            "slice": wrong(F.sha2(slice_of(text, u), 256) == u["slice_sha256"]), "start_place": wrong(place("start")), "end_place": wrong(place("end")),
-            "case_id": ~F.coalesce(u["right_id"], F.lit(False)), "excluded": u["left_out"], "duplicate": u["twice"],
-        }
-        return F.struct(u["case_id"].alias("case_id"), u["start"].alias("start"), u["end"].alias("end"), F.array_compact(F.array(*(F.when(c, n) for n, c in codes.items()))).alias("faults"))
-
-    return by_document(checked, docs, each).select("uri", "r.*").filter(F.size("faults") > 0)
+    twice = F.count("*").over(Window.partitionBy("rule_id", "source_id", "uri", "start", "end", "unit_kind")) > 1
+    checked = rows.withColumn("_twice", twice).withColumn("_twice", F.col("_twice") | (F.count("*").over(Window.partitionBy("case_id")) > 1))
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    codes = {
+        "unknown_rule": no(F.col("rule_id").isin(*rules)), "context": no(F.col("structural_context").isin(*CONTEXTS)), "state": no((F.col("truth") == PENDING) & (F.col("review_status") == PENDING)),
+        "case_id": no(F.col("case_id") == case_id()), "excluded": left_out, "duplicate": F.col("_twice"),
+    }
+    own = F.array_join(F.array_compact(F.array(*(F.when(c, n) for n, c in codes.items()))), ",")
+    sides = ("start_line", "start_column", "end_line", "end_column")
+    asked = checked.select("uri", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "case_id", "slice_sha256", *sides, own.alias("own"))
+
+    def each(text: str | None, units: list[dict]) -> Iterator[tuple]:
+        at = places(text or "", {u[k] for u in units for k in ("start", "end") if u[k] is not None})
+        for u in units:
+            faults, a, b = [x for x in u["own"].split(",") if x], u["start"], u["end"]
+            if text is None:
+                faults.append("document")
+            elif a is None or b is None or not 0 <= a < b <= len(text):
+                faults.append("span")
+            else:
+                if hashlib.sha256(text[a:b].encode()).hexdigest() != u["slice_sha256"]:
+                    faults.append("slice")
+                faults += [f"{k}_place" for k, o in (("start", a), ("end", b)) if at[o] != (u[f"{k}_line"], u[f"{k}_column"])]
+            if faults:
+                yield u["case_id"], a, b, ",".join(faults)
+
+    found = walked_units(asked, docs, "case_id string, start int, end int, faults string", each)
+    return found.withColumn("faults", F.split("faults", ","))
 
 
 def order_faults(rows: DataFrame, keys: list[Column], part: str, place: str) -> DataFrame:

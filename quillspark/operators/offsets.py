@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chars import SPACE
 from ..functions.records import ordered_places, protected_tokens
+from .plain import walked_units
 
 STATUS_PENDING, STATUS_APPROVED, ROLE = "pending-model-panel", "model-panel-approved", "three-model-panel"
 MARKUP, PARTIAL = "structural-markup", "partial-structural-markup"
@@ -102,8 +103,8 @@ def case_faults(cases: DataFrame, spans: DataFrame, tokens: DataFrame, sentences
     first, last = F.try_element_at("at", F.col("first_token")), F.try_element_at("at", F.col("past_last_token") - 1)
     loose = s.filter(~F.coalesce((F.col("first_token") < F.col("past_last_token")) & (first["start"] == F.col("start")) & (last["end"] == F.col("end")), F.lit(False))).select("uri", F.lit("sentence_edges").alias("fault"))
     orphan = words.join(tokens.select("uri", "token"), ["uri", "token"], "left_anti").select("uri", F.lit("orphan_word").alias("fault"))
-    listed = tokens.groupBy("uri").agg(F.collect_list(F.struct("start", "end", "text")).alias("ts")).join(cases.select("uri", F.col("text").alias("body")), "uri")
-    wrong = listed.select("uri", F.explode(F.filter("ts", lambda t: F.substring("body", t["start"] + 1, t["end"] - t["start"]) != t["text"])).alias("t")).select("uri", F.lit("token_slice").alias("fault"))
+    shown = tokens.select("uri", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("text").alias("shown"))
+    wrong = walked_units(shown, cases, "fault string", lambda text, ts: (("token_slice",) for t in ts if text is None or text[max(t["start"], 0) : t["end"]] != t["shown"]))
     all_ = swept
     for part in (late, astray, loose, orphan, wrong):
         all_ = all_.unionByName(part)

@@ -63,6 +63,21 @@ def walked(docs: DataFrame, schema: str, each: Callable[[dict], Iterator[tuple]]
     return docs.mapInArrow(run, f"uri string, {schema}")
 
 
+def walked_units(units: DataFrame, docs: DataFrame, schema: str, each: Callable[[str | None, list[dict]], Iterator[tuple]]) -> DataFrame:
+    """Rows that ``each(text, units)`` yields of a document, behind its uri. Units (uri, and columns that begin with start or another
+    sort key) of a document meet its text once, as one ascending list, so that no text is copied; the text of a document that
+    is not there is null."""
+    listed = units.groupBy("uri").agg(F.sort_array(F.collect_list(F.struct(*(c for c in units.columns if c != "uri")))).alias("units"))
+    met = listed.join(docs.select("uri", F.coalesce("text", F.lit("")).alias("text")), "uri", "left")
+    return walked(met.select("uri", "text", "units"), schema, lambda doc: each(doc["text"], doc["units"]))
+
+
+def places(text: str, offsets: set[int]) -> dict[int, tuple[int, int]]:
+    """Line and column of offsets inside a text or at its end."""
+    place = placer(text)
+    return {at: place(at) for at in sorted(offsets) if 0 <= at <= len(text)}
+
+
 def placer(text: str) -> Callable[[int], tuple[int, int]]:
     """Line and column of offsets that do not descend from call to call."""
     line, begin, seen = 1, 0, 0  # of the place up to which line ends are counted

@@ -170,12 +170,12 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.select("uri", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(walk, LINE)
 
 
-def blocks(ls: DataFrame) -> DataFrame:
+def blocks(ls: DataFrame, with_body: bool = False) -> DataFrame:
     """uri, first_line, last_line, kind (prose, list or quote), start, end, uncertain, shown_start, shown_end, terminal: what
     is left visible by the projection, from and to its first and last character, and the last one.
 
     A structural or blank line ends a block, an item begins one, quoted lines are one. Behind an item, deeper lines are its
-    own until one is not; that one begins prose.
+    own until one is not; that one begins prose. ``with_body`` adds the visible text, lines trimmed and joined by blanks.
     """
     by = Window.partitionBy("uri").orderBy("k")
     so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -191,7 +191,10 @@ def blocks(ls: DataFrame) -> DataFrame:
     shown = F.regexp_replace("shown", rf"[{SPACE}]+$", "")
     lead = F.length("shown") - F.length(F.regexp_replace("shown", rf"^[{SPACE}]+", ""))
     seen = F.length(shown) > 0
+    trimmed = F.regexp_replace(shown, rf"^[{SPACE}]+", "")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", trimmed.alias("t")))), lambda x: x["t"]), " ")
     found = ls.groupBy("uri", "block").agg(
+        *([body.alias("body")] if with_body else []),
         F.min("k").alias("first_line"), F.max("k").alias("last_line"), F.min_by("side", "k").alias("kind"), F.min("start").alias("start"), F.max("end").alias("end"), F.bool_or("uncertain").alias("uncertain"),
         F.min(F.when(seen, F.col("start") + lead)).alias("shown_start"), F.max(F.when(seen, F.col("start") + F.length(shown))).alias("shown_end"),
         F.max_by(F.right(shown, F.lit(1)), F.when(seen, F.col("k"))).alias("terminal"), F.bool_or(F.rlike("shown", F.lit(r"[\p{L}\p{N}_]"))).alias("words"),
@@ -232,6 +235,23 @@ def list_units(ls: DataFrame) -> DataFrame:
     )
 
 
+#: A stop that ends a sentence: marks that close and white space, or nothing, are behind it. Fixed value.
+TERMINAL = r"[.!?](?=[\"'’”)\]]*(?:\s|$))"
+
+
+def scan_counts(docs: DataFrame) -> DataFrame:
+    """uri, complete, incomplete, paragraphs, semicolons, list_runs of every document: whole sentences and unfinished rests of its
+    blocks, blocks of prose, semicolons of the text, list runs. No unit rows are made."""
+    ls = lines(docs)
+    b = blocks(ls, with_body=True)
+    rest = F.regexp_replace("body", rf"(?s)^.*{TERMINAL}", "")
+    sums = b.groupBy("uri").agg(F.sum(F.regexp_count("body", F.lit(TERMINAL))).alias("complete"), F.count_if(F.rlike(rest, F.lit(r"[\p{L}\p{N}_]"))).alias("incomplete"), F.count_if(F.col("kind") == "prose").alias("paragraphs"))
+    runs = ls.groupBy("uri").agg(F.count("peers").alias("list_runs"))
+    semis = docs.select("uri", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit(";"), F.lit(""))), F.lit(0)).alias("semicolons"))
+    met = semis.join(sums, "uri", "left").join(runs, "uri", "left")
+    return met.select("uri", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("complete", "incomplete", "paragraphs", "semicolons", "list_runs")))
+
+
 def summary(ls: DataFrame) -> DataFrame:
     """Characters, blanked characters and lines in doubt of each document."""
     shown = F.length(F.regexp_replace("shown", rf"[{SPACE}]", ""))

@@ -7,7 +7,7 @@ import json
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -16,16 +16,30 @@ MOST_BYTES, MOST_ENTRIES = 16 << 20, 100_000
 
 
 @F.pandas_udf(StringType())
-def folded(texts: pd.Series) -> pd.Series:
-    """NFC, then case-folded."""
+def other_folded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t).casefold())
 
 
 @F.pandas_udf(StringType())
-def nfc(texts: pd.Series) -> pd.Series:
+def other_nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+def only_ascii(text: Column) -> Column:
+    return F.length(text) == F.octet_length(text)
+
+
+def folded(column: str | Column) -> Column:
+    """NFC, then case-folded. For ASCII that is lower case; only other texts go to Python (nulls do for the rest)."""
+    text = F.col(column) if isinstance(column, str) else column
+    return F.when(only_ascii(text), F.lower(text)).otherwise(other_folded(F.when(~only_ascii(text), text)))
+
+
+def nfc(column: str | Column) -> Column:
+    text = F.col(column) if isinstance(column, str) else column
+    return F.when(only_ascii(text), text).otherwise(other_nfc(F.when(~only_ascii(text), text)))
+
+
 def read_source(text: str) -> list[dict]:
     """Entries of a vocabulary in JSON. Repeated keys, unknown fields, padding, texts not in NFC and clashes are refused."""
     if len(text.encode()) > MOST_BYTES:
@@ -42,20 +56,28 @@ def read_source(text: str) -> list[dict]:
     entries = json.loads(text, object_pairs_hook=once, parse_constant=refuse)["entries"]
     if len(entries) > MOST_ENTRIES:
         raise ValueError("the vocabulary has too many entries")
-    seen = set()
+    seen: dict[tuple, list[dict]] = {}
     for e in entries:
         if sorted(e) != sorted(FIELDS) or not isinstance(e["case_sensitive"], bool):
             raise ValueError(f"not an entry: {e}")
         for k in FIELDS[:3]:
             if not e[k] or e[k] != e[k].strip() or unicodedata.normalize("NFC", e[k]) != e[k]:
                 raise ValueError(f"{k} must be trimmed NFC text")
-        key = (e["part_of_speech"], e["meaning_id"], e["term"] if e["case_sensitive"] else e["term"].casefold())
-        if key in seen:
+        same = seen.setdefault((e["part_of_speech"], e["meaning_id"], e["term"].casefold()), [])
+        if any(x["term"] == e["term"] or not (x["case_sensitive"] and e["case_sensitive"]) for x in same):
             raise ValueError(f"an entry is there twice: {e['term']}")
-        seen.add(key)
+        same.append(e)
     return entries
 
 
+def clashes(entries: DataFrame) -> DataFrame:
+    """part_of_speech, meaning_id, fold, entries of a vocabulary table whose terms are one when case is folded: several entries, of
+    which one does not tell case apart or two are written alike."""
+    own = entries.withColumn("fold", folded("term")).groupBy("part_of_speech", "meaning_id", "fold")
+    counted = own.agg(F.count("*").alias("entries"), F.count_distinct("term").alias("terms"), F.bool_and("case_sensitive").alias("cased"))
+    return counted.filter("entries > 1 and (not cased or terms < entries)").select("part_of_speech", "meaning_id", "fold", "entries")
+
+
 def content_hash(entries: list[dict]) -> str:
     lines = sorted(json.dumps(e, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for e in entries)
     return hashlib.sha256("\n".join(lines).encode()).hexdigest()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chars import SPACE_RE2
 from ..functions.place import line_of, region_at
-from ..operators import intake, inventory, language, offsets, parses, plain, projection, review, rules
+from ..operators import contracts, intake, inventory, language, offsets, parses, plain, projection, review, rules, vocabulary
 from ..operators.catalog import Context, lint
 from . import sqlparts as sql
 from .queries import key, spread_documents
@@ -686,3 +686,114 @@ def unblinded_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = (F.col("conv_id") % 2 == 0) == (F.col("label") == "A")
     keys = c.select("conv_id", label).distinct().select(F.col("conv_id").cast("string").alias("case_id"), "label", F.when(same, "control").otherwise("treatment").alias("condition"))
     return review.unblinded(scores, keys).groupBy("condition").agg(F.count("*").alias("n"), F.sum("chars").cast("long").alias("chars"))
+
+
+# --- contracts -----------------------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH k AS (SELECT doc_id % 12 AS k, doc_id FROM documents) SELECT doc_id, ['', 'fields', 'scalars', 'collections', 'token_fields', 'token_fields', 'word_fields', 'features', 'sentence_fields', 'abstention', 'not_json', 'word_fields'][(k + 1)::INT] AS faults FROM k""")
+def candidate_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as candidate analyses in JSON, most of them damaged in one way each: what the contract finds."""
+    d = F.col("doc_id")
+    k = (d % 12).cast("int")
+    shown = F.to_json(F.struct(F.col("text").alias("t")))
+    text = F.substring(shown, F.lit(6), F.length(shown) - 6)
+    token = F.concat(F.lit('{"text":"x","start":'), F.when(k == 4, "true").otherwise("0"), F.lit(',"end":1'), F.when(k == 5, ',"more":1').otherwise(""), F.lit("}"))
+    features = F.when(k == 7, '[["a","b","c"]]').otherwise('[["a","b"]]')
+    word = F.concat(F.lit('{"form":"x","surface_token_index":0,"lemma":'), F.when(k == 6, "5").otherwise("null"), F.lit(',"upos":"X","xpos":null,"features":'), features, F.lit(',"dependency":null,"head_word_index":'), F.when(k == 11, "false").otherwise("null"), F.lit(',"sentence_index":0}'))
+    sentence = F.concat(F.lit('{"start":0,"end":1,"first_surface_token":0,"past_last_surface_token":1,"first_word":0,"past_last_word":'), F.when(k == 8, '"1"').otherwise("1"), F.lit("}"))
+    parts = (
+        F.lit('{"schema_version":"1","case_id":'), F.when(k == 2, "7").otherwise('"c"'), F.lit(',"document_id":null,"text":'), F.when(F.col("text").isNull(), '""').otherwise(text), F.lit(',"surface_tokens":'), F.when(k == 3, '"none"').otherwise(F.concat(F.lit("["), token, F.lit("]"))),
+        F.lit(',"words":['), word, F.lit('],"sentences":['), sentence, F.lit('],"abstention_reason":'), F.when(k == 9, "3").otherwise("null"), F.when(k == 1, ',"gold":1').otherwise(""), F.lit("}"),
+    )
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.when(k == 10, "[1, 2").otherwise(F.concat(*parts)).alias("json"))
+    return contracts.candidate_faults(rows).select("doc_id", F.array_join("faults", ",").alias("faults"))
+
+
+@query("""WITH cut AS (SELECT page_id, html, unnest(l) AS piece, generate_subscripts(l, 1) AS k, len(l) AS n FROM (SELECT page_id, html, string_split(html, ';') AS l FROM pages)),
+    n AS (SELECT page_id % 6 AS k, page_id, max(n) - 1 AS semis FROM cut GROUP BY ALL)
+    SELECT fault, sum(m)::BIGINT AS records FROM (SELECT CASE k WHEN 1 THEN 'not_a_semicolon' WHEN 2 THEN 'byte_offset' WHEN 3 THEN 'column' WHEN 4 THEN 'file_digest' END AS fault, semis AS m FROM n
+        UNION ALL SELECT CASE k WHEN 1 THEN 'byte_offset' END, semis FROM n UNION ALL SELECT CASE k WHEN 1 THEN 'column' END, semis FROM n
+        UNION ALL SELECT CASE WHEN k = 4 THEN 'file_digest' END, 1 FROM n UNION ALL SELECT CASE WHEN semis > 0 THEN 'control_has_semicolon' END, 1 FROM n) WHERE fault IS NOT NULL AND m > 0 GROUP BY fault""")
+def packet_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Semicolons of all pages and a control a page as a packet's manifest, damaged by page: what the check against the pages finds."""
+    pages = read(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".txt")).alias("uri"), F.coalesce("html", F.lit("")).alias("text"), (F.col("page_id") % 6).alias("k"))
+    whole = pages.select("uri", "k", F.when(F.col("k") == 4, "0").otherwise(F.sha2("text", 256)).alias("file_sha256"))
+    marks = plain.marks(pages.select("uri", "text"), ";").join(whole, "uri")
+    semis = marks.select(F.concat_ws("#", "uri", "ordinal").alias("case_id"), F.lit(contracts.SEMICOLON).alias("record_type"), "uri", "file_sha256", (F.col("start") + F.when(F.col("k") == 1, -100_000).otherwise(0)).alias("offset"), (F.col("byte_offset") + F.when(F.col("k") == 2, 1).otherwise(0)).alias("byte_offset"), (F.col("start_column") + F.when(F.col("k") == 3, 1).otherwise(0)).alias("column"))
+    controls = whole.select(F.col("uri").alias("case_id"), F.lit(contracts.CONTROL).alias("record_type"), "uri", "file_sha256", F.lit(None).cast("int").alias("offset"), F.lit(None).cast("long").alias("byte_offset"), F.lit(None).cast("int").alias("column"))
+    found = contracts.packet_faults(semis.unionByName(controls), pages)
+    return found.select(F.explode("faults").alias("fault")).groupBy("fault").agg(F.count("*").alias("records"))
+
+
+@query(f"""WITH {sql.SENTENCES}, w AS (SELECT doc_id, ordinal, "start", "end", len(regexp_extract_all(s, '[A-Za-z]+')) AS n FROM sentences), x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) - 1 AS i FROM w WHERE n > 0),
+    f AS (SELECT doc_id, CASE WHEN (i % 5 = 1 AND n > 1) OR i % 5 = 2 THEN 'roots' END AS f1, CASE WHEN i % 5 = 2 THEN 'head_outside' END AS f2 FROM x)
+    SELECT fault, count(*) AS n FROM (SELECT f1 AS fault FROM f UNION ALL SELECT f2 FROM f) WHERE fault IS NOT NULL GROUP BY fault""")
+def analysis_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents as parses, in some sentences with a root too many or a head outside: what the invariants find."""
+    docs = spread_documents(spark, sf_dir)
+    s = plain.sentences(docs).withColumn("forms", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).filter(F.size("forms") > 0)
+    by, n = Window.partitionBy("uri").orderBy("ordinal"), F.size("forms")
+    s = s.withColumns({"i": F.row_number().over(by) - 1, "past": F.sum(n).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    one = s.select("uri", F.col("i").alias("sentence"), F.col("past").alias("past_last_word"), (F.col("past") - n).alias("first_word"), "forms")
+    cut = one.select("uri", "sentence", "first_word", F.posexplode("forms").alias("j", "form"))
+    head = F.when((F.col("sentence") % 5 == 2) & (F.col("j") == 0), F.col("word") + 1_000_000).when((F.col("j") == 0) | ((F.col("sentence") % 5 == 1) & (F.col("j") == 1)), None).otherwise(F.col("word") - 1)
+    # a text of its own for the words: joined by blanks, so that their places are running lengths
+    words = cut.withColumn("word", F.col("first_word") + F.col("j")).withColumn("head", head)
+    run = Window.partitionBy("uri").orderBy("word").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tokens = words.withColumn("end", F.sum(F.length("form") + 1).over(run) - 1).select("uri", F.col("word").alias("token"), (F.col("end") - F.length("form")).cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("form").alias("text"), "sentence")
+    texts = s.groupBy("uri").agg(F.array_join(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("i", "forms"))), lambda x: x["forms"])), " ").alias("text"))
+    spans = tokens.groupBy("uri", "sentence").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    sentences = one.select("uri", "sentence", "first_word", "past_last_word", F.col("first_word").alias("first_token"), F.col("past_last_word").alias("past_last_token")).join(spans, ["uri", "sentence"])
+    found = contracts.analysis_faults(texts, tokens, sentences, words.select("uri", "word", "sentence", F.col("word").alias("token"), "head"))
+    return found.groupBy("fault").agg(F.sum("n").cast("long").alias("n"))
+
+
+@query(f"""WITH {LIST_RUNS}, body AS (SELECT doc_id, block, any_value(side) AS side, trim(string_agg(trim(body), ' ' ORDER BY k)) AS t FROM numbered WHERE side IN ('list', 'quote', 'prose') GROUP BY ALL),
+    s AS (SELECT doc_id, sum(len(regexp_extract_all(t || ' ', '[.!?]\\s')))::BIGINT AS complete, count(*) FILTER (regexp_matches(regexp_replace(t || ' ', '(?s)^.*[.!?]\\s', ''), '\\p{{L}}')) AS incomplete, count(*) FILTER (side = 'prose') AS paragraphs FROM body WHERE regexp_matches(t, '\\p{{L}}') GROUP BY 1),
+    r AS (SELECT doc_id, count(*) AS list_runs FROM runs WHERE peers >= 2 GROUP BY 1)
+    SELECT md.doc_id, coalesce(complete, 0) AS complete, coalesce(incomplete, 0) AS incomplete, coalesce(paragraphs, 0) AS paragraphs, (length(t) - length(replace(t, ';', '')))::BIGINT AS semicolons, coalesce(list_runs, 0) AS list_runs FROM md LEFT JOIN s USING (doc_id) LEFT JOIN r USING (doc_id)""")
+def scan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of units of the documents, marked up, without unit rows."""
+    return projection.scan_counts(listed_documents(spark, sf_dir)).select(key(), "complete", "incomplete", "paragraphs", "semicolons", "list_runs")
+
+
+@query("""WITH v AS (SELECT trim(c_mktsegment) AS seg, CASE WHEN c_custkey % 3 = 0 THEN lower(c_name) ELSE c_name END AS term, c_nationkey AS m, c_custkey % 2 = 0 AS cs FROM customer)
+    SELECT seg AS part_of_speech, m::VARCHAR AS meaning_id, lower(left(term, 14)) AS fold, count(*) AS entries FROM v GROUP BY ALL HAVING count(*) > 1 AND (NOT bool_and(cs) OR count(DISTINCT left(term, 14)) < count(*))""")
+def vocabulary_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' names, cut short, as a vocabulary: terms that are one when case is folded."""
+    c = read(spark, sf_dir, "customer")
+    name = F.when(F.col("c_custkey") % 3 == 0, F.lower("c_name")).otherwise(F.col("c_name"))
+    return vocabulary.clashes(c.select(F.left(name, F.lit(14)).alias("term"), F.trim("c_mktsegment").alias("part_of_speech"), F.col("c_nationkey").cast("string").alias("meaning_id"), (F.col("c_custkey") % 2 == 0).alias("case_sensitive")))
+
+
+@query("""SELECT user_id, count(*) FILTER (regexp_matches(event_type || ' ' || CASE WHEN event_id % 5 = 0 THEN 'quillspark  lint a.txt' WHEN event_id % 5 = 1 THEN 'Lint exit 0' WHEN event_id % 5 = 2 THEN '"exit_code" : 0 QUILLSPARK' WHEN event_id % 5 = 3 THEN '"exit_code" : 0' ELSE 'lint exit 01' END, 'quillspark  lint|Lint exit 0|QUILLSPARK')) AS invoked, count(*) AS runs FROM events GROUP BY user_id""")
+def invoked_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as runs with logs: how many of each user's show that the linter ran."""
+    log = pick(["quillspark  lint a.txt", "Lint exit 0", '"exit_code" : 0 QUILLSPARK', '"exit_code" : 0', "lint exit 01"], F.col("event_id") % 5)
+    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(contracts.lint_invoked(F.col("event_type"), log)).alias("invoked"), F.count("*").alias("runs"))
+
+
+@query("""WITH p AS (SELECT trim(o_orderpriority) AS model, CASE WHEN o_custkey % 2 = 0 THEN 'control' ELSE 'cli' END AS condition, CASE WHEN o_custkey % 3 = 0 THEN 'case-' || o_custkey || '-run-01' ELSE 'trial' || o_custkey END AS run, o_orderkey || CASE WHEN o_orderkey % 4 = 0 THEN '.txt' ELSE '.md' END AS f FROM orders)
+    SELECT model, condition, run, CASE WHEN run LIKE 'case-%' THEN regexp_extract(run, '^(case-[0-9]+)', 1) ELSE run END AS case_id, 'runs/' || model || '/' || condition || '/' || run || '/' || min(f) AS path FROM p WHERE f LIKE '%.md' GROUP BY model, condition, run""")
+def run_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as files of runs: each run's first artifact and its case."""
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    run = F.when(c % 3 == 0, F.concat(F.lit("case-"), c.cast("string"), F.lit("-run-01"))).otherwise(F.concat(F.lit("trial"), c.cast("string")))
+    path = F.concat_ws("/", F.lit("runs"), F.trim("o_orderpriority"), F.when(c % 2 == 0, "control").otherwise("cli"), run, F.concat(k.cast("string"), F.when(k % 4 == 0, ".txt").otherwise(".md")))
+    return contracts.run_artifacts(read(spark, sf_dir, "orders").select(path.alias("path")))
+
+
+@query(f"""WITH {FRAGMENTS_SQL}, toks AS (SELECT doc_id, segment, j, token FROM (SELECT doc_id, segment, unnest(l) AS token, generate_subscripts(l, 1) AS j FROM (SELECT doc_id, segment, regexp_extract_all(body, '{OFFSET_TOKEN}') AS l FROM segs))),
+    n AS (SELECT *, CASE WHEN token IN ('du', 'des', 'zum', 'del') THEN 2 ELSE 1 END AS wide FROM toks), p AS (SELECT doc_id, segment, count(*) AS t, sum(wide) AS w FROM n GROUP BY ALL), q AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY segment) - 1 AS s FROM p),
+    g AS (SELECT doc_id, sum(t)::BIGINT AS tokens, sum(w)::BIGINT AS words, sum(w * s)::BIGINT AS word_sentences, count(*) AS sentences, sum(e)::BIGINT AS past_words FROM (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY segment) AS e FROM q) GROUP BY 1)
+    SELECT c.doc_id, coalesce(tokens, 0) AS tokens, coalesce(words, 0) AS words, coalesce(word_sentences, 0) AS word_sentences, coalesce(sentences, 0) AS sentences, coalesce(past_words, 0) AS past_words FROM cases c LEFT JOIN g USING (doc_id)""")
+def harness_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offset cases of all documents as nested records: sizes, and sums of sentence numbers and word ranges."""
+    cases = offset_cases_of(spark, sf_dir)
+    spans, tokens = offsets.segments(cases), offsets.surface_tokens(cases)
+    words, left = offsets.syntactic_words(tokens, EXPANSIONS), offsets.abstentions(cases, spans)
+    sentences = offsets.word_ranges(offsets.sentence_spans(tokens), words)
+    found = contracts.harness_records(cases, tokens, sentences, words, offsets.abstention_reason(cases, spans, left))
+    total = lambda c, f: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x[f])
+    return found.select(key("case_id"), *(F.size(c).cast("long").alias(n) for c, n in (("surface_tokens", "tokens"), ("words", "words"), ("sentences", "sentences"))), total("words", "sentence_index").alias("word_sentences"), total("sentences", "past_last_word").alias("past_words"))

@@ -1,12 +1,13 @@
 """Language decisions, projections, inventories, offset cases and reviews on small tables whose results are known."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions.place import region_at
-from quillspark.operators import intake, inventory, language, offsets, plain, projection, review, rules
+from quillspark.operators import contracts, intake, inventory, language, offsets, plain, projection, review, rules, vocabulary
 from quillspark.operators.catalog import Context, lint
 from quillspark.operators.markdown import mask
 
@@ -315,8 +316,8 @@ def test_records_keep_their_contract(units):
     assert faults(change("slice_sha256", "0")) == [("a.md", 3, ("slice",))]
     assert faults(change("start_line", 7)) == [("a.md", 3, ("start_place",))] and faults(change("end_column", 7)) == [("a.md", 3, ("end_place",))]
     assert faults(change("truth", "violation")) == [("a.md", 3, ("state",))] and faults(change("structural_context", "odd")) == [("a.md", 3, ("context",))]
-    assert faults(change("end", 99)) == [("a.md", 3, ("span", "case_id"))]
-    assert faults(change("uri", "c.md")) == [("c.md", 3, ("document", "case_id"))]
+    assert faults(change("end", 99)) == [("a.md", 3, ("case_id", "span"))]
+    assert faults(change("uri", "c.md")) == [("c.md", 3, ("case_id", "document"))]
     assert faults(rows.unionByName(rows.filter(first))) == [("a.md", 3, ("duplicate",))] * 2
     assert faults(rows, excluded={"SENT-001": ["b.md"]}) == [("b.md", 0, ("excluded",))]
 
@@ -481,3 +482,130 @@ def test_scores_without_a_condition_fail(spark):
     key = spark.createDataFrame([("c", "A", "control")], "case_id string, label string, condition string")
     with pytest.raises(Exception, match="no condition: c/B"):
         review.unblinded(scores, key).collect()
+
+
+# --- contracts -----------------------------------------------------------------------------------------------------------------------
+
+
+def candidate(**change):
+    """A sound candidate analysis with some fields changed; "-" drops one."""
+    out = {
+        "schema_version": "1", "case_id": "c", "document_id": None, "text": "x", "abstention_reason": None, "surface_tokens": [{"text": "x", "start": 0, "end": 1}],
+        "words": [{"form": "x", "surface_token_index": 0, "lemma": None, "upos": "X", "xpos": None, "features": [["a", "b"]], "dependency": None, "head_word_index": None, "sentence_index": 0}],
+        "sentences": [{"start": 0, "end": 1, "first_surface_token": 0, "past_last_surface_token": 1, "first_word": 0, "past_last_word": 1}],
+    }
+    out = {k: v for k, v in (out | change).items() if v != "-"}
+    return json.dumps(out)
+
+
+WORD = {"form": "x", "surface_token_index": 0, "lemma": None, "upos": "X", "xpos": None, "features": None, "dependency": None, "head_word_index": 3, "sentence_index": 0}
+
+
+@pytest.mark.parametrize(
+    "text, faults",
+    [
+        (candidate(), []),
+        (candidate(words=[WORD], surface_tokens=[], sentences=[]), []),
+        (candidate(words=[], abstention_reason="why"), []),
+        (candidate(document_id="-"), ["fields"]),
+        (candidate(more=1), ["fields"]),
+        (candidate(case_id=3), ["scalars"]),
+        (candidate(sentences={}), ["collections"]),
+        (candidate(surface_tokens=[{"text": "x", "start": True, "end": 1}]), ["token_fields"]),
+        (candidate(surface_tokens=["x"]), ["token_fields"]),
+        (candidate(words=[WORD | {"head_word_index": False}]), ["word_fields"]),
+        (candidate(words=[WORD | {"upos": 1}]), ["word_fields"]),
+        (candidate(words=[WORD | {"features": [["a"]]}]), ["features"]),
+        (candidate(words=[WORD | {"features": "a"}]), ["features"]),
+        (candidate(sentences=[{"start": 0}]), ["sentence_fields"]),
+        (candidate(abstention_reason=1), ["abstention"]),
+        ("[1]", ["not_json"]),
+        ("{", ["not_json"]),
+        (None, ["not_json"]),
+    ],
+)
+def test_candidate_shapes(spark, text, faults):
+    df = spark.createDataFrame([("c", text)], "id string, json string")
+    assert contracts.candidate_faults(df).first().faults == faults
+
+
+def test_forbidden_fields_are_found_however_deep(spark):
+    df = spark.createDataFrame([], "case_id string, a struct<b: array<struct<Truth: int>>>, m map<string, struct<text: int>>")
+    assert contracts.without(df, ["label"]) is df
+    with pytest.raises(ValueError, match="a.b.Truth, m.text"):
+        contracts.without(df, ["truth", "text"])
+
+
+def test_blind_inputs_and_abstentions(spark):
+    gold = spark.createDataFrame([("a", "d", "x", None, 1), ("b", None, "y", "markup", 2)], "case_id string, document_id string, text string, abstention_reason string, words int")
+    inputs = contracts.blind_inputs(gold)
+    assert inputs.columns == list(contracts.BLIND)
+    parts = "case_id string, surface_tokens array<int>, words array<int>, sentences array<int>"
+    got = {r.case_id: (r.surface_tokens, r.words) for r in contracts.analysed(inputs, spark.createDataFrame([("a", [1], [2], [3]), ("b", [4], [5], [6])], parts)).collect()}
+    assert got == {"a": ([1], [2]), "b": ([], [])}
+    with pytest.raises(Exception, match="no analysis: a"):
+        contracts.analysed(inputs, spark.createDataFrame([], parts)).collect()
+    with pytest.raises(Exception, match="not an input: b"):
+        contracts.blind_inputs(gold.filter("case_id = 'b'").withColumn("abstention_reason", F.lit(""))).collect()
+
+
+def test_analysis_invariants(spark):
+    texts = spark.createDataFrame([("a", "One two. Ha")], DOC)
+    T = [("a", 0, 0, 3, "One"), ("a", 1, 4, 7, "two"), ("a", 2, 7, 8, "."), ("a", 3, 9, 11, "Ha")]
+    S = [("a", 0, 0, 8, 0, 3, 0, 3), ("a", 1, 9, 11, 3, 4, 3, 4)]
+    W = [("a", 0, 0, 0, 1), ("a", 1, 0, 1, None), ("a", 2, 0, 2, 1), ("a", 3, 1, 3, None)]
+    put = lambda rows, n, row: [*rows[:n], row, *rows[n + 1 :]]
+
+    def faults(t=T, s=S, w=W):
+        tokens = spark.createDataFrame(t, "uri string, token int, start int, end int, text string")
+        sentences = spark.createDataFrame(s, "uri string, sentence int, start int, end int, first_token int, past_last_token int, first_word int, past_last_word int")
+        words = spark.createDataFrame(w, "uri string, word int, sentence int, token int, head int")
+        return {(r.fault, r.n) for r in contracts.analysis_faults(texts, tokens, sentences, words).collect()}
+
+    assert faults() == set()
+    assert faults(t=put(T, 1, ("a", 1, 2, 7, "two"))) == {("token_order", 1), ("token_slice", 1)}
+    assert faults(w=put(W, 1, ("a", 1, 0, 1, 0))) == {("roots", 1)}
+    assert faults(w=put(W, 0, ("a", 0, 0, 0, 3))) == {("head_outside", 1)}
+    assert faults(w=put(W, 3, ("a", 3, 1, 0, None))) == {("word_token", 1)}
+    assert faults(s=put(S, 1, ("a", 1, 9, 10, 3, 4, 3, 4))) == {("sentence_span", 1)}
+    assert faults(s=S[:1]) == {("sentence_partition", 1), ("word_sentence", 1), ("word_token", 1)}
+    assert faults(s=[], w=[]) == {("coverage", 1)}
+
+
+def test_packets_are_held_against_the_documents(spark):
+    import hashlib
+
+    text = "é;\nab;"
+    sha = hashlib.sha256(text.encode()).hexdigest()
+    docs = spark.createDataFrame([("a", text), ("b", "none")], DOC)
+    rows = [("1", "literal_semicolon", "a", sha, 1, 2, 2), ("2", "literal_semicolon", "a", sha, 5, 6, 3), ("3", "literal_semicolon", "a", sha, 4, 9, 3), ("4", "literal_semicolon", "a", "0", 99, 2, 2), ("5", "zero_semicolon_control", "a", sha, None, None, None), ("6", "odd", "b", "0", None, None, None), ("7", "literal_semicolon", "c", sha, 1, 1, 1), ("2", "zero_semicolon_control", "b", hashlib.sha256(b"none").hexdigest(), None, None, None)]
+    df = spark.createDataFrame(rows, "case_id string, record_type string, uri string, file_sha256 string, offset int, byte_offset int, column int")
+    got = sorted((r.case_id, tuple(r.faults)) for r in contracts.packet_faults(df, docs).collect())
+    assert got == [("2", ("duplicate",)), ("2", ("duplicate",)), ("3", ("not_a_semicolon", "byte_offset", "column")), ("4", ("file_digest", "not_a_semicolon", "byte_offset", "column")), ("5", ("control_has_semicolon",)), ("6", ("file_digest", "record_type")), ("7", ("no_document",))]
+
+
+def test_registered_counts_logs_artifacts_and_serialisation(spark):
+    counts = spark.createDataFrame([(3, 4)], "files int, marks int")
+    assert [tuple(r) for r in contracts.count_faults(counts, {"files": 3, "marks": 5}).collect()] == [("marks", 5, 4)]
+    logs = spark.createDataFrame([("quillspark  lint x", None), ("done: LINT exit 0", ""), ('{"exit_code" : 0}', "QUILLSPARK"), ('{"exit_code": 0}', ""), ("lint exit 01", None), (None, None)], "o string, e string")
+    assert [r.l for r in logs.select(contracts.lint_invoked(F.col("o"), F.col("e")).alias("l")).collect()] == [True, True, True, False, False, False]
+    paths = spark.createDataFrame([(p,) for p in ("r/m/cli/case-12-run-01/b.md", "r/m/cli/case-12-run-01/a.md", "r/m/control/other/c.md", "r/m/cli/empty/x.txt", "a.md")], "path string")
+    assert {(r.condition, r.case_id, r.path) for r in contracts.run_artifacts(paths).collect()} == {("cli", "case-12", "r/m/cli/case-12-run-01/a.md"), ("control", "other", "r/m/control/other/c.md")}
+    df = spark.createDataFrame([("u", "secret", [("hid", 1)])], "uri string, text string, tokens array<struct<text:string,start:int>>")
+    assert [tuple(r) for r in contracts.without_text(df).collect()] == [("u", '{"tokens":[{"start":1}],"uri":"u"}')]
+
+
+def test_scan_counts(spark):
+    text = "# Head.\n\nOne. Two! Three\n- a item.\n- b; more\n  and on.\n\n> quote? yes\n\n```\nx; y.\n```\nEnd of 3.14"
+    got = projection.scan_counts(spark.createDataFrame([("a", text), ("b", None)], DOC)).orderBy("uri").collect()
+    assert [tuple(r) for r in got] == [("a", 5, 3, 2, 2, 1), ("b", 0, 0, 0, 0, 0)]
+
+
+def test_terms_that_clash_when_folded(spark):
+    entry = lambda term, cased, pos="noun": dict(term=term, part_of_speech=pos, meaning_id="m", case_sensitive=cased)
+    for clash in ([entry("Ab", True), entry("ab", False)], [entry("Ab", False), entry("aB", False)], [entry("Ab", True), entry("Ab", True)], [entry("straße", False), entry("STRASSE", True)]):
+        with pytest.raises(ValueError, match="twice"):
+            vocabulary.read_source(json.dumps({"entries": clash}))
+        assert vocabulary.clashes(vocabulary.table(spark, clash)).first().entries == 2
+    fine = [entry("Ab", True), entry("ab", True), entry("ab", False, "verb")]
+    assert vocabulary.read_source(json.dumps({"entries": fine})) == fine and vocabulary.clashes(vocabulary.table(spark, fine)).count() == 0
