@@ -94,8 +94,12 @@ def newline_fault(text: Column) -> Column:
 
 
 def alternating(cases: DataFrame, key: str) -> DataFrame:
-    """Cases with the side, A or B, that their control run is shown on: in turn by order of the key."""
-    return cases.withColumn("control_side", F.when(F.row_number().over(Window.orderBy(key)) % 2 == 1, "A").otherwise("B"))
+    """Cases with the side, A or B, that their control run is shown on: in turn by order of the key. Places come from range
+    partitions, not from a window over all cases."""
+    from ..operators.inventory import positioned
+
+    placed = positioned(cases, [key], "_place")
+    return placed.withColumn("control_side", F.when(F.col("_place") % 2 == 1, "A").otherwise("B")).drop("_place")
 
 
 def resumed(kept: DataFrame, wanted: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:

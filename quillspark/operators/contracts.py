@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .plain import places, walked_units
+from .plain import places, walked, walked_units
 
 # Fields of a candidate analysis and of its parts.
 RECORD = ("abstention_reason", "case_id", "document_id", "schema_version", "sentences", "surface_tokens", "text", "words")
@@ -126,32 +127,52 @@ def analysis_faults(texts: DataFrame, tokens: DataFrame, sentences: DataFrame, w
     start, end, first_token, past_last_token, first_word, past_last_word. words: uri, word, sentence, token, head (null: root).
 
     token_order, token_slice, sentence_partition (ranges leave a gap, overlap or miss the end), sentence_span, word_sentence,
-    word_token, head_outside, roots (not exactly one), and coverage (tokens without sentences or the other way round)."""
-    code = lambda df, name: df.select("uri", F.lit(name).alias("fault"))
-    order = Window.partitionBy("uri").orderBy("token")
-    out = [code(tokens.withColumn("before", F.lag("end").over(order)).filter((F.col("before") > F.col("start")) | (F.col("start") >= F.col("end"))), "token_order")]
-    shown = tokens.select("uri", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("text").alias("shown"))
-    wrong = walked_units(shown, texts, "start int", lambda text, ts: ((t["start"],) for t in ts if text is None or text[max(t["start"], 0) : t["end"]] != t["shown"]))
-    out.append(code(wrong, "token_slice"))
-    seq = Window.partitionBy("uri").orderBy("sentence")
-    last = sentences.groupBy("uri").agg(F.max_by("past_last_token", "sentence").alias("tt"), F.max_by("past_last_word", "sentence").alias("ww"))
-    sizes = [df.groupBy("uri").agg(F.count("*").alias(n)) for df, n in ((tokens, "nt"), (words, "nw"), (sentences, "ns"))]
-    totals = reduce(lambda a, b: a.join(b, "uri", "full_outer"), sizes).join(last, "uri", "left").fillna(0, ["nt", "nw", "ns"])
-    gaps = sentences.withColumns({"t0": F.coalesce(F.lag("past_last_token").over(seq), F.lit(0)), "w0": F.coalesce(F.lag("past_last_word").over(seq), F.lit(0))})
-    out.append(code(gaps.filter((F.col("t0") != F.col("first_token")) | (F.col("w0") != F.col("first_word"))), "sentence_partition"))
-    out.append(code(totals.filter("ns > 0 and (tt <> nt or ww <> nw)"), "sentence_partition"))
-    out.append(code(totals.filter("(nt = 0) <> (ns = 0) or (nt = 0) <> (nw = 0)"), "coverage"))
-    ends = tokens.select("uri", F.col("token").alias("k"), F.col("start").alias("a"), F.col("end").alias("b"))
-    s = sentences.join(ends.select("uri", F.col("k").alias("first_token"), "a"), ["uri", "first_token"], "left").join(ends.select("uri", (F.col("k") + 1).alias("past_last_token"), "b"), ["uri", "past_last_token"], "left")
-    out.append(code(s.filter(~F.coalesce((F.col("a") == F.col("start")) & (F.col("b") == F.col("end")), F.lit(False))), "sentence_span"))
-    w = words.join(sentences.select("uri", "sentence", "first_token", "past_last_token", "first_word", "past_last_word"), ["uri", "sentence"], "left")
-    inside = lambda x, a, b: F.coalesce((F.col(x) >= F.col(a)) & (F.col(x) < F.col(b)), F.lit(False))
-    out.append(code(w.filter(~inside("word", "first_word", "past_last_word")), "word_sentence"))
-    out.append(code(w.filter(~inside("token", "first_token", "past_last_token")), "word_token"))
-    out.append(code(w.filter(F.col("head").isNotNull() & ~inside("head", "first_word", "past_last_word")), "head_outside"))
-    roots = sentences.select("uri", "sentence").join(words.groupBy("uri", "sentence").agg(F.count_if(F.col("head").isNull()).alias("roots")), ["uri", "sentence"], "left")
-    out.append(code(roots.filter("coalesce(roots, 0) <> 1"), "roots"))
-    return reduce(DataFrame.unionByName, out).groupBy("uri", "fault").agg(F.count("*").alias("n"))
+    word_token, head_outside, roots (not exactly one), and coverage (tokens without sentences or words, or the other way round). A document's rows meet its text once, and are
+    walked once; columns must be integers as ``walked`` has them."""
+    listed = lambda df, name: df.groupBy("uri").agg(F.sort_array(F.collect_list(F.struct(*(c for c in df.columns if c != "uri")))).alias(name))
+    parts = [
+        listed(tokens.select("uri", "token", "start", "end", F.col("text").alias("shown")), "tokens"), listed(words.select("uri", "word", "sentence", "token", "head"), "words"),
+        listed(sentences.select("uri", "sentence", "start", "end", "first_token", "past_last_token", "first_word", "past_last_word"), "sentences"),
+    ]
+    met = reduce(lambda x, y: x.join(y, "uri", "full_outer"), parts).join(texts.select("uri", "text"), "uri", "left")
+    return walked(met, "fault string, n int", lambda doc: iter(Counter(invariant_faults(doc["text"], doc["tokens"] or [], doc["sentences"] or [], doc["words"] or [])).items()))
+
+
+def invariant_faults(text: str | None, tokens: list[dict], sentences: list[dict], words: list[dict]) -> Iterator[str]:
+    """The faults of one document's parse, each as often as it is there."""
+    end, by_number = 0, {}
+    for t in tokens:
+        by_number[t["token"]] = t
+        if t["start"] < end or t["start"] >= t["end"]:
+            yield "token_order"
+        if text is None or text[max(t["start"], 0) : t["end"]] != t["shown"]:
+            yield "token_slice"
+        end = t["end"]
+    if bool(tokens) != bool(sentences) or bool(tokens) != bool(words):
+        yield "coverage"
+    homes, roots, next_token, next_word = {s["sentence"]: s for s in sentences}, Counter(), 0, 0
+    for w in words:
+        s = homes.get(w["sentence"])
+        inside = lambda n, first, last: s is not None and s[first] <= n < s[last]  # noqa: B023, E731
+        if not inside(w["word"], "first_word", "past_last_word"):
+            yield "word_sentence"
+        if not inside(w["token"], "first_token", "past_last_token"):
+            yield "word_token"
+        if w["head"] is None:
+            roots[w["sentence"]] += 1
+        elif not inside(w["head"], "first_word", "past_last_word"):
+            yield "head_outside"
+    for s in sentences:
+        if (s["first_token"], s["first_word"]) != (next_token, next_word):
+            yield "sentence_partition"
+        next_token, next_word = s["past_last_token"], s["past_last_word"]
+        first, last = by_number.get(s["first_token"]), by_number.get(s["past_last_token"] - 1)
+        if first is None or last is None or (first["start"], last["end"]) != (s["start"], s["end"]):
+            yield "sentence_span"
+        if roots[s["sentence"]] != 1:
+            yield "roots"
+    if sentences and (next_token, next_word) != (len(tokens), len(words)):
+        yield "sentence_partition"
 
 
 def packet_faults(manifest: DataFrame, docs: DataFrame) -> DataFrame:

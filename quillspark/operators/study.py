@@ -81,6 +81,7 @@ def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 
 CRITERIA = ("c1", "c2", "c3", "c4")
+# The rubric's classes and limits, and the codes of usage flags below.
 ACCEPTED, MINOR, MAJOR, BLOCKED = "accepted", "accepted_minor_rework", "rejected_major_rework", "blocked"
 
 

@@ -180,7 +180,7 @@ def wilson_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*(F.round(c, 9).alias(c) if t == "double" else c for c, t in out.dtypes))
 
 
-@query(f"""WITH {sql.SPANS}, {sql.UNITS}, m AS (SELECT source, {sql.HOLDOUT} FROM units GROUP BY source), t AS (SELECT source, tp AS k, fp, unnest(range(0, 1001)) AS extra FROM m)
+@query(f"""WITH {sql.SPANS}, {sql.UNITS}, m AS (SELECT source, {sql.HOLDOUT} FROM units GROUP BY source), t AS (SELECT source, tp AS k, fp, unnest(range(0, tp + fp + 100)) AS extra FROM m)
     SELECT source, min(extra) FILTER ({sql.wilson("k + extra", "k + fp + extra")[0]} >= 0.5)::BIGINT AS extra_tp FROM t GROUP BY source""")
 def promotion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     matrix = metrics.confusion(labelled_units(spark, sf_dir), ["source"], "holdout")

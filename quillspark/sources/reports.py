@@ -45,11 +45,13 @@ def canonical_lines(rows: DataFrame) -> DataFrame:
 
 
 def write_once(rows: DataFrame, path: str) -> str:
-    """Writes canonical lines where nothing is yet, with the digest of all of them in a file beside; returns the digest.
-    The digest is of the sorted lines' own digests, so that it does not depend on how the rows are dealt out."""
+    """Writes canonical lines where nothing is yet, with the digest of all of them in a file beside; returns the digest. It is
+    that of ``inventory.digests``: sums over the lines' own digests, so no task sees all lines and their order does not count."""
+    from ..operators.inventory import digests
+
     lines = canonical_lines(rows)
     lines.write.mode("errorifexists").text(path)
-    digest = lines.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.sha2("value", 256))), ""), 256)).first()[0]
+    digest = digests(lines).first()["digest"]
     rows.sparkSession.createDataFrame([(json.dumps({"sha256": digest}),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}.digest")
     return digest
 

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from quillspark.plans import evidence, queries  # noqa: F401  (both register)
+from quillspark.plans import evidence, queries, studies  # noqa: F401  (they register)
 from quillspark.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
