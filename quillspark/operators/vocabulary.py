@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import unicodedata
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,6 +85,38 @@ def content_hash(entries: list[dict]) -> str:
     return hashlib.sha256("\n".join(lines).encode()).hexdigest()
 
 
+def to_resource(entries: list[dict]) -> str:
+    """The vocabulary as canonical JSON, with the hash of its content."""
+    listed = sorted(entries, key=lambda e: json.dumps(e, sort_keys=True, ensure_ascii=False))
+    return json.dumps({"content_hash": content_hash(entries), "entries": listed}, sort_keys=True, separators=(",", ":"), ensure_ascii=False) + "\n"
+
+
+def from_resource(text: str) -> list[dict]:
+    """Entries of a resource whose hash is that of its content; they are checked as a source's are."""
+    entries = read_source(text)
+    if json.loads(text).get("content_hash") != content_hash(entries):
+        raise ValueError("the resource is not what its hash says")
+    return entries
+
+
+def cached(source: str, folder: str, consent: bool) -> Path:
+    """Imports a source into a folder under the name of its bytes' hash, once, and returns the file. Nothing is kept without
+    consent. A file that is there is checked, not written again."""
+    if not consent:
+        raise ValueError("a vocabulary is kept only with explicit consent")
+    entries = read_source(source)
+    path = Path(folder) / f"{hashlib.sha256(source.encode()).hexdigest()}.json"
+    if path.exists():
+        if from_resource(path.read_text(encoding="utf-8")) != json.loads(to_resource(entries))["entries"]:
+            raise ValueError("the cached resource is of another source")
+        return path
+    path.parent.mkdir(parents=True, exist_ok=True)
+    part = path.with_suffix(f".{os.getpid()}.part")
+    part.write_text(to_resource(entries), encoding="utf-8", newline="\n")
+    part.replace(path)
+    return path
+
+
 def table(spark: SparkSession, entries: list[dict]) -> DataFrame:
     rows = [tuple(e[k] for k in FIELDS) for e in entries]
     return spark.createDataFrame(rows, "term string, part_of_speech string, meaning_id string, case_sensitive boolean")

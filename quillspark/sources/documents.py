@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_documents(spark: SparkSession, path: str, exclude: list[str] = ()) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, exclude: list[str] = (), exclude_files: list[str] = ()) -> DataFrame:
     """uri, text of .txt, .md and .markdown files under a path. Bytes are decoded strictly, line ends stay, and what is not
-    UTF-8 fails; paths with an excluded prefix are left out."""
+    UTF-8 fails; folders in ``exclude`` and the files in ``exclude_files`` (by the ends of their paths) are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{[tT][xX][tT],[mM][dD],[mM][aA][rR][kK][dD][oO][wW][nN]}").load(path)
     for prefix in exclude:
         files = files.filter(~F.rlike("path", F.lit("/" + re.escape(prefix.strip("/")) + "(?:/|$)")))
+    for name in exclude_files:
+        files = files.filter(~F.endswith("path", F.lit("/" + name.strip("/"))))
     return files.select(F.col("path").alias("uri"), F.validate_utf8(F.col("content").cast("string")).alias("text"))
 
 

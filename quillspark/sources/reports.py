@@ -59,3 +59,20 @@ def write_once(rows: DataFrame, path: str) -> str:
 def telemetry(events: DataFrame, path: str) -> None:
     """Appends events without any column that holds text of documents."""
     events.select(*(c for c in events.columns if c not in ("text", "context", "evidence", "excerpt"))).write.mode("append").json(path)
+
+
+def write_packet(rows: DataFrame, path: str, fields: list[str]) -> None:
+    """Writes a review packet as CSV with these fields, in this order, where nothing is yet. Texts that a spreadsheet would take for a
+    formula are quoted; quotes inside are doubled, and line ends stay."""
+    from ..operators.holdout import csv_safe
+
+    shown = [csv_safe(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in fields]
+    rows.select(*shown).write.mode("errorifexists").option("header", "true").option("escape", '"').option("emptyValue", "").csv(path)
+
+
+def read_packet(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+    """A review packet read back, empty texts as such. A file whose header has other fields, or the same in another order, fails the
+    job, and so does a row that does not fit."""
+    schema = ", ".join(f"`{c}` string" for c in fields)
+    read = spark.read.option("header", "true").option("enforceSchema", "false").option("escape", '"').option("multiLine", "true").option("mode", "FAILFAST")
+    return read.schema(schema).csv(path).fillna("")

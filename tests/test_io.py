@@ -86,3 +86,41 @@ def test_stream_equals_batch(spark, folder):
     got = [(r.start, r.end, r.words) for r in spark.table("found").collect()]
     batch = lint(documents.read_documents(spark, str(folder)), CATALOG, ["SENT-001"], Context({"text_type": "procedural"})).collect()
     assert [(s, e) for s, e, _ in got] == [(r.start, r.end) for r in batch] == [(11, 11 + len(LONG))] and got[0][2] == 21
+
+
+def test_packets_round_trip(spark, tmp_path):
+    fields = ["case_id", "context", "notes"]
+    rows = spark.createDataFrame([("1", '=sum("a";b)\nline two, "quoted"', None, 5), ("2", "plain", " pad ", 6)], "case_id string, context string, notes string, hidden int")
+    reports.write_packet(rows, str(tmp_path / "packet"), fields)
+    back = {r.case_id: (r.context, r.notes) for r in reports.read_packet(spark, str(tmp_path / "packet"), fields).collect()}
+    assert back["1"] == ("'" + '=sum("a";b)\nline two, "quoted"', "") and back["2"][0] == "plain"
+    with pytest.raises(Exception):
+        reports.read_packet(spark, str(tmp_path / "packet"), ["context", "case_id", "notes"]).collect()
+    with pytest.raises(Exception):
+        reports.write_packet(rows, str(tmp_path / "packet"), fields)
+
+
+def test_documents_are_left_out_by_folder_and_by_file(spark, tmp_path):
+    from quillspark.sources.documents import read_documents
+
+    for name in ("a.txt", "b.md", "sub/a.txt", "old/c.md"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    got = {r.text for r in read_documents(spark, str(tmp_path), ["old"], ["sub/a.txt"]).collect()}
+    assert got == {"a.txt", "b.md"}
+
+
+def test_vocabularies_are_kept_under_their_hash(tmp_path):
+    from quillspark.operators import vocabulary
+
+    source = '{"entries": [{"term": "b", "part_of_speech": "noun", "meaning_id": "m", "case_sensitive": false}, {"term": "a", "part_of_speech": "noun", "meaning_id": "m", "case_sensitive": true}]}'
+    with pytest.raises(ValueError, match="consent"):
+        vocabulary.cached(source, str(tmp_path), consent=False)
+    path = vocabulary.cached(source, str(tmp_path), consent=True)
+    assert vocabulary.cached(source, str(tmp_path), consent=True) == path and [p.name for p in tmp_path.iterdir()] == [path.name]
+    entries = vocabulary.from_resource(path.read_text())
+    assert [e["term"] for e in entries] == ["b", "a"] and vocabulary.content_hash(entries) == vocabulary.content_hash(vocabulary.read_source(source))
+    path.write_text(path.read_text().replace('"b"', '"c"'))
+    for use in (lambda: vocabulary.from_resource(path.read_text()), lambda: vocabulary.cached(source, str(tmp_path), consent=True)):
+        with pytest.raises(ValueError, match="hash"):
+            use()
