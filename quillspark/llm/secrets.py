@@ -6,7 +6,8 @@ code-point offsets (end exclusive) and, for the kind ``novel``, the marginal com
 The method: a candidate is a long unbroken run of key characters that lies, in part at least, within ``reach`` code points of
 a sensitive word, before or behind it. It is compressed against two primed zstandard dictionaries: common identifiers with
 the code or prose around the candidate, and the common long words of the whole corpus. What these explain (an identifier, a
-name used nearby, a word) costs next to nothing; a secret costs about its own length. Copies of the candidate that stand in
+name used nearby, a word) costs next to nothing; a secret costs about its own length. A word of the corpus is one that is
+found outside of sensitive contexts, so a secret that many documents repeat does not become one. Copies of the candidate that stand in
 a sensitive context themselves are left out of the surroundings, so a secret used twice does not explain itself. A candidate
 whose marginal bytes a character reach ``min_ratio`` is reported, whatever characters it is made of. Base patterns always
 stay; a candidate that overlaps one is not measured.
@@ -113,9 +114,14 @@ def overlapping(spans: list[tuple[int, int]], others: list[tuple[int, int]]) ->
     return out
 
 
+def sensitive_zones(text: str, reach: int) -> list[tuple[int, int]]:
+    """Places within reach of a sensitive word."""
+    return united([(m.start() - reach, m.end() + reach) for m in SENSITIVE.finditer(text)])
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]], how: Novelty, common: zstandard.ZstdCompressor | None = None) -> list[tuple[int, int, int, float]]:
     """Candidates that no base span overlaps and that their surroundings don't explain."""
-    zones = united([(m.start() - how.reach, m.end() + how.reach) for m in SENSITIVE.finditer(text)])
+    zones = sensitive_zones(text, how.reach)
     runs = [m.span() for m in CANDIDATE.finditer(text) if m.end() - m.start() >= how.min_length]
     runs = [x for x, near in zip(runs, overlapping(runs, zones)) if near]
     free = overlapping(runs, united([(a, b) for a, _, b in taken]))
@@ -141,13 +147,20 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], how: Novelty, comm
 
 
 def common_words(texts: DataFrame, how: Novelty) -> list[str]:
-    """Long words of the corpus by the number of texts that hold them: at most ``common_words`` of them, read over all texts."""
+    """Long words of the corpus by the number of texts that hold them outside of sensitive contexts: at most ``common_words`` of
+    them, read over all texts. What stands in such contexts only is no word, however often it is copied."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         for batch in batches:
-            for text in batch.column(0):
-                seen.update(set(LONG_WORD.findall(text.as_py())))
+            for text, may in zip(batch.column(0).to_pylist(), pc.match_substring_regex(batch.column(0), MAY_SENSE).to_pylist()):
+                zones = sensitive_zones(text, how.reach) if may else []
+                if zones:
+                    found = list(LONG_WORD.finditer(text))
+                    near = overlapping([m.span() for m in found], zones)
+                    seen.update({m[0] for m, hidden in zip(found, near) if not hidden})
+                else:
+                    seen.update(set(LONG_WORD.findall(text)))
             if len(seen) > 200_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
                 seen.clear()

@@ -695,3 +695,15 @@ def test_scores_do_not_depend_on_blocks(spark, docs):
         ctw.BLOCK_BYTES = before
     for a, b in zip(whole, small, strict=True):
         assert a[:5] == b[:5] and all(math.isclose(x, y, rel_tol=1e-5) for x, y in zip(a[5:], b[5:]))
+
+
+@pytest.mark.parametrize("copies", [1, 3, 10, 1000])
+def test_a_secret_that_is_repeated_stays_found(spark, words, copies):
+    """Letters only, in any number of documents; a word that others use elsewhere explains itself beside a sensitive word."""
+    secret, name = "qzkvwxjhrmtpblfgdscnykuo", "reticulationsplines"
+    rows = [(k, f"{prose(words, 30, k)} the bearer is {secret} for host {k}") for k in range(copies)]
+    rows += [(5000 + k, f"{prose(words, 30, 7000 + k)} {name} {prose(words, 10, k)}") for k in range(5)] + [(6000, f"{prose(words, 30, 3)} a token of {name} here")]
+    found = {r.id: [s for s in r.spans if s.kind == "novel"] for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    texts = dict(rows)
+    assert all([texts[k][s.start : s.end] for s in found[k]] == [secret] for k in range(copies))
+    assert not any(found[k] for k in texts if k >= 5000)
