@@ -1,8 +1,8 @@
 """Substring dedup by hashing of lines and of the units inside them.
 
 Lines with a word are hashed whole, whatever their length. A line is also cut into units after punctuation followed by white
-space, so that a passage pasted into the middle of a line still falls into the same units. A unit is normalised (words only,
-ASCII lower case, single spaces) and hashed to 128 bits; one of under ``min_unit_words`` words is hashed together with the
+space, so that a passage pasted into the middle of a line still falls into the same units. A unit is normalised (ASCII
+lower case, single spaces, none at its ends; stops stay, so a question is no copy of an exclamation) and hashed to 128 bits; one of under ``min_unit_words`` words is hashed together with the
 unit before it and with the one behind it, since alone it says too little. Digests are grouped over the whole corpus; the
 earliest occurrence by (id, position) stays.
 
@@ -49,8 +49,8 @@ def units(text: str) -> list[tuple[int, int, int, str, int]]:
     for end in [*(m.end() for m in BOUNDARY.finditer(low)), len(low)]:
         piece = low[at:end]
         body = piece.strip(WHITE_CHARS)
-        norm = (SPACES.sub(" ", body) if odd else body).strip(" .,;:!?")
-        if norm:
+        norm = SPACES.sub(" ", body) if odd else body
+        if norm.strip(" .,;:!?"):
             a = at + piece.index(body[0])
             out.append((a, a + len(body), norm.count(" ") + 1, norm, line))
         line += piece.endswith("\n")
