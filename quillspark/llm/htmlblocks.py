@@ -6,7 +6,8 @@ decision tree, trained by Spark on the small labelled table below, says which bl
 over whole columns of block features. What a block stands in does not decide alone: lists of links inside an article are no
 text, and on pages without an article paragraphs are told by length, density and neighbours.
 
-Names are words of a class, id or role. Those of ``html``, ``body``, ``main`` and ``article`` are not read (they describe the
+A block also knows whether the page has an article and how long its longest block is, so that short notices that are a
+whole page stay, and lines beside an article that no name tells from text go. Names are words of a class, id or role. Those of ``html``, ``body``, ``main`` and ``article`` are not read (they describe the
 page), nor are those that say what a page has or lacks (has-sidebar); ``main`` forgets what it stands in, and ``article``
 forgets outer names except those of comments.
 
@@ -64,8 +65,13 @@ BY_NAME = {
     COMMENT: "comment comments reply replies disqus discussion respond",
 }
 NAME_BITS = {word: bit for bit, words in BY_NAME.items() for word in words.split()}
+#: What may stand behind a name in a compound one: words for a container or its place (sidebar-left, comment-list).
+HOLDERS = frozenset(
+    "area bar block body bottom box button buttons center col column container content group header heading holder icons inner item items left link links list main meta outer panel "
+    "position post posts primary right row secondary section slot strip title top unit widget widgets wrap wrapper".split()
+)
 SAYS_OF_PAGE = {"has", "with", "without", "no", "not", "is", "js"}
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "heading", "article", "nav", "chrome", "aside", "notice", "advert", "form", "comment")
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "heading", "article", "nav", "chrome", "aside", "notice", "advert", "form", "comment", "page_article", "page_longest")
 
 
 def attributes_of(written: str) -> dict[str, str]:
@@ -82,14 +88,19 @@ def hidden(attributes: dict[str, str]) -> bool:
 
 
 def named(attributes: dict[str, str]) -> int:
-    """What the words of class, id and role tell: single ones, and neighbours joined (entry-content)."""
+    """What the words of class, id and role tell: single ones, and neighbours joined (entry-content). In a compound name the
+    last word tells, and one with nothing but words for a container or numbers behind it (reply-text says nothing)."""
     bits = 0
     for name in ("class", "id", "role"):
         for token in attributes.get(name, "").lower().split():
             words = [w for w in re.split(r"[_-]+", token) if w]
             if words and words[0] not in SAYS_OF_PAGE:
-                for w in (*words, *(a + b for a, b in zip(words, words[1:]))):
-                    bits |= NAME_BITS.get(w, 0)
+                for k in range(len(words) - 1, -1, -1):
+                    bits |= NAME_BITS.get(words[k], 0)
+                    if k + 1 < len(words):
+                        bits |= NAME_BITS.get(words[k] + words[k + 1], 0)
+                    if words[k] not in HOLDERS and words[k] not in NAME_BITS and not words[k].isdigit():
+                        break
     return bits
 
 
@@ -195,6 +206,7 @@ def features(found: list[tuple[str, int, int, int, int]]) -> np.ndarray:
         out[:, 6] = [b[3] for b in found]
         for i in range(8):
             out[:, 7 + i] = (around >> i) & 1
+        out[:, 15], out[:, 16] = (around & ARTICLE).any(), (words - linked).max()
     return out
 
 
@@ -259,6 +271,23 @@ def layouts(seed: int = 1, rounds: int = 24) -> list[str]:
     return out
 
 
+def headed(seed: int = 2, rounds: int = 200) -> list[str]:
+    """Labelled pages of three more kinds: text under headings without an article, short notices that are a whole page, and
+    lines around an article that no name tells apart from text."""
+    out, draw = [], random.Random(seed)
+    n = draw.randint
+    text = lambda a, b: f"<p>[[{said(n(a, b), n(0, 50))}]]</p>"
+    plain = lambda a, b: f"<p>{said(n(a, b), n(0, 50))}</p>"
+    title = lambda level, b: f"<h{level}>[[{said(n(1, b), n(0, 50))}]]</h{level}>"
+    menu = lambda: "<ul>" + "".join(f"<li>{link(n(1, 4), n(0, 50))}</li>" for _ in range(n(2, 7))) + "</ul>"
+    for _ in range(rounds):
+        part = lambda: title(2, 9) + text(28, 120) + draw.choice(("", text(1, 1), text(1, 20))) + text(28, 120)
+        out.append(f"{draw.choice(('', menu()))}{title(1, 14)}{draw.choice(('', text(1, 3)))}{text(28, 120)}{text(1, 2)}{part()}{draw.choice(('', part()))}{menu()}")
+        out.append(f"{draw.choice(('', menu()))}{title(1, 9)}{text(2, 24)}{draw.choice(('', text(2, 24), text(2, 24) + text(2, 24)))}{draw.choice(('', menu()))}")
+        out.append(f"{draw.choice(('', menu()))}{plain(1, 45)}<article>{title(1, 14)}{text(1, 120)}{text(1, 120)}{text(1, 60)}</article>{plain(1, 45)}{menu()}")
+    return out
+
+
 def labelled_rows(pages: Iterable[str]) -> list[tuple[float, ...]]:
     """(label, features...) of every block of labelled pages."""
     rows = []
@@ -282,9 +311,19 @@ class Tree:
         return self.label[at] > 0.5
 
 
+#: Trees of this process by depth: the labelled table is fixed, so one fit serves all calls.
+TRAINED: dict[int, Tree] = {}
+
+
 def train(spark: SparkSession, max_depth: int = 14) -> Tree:
-    """Fits the tree to the labelled table, pages judged by hand eightfold; its size is the table's, some thousands of rows."""
-    data = spark.createDataFrame(labelled_rows([*LABELLED * 8, *layouts()]), ["label", *FEATURES])
+    """The tree of the labelled table, pages judged by hand eightfold; fitted once, to some thousands of rows."""
+    if max_depth not in TRAINED:
+        TRAINED[max_depth] = fitted(spark, max_depth)
+    return TRAINED[max_depth]
+
+
+def fitted(spark: SparkSession, max_depth: int) -> Tree:
+    data = spark.createDataFrame(labelled_rows([*LABELLED * 8, *layouts(), *headed()]), ["label", *FEATURES])
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(data).select("label", "features").coalesce(1)
     model = DecisionTreeClassifier(maxDepth=max_depth, maxBins=128, minInstancesPerNode=1, seed=1).fit(data)
     nodes: tuple[list, ...] = ([], [], [], [], [])
