@@ -11,8 +11,9 @@ A document is cut where its queue's turn in a window ends. The rest that fills n
 are the powers of two that add up to it, so nothing is padded.
 
 Steps: tokenise once into a written table with each document's offset among its partition's tokens of its queue; add up a
-row per partition and queue; prefix sums of those give offsets in the queue; cut. Only queue totals reach the driver: at
-most ``max_queues`` numbers, more sources than that share queues by hash.
+row per partition and queue; prefix sums of those give offsets in the queue; cut. Every source is a queue of its own, and
+only queue totals reach the driver: a number a source. Beyond ``most_queues`` sources, which is an error, proportions of
+windows would say nothing.
 
 Defined cases: a null or empty text is its end token only; a null source is a queue of its own; null ids and repeated rows
 are packed like others; an empty table gives no pieces; columns of other names are ignored.
@@ -126,18 +127,16 @@ def encoder(path: str, most: int) -> Encoder:
     return Encoder(path, most)
 
 
-def queue_name(source: F.Column, max_queues: int, shared: bool) -> F.Column:
-    """A source's own queue, or the one that it shares with others."""
-    name = F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
-    return F.concat(F.lit("#"), F.pmod(F.xxhash64(name), F.lit(max_queues)).cast("string")) if shared else name
+def queue_name(source: F.Column) -> F.Column:
+    """A source's own queue."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
 
 
-def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, source_col: str, max_queues: int, file_order: bool, most_cached: int) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, source_col: str, file_order: bool, most_cached: int) -> DataFrame:
     """id, queue, where it was read (file, block, partition), place (tokens of the queue before it there), n, ids."""
     source = quoted(source_col).cast("string")
-    names = docs.select(source.alias("s")).distinct().limit(max_queues + 1).count()
     read = (F.input_file_name(), F.input_file_block_start()) if file_order else (F.lit(""), F.lit(0).cast("long"))
-    rows = docs.select(quoted(id_col).cast("long").alias("id"), queue_name(source, max_queues, names > max_queues).alias("queue"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"), read[0].alias("file"), read[1].alias("block"))
+    rows = docs.select(quoted(id_col).cast("long").alias("id"), queue_name(source).alias("queue"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"), read[0].alias("file"), read[1].alias("block"))
     rows = rows if file_order else spread(rows)
     end = np.array([end_id], "<u2").tobytes()
 
@@ -193,47 +192,73 @@ class Rounds:
         self.blocks: dict[int, np.ndarray] = {}
 
     def ends(self, w: np.ndarray) -> np.ndarray:
-        """A row for each w: tokens of every queue in the first w windows. Rows add up to w windows, or to all tokens."""
+        """A row for each w: tokens of every queue in the first w windows. Rows add up to w windows, or to all tokens.
+
+        Token j of a queue stands at (j + 1/2) / its tokens, ties by the queue's number; a row holds the first tokens in this
+        order, so that no queue ever takes one back, however many queues there are.
+        """
         x = np.minimum(w.astype(self.sent.dtype) * self.window, self.total)[:, None]
         out = ((2 * self.sent * x + self.total) // max(2 * self.total, 1)).astype(np.int64)
-        short = x[:, 0].astype(np.int64) - out.sum(axis=1)  # under half the number of queues
-        while short.any():
-            for sign in (1, -1):
-                rows = np.flatnonzero(short * sign > 0)
-                if len(rows):
-                    turn = (2 * out[rows] + sign) / (2 * self.float)
-                    may = out[rows] < self.sent.astype(np.int64) if sign > 0 else out[rows] > 0
-                    k = np.where(may, turn * sign, np.inf).argmin(axis=1)
-                    out[rows, k] += sign
-                    short[rows] -= sign
+        for k, short in enumerate((x[:, 0].astype(np.int64) - out.sum(axis=1)).tolist()):
+            while short:
+                short -= self.settled(out[k], short)
         return out
 
+    def settled(self, row: np.ndarray, short: int) -> int:
+        """Adds the next tokens to a row, or takes the last ones off, up to ``short``; how many it added. Only queues whose turn
+        comes before any queue's second one move at once."""
+        sign = 1 if short > 0 else -1
+        may = row < self.sent.astype(np.int64) if sign > 0 else row > 0
+        turn = np.where(may, sign * (2 * row + sign) / (2 * self.float), np.inf)
+        second = sign * (2 * row + 3 * sign) / (2 * self.float)
+        last = turn.size - 1
+        order = np.argsort(turn, kind="stable") if sign > 0 else last - np.argsort(turn[::-1], kind="stable")
+        sure = int(np.searchsorted(turn[order], second[may].min(), side="left"))
+        moved = order[: min(abs(short), max(sure, 1))]
+        row[moved] += sign
+        return sign * len(moved)
+
     def upto(self, lo: int, hi: int) -> np.ndarray:
-        """ends() of lo to hi, from blocks of 256 windows that are kept while they are near."""
-        need = range(lo // 256, hi // 256 + 1)
+        """ends() of lo to hi, from blocks of up to 256 windows that are kept while they are near; the more queues, the smaller."""
+        size = max(1, min(256, (1 << 18) // max(len(self.sent), 1)))
+        need = range(lo // size, hi // size + 1)
         for b in need:
             if b not in self.blocks:
-                if len(self.blocks) >= 64:
-                    self.blocks.pop(next(iter(self.blocks)))
-                self.blocks[b] = self.ends(np.arange(b * 256, b * 256 + 257))
-        rows = np.concatenate([self.blocks[b][:256] for b in need] + [self.blocks[need[-1]][256:]])
-        return rows[lo - need[0] * 256 : hi - need[0] * 256 + 1]
+                self.blocks[b] = self.ends(np.arange(b * size, b * size + size + 1))
+        rows = np.concatenate([self.blocks[b][:size] for b in need] + [self.blocks[need[-1]][size:]])
+        while len(self.blocks) > 64:
+            self.blocks.pop(next(iter(self.blocks)))
+        return rows[lo - need[0] * size : hi - need[0] * size + 1]
 
 
 def cut_pieces(rounds: Rounds, q: int, a: int, b: int) -> Iterator[tuple[int, int, int, int]]:
-    """(from, to, window, offset) of the pieces of queue tokens [a, b): the last window may be a part."""
+    """(from, to, window, offset) of the pieces of queue tokens [a, b): the last window may be a part.
+
+    Done in stretches of some 256 windows; where a queue sends less than a token in so many, token by token, at the windows
+    around its place only.
+    """
     scale = rounds.total / float(rounds.sent[q]) / rounds.window
-    lo, hi = max(0, int(a * scale) - 2), int(b * scale) + 3
-    ends = rounds.upto(lo, hi)
-    column = ends[:, q]
-    k = int(np.searchsorted(column, a, side="right")) - 1
+    margin, step = 3 + len(rounds.sent) // rounds.window, max(1, int(256 / scale))
+    held: tuple[int, int, int, int] | None = None
     while a < b:
-        to = min(b, int(column[k + 1]))
-        if to > a:
-            before = int((ends[k + 1, :q] - ends[k, :q]).sum())
-            yield a, to, lo + k, before + a - int(column[k])
-            a = to
-        k += 1
+        stop = min(b, a + step)
+        lo, hi = max(0, int((a + 0.5) * scale) - margin), int((stop - 0.5) * scale) + margin
+        ends = rounds.upto(lo, hi) if step > 1 else rounds.ends(np.arange(lo, hi + 1))
+        column = ends[:, q]
+        k = int(np.searchsorted(column, a, side="right")) - 1
+        while a < stop:
+            to = min(stop, int(column[k + 1]))
+            if to > a:
+                if held and held[2] == lo + k:  # a window that the last stretch ended in
+                    held = (held[0], to, *held[2:])
+                else:
+                    if held:
+                        yield held
+                    held = (a, to, lo + k, int((ends[k + 1, :q] - ends[k, :q]).sum()) + a - int(column[k]))
+                a = to
+            k += 1
+    if held:
+        yield held
 
 
 def tail_parts(rest: int) -> list[tuple[int, int]]:
@@ -246,29 +271,27 @@ def tail_parts(rest: int) -> list[tuple[int, int]]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_queues: int = 256, file_order: bool = False, most_cached: int = MOST_CACHED) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most_queues: int = 20_000, file_order: bool = False, most_cached: int = MOST_CACHED) -> DataFrame:
     """A row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue, queue_offset (of its document's first
     token among the tokens of the queue, which tells repeated rows apart).
 
-    weights: target token proportions by source; by default those of the table, so that every window mixes alike. Sources that
-    share a queue add up theirs. file_order: queues follow the names of the table's files and the order in them; else tasks. most_cached: runs whose ids a worker remembers; it bounds memory and
-    does not change results.
+    weights: target token proportions by source; by default those of the table, so that every window mixes alike. file_order: queues
+    follow the names of the table's files and the order in them; else tasks. most_cached: runs whose ids a worker remembers; it
+    bounds memory and does not change results.
     """
-    if window < 4 * max_queues:
-        raise ValueError("a window must hold four tokens a queue")
-    table = written(tokenised(docs, tokenizer, end_id, id_col, text_col, source_col, max_queues, file_order, most_cached), "tokens")
+    table = written(tokenised(docs, tokenizer, end_id, id_col, text_col, source_col, file_order, most_cached), "tokens")
     where = ["queue", "file", "block", "part"]
     sums = table.groupBy(*where).agg(F.sum("n").alias("tokens"))
     before = F.sum("tokens").over(Window.partitionBy("queue").orderBy(*where[1:]).rowsBetween(Window.unboundedPreceding, -1))
     bases = written(sums.select(*where, "tokens", F.coalesce(before, F.lit(0)).alias("base")), "bases")
-    totals = {r["queue"]: r["t"] for r in bases.groupBy("queue").agg(F.sum("tokens").alias("t")).collect()}  # at most max_queues + 1
+    totals = {r["queue"]: r["t"] for r in bases.groupBy("queue").agg(F.sum("tokens").alias("t")).limit(most_queues + 1).collect()}
+    if len(totals) > most_queues:
+        raise ValueError(f"over {most_queues} sources")
     names = sorted(totals)
     by_queue = None
     if weights:
-        shared = any(x.startswith("#") for x in names)
-        told = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "source string, weight double")
-        summed = {r["queue"]: r["w"] for r in told.groupBy(queue_name(F.col("source"), max_queues, shared).alias("queue")).agg(F.sum("weight").alias("w")).collect()}
-        by_queue = [summed.get(x, 0.0) for x in names]
+        told = {"null" if k is None else f"={k}": float(v) for k, v in weights.items()}
+        by_queue = [told.get(x, 0.0) for x in names]
     sent = phases([totals[x] for x in names], by_queue, window)
     starts = np.cumsum([[0] * len(names), *sent], axis=0).tolist()
     first = np.cumsum([0, *(-(-sum(s) // window) for s in sent)]).tolist()

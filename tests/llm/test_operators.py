@@ -112,8 +112,8 @@ def brute_spans(table, least=20, short=3):
         for part in re.split(r"(?<=\n)", text or ""):
             at = len("".join(re.split(r"(?<=\n)", text or "")[:line]))
             for m in re.finditer(r"[^\n]+?(?:[.,;:!?](?=[\x20\x09-\x0D])|(?=\n)|$)", part, re.S):
-                norm = " ".join(split(lower(m[0]))).strip(" .,;:!?")
-                if norm:
+                norm = " ".join(split(lower(m[0])))
+                if norm.strip(" .,;:!?"):
                     body = m[0].strip(" \t\n\x0b\x0c\r")
                     a = at + m.start() + m[0].index(body)
                     found.append((a, a + len(body), norm, line))
@@ -163,9 +163,10 @@ def test_line_dedup(spark, words, none):
     unique = "a sentence of its own that stands between two passages and must never be lost."
     table = [
         (1, a + " " + passage + " tail words"), (2, b + " glue " + passage + " " + c), (3, c), (4, None), (5, ""), (6, prose(words, 200, 7)),
-        (7, "All rights reserved.\nSome text here\n\n  All   rights reserved! \nmore"), (8, "ALL RIGHTS RESERVED\nother text, as it goes"),
+        (7, "All rights reserved.\nSome text here\n\n  All   rights reserved. \nmore"), (8, "ALL RIGHTS RESERVED.\nother text, as it goes"),
         (9, "x y z. " + items + ". tail of nine"), (10, "head of ten. " + items + ", and on"),
         (11, passage + " " + unique + " " + c), (12, "a, b, a, b, a, b"), (13, "short one, all rights reserved, and so on it goes"), (14, passage + "\n" + passage),
+        (15, "Is it so?\nyes"), (16, "Is it so!\nno"), (17, "is  it SO?\nwell"),
     ]
     df = spark.createDataFrame(table, "doc_id long, text string")
     got = linededup.repeated_spans(df).collect()
@@ -175,7 +176,8 @@ def test_line_dedup(spark, words, none):
     gone = {k: [text[k][x:y] for x, y in v] for k, v in by.items()}
     assert not gone[1] and not gone[6] and not gone[9] and not gone[13]
     assert any(passage.split(".", 1)[1].strip()[:40] in t for t in gone[2]) and gone[3]
-    assert gone[7] == ["All   rights reserved!"] and gone[8] == ["ALL RIGHTS RESERVED"]
+    assert gone[7] == ["All   rights reserved."] and gone[8] == ["ALL RIGHTS RESERVED."]
+    assert not gone[15] and not gone[16] and gone[17] == ["is  it SO?"]  # lines that differ in a stop are not copies
     assert len(gone[10]) == 1 and len(gone[10][0].split()) > 80  # a list of short items
     cut = {r.doc_id: r.text for r in linededup.without_spans(df, linededup.repeated_spans(df)).collect()}
     assert unique in cut[11] and passage[5:60] not in cut[11]
@@ -191,7 +193,7 @@ def test_line_dedup(spark, words, none):
         got = linededup.repeated_spans(spark.createDataFrame(table, "doc_id long, text string")).collect()
         assert {(r.id, r.start, r.end, r.words) for r in got} == brute_spans(table)
     assert linededup.repeated_spans(none).count() == 0
-    assert [u[:4] for u in linededup.units(" Hello there, my  friend.\n\nA b c . d")] == [(1, 13, 2, "hello there"), (14, 25, 2, "my friend"), (27, 34, 3, "a b c"), (35, 36, 1, "d")]
+    assert [u[:4] for u in linededup.units(" Hello there, my  friend.\n\nA b c . d")] == [(1, 13, 2, "hello there,"), (14, 25, 2, "my friend."), (27, 34, 4, "a b c ."), (35, 36, 1, "d")]
 
 
 @pytest.mark.parametrize("bits", [256, 4])
@@ -475,6 +477,20 @@ def test_html_names_do_not_silence_the_page(spark):
         assert time.perf_counter() - began < 3
 
 
+def test_html_pages_without_an_article_and_lines_beside_one(spark):
+    long = " ".join(["word"] * 45)
+    cookies = "We use cookies to make this site better for you and for all other people who read it and by reading on you agree."
+    cases = {
+        f"<nav><a href=/>Home</a></nav><h1>Title here</h1><p>{long}</p><p>Yes.</p><p>{long}</p>": f"Title here\n\n{long}\n\nYes.\n\n{long}",
+        "<h1>Notice</h1><p>The office is closed today.</p><p>We are back on Monday.</p>": "Notice\n\nThe office is closed today.\n\nWe are back on Monday.",
+        f"<article><p>{long}</p><div class='tags-explained'><p>A {long}</p></div><p class='reply-text'>B {long}</p></article>": f"{long}\n\nA {long}\n\nB {long}",
+        f"<p>{cookies}</p><article><h1>Title</h1><p>{long}</p></article>": f"Title\n\n{long}",
+        f"<article><p>{long}</p><div class='comment-list-2'><p>{long}</p></div><div class='sidebar-left'><p>{long}</p></div></article>": long,
+    }
+    df = spark.createDataFrame([(None, None, page) for page in cases], "page_id long, url string, html string")  # null ids
+    assert sorted(r.text for r in htmlblocks.main_text(df).collect()) == sorted(cases.values())
+
+
 def test_html_shows_what_only_looks_hidden():
     text = lambda page: [b[0] for b in htmlblocks.blocks(page)]
     for shown in ("class='overflow-hidden'", "style='overflow:hidden'", "aria-hidden=false", "href=/the-hidden-valley", "data-hidden=1", "class=hidden", "title='display: none'"):
@@ -496,7 +512,7 @@ def test_packing(spark, docs, none, rows):
     df = spark.createDataFrame(texts, DOCS).repartition(5)
     ids = {r[0]: whole.encode(r[1] or "", add_special_tokens=False).ids + [1] for r in texts}
     for weights in (None, {"s0": 1.0, "s3": 2.0, "s6": 0.5}):
-        got = packing.pack(df, path, weights=weights, max_queues=64).collect()
+        got = packing.pack(df, path, weights=weights).collect()
         by, sequence = {}, {}
         for p in got:
             by.setdefault(p.id, []).append(p)
@@ -532,6 +548,37 @@ def test_packing(spark, docs, none, rows):
     assert packing.pack(docs, path).groupBy("id").agg(F.sum("length").alias("n")).filter("id = 103").first().n == 3 * len(whole.encode(rows[3][1], add_special_tokens=False).ids + [1])
 
 
+def test_packing_gives_each_of_many_sources_a_queue(spark, words):
+    public = pytest.importorskip("public_tokenizers")
+    texts = [(k, prose(words, 60 + k % 50, k), f"s{k % 400}") for k in range(1600)]
+    got = packing.pack(spark.createDataFrame(texts, "doc_id long, text string, source string"), public.path("word_bpe_49k.json")).collect()
+    assert len({p.queue for p in got}) == 400
+    sent, total = Counter(), sum(p.length for p in got)
+    for p in got:
+        sent[p.queue, p.sequence_id] += p.length
+    share = Counter()
+    for (q, _), n in sent.items():
+        share[q] += n
+    assert all(abs(sent[q, w] - 2048 * share[q] / total) < 3 for q in share for w in range(total // 2048))
+    with pytest.raises(ValueError):
+        packing.pack(spark.createDataFrame(texts, "doc_id long, text string, source string"), public.path("word_bpe_49k.json"), most_queues=399)
+
+
+def test_rounds_of_more_queues_than_a_window_has_tokens():
+    for sent in ([7] * 900, [1, 2, 3, 500] * 200, [40_000_000, 3, 1]):
+        r = packing.Rounds(sent, 256)
+        w = np.arange(-(-r.total // 256) + 1) if r.total < 10**6 else np.arange(3000)
+        ends = r.ends(w)
+        assert (ends.sum(axis=1) == np.minimum(w * 256, r.total)).all() and (np.diff(ends, axis=0) >= 0).all()
+        for q in sorted({0, 1, 2, len(sent) - 1}):
+            begin, found = time.perf_counter(), list(packing.cut_pieces(r, q, 0, min(sent[q], 5000)))
+            assert [p[0] for p in found] == [0, *(p[1] for p in found[:-1])] and found[-1][1] == min(sent[q], 5000) and time.perf_counter() - begin < 5
+            assert len({p[2] for p in found}) == len(found)
+            for a, b, k, offset in found:
+                own = r.ends(np.array([k, k + 1]))
+                assert own[0, q] <= a < b <= own[1, q] and offset == (own[1, :q] - own[0, :q]).sum() + a - own[0, q] < 256
+
+
 def test_rounds_add_up():
     rng = np.random.default_rng(4)
     for q in (1, 2, 17, 200):
