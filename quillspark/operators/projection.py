@@ -104,8 +104,9 @@ def shown_line(line: str) -> tuple[str, bool]:
     return "".join(chars), len(TICKS.findall(line)) % 2 == 1 or line.count("{{") != line.count("}}")
 
 
-def projected_lines(text: str) -> list[dict]:
-    """Line rows of a text. An item that begins a list run of two items or more tells the run's end and its items."""
+def projected_lines(text: str, hanging: bool = True) -> list[dict]:
+    """Line rows of a text. An item that begins a list run of two items or more tells the run's end and its items. Prose that is
+    indented deeper than an item goes on with it; with ``hanging`` false, any prose ends the runs before it."""
     if SEPARATOR.search(text):
         return [dict(k=0, start=0, end=len(text), kind="separator", uncertain=True, quote=False, empty=False, indent=0, shown=text)]
     raw = text.split("\n")
@@ -145,20 +146,20 @@ def projected_lines(text: str) -> list[dict]:
                 open_runs.append((depth, family, row, [1]))
             reach = row["end"]
         else:
-            close(row["indent"] - 1)
+            close(row["indent"] - 1 if hanging else -1)
             reach = row["end"]
     close(-1)
     return out
 
 
-def lines(docs: DataFrame) -> DataFrame:
+def lines(docs: DataFrame, hanging: bool = True) -> DataFrame:
     """The line rows of documents (uri, text)."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[dict] = []
             for uri, text in zip(batch.column("uri").to_pylist(), batch.column("text")):
-                rows += (dict(x, uri=uri) for x in projected_lines(text.as_py()))
+                rows += (dict(x, uri=uri) for x in projected_lines(text.as_py(), hanging))
                 if len(rows) > 20_000:
                     yield made(rows)
                     rows = []
@@ -170,12 +171,12 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.select("uri", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(walk, LINE)
 
 
-def blocks(ls: DataFrame, with_body: bool = False) -> DataFrame:
+def blocks(ls: DataFrame, with_body: bool = False, hanging: bool = True) -> DataFrame:
     """uri, first_line, last_line, kind (prose, list or quote), start, end, uncertain, shown_start, shown_end, terminal: what
     is left visible by the projection, from and to its first and last character, and the last one.
 
     A structural or blank line ends a block, an item begins one, quoted lines are one. Behind an item, deeper lines are its
-    own until one is not; that one begins prose. ``with_body`` adds the visible text, lines trimmed and joined by blanks.
+    own until one is not; that one begins prose, as the first does with ``hanging`` false. ``with_body`` adds the visible text, lines trimmed and joined by blanks.
     """
     by = Window.partitionBy("uri").orderBy("k")
     so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -184,7 +185,8 @@ def blocks(ls: DataFrame, with_body: bool = False) -> DataFrame:
     # a segment is a line that is no prose and the prose behind it
     own = Window.partitionBy("uri", "segment").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     under = F.first("marker").over(own)
-    left = F.max(((F.col("side") == "prose") & F.coalesce(F.col("indent") <= under, F.lit(True))).cast("int")).over(own)
+    free = F.coalesce(F.col("indent") <= under, F.lit(True)) if hanging else F.lit(True)
+    left = F.max(((F.col("side") == "prose") & free).cast("int")).over(own)
     ls = ls.withColumn("left", left)
     begins = (F.col("side") == "list") | ((F.col("side") == "quote") & (F.coalesce(F.lag("side").over(by), F.lit("")) != "quote")) | ((F.col("side") == "prose") & (F.col("left") == 1) & (F.coalesce(F.lag("left").over(Window.partitionBy("uri", "segment").orderBy("k")), F.lit(0)) == 0))
     ls = ls.withColumn("block", F.sum(begins.cast("int")).over(so_far)).filter("side <> 'gap'")
@@ -202,7 +204,7 @@ def blocks(ls: DataFrame, with_body: bool = False) -> DataFrame:
     return found.filter("words").drop("words", "block")
 
 
-def list_units(ls: DataFrame) -> DataFrame:
+def list_units(ls: DataFrame, hanging: bool = True) -> DataFrame:
     """List runs with what leads them in: uri, start, end, family, indentation, peers, uncertain, lead_in_status (found,
     uncertain or not_found), lead_in_start, lead_in_end, blank_lines (-1 without a lead-in), list_terminal (period, colon, other
     or absent), blockers.
@@ -214,7 +216,7 @@ def list_units(ls: DataFrame) -> DataFrame:
     kinds = {"blank": F.col("empty"), "doubtful": F.col("uncertain"), "quoted": F.col("quote")} | {k: F.col("kind") == k for k in ("heading", "fence", "thematic_break")}
     counts = F.struct(*(F.sum(c.cast("int")).over(by).alias(n) for n, c in kinds.items()))
     counted = ls.withColumn("counts", counts)
-    ends = blocks(ls).select("uri", F.col("last_line").alias("k"), F.struct("uncertain", "shown_start", "shown_end", "terminal").alias("b"))
+    ends = blocks(ls, hanging=hanging).select("uri", F.col("last_line").alias("k"), F.struct("uncertain", "shown_start", "shown_end", "terminal").alias("b"))
     both = counted.join(ends, ["uri", "k"], "left").withColumn("b", F.when(F.col("b").isNotNull(), F.struct("b.*", F.col("counts").alias("then"))))
     before = Window.partitionBy("uri").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("lead", F.last("b", ignorenulls=True).over(before)).withColumn("now", F.lag("counts").over(Window.partitionBy("uri").orderBy("k")))

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions.place import region_at
+from quillspark.plans import evidence as _  # noqa: F401
+from quillspark.plans import queries
 from quillspark.operators import contracts, intake, inventory, language, offsets, plain, projection, review, rules, vocabulary
 from quillspark.operators.catalog import Context, lint
 from quillspark.operators.markdown import mask
@@ -182,6 +184,28 @@ def test_blocks_follow_items_and_quotes(spark):
     assert [(r.kind, r.first_line, r.last_line) for r in rows] == [("list", 0, 1), ("prose", 2, 3), ("quote", 4, 5), ("prose", 6, 6), ("list", 10, 10)]
 
 
+def test_prose_of_any_depth_ends_lists_where_items_do_not_go_on(spark):
+    text = "Lead.\n- a\n- b\n own line.\n- c\n- d"
+    df = spark.createDataFrame([("a", text)], DOC)
+    units = lambda **how: [(r.start, r.peers, text[r.lead_in_start : r.lead_in_end]) for r in projection.list_units(projection.lines(df, **how), **how).orderBy("start").collect()]
+    assert units() == [(6, 4, "Lead.")]
+    assert units(hanging=False) == [(6, 2, "Lead."), (text.index("- c"), 2, "own line.")]
+
+
+@pytest.mark.parametrize("name", ["list_lead_ins", "list_label_counts"])
+def test_lists_with_indented_prose_agree_with_their_sql(spark, tmp_path, name):
+    import duckdb
+
+    texts = ["Yes. Aa bb\n cc. Dd, ee, ff. Gg", "Aa. Bb. The\n dogs. Cc. Dd.\n Ee, ff, gg. Hh and it ii. Jj", "  Aa. Bb. Cc", None, ""]
+    at = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(at)
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{at}/*.parquet')")
+    want = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in got.columns)} FROM ({queries.ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
+
+
 # --- error rows ----------------------------------------------------------------------------------------------------------------------
 
 
