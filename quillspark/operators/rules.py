@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,39 +112,48 @@ def semicolons(docs: DataFrame, context: Context) -> DataFrame:
 LEAD_IN = r"(?i)(?<![\p{L}\p{N}_])these[ \t]+\p{L}+(?:-\p{L}+)*s\.$"
 
 
+NEARLY = re.compile(r"these[ \t]+[^\W\d_]+(?:-[^\W\d_]+)*s\.$", re.I)  # what LEAD_IN finds, and a little more
+ITEM = re.compile(r"( {0,3})(?:[-+*]|[0-9]+[.)])[ \t]+")
+BLANK = np.array([ord(c) for c in map(chr, range(0x3001)) if re.fullmatch(f"[{SPACE}]", c)], np.uint32)
+
+
+def direct_lead_ins(text: str, full: bool) -> Iterator[tuple[int, int, str]]:
+    """(start, end, line without white space behind it) of the last character of lines that end with a period and stand right
+    before a list, or with one blank line between. All of such a line is prose, and no sentence from before goes on in it."""
+    lines = [(m.start(), m[0].rstrip("\r\n")) for m in re.finditer(r"[^\n]*\n|[^\n]+", text)]
+    markers = [ITEM.match(x) for _, x in lines]
+    depths = [m and len(m[1]) for m in markers]
+    cover = solid = None
+    for k, depth in enumerate(depths[:-1]):
+        if k == 0 or depth is None or depths[k + 1] != depth:
+            continue
+        lead = k - 1 if lines[k - 1][1].strip() else k - 2
+        start, line = lines[lead] if lead >= 0 else (0, "")
+        shown = line.rstrip()
+        if not NEARLY.search(shown):
+            continue
+        if cover is None:
+            cover = mask(text, full)
+            solid = ~cover & ~np.isin(np.frombuffer(text.encode("utf-32-le"), np.uint32), BLANK)
+            seen = np.flatnonzero(solid)
+        item = lambda j: depths[j] == depth and solid[lines[j][0] + markers[j].end() : lines[j][0] + len(lines[j][1])].any()  # noqa: E731, B023
+        if not (item(k) and item(k + 1)) or item(k - 1) or cover[start : start + len(line)].any():
+            continue
+        before = np.searchsorted(seen, start + len(line) - len(line.lstrip(" \t")))
+        if before == 0 or text[seen[before - 1]] in ".!?":
+            yield start + len(shown) - 1, start + len(shown), shown
+
+
 def list_lead_ins(docs: DataFrame, context: Context) -> DataFrame:
     """Periods of lines "... these <plural>." right before a Markdown list of two items or more.
 
-    Lines are rows; runs of items with equal indentation are islands of a window; the lead-in is the line before the run,
-    or the one before that if that is blank. It must be prose throughout and end a complete sentence.
+    The lead-in is the line before the items of equal indentation, or the one before that if that is blank. It must be prose
+    throughout and end a complete sentence. Each text is walked where it lies: no line or token rows are made.
     """
-    marked = with_regions(is_markdown(docs), is_full(context))
-    cut = marked.select("uri", "text", "regions", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\n]*\n|[^\n]+"), F.lit(0))).alias("k", "raw"))
-    w = Window.partitionBy("uri").orderBy("k")
-    lines = cut.withColumn("start", F.sum(F.length("raw")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length("raw"))
-    lines = lines.withColumn("line", F.regexp_replace("raw", r"[\r\n]+$", ""))
-    marker = F.regexp_extract("line", r"^( {0,3})(?:[-+*]|\d+[.)])[ \t]+", 0)
-    prose = F.exists("regions", lambda r: r["lintable"] & (r["start"] < F.col("start") + F.length("line")) & (r["end"] > F.col("start") + F.length(marker)) & F.rlike(F.substring("text", F.greatest(r["start"], F.col("start") + F.length(marker)) + 1, F.least(r["end"], F.col("start") + F.length("line")) - F.greatest(r["start"], F.col("start") + F.length(marker))), F.lit(rf"[^{SPACE}]")))
-    indent = F.when((F.length(marker) > 0) & prose, F.length(F.regexp_extract("line", r"^( {0,3})", 1)))
-    pure = ~F.exists("regions", lambda r: ~r["lintable"] & (r["start"] < F.col("start") + F.length("line")) & (r["end"] > F.col("start")))
-    lines = lines.withColumns({"indent": indent, "pure": pure}).drop("regions", "raw", "text")
-    begins = F.coalesce(F.col("indent").isNotNull() & ~F.col("indent").eqNullSafe(F.lag("indent", 1).over(w)) | F.col("indent").isNull(), F.lit(True))
-    lines = lines.withColumn("run", F.sum(begins.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    before = {}
-    for name in ("line", "start", "pure"):
-        one, two = F.lag(name, 1).over(w), F.lag(name, 2).over(w)
-        blank = F.rlike(F.lag("line", 1).over(w), F.lit(rf"^[{SPACE}]*$"))
-        before[f"lead_{name}"] = F.when(blank, two).otherwise(one)
-    items = lines.withColumns(before).filter("indent is not null")
-    first = items.groupBy("uri", "run").agg(F.count("*").alias("items"), F.min_by(F.struct("lead_line", "lead_start", "lead_pure"), "k").alias("x")).filter("items >= 2").select("uri", "x.*")
-    lead = first.filter(F.col("lead_pure")).withColumn("shown", F.regexp_replace("lead_line", rf"[{SPACE}]+$", "")).filter(F.rlike("shown", F.lit(LEAD_IN)))
-    end = F.col("lead_start") + F.length("shown")
-    spans = lead.select("uri", (end - 1).alias("start"), end.alias("end"), (F.col("lead_start") + F.length(F.regexp_extract("lead_line", r"^[ \t]*", 0))).alias("line_start"))
-    # every sentence on the line is complete and of one part, the first begins on it or is the line's, the last ends with it
-    s = region_sentences(marked).select("uri", F.col("start").alias("s"), F.col("end").alias("e"), (F.col("complete") & (F.size("parts") == 1)).alias("whole"))
-    joined = spans.join(s, "uri").filter((F.col("s") < F.col("end")) & (F.col("e") > F.col("line_start")))
-    clear = joined.groupBy("uri", "start", "end").agg(F.bool_and(F.col("whole") & (F.col("s") >= F.col("line_start")) & (F.col("e") <= F.col("end"))).alias("clear"), F.max("e").alias("last"))
-    return clear.filter(F.col("clear") & (F.col("last") == F.col("end"))).select("uri", "start", "end", F.lit("direct-list-lead-in").alias("evidence"))
+    full = is_full(context)
+    told = parseable(is_markdown(docs)).select("uri", "text")
+    lead = walked(told, "start int, end int, shown string", lambda doc: direct_lead_ins(doc["text"], full))
+    return lead.filter(F.rlike("shown", F.lit(LEAD_IN))).select("uri", "start", "end", F.lit("direct-list-lead-in").alias("evidence"))
 
 
 def children(parses: DataFrame) -> DataFrame:

@@ -198,3 +198,10 @@ def test_scanner(spark):
     units = spark.createDataFrame([("a", 0, 5, "complete", 21, False), ("a", 6, 9, "tail", 3, False), ("a", 10, 12, "complete", 1, True), ("a", 13, 15, "complete", 1, False)], "uri string, start int, end int, status string, words int, uncertain boolean")
     fixed = spark.createDataFrame([("a", 13, 15, "violation")], "uri string, start int, end int, label string")
     assert [r.label for r in scanner.proposed_labels(units, fixed).orderBy("start").collect()] == ["violation", "out_of_scope", "ambiguous", "violation"]
+
+
+def test_list_lead_ins_make_no_line_rows(spark):
+    text = "`x;`\nUse these tools.\n\n- hammer\n- saw.\n" + "More of these items.\n- a\n- b.\n" * 3_000 + "open\n these nuts.\n- a\n- b\n"
+    df = rules.list_lead_ins(frame(spark, ("md", text)), Context())
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()  # rows of lines held a text each and were shuffled
+    assert df.count() == 3_001
