@@ -8,9 +8,14 @@ token's children are and what a sentence holds are counted there, and decisions
 
 from __future__ import annotations
 
+from collections import namedtuple
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .plain import walked
+
 VOICE, NOTE = "PASV-001", "NOTE-001"
 CLEAR, EMIT, ABSTAIN = "clear", "emit", "abstain"
 # Text types that the voice rule knows, and dependencies that make a subject.
@@ -39,6 +44,39 @@ def sentence_facts(parses: DataFrame) -> DataFrame:
     )
 
 
+FACTS = "reach int, candidates int, with_agent string, with_modal string, roots int, verbs int, root_pos string, root_tag string, root_subject boolean, root_start int, root_end int"
+Token = namedtuple("Token", "i head pos tag dep start end")
+
+
+def told_facts(tokens: list[Token]) -> tuple:
+    """FACTS of the parse of one sentence."""
+    kids: dict[int, set[str]] = {}
+    for t in tokens:
+        if t.head != t.i:
+            kids.setdefault(t.head, set()).update((t.dep, "modal") if t.dep == "aux" and t.tag == "MD" else (t.dep,))
+    none: set[str] = set()
+    has = lambda t: kids.get(t.i, none)
+    passive = [t for t in tokens if t.tag == "VBN" and t.pos == "VERB" and "auxpass" in has(t)]
+    spans = lambda ts: ",".join(f"{a}:{b}" for a, b in sorted((t.start, t.end) for t in ts))
+    roots = [(t.pos, t.tag, not has(t).isdisjoint(SUBJECTS), t.start, t.end) for t in tokens if t.dep == "ROOT"]
+    return (
+        max(t.end for t in tokens), len(passive), spans(t for t in passive if "agent" in has(t)), spans(t for t in passive if not has(t).isdisjoint(("agent", "modal"))),
+        len(roots), sum(t.pos in ("VERB", "AUX") for t in tokens), *max(roots, default=(None,) * 5),
+    )
+
+
+def parsed(docs: DataFrame, schema: str, parse: Callable[[dict], Iterator[tuple[tuple, list[Token]]]]) -> DataFrame:
+    """Sentence rows for ``decisions``: ``parse`` yields the values of ``schema`` (sentence, start, end, complete, parts, text_type)
+    and the tokens of each sentence of a document. Documents are parsed where they lie; of a parse only its facts go on, so
+    that no token is a row or is shuffled."""
+    nothing = (None,) * len(FACTS.split(", "))
+    rows = walked(docs, f"{schema}, tokens int, {FACTS}", lambda doc: ((*s, len(ts) or None, *(told_facts(ts) if ts else nothing)) for s, ts in parse(doc)))
+    span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
+    spans = lambda c: F.transform(F.filter(F.split(c, ","), lambda x: x != ""), lambda x: span(F.substring_index(x, ":", 1), F.substring_index(x, ":", -1)))
+    root = F.when(F.col("roots") > 0, F.struct(F.col("root_pos").alias("pos"), F.col("root_tag").alias("tag"), F.col("root_subject").alias("subject"), span(F.col("root_start"), F.col("root_end")).alias("span")))
+    return rows.withColumns({"with_agent": spans("with_agent"), "with_modal": spans("with_modal"), "root": root})
+
+
 def decided(decision: str, reason: str = "", findings: Column | None = None) -> Column:
     found = F.array().cast(SPANS) if findings is None else findings
     return F.struct(F.lit(decision).alias("decision"), F.lit(reason).alias("reason"), found.alias("findings"))
@@ -49,7 +87,11 @@ def evaluated(sentences: DataFrame, parses: DataFrame) -> DataFrame:
 
     A parse that reaches beyond its sentence is of another text and fails the job. Only a decision that emits has findings.
     """
-    s = sentences.join(sentence_facts(parses), ["uri", "sentence"], "left")
+    return decisions(sentences.join(sentence_facts(parses), ["uri", "sentence"], "left"))
+
+
+def decisions(s: DataFrame) -> DataFrame:
+    """What ``evaluated`` returns, of sentences that have the facts of their parses beside them."""
     other = F.raise_error(F.concat(F.lit("parse of another text: "), F.col("uri"))).cast("long")
     s = s.withColumn("tokens", F.when(F.col("reach") > F.col("end") - F.col("start"), other).otherwise(F.col("tokens")))
 

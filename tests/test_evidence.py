@@ -80,6 +80,19 @@ def test_only_what_is_emitted_is_reported(spark, decide):
         language.evaluated(s.withColumn("end", F.col("start") + 3), p).collect()
 
 
+def test_parsers_that_run_over_documents_decide_as_token_rows_do(spark, decide):
+    cases = [(p, t, c, n) for p in (AGENT, MODAL, BARE, STATE, ORDER, TELLS, THING, TWO, f"{AGENT} {ORDER}", None) for t in ("procedural", "descriptive", "procedural-note", None) for c, n in ((True, 1), (False, 1), (True, 2))]
+    _, rows, s, p = decide(*cases)
+    tokens = {}
+    for r in p.collect():
+        tokens.setdefault(r.sentence, []).append(language.Token(r.i, r.head, r.pos, r.tag, r.dep, r.start, r.end))
+    given = [(tuple(r)[1:], tokens.get(r.sentence, [])) for r in s.collect()]
+    docs = spark.createDataFrame([("a", "")], DOC)
+    got = language.decisions(language.parsed(docs, "sentence int, start int, end int, complete boolean, parts int, text_type string", lambda doc: iter(given)))
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.collect())) and got.count() == 2 * len(cases)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 # --- projection ----------------------------------------------------------------------------------------------------------------------
 
 
