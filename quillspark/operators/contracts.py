@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -138,6 +138,12 @@ def analysis_faults(texts: DataFrame, tokens: DataFrame, sentences: DataFrame, w
     return walked(met, "fault string, n int", lambda doc: iter(Counter(invariant_faults(doc["text"], doc["tokens"] or [], doc["sentences"] or [], doc["words"] or [])).items()))
 
 
+def parsed_faults(docs: DataFrame, analyse: Callable[[dict], tuple[str, list[dict], list[dict], list[dict]]]) -> DataFrame:
+    """uri, fault, n as of ``analysis_faults``, where a parser runs over the documents: ``analyse`` returns the text, tokens, sentences
+    and words of one. They are checked where they lie, and no token or word is shuffled."""
+    return walked(docs, "fault string, n int", lambda doc: iter(Counter(invariant_faults(*analyse(doc))).items()))
+
+
 def invariant_faults(text: str | None, tokens: list[dict], sentences: list[dict], words: list[dict]) -> Iterator[str]:
     """The faults of one document's parse, each as often as it is there."""
     end, by_number = 0, {}

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .plain import places, walked_units
+from .plain import places, walked, walked_units
 
 PENDING = "pending-review"
 CONTEXTS = ("visible_prose", "markup_or_code", "uncertain")
@@ -45,16 +45,29 @@ def records(units: DataFrame, docs: DataFrame) -> DataFrame:
     """Units (uri, source_id, text_type, rule_id, unit_kind, start, end, structural_context) as records: coordinates of both
     ends, a digest of the slice, a case id from the content, and the state before review. Units of a document meet its text
     once, which is walked once."""
-    names = ("source_id", "text_type", "rule_id", "unit_kind", "structural_context")
+    units = units.select("uri", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), *NAMES)
+    return stated(walked_units(units, docs, PLACED, placed))
 
-    def each(text: str | None, own: list[dict]) -> Iterator[tuple]:
-        at = places(text or "", {u[k] for u in own for k in ("start", "end")})
-        for u in own:
-            cut = (text or "")[max(u["start"], 0) : u["end"]]
-            yield u["start"], u["end"], *(u[n] for n in names), *at.get(u["start"], (None, None)), *at.get(u["end"], (None, None)), hashlib.sha256(cut.encode()).hexdigest()
 
-    schema = "start int, end int, " + ", ".join(f"{n} string" for n in names) + ", start_line int, start_column int, end_line int, end_column int, slice_sha256 string"
-    rows = walked_units(units.select("uri", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), *names), docs, schema, each)
+def found_records(docs: DataFrame, find: Callable[[dict], Iterable[dict]]) -> DataFrame:
+    """Records as of ``records``, of the units that ``find`` yields of a document (a dict of its columns, text among them): found and
+    placed in one walk, nothing is shuffled."""
+    return stated(walked(docs, PLACED, lambda doc: placed(doc["text"], list(find(doc)))))
+
+
+NAMES = ("source_id", "text_type", "rule_id", "unit_kind", "structural_context")
+PLACED = "start int, end int, " + ", ".join(f"{n} string" for n in NAMES) + ", start_line int, start_column int, end_line int, end_column int, slice_sha256 string"
+
+
+def placed(text: str | None, own: list[dict]) -> Iterator[tuple]:
+    """Units of one text with the places of both ends and a digest of the slice."""
+    at = places(text or "", {u[k] for u in own for k in ("start", "end")})
+    for u in own:
+        cut = (text or "")[max(u["start"], 0) : u["end"]]
+        yield u["start"], u["end"], *(u[n] for n in NAMES), *at.get(u["start"], (None, None)), *at.get(u["end"], (None, None)), hashlib.sha256(cut.encode()).hexdigest()
+
+
+def stated(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"case_id": case_id(), "truth": F.lit(PENDING), "review_status": F.lit(PENDING)}).select(*RECORD)
 
 

@@ -646,3 +646,22 @@ def test_terms_that_clash_when_folded(spark):
         assert vocabulary.clashes(vocabulary.table(spark, clash)).first().entries == 2
     fine = [entry("Ab", True), entry("ab", True), entry("ab", False, "verb")]
     assert vocabulary.read_source(json.dumps({"entries": fine})) == fine and vocabulary.clashes(vocabulary.table(spark, fine)).count() == 0
+
+
+def test_analyses_made_over_documents_are_checked_where_they_lie(spark):
+    from quillspark.plans.evidence import faulty_analysis
+
+    docs = spark.createDataFrame([("a", "Aa bb. Cc dd. Ee ff gg. Hh."), ("b", ""), ("c", "1. 2.")], DOC)
+    found = contracts.parsed_faults(docs, lambda doc: faulty_analysis(doc["text"]))
+    assert {tuple(r) for r in found.collect()} == {("a", "roots", 2), ("a", "head_outside", 1)}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_records_found_in_a_walk_are_those_of_unit_rows(spark):
+    own = {"source_id": "s", "text_type": "procedural", "rule_id": "SENT-001", "unit_kind": "k", "structural_context": "visible_prose"}
+    spans = {"a": [(0, 3), (5, 9)], "b": [(1, 99)], "c": []}
+    docs = spark.createDataFrame([("a", "One.\nTwo.\n"), ("b", "x\ny"), ("c", "")], DOC)
+    units = spark.createDataFrame([(u, a, b, *own.values()) for u, ss in spans.items() for a, b in ss], "uri string, start int, end int, " + ", ".join(f"{n} string" for n in own))
+    found = inventory.found_records(docs, lambda doc: [{"start": a, "end": b, **own} for a, b in spans[doc["uri"]]])
+    assert sorted(map(str, found.collect())) == sorted(map(str, inventory.records(units, docs).collect())) and found.count() == 3
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
