@@ -110,14 +110,14 @@ def contract_faults(rows: DataFrame, docs: DataFrame, rules: Iterable[str], excl
 
 def order_faults(rows: DataFrame, keys: list[Column], part: str, place: str) -> DataFrame:
     """Rows that are less than the one before them. Rows lie in parts (files, say) one after another, each with its own
-    places: inside a part neighbours are compared, and the last row of a part with the first of the next that has rows.
-    What meets in one task is a part, or one row a part."""
-    keyed = rows.withColumn("_key", F.struct(*keys))
-    inside = keyed.withColumn("_before", F.lag("_key").over(Window.partitionBy(part).orderBy(place)))
-    ends = keyed.groupBy(part).agg(F.min(place).alias(place), F.max_by("_key", place).alias("_last"))
-    border = ends.withColumn("_before", F.lag("_last").over(Window.orderBy(part))).select(part, place, F.col("_before").alias("_border"))
-    both = inside.join(border, [part, place], "left").withColumn("_before", F.coalesce("_before", "_border"))
-    return both.filter(F.col("_before") > F.col("_key")).drop("_key", "_before", "_border")
+    places: the last row of a part is compared with the first of the next that has rows. A range sort by part and place deals
+    the rows out; neighbours are compared inside a range, and the last row of a range with the first of the next."""
+    ranged = held(rows.withColumn("_key", F.struct(*keys)).repartitionByRange(part, place).withColumn("_range", F.spark_partition_id()))
+    inside = ranged.withColumn("_before", F.lag("_key").over(Window.partitionBy("_range").orderBy(part, place)))
+    ends = ranged.groupBy("_range").agg(F.max_by("_key", F.struct(part, place)).alias("_last"))  # a row a range
+    border = ends.select("_range", F.lag("_last").over(Window.orderBy("_range")).alias("_border"))
+    both = inside.join(F.broadcast(border), "_range").withColumn("_before", F.coalesce("_before", "_border"))
+    return both.filter(F.col("_before") > F.col("_key")).drop("_key", "_before", "_border", "_range")
 
 
 def digests(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -148,15 +148,19 @@ def positioned(rows: DataFrame, order: list[Column | str], name: str = "position
 
 
 def capped(units: DataFrame, caps: dict[str, int], order: list[Column | str], salts: int = 64) -> DataFrame:
-    """Units of each rule up to its cap, the first in order (a sample by digest, say). Ranks are taken in ``salts`` parts of a
-    rule first and then among what those keep, so that a rule with most of the rows is no single task's work. Rules without a
-    cap keep all."""
-    cap = F.create_map(*(x for k, v in caps.items() for x in (F.lit(k), F.lit(v))))[F.col("rule_id")]
-    salted = units.withColumns({"_cap": cap, "_salt": F.pmod(F.xxhash64(*units.columns), F.lit(salts))})
+    """Units of each rule up to its cap, the first in order (a sample by digest, say). Rules without a cap, or with no more units
+    than it allows, keep all. Of others, ranks are taken in ``salts`` parts of a rule first and then, by a range sort, among what
+    those keep, so that neither a rule with most of the rows nor a large cap is a single task's work."""
+    cap = F.create_map(*(x for k, v in caps.items() for x in (F.lit(k), F.lit(v))))[F.col("rule_id")].cast("long")
+    counts = units.groupBy("rule_id").agg(F.count("*").alias("_n")).withColumn("_cap", cap)  # a row a rule
+    told = counts.select("rule_id", F.when(F.col("_n") > F.col("_cap"), F.col("_cap")).alias("_cap"))
+    met = units.join(F.broadcast(told), units["rule_id"].eqNullSafe(told["rule_id"])).drop(told["rule_id"])
     first = Window.partitionBy("rule_id", "_salt").orderBy(*order)
-    kept = salted.filter("_cap is not null").withColumn("_rank", F.row_number().over(first)).filter("_rank <= _cap")
-    last = kept.withColumn("_rank", F.row_number().over(Window.partitionBy("rule_id").orderBy(*order))).filter("_rank <= _cap")
-    return last.drop("_rank").unionByName(salted.filter("_cap is null")).drop("_cap", "_salt")
+    salted = met.filter("_cap > 0").withColumn("_salt", F.pmod(F.xxhash64(*units.columns), F.lit(salts)))
+    kept = positioned(salted.withColumn("_rank", F.row_number().over(first)).filter("_rank <= _cap"), ["rule_id", *order], "_place")
+    begins = kept.groupBy("rule_id").agg(F.min("_place").alias("_begin"))
+    last = kept.join(F.broadcast(begins), "rule_id").filter("_place - _begin < _cap")
+    return last.select(*units.columns).unionByName(met.filter("_cap is null").select(*units.columns))
 
 
 #: Which count of a document goes into which rule's total, and for which text type (null: all).

@@ -665,3 +665,13 @@ def test_records_found_in_a_walk_are_those_of_unit_rows(spark):
     found = inventory.found_records(docs, lambda doc: [{"start": a, "end": b, **own} for a, b in spans[doc["uri"]]])
     assert sorted(map(str, found.collect())) == sorted(map(str, inventory.records(units, docs).collect())) and found.count() == 3
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_task_holds_a_rule_or_a_part(spark):
+    df = spark.range(20_000).select(F.lit("one").alias("rule_id"), F.lit("one").alias("part"), F.col("id").alias("n"), (F.col("id") % 100 != 7).cast("int").alias("v"))
+    whole, cut = inventory.capped(df, {"one": 10**9}, ["n"]), inventory.capped(df, {"one": 15_000}, ["n"])
+    assert whole.count() == 20_000 and (cut.count(), cut.agg(F.max("n")).first()[0]) == (15_000, 14_999)
+    wrong = inventory.order_faults(df, [F.col("v")], "part", "n")
+    assert sorted(r.n for r in wrong.collect()) == list(range(7, 20_000, 100))
+    plans = "".join(x._jdf.queryExecution().optimizedPlan().toString() for x in (whole, cut, wrong))
+    assert "windowspecdefinition(rule_id#" not in plans and "windowspecdefinition(part#" not in plans
