@@ -241,11 +241,11 @@ def list_units(ls: DataFrame, hanging: bool = True) -> DataFrame:
 TERMINAL = r"[.!?](?=[\"'’”)\]]*(?:\s|$))"
 
 
-def scan_counts(docs: DataFrame) -> DataFrame:
+def scan_counts(docs: DataFrame, hanging: bool = True) -> DataFrame:
     """uri, complete, incomplete, paragraphs, semicolons, list_runs of every document: whole sentences and unfinished rests of its
     blocks, blocks of prose, semicolons of the text, list runs. No unit rows are made."""
-    ls = lines(docs)
-    b = blocks(ls, with_body=True)
+    ls = lines(docs, hanging)
+    b = blocks(ls, with_body=True, hanging=hanging)
     rest = F.regexp_replace("body", rf"(?s)^.*{TERMINAL}", "")
     sums = b.groupBy("uri").agg(F.sum(F.regexp_count("body", F.lit(TERMINAL))).alias("complete"), F.count_if(F.rlike(rest, F.lit(r"[\p{L}\p{N}_]"))).alias("incomplete"), F.count_if(F.col("kind") == "prose").alias("paragraphs"))
     runs = ls.groupBy("uri").agg(F.count("peers").alias("list_runs"))

@@ -205,7 +205,7 @@ def test_prose_of_any_depth_ends_lists_where_items_do_not_go_on(spark):
     assert units(hanging=False) == [(6, 2, "Lead."), (text.index("- c"), 2, "own line.")]
 
 
-@pytest.mark.parametrize("name", ["list_lead_ins", "list_label_counts"])
+@pytest.mark.parametrize("name", ["list_lead_ins", "list_label_counts", "scan_counts"])
 def test_lists_with_indented_prose_agree_with_their_sql(spark, tmp_path, name):
     import duckdb
 
