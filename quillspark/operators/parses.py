@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,24 +23,67 @@ def feats(value: Column) -> Column:
 
 def conllu_words(blocks: DataFrame) -> DataFrame:
     """A row per syntactic word of CoNLL-U sentences (sent, block): id, form, lemma, upos, feats, head (null for the root),
-    deprel, start and end of its surface token in the sentence's text. Ranges ("2-3") are surface tokens of several words."""
-    lines = blocks.select("sent", F.posexplode(F.split("block", "\n")).alias("k", "line")).filter("line <> '' and not startswith(line, '#')")
-    c = F.split("line", "\t")
-    rows = lines.select("sent", "k", *(c[i].alias(n) for i, n in enumerate(COLUMNS))).filter(~F.contains("id", F.lit(".")))
-    first, last = F.split("id", "-")[0].cast("int"), F.try_element_at(F.split("id", "-"), F.lit(2)).cast("int")
-    rows = rows.withColumns({"first": first, "last": F.coalesce(last, first), "range": last.isNotNull()})
-    ranges = rows.filter("range").select("sent", F.col("first").alias("a"), F.col("last").alias("b"), F.col("form").alias("surface"), F.col("misc").alias("range_misc"))
-    words = rows.filter("not range")
-    inside = words.alias("w").join(ranges.alias("r"), F.expr("w.sent = r.sent and w.first between r.a and r.b"), "left").select("w.*", "a", "b", "surface", "range_misc")
-    w = Window.partitionBy("sent").orderBy("first")
-    token = inside.withColumn("head_of_token", F.coalesce(F.col("first") == F.col("a"), F.lit(True)))
-    spaced = F.when(F.coalesce("range_misc", "misc").contains("SpaceAfter=No"), 0).otherwise(1)
-    width = F.when(F.col("head_of_token"), F.length(F.coalesce("surface", "form")) + spaced).otherwise(0)
-    before = F.coalesce(F.sum(width).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    token = token.withColumn("before", before).withColumn("token", F.sum(F.col("head_of_token").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    start = F.first("before").over(Window.partitionBy("sent", "token").orderBy("first").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    deprel, start and end of its surface token in the sentence's text. Ranges ("2-3") are surface tokens of several words.
+    Blocks are read where they lie, many at a time by columns, and no word is shuffled. Lines with too few fields and ranges that
+    overlap fail the job."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for i in range(0, big.num_rows, 1000):
+                yield placed_words(*big.slice(i, 1000).columns)
+
+    words = blocks.select("sent", "block").mapInArrow(run, WORDS)
     head = F.when(F.col("head") != "0", F.col("head").cast("int"))
-    return token.select("sent", F.col("first").alias("i"), "token", "form", "lemma", "upos", feats(F.col("feats")).alias("feats"), head.alias("head"), "deprel", start.alias("start"), (start + F.length(F.coalesce("surface", "form"))).alias("end"))
+    return words.withColumns({"feats": feats(F.col("feats")), "head": head})
+
+
+WORDS = "sent string, i int, token int, form string, lemma string, upos string, feats string, head string, deprel string, start long, end long"
+
+
+def placed_words(sents: pa.Array, blocks: pa.Array) -> pa.RecordBatch:
+    """The words of some blocks, with the places of their surface tokens, heads and features as they are written."""
+    lines = pc.split_pattern(blocks, "\n")
+    block, line = pc.list_parent_indices(lines).to_numpy(), lines.flatten()
+    told = pc.and_(pc.not_equal(line, ""), pc.invert(pc.starts_with(line, "#")))
+    block, fields = block[told.to_numpy(zero_copy_only=False)], pc.split_pattern(line.filter(told), "\t")
+    n = pc.list_value_length(fields).to_numpy()
+    if (n < len(COLUMNS)).any():
+        raise ValueError("a line with too few fields")
+    values, begin = fields.flatten(), np.cumsum(n) - n
+    of = lambda name, rows: values.take(pa.array(begin[rows] + COLUMNS.index(name)))
+    flag = lambda x: x.to_numpy(zero_copy_only=False)
+    ids = of("id", np.arange(len(n)))
+    empty, wide = flag(pc.match_substring(ids, ".")), flag(pc.match_substring(ids, "-"))
+    first = np.zeros(len(n), np.int64)
+    last = first.copy()
+    plain, ranged = np.flatnonzero(~empty & ~wide), np.flatnonzero(~empty & wide)
+    first[plain] = last[plain] = pc.cast(ids.take(pa.array(plain)), pa.int64()).to_numpy()
+    ends = pc.split_pattern(ids.take(pa.array(ranged)), "-", max_splits=1)
+    first[ranged], last[ranged] = (pc.cast(pc.list_element(ends, k), pa.int64()).to_numpy() for k in (0, 1))
+    rows, ranged = (x[np.lexsort((first[x], block[x]))] for x in (plain, ranged))
+    wider = (block[ranged][1:] == block[ranged][:-1]) & (first[ranged][1:] <= last[ranged][:-1])
+    if wider.any():
+        raise ValueError("ranges overlap")
+
+    surface = lambda x: (flag(pc.utf8_length(of("form", x))).astype(np.int64), ~flag(pc.match_substring(of("misc", x), "SpaceAfter=No")))
+    at, own, (length, spaced) = block[rows], first[rows], surface(rows)
+    opens = np.ones(len(rows), bool)
+    if len(ranged):
+        place = lambda b, i: (b.astype(np.int64) << 32) + i
+        near = np.searchsorted(place(block[ranged], first[ranged]), place(at, own), side="right") - 1
+        inside = (near >= 0) & (block[ranged][near] == at) & (own <= last[ranged][near])
+        opens = ~inside | (own == first[ranged][near])
+        wide_length, wide_spaced = surface(ranged)
+        length, spaced = np.where(inside, wide_length[near], length), np.where(inside, wide_spaced[near], spaced)
+    width = np.where(opens, length + spaced, 0)
+    new = np.append(np.ones(min(len(at), 1), bool), at[1:] != at[:-1])
+    held = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))  # where a word's block begins
+    before, number = np.cumsum(width) - width, np.cumsum(opens)
+    before, token = before - before[held], number - (number - opens)[held]
+    # a token begins with its first word
+    start = before[np.maximum.accumulate(np.where(new | opens, np.arange(len(at)), 0))]
+    columns = [sents.take(pa.array(at)), pa.array(own, pa.int32()), pa.array(token, pa.int32()), *(of(c, rows) for c in ("form", "lemma", "upos", "feats", "head", "deprel")), pa.array(start), pa.array(start + length)]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in WORDS.split(", ")])
 
 
 def faults(words: DataFrame) -> DataFrame:

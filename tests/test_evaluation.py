@@ -153,6 +153,20 @@ def test_parses(spark):
     assert (got.uas, got.las, round(got.feats_f1, 3)) == (0.75, 0.75, 0.8)
 
 
+def test_parses_are_read_where_they_lie(spark):
+    line = "%s\t%s" + "\t_" * 4 + "\t0\troot\t_\t%s"
+    two = "\n".join([line % ("1", "ab", "SpaceAfter=No"), line % ("2-3", "cde", "_"), line % ("2", "c", "_"), line % ("3", "de", "_"), line % ("3.1", "x", "_"), "# n", line % ("4", "é", "_")])
+    got = parses.conllu_words(spark.createDataFrame([("s", CONLLU), ("t", two), ("s", CONLLU), ("u", "# none\n")], "sent string, block string").coalesce(1))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [(r.i, r.token, r.form, r.start, r.end) for r in got.filter("sent = 't'").orderBy("i").collect()] == [(1, 1, "ab", 0, 2), (2, 2, "c", 2, 5), (3, 2, "de", 2, 5), (4, 3, "é", 6, 7)]
+    assert sorted((r.i, r.token, r.start, r.end) for r in got.filter("sent = 's'").collect()) == sorted(2 * [(1, 1, 0, 2), (2, 1, 0, 2), (3, 2, 3, 7), (4, 3, 7, 8)])
+    bad = lambda block: parses.conllu_words(spark.createDataFrame([("s", block)], "sent string, block string")).collect()
+    with pytest.raises(Exception, match="too few fields"):
+        bad("1\ta")
+    with pytest.raises(Exception, match="ranges overlap"):
+        bad("\n".join(line % (i, "a", "_") for i in ("1-2", "2-3", "1", "2", "3")))
+
+
 def test_vocabulary(spark):
     text = '{"entries": [%s]}'
     entry = '{"term": "%s", "part_of_speech": "%s", "meaning_id": "%s", "case_sensitive": %s}'
