@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,10 +35,28 @@ def offsets(pieces: DataFrame, order: str, length: Column) -> DataFrame:
     return pieces.withColumn("end", F.sum(length).over(w)).withColumn("start", F.col("end") - length)
 
 
+def token_lists(docs: DataFrame) -> DataFrame:
+    """uri, text, tokens: the tokens of a document as one list."""
+    return parseable(docs).select("uri", "text", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("tokens"))
+
+
 def tokens(docs: DataFrame) -> DataFrame:
-    """uri, ordinal, start, end, text: every character lies in one token."""
-    cut = parseable(docs).select("uri", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("ordinal", "token"))
-    return offsets(cut, "ordinal", F.length("token")).select("uri", "ordinal", "start", "end", F.col("token").alias("text"))
+    """uri, ordinal, start, end, text: every character lies in one token. Running lengths are summed where a document lies, so no
+    token is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for i in range(0, big.num_rows, 64):
+                uris, lists = big.slice(i, 64).columns
+                n, token = pc.list_value_length(lists).to_numpy(), lists.flatten()
+                past = np.cumsum(pc.utf8_length(token).to_numpy(zero_copy_only=False).astype(np.int64))
+                before, first = np.concatenate([[0], past]), np.cumsum(n) - n
+                ordinal = np.arange(len(token)) - np.repeat(first, n)
+                base = np.repeat(before[first], n)
+                uri = uris.take(pa.array(np.repeat(np.arange(len(n)), n)))
+                yield pa.RecordBatch.from_arrays([uri, pa.array(ordinal, pa.int32()), pa.array(before[:-1] - base), pa.array(past - base), token], names=["uri", "ordinal", "start", "end", "text"])
+
+    return token_lists(docs).select("uri", "tokens").mapInArrow(run, "uri string, ordinal int, start long, end long, text string")
 
 
 def walked(docs: DataFrame, schema: str, each: Callable[[dict], Iterator[tuple]]) -> DataFrame:

@@ -205,3 +205,12 @@ def test_list_lead_ins_make_no_line_rows(spark):
     df = rules.list_lead_ins(frame(spark, ("md", text)), Context())
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()  # rows of lines held a text each and were shuffled
     assert df.count() == 3_001
+
+
+
+def test_tokens_are_placed_without_a_shuffle(spark):
+    df = spark.createDataFrame([("a", "Ab-c 😀d.  É1"), ("b", ""), ("c", None), ("d", "x")], DOC)
+    got = plain.tokens(df)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r)[1:] for r in got.filter("uri = 'a'").orderBy("ordinal").collect()] == [(0, 0, 4, "Ab-c"), (1, 4, 5, " "), (2, 5, 6, "😀"), (3, 6, 7, "d"), (4, 7, 8, "."), (5, 8, 10, "  "), (6, 10, 12, "É1")]
+    assert [tuple(r) for r in got.filter("uri <> 'a'").collect()] == [("d", 0, 0, 1, "x")]
