@@ -230,6 +230,11 @@ def paragraph_sentences(text: str) -> Iterator[tuple[int, int, int, bool]]:
                 yield start, end, k - first, clear
 
 
+def token_faults(docs: DataFrame) -> DataFrame:
+    """Documents whose tokens, joined, are not their text: what ``partition_faults`` finds of ``tokens``, with no row for each token."""
+    return token_lists(docs).filter(F.array_join("tokens", "") != F.col("text")).select("uri")
+
+
 def partition_faults(pieces: DataFrame, docs: DataFrame) -> DataFrame:
     """Documents whose pieces (uri, start, end) leave a gap, overlap or miss the end."""
     w = Window.partitionBy("uri").orderBy("start")

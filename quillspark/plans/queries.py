@@ -65,7 +65,7 @@ def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     (SELECT count(*) FROM (SELECT doc_id, string_agg(token, '' ORDER BY k) AS t FROM cut GROUP BY doc_id) JOIN documents USING (doc_id) WHERE t <> text) AS faulty""")
 def lossless_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread_documents(spark, sf_dir)
-    bad = plain.partition_faults(plain.tokens(docs), docs).agg(F.count("*").alias("faulty"))
+    bad = plain.token_faults(docs).agg(F.count("*").alias("faulty"))
     return docs.filter("text <> ''").agg(F.count("*").alias("documents")).join(bad)
 
 

@@ -214,3 +214,12 @@ def test_tokens_are_placed_without_a_shuffle(spark):
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r)[1:] for r in got.filter("uri = 'a'").orderBy("ordinal").collect()] == [(0, 0, 4, "Ab-c"), (1, 4, 5, " "), (2, 5, 6, "😀"), (3, 6, 7, "d"), (4, 7, 8, "."), (5, 8, 10, "  "), (6, 10, 12, "É1")]
     assert [tuple(r) for r in got.filter("uri <> 'a'").collect()] == [("d", 0, 0, 1, "x")]
+
+
+
+def test_documents_that_tokens_do_not_rebuild(spark, monkeypatch):
+    df = spark.createDataFrame([("a", "ab cd"), ("b", "ab"), ("c", ""), ("d", None)], DOC)
+    assert plain.token_faults(df).count() == 0
+    monkeypatch.setattr(plain, "TOKEN", "[a-z]+")
+    found = plain.token_faults(df)
+    assert [r.uri for r in found.collect()] == ["a"] and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
