@@ -138,7 +138,7 @@ def baseline_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 0::BIGINT AS left_over")
 def baseline_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = marked(spark, sf_dir)
-    return baseline.unknown(found, baseline.from_json(baseline.to_json(baseline.baseline_of(found)))).agg(F.count("*").alias("left_over"))
+    return baseline.unknown(found, baseline.from_json(baseline.to_json_parts(baseline.baseline_of(found)))).agg(F.count("*").alias("left_over"))
 
 
 @query("SELECT doc_id, sha256('holdout' || chr(0) || doc_id || '.txt') AS selection_sha256 FROM documents ORDER BY 2 LIMIT 50")

@@ -223,3 +223,18 @@ def test_documents_that_tokens_do_not_rebuild(spark, monkeypatch):
     monkeypatch.setattr(plain, "TOKEN", "[a-z]+")
     found = plain.token_faults(df)
     assert [r.uri for r in found.collect()] == ["a"] and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+
+def test_a_baseline_in_parts(spark):
+    import hashlib
+
+    prints = [f"sha256:{hashlib.sha256(str(i).encode()).hexdigest()}" for i in range(300)]
+    base = spark.createDataFrame([(p,) for p in prints], "fingerprint string")
+    parts = baseline.to_json_parts(base, 1)
+    assert parts.count() == 16 and max(r.json.count("sha256:") for r in parts.collect()) < 60
+    assert sorted(r.fingerprint for r in baseline.from_json(parts).collect()) == sorted(prints)
+    whole = baseline.to_json(base).first().json
+    assert "".join(r.json[17 : r.json.index("]")] + "," for r in parts.orderBy("part").collect()).rstrip(",") == whole[17 : whole.index("]")]
+    with pytest.raises(Exception, match="not a baseline"):
+        baseline.from_json(parts.filter("part = 'sha256:0'").selectExpr("'sha256:1' as part", "json")).collect()
