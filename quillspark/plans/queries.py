@@ -16,10 +16,15 @@ from . import sqlparts as sql
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 
+#: Documents of a task, on average.
+TASK_DOCS = 4_000
+
+
 def spread_documents(spark: SparkSession, sf_dir: str, **how: str) -> DataFrame:
     """Documents dealt to all cores: a single row group would be one task's work."""
     docs = table_documents(spark, sf_dir, **how)
-    return docs.repartition(2 * spark.sparkContext.defaultParallelism, "uri") if len(docs.inputFiles()) < 2 else docs
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-docs.count() // TASK_DOCS))
+    return docs.repartition(tasks, "uri") if len(docs.inputFiles()) < tasks else docs
 
 
 def key(name: str = "uri") -> F.Column:

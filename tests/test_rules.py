@@ -238,3 +238,12 @@ def test_a_baseline_in_parts(spark):
     assert "".join(r.json[17 : r.json.index("]")] + "," for r in parts.orderBy("part").collect()).rstrip(",") == whole[17 : whole.index("]")]
     with pytest.raises(Exception, match="not a baseline"):
         baseline.from_json(parts.filter("part = 'sha256:0'").selectExpr("'sha256:1' as part", "json")).collect()
+
+
+
+def test_documents_are_dealt_in_shares_that_do_not_grow(spark, monkeypatch):
+    from quillspark.plans import queries
+
+    monkeypatch.setattr(queries, "TASK_DOCS", 5, raising=False)
+    docs = queries.spread_documents(spark, "/root/testdata/sf0.001")
+    assert docs.rdd.getNumPartitions() == -(-docs.count() // 5) > 2 * spark.sparkContext.defaultParallelism
