@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.chars import SENTENCE, SPACE, TOKEN, WORD_CHAR, leading, strip
 
 MOST_CHARS = 1_000_000  # of a document that is parsed
+MOST_ROWS, MOST_HELD = 20_000, 4_000_000  # rows of a walk, and characters in them, that a worker holds before they go on
 
 
 def parseable(docs: DataFrame) -> DataFrame:
@@ -61,22 +62,28 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 def walked(docs: DataFrame, schema: str, each: Callable[[dict], Iterator[tuple]]) -> DataFrame:
     """Rows that ``each`` yields of a document (a dict of its columns), behind its uri. Documents are walked where they lie, a
-    batch of whole texts at a time: nothing is shuffled. ``schema`` names string, int, long and boolean columns."""
+    batch of whole texts at a time: nothing is shuffled, and of the rows a batch of ``MOST_ROWS`` rows or ``MOST_HELD`` characters is
+    held at most. ``schema`` names string, int, long and boolean columns."""
     kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
     fields = [("uri", pa.string()), *((c.split()[0], kinds[c.split()[1]]) for c in schema.split(", "))]
 
+    texts = [c for c, (_, k) in enumerate(fields) if k == pa.string()]
+
     def made(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows) if rows else [[]] * len(fields), fields)], names=[n for n, _ in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
+            held = 0
             for k in range(batch.num_rows):
                 doc = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
-                rows += ((doc["uri"], *r) for r in each(doc))
-                if len(rows) > 20_000:
-                    yield made(rows)
-                    rows = []
+                for r in each(doc):
+                    rows.append(row := (doc["uri"], *r))
+                    held += sum(len(row[c] or "") for c in texts)
+                    if len(rows) >= MOST_ROWS or held >= MOST_HELD:
+                        yield made(rows)
+                        rows, held = [], 0
             yield made(rows)
 
     return docs.mapInArrow(run, f"uri string, {schema}")
@@ -116,22 +123,24 @@ ENDED = re.compile(SENTENCE)
 APART = re.compile(rf"[{SPACE},.!?:;]+")
 
 
-def sentences(docs: DataFrame, context_over: int | None = None) -> DataFrame:
+def sentences(docs: DataFrame) -> DataFrame:
     """uri, ordinal, start, end, text, complete, and line and column of both ends. Only . ! ? end a sentence: line ends do not,
-    and the rest is incomplete. With ``context_over``, sentences of more words than that also have the lines around them
-    (``context``, else null)."""
+    and the rest is incomplete."""
+    return walked(parseable(docs).select("uri", "text"), SENTENCES, lambda doc: placed_sentences(doc["text"]))
+
+
+def long_sentences(docs: DataFrame, over: int) -> DataFrame:
+    """The complete sentences that may have more words than ``over``, with the lines around them (``context``): all that have, and
+    some with fewer. The others do not leave the walk."""
 
     def each(doc: dict) -> Iterator[tuple]:
         text = doc["text"]
-        for s in placed_sentences(text):
-            if context_over is None:
-                yield s
-            else:
-                _, start, end, body, *_ = s
-                long = len(body) > 2 * context_over and len(APART.split(body)) > context_over
-                yield *s, (context_of(text, start, end) if long else None)
-
-    return walked(parseable(docs).select("uri", "text"), SENTENCES + (", context string" if context_over is not None else ""), each)
+        place = placer(text)
+        for ordinal, start, end, body, complete in sentence_spans(text):
+            if complete and len(body) > 2 * over and len(APART.split(body)) > over:
+                yield ordinal, start, end, body, complete, *place(start), *place(end), context_of(text, start, end)
+
+    return walked(parseable(docs).select("uri", "text"), SENTENCES + ", context string", each)
 
 
 def context_of(text: str, start: int, end: int) -> str:

@@ -15,7 +15,7 @@ from . import language
 from .catalog import Catalog, Context, Rule
 from .markdown import mask, region_sentences, with_regions
 from .intake import told_format
-from .plain import marks, paragraph_sentences, paragraphs, parseable, placer, sentences, simple_words, walked
+from .plain import long_sentences as long_spans, marks, paragraph_sentences, paragraphs, parseable, placer, simple_words, walked
 
 LIMITS = {"procedural": 20, "descriptive": 25}
 PARAGRAPH_LIMIT = 6
@@ -58,7 +58,7 @@ def long_sentences(text_type: str):
         limit = LIMITS[text_type]
         over = lambda df: df.withColumn("words", simple_words(F.col("text"))).filter(F.col("words") > limit)
         own = ("uri", "start", "end", "words", "start_line", "start_column", "end_line", "end_column", F.col("text").alias("span"), "context")
-        plain = over(sentences(is_plain(docs), limit).filter("complete")).withColumnsRenamed({"line": "start_line", "column": "start_column"}).select(*own)
+        plain = over(long_spans(is_plain(docs), limit)).withColumnsRenamed({"line": "start_line", "column": "start_column"}).select(*own)
         marked = with_regions(is_markdown(docs), is_full(context))
         found = region_sentences(marked).filter(F.col("complete") & (F.size("parts") == 1)).join(marked.select("uri", F.col("text").alias("doc")), "uri")
         found = over(found.withColumn("text", F.substring("doc", F.col("start") + 1, F.col("end") - F.col("start"))))

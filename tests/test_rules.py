@@ -207,7 +207,6 @@ def test_list_lead_ins_make_no_line_rows(spark):
     assert df.count() == 3_001
 
 
-
 def test_tokens_are_placed_without_a_shuffle(spark):
     df = spark.createDataFrame([("a", "Ab-c 😀d.  É1"), ("b", ""), ("c", None), ("d", "x")], DOC)
     got = plain.tokens(df)
@@ -216,7 +215,6 @@ def test_tokens_are_placed_without_a_shuffle(spark):
     assert [tuple(r) for r in got.filter("uri <> 'a'").collect()] == [("d", 0, 0, 1, "x")]
 
 
-
 def test_documents_that_tokens_do_not_rebuild(spark, monkeypatch):
     df = spark.createDataFrame([("a", "ab cd"), ("b", "ab"), ("c", ""), ("d", None)], DOC)
     assert plain.token_faults(df).count() == 0
@@ -225,6 +223,42 @@ def test_documents_that_tokens_do_not_rebuild(spark, monkeypatch):
     assert [r.uri for r in found.collect()] == ["a"] and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_regions_from_edges():
+    import numpy as np
+
+    from quillspark.operators.markdown import edges
+
+    for cover in ([], [True], [False, False], [True, False, False, True]):
+        start, end, lintable = edges(np.array(cover, bool))
+        assert {x.dtype for x in (start, end)} == {np.dtype(np.int32)}  # numbers as they lie, no object for each region
+        assert [on for a, b, on in zip(start, end, lintable) for _ in range(b - a)] == [not x for x in cover] and (lintable[1:] != lintable[:-1]).all()
+
+
+def test_regions_of_many_documents_at_once(spark):
+    texts = ["a `b` c", "", "# h", "x"]
+    df = spark.createDataFrame([(f"{i}.md", t) for i, t in enumerate(texts)] + [("4.txt", "`x`"), ("5.md", None)], DOC).coalesce(1)
+    got = {r.uri: [tuple(x) for x in r.regions] for r in with_regions(df).collect()}
+    assert got == {"0.md": [(0, 2, True), (2, 5, False), (5, 7, True)], "1.md": [], "2.md": [(0, 3, False)], "3.md": [(0, 1, True)], "4.txt": [(0, 3, True)], "5.md": []}
+    assert "ArrowEvalPython" in with_regions(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_sentences_that_may_be_long_leave_the_walk(spark):
+    df = frame(spark, ("txt", "Short one. " + words(21) + ". " + words(20) + ". " + words(30)))
+    got = plain.long_sentences(df, 20).collect()
+    assert [(r.ordinal, r.start) for r in got if len(r.text.split()) > 20] == [(1, 11)]
+    assert all(r.complete and r.ordinal > 0 for r in got)
+
+
+def test_a_walk_holds_no_more_characters_than_told():
+    import pyarrow as pa
+
+    class Frame:
+        def mapInArrow(self, run, schema):
+            return list(run(iter([pa.RecordBatch.from_pydict({"uri": ["a", "b"]})])))
+
+    made = plain.walked(Frame(), "context string, n int", lambda doc: (("x" * 1_000_000, k) for k in range(10)))
+    assert [b.num_rows for b in made if b.num_rows] == [4, 4, 4, 4, 4] and sum(b.num_rows for b in made) == 20
+
 
 def test_a_baseline_in_parts(spark):
     import hashlib
@@ -240,31 +274,9 @@ def test_a_baseline_in_parts(spark):
         baseline.from_json(parts.filter("part = 'sha256:0'").selectExpr("'sha256:1' as part", "json")).collect()
 
 
-
 def test_documents_are_dealt_in_shares_that_do_not_grow(spark, monkeypatch):
     from quillspark.plans import queries
 
     monkeypatch.setattr(queries, "TASK_DOCS", 5, raising=False)
     docs = queries.spread_documents(spark, "/root/testdata/sf0.001")
     assert docs.rdd.getNumPartitions() == -(-docs.count() // 5) > 2 * spark.sparkContext.defaultParallelism
-
-
-
-def test_regions_from_edges():
-    import numpy as np
-
-    from quillspark.operators.markdown import edges
-
-    for cover in ([], [True], [False, False], [True, False, False, True]):
-        start, end, lintable = edges(np.array(cover, bool))
-        assert {x.dtype for x in (start, end)} == {np.dtype(np.int32)}  # numbers as they lie, no object for each region
-        assert [on for a, b, on in zip(start, end, lintable) for _ in range(b - a)] == [not x for x in cover] and (lintable[1:] != lintable[:-1]).all()
-
-
-
-def test_regions_of_many_documents_at_once(spark):
-    texts = ["a `b` c", "", "# h", "x"]
-    df = spark.createDataFrame([(f"{i}.md", t) for i, t in enumerate(texts)] + [("4.txt", "`x`"), ("5.md", None)], DOC).coalesce(1)
-    got = {r.uri: [tuple(x) for x in r.regions] for r in with_regions(df).collect()}
-    assert got == {"0.md": [(0, 2, True), (2, 5, False), (5, 7, True)], "1.md": [], "2.md": [(0, 3, False)], "3.md": [(0, 1, True)], "4.txt": [(0, 3, True)], "5.md": []}
-    assert "ArrowEvalPython" in with_regions(df)._jdf.queryExecution().executedPlan().toString()
