@@ -21,7 +21,8 @@ TASK_DOCS = 4_000
 
 
 def spread_documents(spark: SparkSession, sf_dir: str, **how: str) -> DataFrame:
-    """Documents dealt to all cores: a single row group would be one task's work."""
+    """Documents dealt to all cores, in shares that do not grow with the table: a row group of a file is one task's work, however
+    large it is."""
     docs = table_documents(spark, sf_dir, **how)
     tasks = max(2 * spark.sparkContext.defaultParallelism, -(-docs.count() // TASK_DOCS))
     return docs.repartition(tasks, "uri") if len(docs.inputFiles()) < tasks else docs
