@@ -107,12 +107,17 @@ class Encoder:
         for t in texts:
             data = t.encode()
             runs.append((data if b"<|" in data else data.lower()).split())
-        new = {w for r in runs for w in r if w not in self.cache}
+        met = [list(map(self.cache.get, r)) for r in runs]
+        holes = [[k for k, x in enumerate(ids) if x is None] for ids in met]
+        new = {r[k] for r, own in zip(runs, holes) for k in own}
         again = {w: self.older[w] for w in new if w in self.older}
         self.cache |= again
         found = self.fresh(list(new - again.keys()))
         self.cache |= found
-        out = [b"".join(map(self.cache.__getitem__, r)) for r in runs]
+        for r, ids, own in zip(runs, met, holes):
+            for k in own:
+                ids[k] = self.cache[r[k]]
+        out = list(map(b"".join, met))
         for w in found:
             if len(w) > LONGEST_CACHED:
                 del self.cache[w]
@@ -246,15 +251,18 @@ def cut_pieces(rounds: Rounds, q: int, a: int, b: int) -> Iterator[tuple[int, in
         ends = rounds.upto(lo, hi) if step > 1 else rounds.ends(np.arange(lo, hi + 1))
         column = ends[:, q]
         k = int(np.searchsorted(column, a, side="right")) - 1
+        last = int(np.searchsorted(column, stop, side="left"))
+        before = np.diff(ends[k : last + 1, :q].sum(axis=1)).tolist()  # tokens of the queues before it in each window
+        column, lo, k = column[k : last + 1].tolist(), lo + k, 0
         while a < stop:
-            to = min(stop, int(column[k + 1]))
+            to = min(stop, column[k + 1])
             if to > a:
                 if held and held[2] == lo + k:  # a window that the last stretch ended in
                     held = (held[0], to, *held[2:])
                 else:
                     if held:
                         yield held
-                    held = (a, to, lo + k, int((ends[k + 1, :q] - ends[k, :q]).sum()) + a - int(column[k]))
+                    held = (a, to, lo + k, before[k] + a - column[k])
                 a = to
             k += 1
     if held:

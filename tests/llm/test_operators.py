@@ -754,3 +754,28 @@ def test_a_secret_that_is_repeated_stays_found(spark, words, copies):
     texts = dict(rows)
     assert all([texts[k][s.start : s.end] for s in found[k]] == [secret] for k in range(copies))
     assert not any(found[k] for k in texts if k >= 5000)
+
+
+def test_known_runs_are_looked_up_once():
+    import public_tokenizers
+
+    from quillspark.llm.packing import Encoder
+
+    class Counted(dict):
+        looked = 0
+
+        def counted(name):
+            def look(self, *key):
+                Counted.looked += 1
+                return getattr(dict, name)(self, *key)
+
+            return look
+
+        get, __getitem__, __contains__ = counted("get"), counted("__getitem__"), counted("__contains__")
+
+    codes = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    codes.cache = Counted()
+    text = ["one two, one <x> (three)", "", "two, four"]
+    first = codes.encode(text)
+    Counted.looked = 0
+    assert codes.encode(text) == first and Counted.looked == sum(len(t.split()) for t in text)
