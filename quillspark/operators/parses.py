@@ -40,8 +40,18 @@ def conllu_words(blocks: DataFrame) -> DataFrame:
 WORDS = "sent string, i int, token int, form string, lemma string, upos string, feats string, head string, deprel string, start long, end long"
 
 
+STRINGS = ("form", "lemma", "upos", "feats", "head", "deprel")
+
+
 def placed_words(sents: pa.Array, blocks: pa.Array) -> pa.RecordBatch:
     """The words of some blocks, with the places of their surface tokens, heads and features as they are written."""
+    at, words = word_columns(blocks)
+    columns = [sents.take(pa.array(at)), *(pa.array(x, pa.int32()) if n in ("i", "token") else pa.array(x) if n in ("start", "end") else x for n, x in words.items())]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in WORDS.split(", ")])
+
+
+def word_columns(blocks: pa.Array) -> tuple[np.ndarray, dict]:
+    """The block of each word, and the words' columns, by block and id."""
     lines = pc.split_pattern(blocks, "\n")
     block, line = pc.list_parent_indices(lines).to_numpy(), lines.flatten()
     told = pc.and_(pc.not_equal(line, ""), pc.invert(pc.starts_with(line, "#")))
@@ -82,8 +92,8 @@ def placed_words(sents: pa.Array, blocks: pa.Array) -> pa.RecordBatch:
     before, token = before - before[held], number - (number - opens)[held]
     # a token begins with its first word
     start = before[np.maximum.accumulate(np.where(new | opens, np.arange(len(at)), 0))]
-    columns = [sents.take(pa.array(at)), pa.array(own, pa.int32()), pa.array(token, pa.int32()), *(of(c, rows) for c in ("form", "lemma", "upos", "feats", "head", "deprel")), pa.array(start), pa.array(start + length)]
-    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in WORDS.split(", ")])
+    named = dict(zip(STRINGS, (of(c, rows) for c in STRINGS)))
+    return at, {"i": own, "token": token, **named, "start": start, "end": start + length}
 
 
 def faults(words: DataFrame) -> DataFrame:
@@ -123,5 +133,72 @@ def scores(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
         count(shared).alias("f_tp"), count(F.array_except(cf, shared)).alias("f_fp"), count(F.array_except(gf, shared)).alias("f_fn"),
         n(attached).alias("heads"), n(labelled).alias("labels"),
     )
+    return out.select(*by, *rates())
+
+
+def rates() -> list[Column]:
+    """The scores of rows of counts."""
     gold_n = F.col("tp") + F.col("fn")
-    return out.select(*by, f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("word_f1"), ratio(F.col("lemmas"), gold_n).alias("lemma_accuracy"), ratio(F.col("tags"), gold_n).alias("upos_accuracy"), f1(F.col("f_tp"), F.col("f_fp"), F.col("f_fn")).alias("feats_f1"), ratio(F.col("heads"), gold_n).alias("uas"), ratio(F.col("labels"), gold_n).alias("las"))
+    return [f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("word_f1"), ratio(F.col("lemmas"), gold_n).alias("lemma_accuracy"), ratio(F.col("tags"), gold_n).alias("upos_accuracy"), f1(F.col("f_tp"), F.col("f_fp"), F.col("f_fn")).alias("feats_f1"), ratio(F.col("heads"), gold_n).alias("uas"), ratio(F.col("labels"), gold_n).alias("las")]
+
+
+COUNTS = ("tp", "fp", "fn", "lemmas", "tags", "f_tp", "f_fp", "f_fn", "heads", "labels")
+
+
+def block_scores(blocks: DataFrame) -> DataFrame:
+    """What ``scores`` finds of aligned words, where both sides of a sentence lie in one row: gold and candidate, CoNLL-U blocks. A null
+    block has no words. Sides are aligned where they lie, many sentences at a time by columns; a row of counts goes on for these, and
+    no word is shuffled. A feature twice in a word fails the job, as lines with too few fields and ranges that overlap do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for i in range(0, big.num_rows, 1000):
+                sides = (word_columns(side) for side in big.slice(i, 1000).columns)
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()) for n in compared(*sides)], names=list(COUNTS))
+
+    text = (F.coalesce(c, F.lit("")).alias(c) for c in ("gold", "candidate"))
+    counts = blocks.select(*text).mapInArrow(run, ", ".join(f"{c} long" for c in COUNTS))
+    return counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS)).select(*rates())
+
+
+def compared(gold: tuple[np.ndarray, dict], candidate: tuple[np.ndarray, dict]) -> tuple[int, ...]:
+    """The counts of two sides of the same blocks. Words are paired by surface token and place in it, heads through the pairs."""
+    (g_at, g), (c_at, c) = gold, candidate
+    keys = [np.concatenate(x) for x in zip(token_places(g_at, g), token_places(c_at, c))]
+    order = np.lexsort((*keys[::-1],))  # stable: of two equal ones, the gold one is first
+    twins = np.flatnonzero(np.logical_and.reduce([x[order[1:]] == x[order[:-1]] for x in keys]))
+    mine, theirs = order[twins], order[twins + 1] - len(g_at)
+    same = lambda name: pc.equal(g[name].take(pa.array(mine)), c[name].take(pa.array(theirs))).to_numpy(zero_copy_only=False)
+    g_head, c_head = (pc.cast(x["head"], pa.int64()).to_numpy()[rows] for x, rows in ((g, mine), (c, theirs)))
+
+    other = np.full(len(g_at) + 1, -1)  # the candidate's id of each gold word; the last is for heads outside the sentence
+    other[mine] = c["i"][theirs]
+    place = lambda at, i: (at.astype(np.int64) << 32) + i
+    own, asked = place(g_at, g["i"]), place(g_at[mine], g_head)
+    found = np.searchsorted(own, asked)
+    inside = np.append(own, -1)[found] == asked
+    attached = np.where(g_head == 0, c_head == 0, (c_head != 0) & (c_head == other[np.where(inside, found, len(g_at))]))
+
+    written = pc.dictionary_encode(pa.concat_arrays([g["feats"], c["feats"]]))
+    sets, code = [feature_set(x) for x in written.dictionary.to_pylist()], written.indices.to_numpy()
+    both, n = np.unique(code[mine] * np.int64(len(sets)) + code[len(g_at) + theirs], return_counts=True)
+    shared = sum(len(sets[p // len(sets)] & sets[p % len(sets)]) * k for p, k in zip(both.tolist(), n.tolist()))
+    sizes = np.array([len(x) for x in sets], np.int64)
+    g_feats, c_feats = (int(sizes[x].sum()) for x in (code[: len(g_at)], code[len(g_at) :]))
+    tp = len(mine)
+    return tp, len(c_at) - tp, len(g_at) - tp, int(same("lemma").sum()), int(same("upos").sum()), shared, c_feats - shared, g_feats - shared, int(attached.sum()), int((attached & same("deprel")).sum())
+
+
+def token_places(at: np.ndarray, words: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Block and start, and length and place in the surface token, of words in order."""
+    begin, width, row = (at.astype(np.int64) << 40) + words["start"], words["end"] - words["start"], np.arange(len(at))
+    new = np.append(np.ones(min(len(at), 1), bool), (begin[1:] != begin[:-1]) | (width[1:] != width[:-1]))
+    return begin, (width << 31) + row - np.maximum.accumulate(np.where(new, row, 0))
+
+
+def feature_set(written: str) -> frozenset[str]:
+    """The features ("A=1") of a word."""
+    parts = [] if written == "_" else written.split("|")
+    if len({p.split("=", 1)[0] for p in parts}) < len(parts):
+        raise ValueError("a feature twice in a word")
+    return frozenset(parts)
