@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chars import SPACE
+from .plain import walked
 
 # What a line or a part of it is.
 FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
@@ -38,6 +40,8 @@ WHOLE = tuple(map(re.compile, (r"!\[[^]]*\]\([^)]*\)", r"`+[^`]*`+", r"<(?:https
 LABELLED = tuple(map(re.compile, (r"\[([^]]+)]\([^)]*\)", r"\[([^]]+)]\[[^]]*]")))
 SEPARATOR = re.compile("[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]|\r(?!\n)")
 TICKS = re.compile("`+")
+#: What a line has at its start if it is of one of the kinds, and what it has if any of its marks goes: other lines are not looked at closer.
+STRUCTURAL, MARKED = re.compile(r"\s*[#*\-_\[{<]| {4}|\t"), re.compile(r"[`\[<{}&]")
 #: What stands between a list and its lead-in, in the order in which it is listed.
 BLOCKERS = ("heading", "fence", "thematic_break", "blockquote", "more_than_one_blank_line")
 
@@ -51,7 +55,7 @@ def line_kinds(lines: list[str]) -> tuple[list[str], int]:
     kinds, doubt = ["visible"] * n, n
     fences = [m[1] if (m := FENCE.match(x)) else "" for x in lines]
     longest = {c: [0] * (n + 1) for c in "`~"}  # of the fences from a line on
-    for i in range(n - 1, -1, -1):
+    for i in range(n - 1, -1, -1) if any(fences) else ():
         for c, most in longest.items():
             most[i] = max(most[i + 1], len(fences[i]) if fences[i][:1] == c else 0)
     last_close = max((i for i, x in enumerate(lines) if "-->" in x), default=-1)
@@ -72,7 +76,7 @@ def line_kinds(lines: list[str]) -> tuple[list[str], int]:
             elif last_close > k:
                 close = next(i for i in range(k + 1, n) if "-->" in lines[i])
         else:
-            if k < doubt:
+            if k < doubt and STRUCTURAL.match(lines[k]):
                 kinds[k] = next((name for name, kind in LINE_KINDS if kind.match(lines[k])), "visible")
             k += 1
             continue
@@ -92,6 +96,9 @@ def line_kinds(lines: list[str]) -> tuple[list[str], int]:
 
 def shown_line(line: str) -> tuple[str, bool]:
     """A line with its markup blanked, and whether that is in doubt."""
+    if not MARKED.search(line):
+        n = m.end() if (m := ITEM.match(line) or QUOTE.match(line)) else 0
+        return " " * n + line[n:], False
     gone = [m.span() for kind in WHOLE for m in kind.finditer(line)]
     for kind in LABELLED:
         for m in kind.finditer(line):
@@ -237,21 +244,90 @@ def list_units(ls: DataFrame, hanging: bool = True) -> DataFrame:
     )
 
 
+UNITS = "start int, end int, family string, indentation int, peers int, uncertain boolean, lead_in_status string, lead_in_start int, lead_in_end int, blank_lines int, list_terminal string, blockers string, lead_in string"
+COUNTED = {"blank": lambda x: x["empty"], "doubtful": lambda x: x["uncertain"], "quoted": lambda x: x["quote"]} | {k: lambda x, k=k: x["kind"] == k for k in ("heading", "fence", "thematic_break")}
+WORD = re.compile(r"\w")
+
+
+def found_list_units(docs: DataFrame, hanging: bool = True) -> DataFrame:
+    """The list runs of documents (uri, text) as of ``list_units``, with the text of the lead-in (empty without one): lines, blocks and
+    runs of a text are found in one walk, no line goes on and nothing is shuffled."""
+    found = walked(docs.select("uri", F.coalesce("text", F.lit("")).alias("text")), UNITS, lambda doc: text_units(doc["text"], hanging))
+    return found.withColumn("blockers", F.filter(F.split("blockers", ","), lambda x: x != ""))
+
+
+def text_blocks(rows: list[dict], hanging: bool = True) -> list[dict]:
+    """The blocks of one text's line rows as ``blocks`` has them, with their bodies."""
+    out: list[dict] = []
+    before, under, left = "gap", None, False  # the side of the line before, the item's depth that prose goes on with, and whether it did not
+    for x in rows:
+        side = "gap" if x["kind"] != "visible" else "list" if x.get("marker") is not None else "quote" if x["quote"] else "prose"
+        if side == "prose":
+            free = not hanging or under is None or x["indent"] <= under
+            begins, left = free and not left, free or left
+        else:
+            begins, left, under = side == "list" or (side == "quote" and before != "quote"), False, x.get("marker")
+        before = side
+        if side == "gap":
+            continue
+        if begins:
+            out.append(dict(first_line=x["k"], kind=side, start=x["start"], uncertain=False, shown_start=None, shown_end=None, terminal=None, words=False, body=[]))
+        block, body = out[-1], x["shown"].strip()
+        block.update(last_line=x["k"], end=x["end"], uncertain=block["uncertain"] or x["uncertain"], words=block["words"] or WORD.search(body) is not None)
+        block["body"].append(body)
+        if body:
+            at = x["start"] + len(x["shown"]) - len(x["shown"].lstrip())
+            block.update(shown_start=at if block["shown_start"] is None else block["shown_start"], shown_end=at + len(body), terminal=body[-1])
+    return [b for b in out if b["words"]]
+
+
+def text_units(text: str, hanging: bool = True) -> Iterator[tuple]:
+    """The list runs of one text."""
+    rows = projected_lines(text, hanging)
+    runs = [x for x in rows if x.get("peers")]
+    if not runs:
+        return
+    led = text_blocks(rows, hanging)
+    counts = {n: [0, *accumulate(map(told, rows))] for n, told in COUNTED.items()}  # of the lines before each
+    line = {x["end"]: x["k"] for x in rows}
+    near = -1
+    for x in runs:
+        k = x["k"]
+        while near + 1 < len(led) and led[near + 1]["last_line"] < k:
+            near += 1
+        # a run is in doubt if one of its lines is
+        doubt = counts["doubtful"][line[x["run_end"]] + 1] > counts["doubtful"][k]
+        unit = (x["start"], x["run_end"], x["family"], x["marker"], x["peers"], doubt)
+        if near < 0:
+            yield *unit, "not_found", -1, -1, -1, "absent", "", ""
+            continue
+        lead = led[near]
+        between = {n: c[k] - c[lead["last_line"] + 1] for n, c in counts.items()}
+        apart = [name for n, name in zip(("heading", "fence", "thematic_break", "quoted"), BLOCKERS) if between[n]] + [BLOCKERS[4]] * (between["blank"] > 1)
+        status = "uncertain" if lead["uncertain"] or between["doubtful"] else "found"
+        terminal = {".": "period", ":": "colon"}.get(lead["terminal"], "other")
+        yield *unit, status, lead["shown_start"], lead["shown_end"], between["blank"], terminal, ",".join(apart), text[lead["shown_start"] : lead["shown_end"]]
+
+
 #: A stop that ends a sentence: marks that close and white space, or nothing, are behind it. Fixed value.
-TERMINAL = r"[.!?](?=[\"'’”)\]]*(?:\s|$))"
+TERMINAL = re.compile(r"[.!?](?=[\"'’”)\]]*(?:[ \t\n\x0b\f\r]|$))")
 
 
 def scan_counts(docs: DataFrame, hanging: bool = True) -> DataFrame:
     """uri, complete, incomplete, paragraphs, semicolons, list_runs of every document: whole sentences and unfinished rests of its
-    blocks, blocks of prose, semicolons of the text, list runs. No unit rows are made."""
-    ls = lines(docs, hanging)
-    b = blocks(ls, with_body=True, hanging=hanging)
-    rest = F.regexp_replace("body", rf"(?s)^.*{TERMINAL}", "")
-    sums = b.groupBy("uri").agg(F.sum(F.regexp_count("body", F.lit(TERMINAL))).alias("complete"), F.count_if(F.rlike(rest, F.lit(r"[\p{L}\p{N}_]"))).alias("incomplete"), F.count_if(F.col("kind") == "prose").alias("paragraphs"))
-    runs = ls.groupBy("uri").agg(F.count("peers").alias("list_runs"))
-    semis = docs.select("uri", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit(";"), F.lit(""))), F.lit(0)).alias("semicolons"))
-    met = semis.join(sums, "uri", "left").join(runs, "uri", "left")
-    return met.select("uri", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("complete", "incomplete", "paragraphs", "semicolons", "list_runs")))
+    blocks, blocks of prose, semicolons of the text, list runs. No line or unit rows are made, and nothing is shuffled."""
+
+    def each(doc: dict) -> Iterator[tuple]:
+        rows = projected_lines(doc["text"], hanging)
+        found = text_blocks(rows, hanging)
+        complete = incomplete = 0
+        for body in (" ".join(b["body"]) for b in found):
+            stops = [m.end() for m in TERMINAL.finditer(body)]
+            complete += len(stops)
+            incomplete += WORD.search(body, stops[-1] if stops else 0) is not None
+        yield complete, incomplete, sum(b["kind"] == "prose" for b in found), doc["text"].count(";"), sum("peers" in x for x in rows)
+
+    return walked(docs.select("uri", F.coalesce("text", F.lit("")).alias("text")), ", ".join(f"{c} long" for c in ("complete", "incomplete", "paragraphs", "semicolons", "list_runs")), each)
 
 
 def summary(ls: DataFrame) -> DataFrame:

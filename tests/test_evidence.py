@@ -205,6 +205,24 @@ def test_prose_of_any_depth_ends_lists_where_items_do_not_go_on(spark):
     assert units(hanging=False) == [(6, 2, "Lead."), (text.index("- c"), 2, "own line.")]
 
 
+def test_list_runs_found_in_a_walk_are_those_of_line_rows(spark):
+    rng = random.Random(11)
+    parts = ["`", "```\n", "~~~\n", "***\n", "# H\n", "{{<", "[a](b)", "&amp;", "- ", "- a\n", "  - b\n", "1. c\n", "> q\n", ">\n", "\n", "\n", "\r\n", "  ", "\u00a0", "word.", "Use these tools:\n", " deep\n", "x; ", "é!\n", "---\n", "\n-  \u2003!\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(300)] + [None, "", "a\x85- b", "- a\r\n- b\r\n"]
+    df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], DOC)
+    for hanging in (True, False):
+        ls = projection.lines(df, hanging)
+        found = projection.found_list_units(df, hanging)
+        want = projection.list_units(ls, hanging)
+        assert sorted(map(tuple, found.select(*want.columns).collect())) == sorted(map(tuple, want.collect())) and want.count() > 50
+        assert all(r.lead_in == (texts[int(r.uri)][r.lead_in_start : r.lead_in_end] if r.lead_in_start >= 0 else "") for r in found.collect())
+        columns = ("first_line", "last_line", "kind", "start", "end", "uncertain", "shown_start", "shown_end", "terminal")
+        blocks = [(str(k), *(b[c] for c in columns), " ".join(b["body"])) for k, t in enumerate(texts) for b in projection.text_blocks(projection.projected_lines(t or "", hanging), hanging)]
+        assert sorted(blocks) == sorted(map(tuple, projection.blocks(ls, with_body=True, hanging=hanging).select("uri", *columns, "body").collect()))
+        for df_ in (found, projection.scan_counts(df, hanging)):
+            assert "Exchange" not in df_._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("name", ["list_lead_ins", "list_label_counts", "scan_counts"])
 def test_lists_with_indented_prose_agree_with_their_sql(spark, tmp_path, name):
     import duckdb
