@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from operator import itemgetter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,41 +73,94 @@ def stated(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"case_id": case_id(), "truth": F.lit(PENDING), "review_status": F.lit(PENDING)}).select(*RECORD)
 
 
+def made_records(uri: str, text: str, units: Iterable[dict]) -> Iterator[dict]:
+    """Units of one document as records, as ``found_records`` has them."""
+    columns = [c.split()[0] for c in PLACED.split(", ")]
+    for row in placed(text, list(units)):
+        r = dict(zip(columns, row), uri=uri, truth=PENDING, review_status=PENDING)
+        parts = (r["rule_id"], r["source_id"], uri, str(r["start"]), str(r["end"]), r["unit_kind"])
+        r["case_id"] = "unit-" + hashlib.sha256("\0".join(x for x in parts if x is not None).encode()).hexdigest()
+        yield r
+
+
+UNIT = ("rule_id", "source_id", "start", "end", "unit_kind")
+SIDES = ("start_line", "start_column", "end_line", "end_column")
+MOST_SHARED = 100_000  # case ids that are sent to all tasks
+
+
 def contract_faults(rows: DataFrame, docs: DataFrame, rules: Iterable[str], excluded: dict[str, list[str]] | None = None) -> DataFrame:
     """Records that break their contract (uri, case_id, start, end, faults), with all codes: unknown_rule, context, state, case_id,
     excluded (a document that its rule leaves out), duplicate (all records of a repeated unit or id), document, span, slice,
-    start_place, end_place. The last five come from a walk over each text that has records."""
+    start_place, end_place. Repeats inside a document and the last five come from a walk over each text that has records; only ids are
+    compared between documents."""
+    ends = (F.col(c).cast("int").alias(c) for c in ("start", "end"))
+    asked = rows.select("uri", *ends, "case_id", "slice_sha256", *SIDES, "rule_id", "source_id", "unit_kind", own_codes(rules, excluded).alias("own"))
+
+    def each(text: str | None, units: list[dict]) -> Iterator[tuple]:
+        for u, (twice, codes) in zip(units, text_codes(text, units)):
+            yield u["case_id"], u["start"], u["end"], u["own"], twice, codes
+
+    checked = walked_units(asked, docs, "case_id string, start int, end int, own string, twice boolean, codes string", each)
+    return told_faults(checked, rows.select("uri", "case_id").distinct())
+
+
+def found_faults(docs: DataFrame, find: Callable[[dict], Iterable[dict]], rules: Iterable[str], excluded: dict[str, list[str]] | None = None) -> DataFrame:
+    """``contract_faults`` of the records that ``find`` yields of a document (a dict of its columns, uri and text among them; ``uri`` is
+    unique): found and checked in one walk. Only the ids are shuffled, and ``find`` runs twice over each document."""
+    own = (*UNIT, "case_id", "structural_context", "truth", "review_status")
+
+    def each(doc: dict) -> Iterator[tuple]:
+        units = list(find(doc))
+        for u, more in zip(map(itemgetter(*own), units), text_codes(doc["text"] or "", units)):
+            yield *u, *more
+
+    schema = ", ".join(f"{c} {'int' if c in ('start', 'end') else 'string'}" for c in own)
+    checked = walked(docs, f"{schema}, twice boolean, codes string", each).withColumn("own", own_codes(rules, excluded))
+    return told_faults(checked, walked(docs, "case_id string", lambda doc: ((c,) for c in {u["case_id"] for u in find(doc)})))
+
+
+def own_codes(rules: Iterable[str], excluded: dict[str, list[str]] | None = None) -> Column:
+    """The codes that a record's own columns tell, joined by commas."""
     left_out = F.lit(False)
     for rule, uris in (excluded or {}).items():
         left_out = left_out | ((F.col("rule_id") == rule) & F.col("uri").isin(*uris))
-    twice = F.count("*").over(Window.partitionBy("rule_id", "source_id", "uri", "start", "end", "unit_kind")) > 1
-    checked = rows.withColumn("_twice", twice).withColumn("_twice", F.col("_twice") | (F.count("*").over(Window.partitionBy("case_id")) > 1))
     no = lambda c: ~F.coalesce(c, F.lit(False))
     codes = {
         "unknown_rule": no(F.col("rule_id").isin(*rules)), "context": no(F.col("structural_context").isin(*CONTEXTS)), "state": no((F.col("truth") == PENDING) & (F.col("review_status") == PENDING)),
-        "case_id": no(F.col("case_id") == case_id()), "excluded": left_out, "duplicate": F.col("_twice"),
+        "case_id": no(F.col("case_id") == case_id()), "excluded": left_out,
     }
-    own = F.array_join(F.array_compact(F.array(*(F.when(c, n) for n, c in codes.items()))), ",")
-    sides = ("start_line", "start_column", "end_line", "end_column")
-    asked = checked.select("uri", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "case_id", "slice_sha256", *sides, own.alias("own"))
-
-    def each(text: str | None, units: list[dict]) -> Iterator[tuple]:
-        at = places(text or "", {u[k] for u in units for k in ("start", "end") if u[k] is not None})
-        for u in units:
-            faults, a, b = [x for x in u["own"].split(",") if x], u["start"], u["end"]
-            if text is None:
-                faults.append("document")
-            elif a is None or b is None or not 0 <= a < b <= len(text):
-                faults.append("span")
-            else:
-                if hashlib.sha256(text[a:b].encode()).hexdigest() != u["slice_sha256"]:
-                    faults.append("slice")
-                faults += [f"{k}_place" for k, o in (("start", a), ("end", b)) if at[o] != (u[f"{k}_line"], u[f"{k}_column"])]
-            if faults:
-                yield u["case_id"], a, b, ",".join(faults)
-
-    found = walked_units(asked, docs, "case_id string, start int, end int, faults string", each)
-    return found.withColumn("faults", F.split("faults", ","))
+    return F.array_join(F.array_compact(F.array(*(F.when(c, n) for n, c in codes.items()))), ",")
+
+
+def text_codes(text: str | None, units: list[dict]) -> Iterator[tuple[bool, str]]:
+    """Whether each record of one document is there twice, as a unit or by its id, and the codes that the text tells."""
+    at = places(text or "", {u[k] for u in units for k in ("start", "end") if u[k] is not None})
+    unit = itemgetter(*UNIT)
+    same, ids = Counter(map(unit, units)), Counter(u["case_id"] for u in units)
+    for u in units:
+        faults, a, b = [], u["start"], u["end"]
+        if text is None:
+            faults.append("document")
+        elif a is None or b is None or not 0 <= a < b <= len(text):
+            faults.append("span")
+        else:
+            if hashlib.sha256(text[a:b].encode()).hexdigest() != u["slice_sha256"]:
+                faults.append("slice")
+            if at[a] != (u["start_line"], u["start_column"]):
+                faults.append("start_place")
+            if at[b] != (u["end_line"], u["end_column"]):
+                faults.append("end_place")
+        yield same[unit(u)] > 1 or ids[u["case_id"]] > 1, ",".join(faults)
+
+
+def told_faults(checked: DataFrame, ids: DataFrame) -> DataFrame:
+    """Checked records (case_id, own, twice, codes) that have a fault. ids: the distinct case ids of each document; those of several
+    documents, of which a sound inventory has none, are held and met with the records."""
+    shared = held(ids.groupBy("case_id").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("case_id").alias("_id"), F.lit(True).alias("_far")))
+    met = checked.join(F.broadcast(shared) if shared.count() <= MOST_SHARED else shared, checked["case_id"].eqNullSafe(shared["_id"]), "left")
+    again = F.when(F.col("twice") | F.col("_far").isNotNull(), "duplicate")
+    faults = F.filter(F.split(F.concat_ws(",", "own", again, "codes"), ","), lambda x: x != "")
+    return met.select("uri", "case_id", "start", "end", faults.alias("faults")).filter(F.size("faults") > 0)
 
 
 def order_faults(rows: DataFrame, keys: list[Column], part: str, place: str) -> DataFrame:

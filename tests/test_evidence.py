@@ -384,6 +384,35 @@ def test_records_keep_their_contract(units):
     assert faults(rows, excluded={"SENT-001": ["b.md"]}) == [("b.md", 0, ("excluded",))]
 
 
+def test_records_found_and_checked_in_one_walk(spark):
+    changes = [
+        {}, {"slice_sha256": "x"}, {"start_line": 9}, {"end_column": None}, {"end": 99}, {"start": None}, {"truth": "violation"}, {"review_status": None}, {"rule_id": "ODD"}, {"rule_id": None}, {"structural_context": "odd"},
+        {"source_id": None}, {"unit_kind": None}, {"case_id": "same"}, {"case_id": None}, {}, {},
+    ]
+    docs = spark.createDataFrame([("a.md", "One; two.\nThree; é"), ("b.md", "Four; x"), ("c.md", None), ("d.md", ""), ("e.md", ";\n" * len(changes)), ("f.md", "; ; ;")], DOC)
+    own = {"source_id": "s1", "text_type": "procedural", "rule_id": "SEMI-001", "unit_kind": "semicolon", "structural_context": "visible_prose"}
+    sound = lambda doc: inventory.made_records(doc["uri"], doc["text"] or "", [{"start": k, "end": k + 1, **own} for k, c in enumerate(doc["text"] or "") if c == ";"])
+    told = {"a.md": [{"case_id": "same"}, {"case_id": None}], "b.md": [{"case_id": "same"}], "e.md": changes, "f.md": [{}, {"case_id": "twice"}, {"case_id": "twice"}]}
+
+    def records(doc):
+        for n, r in enumerate(sound(doc)):
+            yield from [r | told[doc["uri"]][n]] * (2 if (doc["uri"], n) == ("e.md", len(changes) - 1) else 1)
+
+    texts = [d.asDict() for d in docs.collect()]
+    units = [r for d in texts for r in sound(d)]
+    names = ("uri", "start", "end", *own)
+    whole = inventory.records(spark.createDataFrame([tuple(u[c] for c in names) for u in units], ", ".join(f"{c} {'int' if c in ('start', 'end') else 'string'}" for c in names)), docs)
+    assert sorted(map(tuple, whole.collect())) == sorted(tuple(r[c] for c in whole.columns) for r in units) and len(units) == len(changes) + 6
+    rows = spark.createDataFrame([tuple(r[c] for c in whole.columns) for d in texts for r in records(d)], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in whole.schema))
+    left_out = {"SEMI-001": ["b.md"]}
+    found, want = inventory.found_faults(docs, records, ["SEMI-001"], left_out), inventory.contract_faults(rows, docs, ["SEMI-001"], left_out).collect()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, found.select("uri", "case_id", "start", "end", "faults").collect())) == sorted(key((r.uri, r.case_id, r.start, r.end, r.faults)) for r in want)
+    assert {(r.uri, r.start) for r in want if "duplicate" in r.faults} == {("a.md", 3), ("a.md", 15), ("b.md", 4), ("e.md", 26), ("e.md", 28), ("e.md", 32), ("f.md", 2), ("f.md", 4)}
+    assert {tuple(r.faults) for r in want if r.uri == "b.md"} == {("case_id", "excluded", "duplicate")} and {c for r in want for c in r.faults} >= {"unknown_rule", "context", "state", "span", "slice", "start_place", "end_place"}
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_digests_do_not_depend_on_how_rows_lie(spark, units):
     _, rows = units
     one = inventory.digests(rows).first()
